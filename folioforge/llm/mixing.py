@@ -56,6 +56,61 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, max_
     return ranked.select("source", "source_size", target.alias("target"))
 
 
+def _measured(docs: DataFrame, id_col, text_col, source_col, weight, key_buckets, seed) -> DataFrame:
+    """Rows with doc (the whole row), id, source, __size, __key and __bucket."""
+    w = (quality_weight(F.col(text_col)) if weight is None else weight).cast("double")
+    w = F.when(w > 0, w).otherwise(F.lit(2.0**-1022))
+    key = -F.ln(uniform(F.col(id_col), seed)) / w
+    rows = docs.select(
+        F.struct("*").alias("doc"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("__size"), key.alias("__key")
+    )
+    return rows.withColumn("__bucket", F.floor((F.lit(1.0) - F.exp(-F.col("__key"))) * key_buckets))
+
+
+def mix_plan(measured: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """One row per source: source_size, target, epochs, and the last (key, id, size) that the fractional part takes.
+
+    `measured` has source, id, __size, __key and __bucket. The budget's bucket is found from sums by
+    bucket; only that bucket's rows are sorted.
+    """
+    tallies = stage_table(measured.groupBy("source", "__bucket").agg(F.sum("__size").alias("__words")), "mix-tallies")
+    sizes = tallies.groupBy("source").agg(F.sum("__words").alias("source_size"))
+    targets = (
+        source_targets(sizes, weights, share, max_epochs)
+        .withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
+        .withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
+        .withColumnRenamed("source", "__source")
+    )
+    targets = stage_table(targets, "mix-targets")
+    of_source = F.col("source").eqNullSafe(F.col("__source"))
+    running = Window.partitionBy("source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = tallies.withColumn("__end", F.sum("__words").over(running)).join(targets, of_source)
+    cuts = ends.filter(F.col("__end") > F.col("rest")).groupBy("source").agg(
+        F.min(F.struct("__bucket", (F.col("__end") - F.col("__words")).alias("start"))).alias("cut")
+    )
+    cuts = cuts.select(F.col("source").alias("__s"), F.col("cut.__bucket").alias("__b"), F.col("cut.start").alias("__start"))
+    rows = measured.join(cuts, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__bucket") == F.col("__b")))
+    before = Window.partitionBy("source").orderBy("__key", "id", "__size").rowsBetween(Window.unboundedPreceding, -1)
+    middle = F.col("__start") + F.coalesce(F.sum("__size").over(before), F.lit(0)) + F.col("__size") / 2.0
+    inside = rows.withColumn("__middle", middle).join(targets, of_source).filter(F.col("__middle") <= F.col("rest"))
+    last = inside.groupBy("source").agg(F.max(F.struct("__key", "id", "__size")).alias("last"))
+    plan = (
+        targets.join(cuts, F.col("__source").eqNullSafe(F.col("__s")), "left")
+        .join(last, F.col("__source").eqNullSafe(F.col("source")), "left")
+        .select("__source", "source_size", "target", "epochs", "rest", F.col("__b").alias("cut"), "last")
+    )
+    return stage_table(plan, "mix-plan")  # small: Catalyst broadcasts it if its files are below the session's threshold
+
+
+def _decided(measured: DataFrame, plan: DataFrame, max_epochs: int) -> DataFrame:
+    """`measured` with the plan's columns and __times, how often the mix takes the row."""
+    joined = measured.join(plan, F.col("source").eqNullSafe(F.col("__source")))
+    at_cut = F.coalesce(F.struct("__key", "id", "__size") <= F.col("last"), F.lit(False))
+    inside = F.col("cut").isNull() | (F.col("__bucket") < F.col("cut")) | ((F.col("__bucket") == F.col("cut")) & at_cut)
+    selected = inside & (F.col("epochs") < max_epochs) & (F.col("rest") > 0)
+    return joined.withColumn("__times", F.col("epochs") + selected.cast("long"))
+
+
 def mix(
     docs: DataFrame,
     *,
@@ -68,77 +123,52 @@ def mix(
     max_epochs: int = MAX_EPOCHS,
     key_buckets: int = KEY_BUCKETS,
     seed: str = SEED,
-    out: str = "mix",
 ) -> DataFrame:
-    """`docs` with a struct column `out`: size, source_size, target, epochs, selected, taken.
+    """One row per row of `docs`: id, source, size, source_size, target, times, taken.
 
-    size: words of the text (null or empty: 0). epochs: complete passes over the source. selected: the
-    document is in the part of the source that fills the rest of the target; a document is in if less
-    than half of it lies beyond. taken = size * (epochs + selected), at most max_epochs times the size.
+    size: words of the text (null or empty: 0). times: complete passes over the source, and one more if the
+    document is in the part that fills the rest of the target; a document is in if less than half of it
+    lies beyond. taken = size * times, at most max_epochs * size.
 
     Null source: a source of its own, last. Null id: hashed as the text "null". Null or non-positive
     weight: as the smallest positive double. Equal keys: smaller id, then smaller size first; repeated
-    rows are documents of their own. Empty table: empty result. Other columns are kept as they are, but
-    an input column named `out` gives way to the new one. Same input, same result: keys are hashes.
+    rows are taken alike. Empty table: empty result. Other columns are not read. Same input, same result:
+    keys are hashes.
     """
-    w = quality_weight(F.col(text_col)) if weight is None else weight
-    w = F.when(w.cast("double") > 0, w.cast("double")).otherwise(F.lit(2.0**-1022))
-    key = -F.ln(uniform(F.col(id_col), seed)) / w
-    keyed = (
-        docs.drop(out)
-        .withColumn("__size", n_words(F.col(text_col)))
-        .withColumn("__key", key)
-        .withColumn("__bucket", F.floor((F.lit(1.0) - F.exp(-F.col("__key"))) * key_buckets))
+    slim = _measured(docs, id_col, text_col, source_col, weight, key_buckets, seed)
+    slim = stage_table(slim.drop("doc"), "mix-sizes")
+    decided = _decided(slim, mix_plan(slim, weights, share, max_epochs), max_epochs)
+    return decided.select(
+        "id", "source", F.col("__size").alias("size"), "source_size", "target", F.col("__times").alias("times"),
+        (F.col("__size") * F.col("__times")).alias("taken"),
     )
-    source = F.col(source_col).alias("source")
-    tallies = stage_table(
-        keyed.groupBy(source, "__bucket").agg(F.sum("__size").alias("__words")), "mix-tallies"
-    )
-    sizes = tallies.groupBy("source").agg(F.sum("__words").alias("source_size"))
-    targets = (
-        source_targets(sizes, weights, share, max_epochs)
-        .withColumn("__epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-        .withColumn("__rest", F.col("target") - F.col("__epochs") * F.col("source_size"))
-    )
-    running = Window.partitionBy("source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ends = tallies.withColumn("__end", F.sum("__words").over(running))
-    ends = ends.join(targets.select(F.col("source").alias("__s"), "__rest"), F.col("source").eqNullSafe(F.col("__s")))
-    last = ends.filter(F.col("__end") > F.col("__rest")).groupBy("source").agg(
-        F.min(F.struct("__bucket", (F.col("__end") - F.col("__words")).alias("start"))).alias("__last")
-    )
-    plan = targets.join(last.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s")), "left").select(
-        F.col("source").alias("__source"), "source_size", "target", "__epochs", "__rest",
-        F.col("__last.__bucket").alias("__cut"), F.col("__last.start").alias("__cut_start"),
-    )
-    plan = stage_table(plan, "mix-plan")  # one row per source; Catalyst broadcasts it if its files are small
-    joined = keyed.join(plan, F.col(source_col).eqNullSafe(F.col("__source")))
-    decided = F.coalesce(F.col("__bucket") != F.col("__cut"), F.lit(True))
-    sure = joined.filter(decided).withColumn("__in", F.coalesce(F.col("__bucket") < F.col("__cut"), F.lit(True)))
-    in_cut = Window.partitionBy("__source", "__bucket").orderBy("__key", id_col, "__size").rowsBetween(Window.unboundedPreceding, -1)
-    middle = F.col("__cut_start") + F.coalesce(F.sum("__size").over(in_cut), F.lit(0)) + F.col("__size") / 2.0
-    cut = joined.filter(~decided).withColumn("__in", middle <= F.col("__rest"))
-    chosen = F.col("__in") & (F.col("__epochs") < max_epochs) & (F.col("__rest") > 0)
-    result = F.struct(
-        F.col("__size").alias("size"), "source_size", "target", F.col("__epochs").alias("epochs"), chosen.alias("selected"),
-        (F.col("__size") * (F.col("__epochs") + chosen.cast("long"))).alias("taken"),
-    )
-    keep = [F.col(f"`{c}`") for c in docs.columns if c != out]
-    return sure.unionByName(cut).select(*keep, result.alias(out))
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mixture itself: each document as often as the mix takes it, in the columns of `docs`."""
-    mixed = mix(docs, out="__mix", **options)
-    times = F.col("__mix.epochs") + F.col("__mix.selected").cast("long")
-    times = F.when(F.col("__mix.size") > 0, times).otherwise(0).cast("int")
-    return mixed.withColumn("__n", F.explode(F.array_repeat(F.lit(0), times))).select(*[F.col(f"`{c}`") for c in docs.columns])
+def mixed_documents(
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weight: Column | None = None,
+    weights=WEIGHTS,
+    share: float = SHARE,
+    max_epochs: int = MAX_EPOCHS,
+    key_buckets: int = KEY_BUCKETS,
+    seed: str = SEED,
+) -> DataFrame:
+    """The mixture itself: each document as often as the mix takes it, in the columns of `docs`. Cases: as in `mix`."""
+    wide = _measured(docs, id_col, text_col, source_col, weight, key_buckets, seed)
+    plan = mix_plan(stage_table(wide.drop("doc"), "mix-sizes"), weights, share, max_epochs)
+    times = F.when(F.col("__size") > 0, F.col("__times")).otherwise(0).cast("int")
+    return _decided(wide, plan, max_epochs).select("doc", F.explode(F.array_repeat(F.lit(0), times))).select("doc.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     from .common import read_columns
 
     mixed = mix(read_columns(spark, sf_dir, "documents", "doc_id", "text", "source"))
-    return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
 SQL = """
