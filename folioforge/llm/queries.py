@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import mixing, topk
+from . import mixing, quality, topk
 
 QUERIES = {
+    "op1_quality": quality.query,
     "op6_mixing": mixing.query,
     "op9_exact_top_k": topk.query,
 }
 
 ORACLES = {
+    "op1_quality": quality.SQL,
     "op6_mixing": mixing.SQL,
     "op9_exact_top_k": topk.SQL,
 }
