@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, topk
+from . import langid, mixing, quality, tokenstore, topk
 
 QUERIES = {
     "op1_quality": quality.query,
     "op6_mixing": mixing.query,
+    "op8_token_store": tokenstore.query,
     "op9_exact_top_k": topk.query,
+    "op10_language_id": langid.query,
 }
 
 ORACLES = {
