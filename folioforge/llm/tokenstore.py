@@ -37,7 +37,7 @@ END_ID = 2
 INDEX_BUCKET = 65_536
 _HEAD = 16
 _TAIL = 24
-_CACHE = 400_000
+_CACHE = 800_000
 _FLUSH = 8 << 20
 
 
@@ -109,6 +109,16 @@ class Encoder:
             yield self._whole(text) if False in parts else b"".join(parts)
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def _encoder(file: str) -> Encoder:
+    """The process's encoder for a file, with what it has learned in earlier tasks."""
+    if file not in _encoders:
+        _encoders[file] = Encoder(file)
+    return _encoders[file]
+
+
 # --- files ------------------------------------------------------------------------------------------
 
 
@@ -127,7 +137,7 @@ def _shard_writer(folder: str, tokenizer: str, end_id: int):
             if not batch.num_rows:
                 continue
             if sink is None:
-                encoder = Encoder(tokenizer)
+                encoder = _encoder(tokenizer)
                 end = np.array([end_id], dtype=encoder.dtype).tobytes()
                 fs, inner = _open(folder)
                 sink = fs.open_output_stream(f"{inner}/{name}")
