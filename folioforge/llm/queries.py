@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, neardup, quality, tokenstore, topk
+from . import langid, lmscore, mixing, neardup, quality, tokenstore, topk
 
 QUERIES = {
     "op1_quality": quality.query,
+    "op2_lm_scoring": lmscore.query,
     "op5_near_duplicates": neardup.query,
     "op6_mixing": mixing.query,
     "op8_token_store": tokenstore.query,
