@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import langid, lmscore, mixing, neardup, quality, tokenstore, topk
+from . import langid, lmscore, mixing, neardup, quality, segment, tokenstore, topk
 
 QUERIES = {
     "op1_quality": quality.query,
     "op2_lm_scoring": lmscore.query,
     "op5_near_duplicates": neardup.query,
     "op6_mixing": mixing.query,
+    "op7_segmentation": segment.query,
     "op8_token_store": tokenstore.query,
     "op9_exact_top_k": topk.query,
     "op10_language_id": langid.query,
