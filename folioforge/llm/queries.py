@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import langid, lmscore, mixing, neardup, quality, segment, tokenstore, topk
+from . import chat, langid, lmscore, mixing, neardup, quality, segment, tokenstore, topk
 
 QUERIES = {
     "op1_quality": quality.query,
     "op2_lm_scoring": lmscore.query,
+    "op4_chat_rotation": chat.query,
     "op5_near_duplicates": neardup.query,
     "op6_mixing": mixing.query,
     "op7_segmentation": segment.query,
@@ -17,6 +18,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_quality": quality.SQL,
+    "op4_chat_rotation": chat.SQL,
     "op6_mixing": mixing.SQL,
     "op9_exact_top_k": topk.SQL,
 }
