@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, langid, lmscore, mixing, neardup, quality, segment, tokenstore, topk
+from . import chat, langid, licences, lmscore, mixing, neardup, quality, segment, tokenstore, topk
 
 QUERIES = {
     "op1_quality": quality.query,
     "op2_lm_scoring": lmscore.query,
+    "op3_licence_scan": licences.query,
     "op4_chat_rotation": chat.query,
     "op5_near_duplicates": neardup.query,
     "op6_mixing": mixing.query,
