@@ -52,7 +52,7 @@ class Encoder:
     ranges goes to the library as a whole, as its pre-tokenizer might split there in another way.
     """
 
-    PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+    PIECES = re.compile(r" ?[^\W\d_]+|'(?:[stmd]|re|ve|ll)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
     ODD = re.compile("[^\\t\\n\\r\\x20-\\x7e\\xa1-\\xb1\\xb4-\\xb8\\xba\\xbb\\xbf-\\u024f]")
 
     def __init__(self, file: str):
@@ -61,6 +61,8 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # each piece is asked for once, so that the library's own memory only costs time
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
         plain = json.loads(self.tokenizer.to_str())
@@ -74,16 +76,16 @@ class Encoder:
 
     def _learn(self, fresh: list[str]) -> None:
         """Ids of pieces that are not known yet; False for odd ones."""
-        joined = []
-        for piece in fresh:
-            if self.ODD.search(piece):
-                self.known[piece] = False
-            elif len(self.feed) == 1 and not piece.isspace():
-                joined.append(piece)
-            else:
-                self.known[piece] = self._whole(piece)
+        if self.ODD.search("\n".join(fresh)):
+            self.known.update((p, False) for p in fresh if self.ODD.search(p))
+            fresh = [p for p in fresh if p not in self.known]
+        blank = [p for p in fresh if p.isspace()] if len(self.feed) == 1 else fresh
+        for piece in blank:
+            self.known[piece] = self._whole(piece)
+        joined = [p for p in fresh if p not in self.known] if blank else fresh
         if joined:
-            ids = np.array(self.tokenizer.encode("\n".join(joined), add_special_tokens=False).ids, dtype=self.dtype)
+            found = self.tokenizer.encode_batch_fast(["\n".join(joined)], add_special_tokens=False)[0].ids
+            ids = np.array(found, dtype=self.dtype)
             ends = np.append(np.flatnonzero(ids == self.feed[0]), len(ids)).tolist()
             raw, width, start = ids.tobytes(), self.width, 0
             for piece, end in zip(joined, ends, strict=True):
@@ -98,15 +100,14 @@ class Encoder:
             return
         if len(self.known) > _CACHE:
             self.known.clear()
-        get = self.known.get
         split = [self.PIECES.findall(text) for text in texts]
-        found = [list(map(get, pieces)) for pieces in split]
-        fresh = {p for pieces, parts in zip(split, found, strict=True) if None in parts for p, x in zip(pieces, parts, strict=True) if x is None}
-        self._learn(list(fresh))
-        for text, pieces, parts in zip(texts, split, found, strict=True):
-            if None in parts:
-                parts = [x if x is not None else self.known[p] for p, x in zip(pieces, parts, strict=True)]
-            yield self._whole(text) if False in parts else b"".join(parts)
+        self._learn(list(set().union(*split).difference(self.known)))
+        get = self.known.__getitem__
+        for text, pieces in zip(texts, split, strict=True):
+            try:
+                yield b"".join(map(get, pieces))
+            except TypeError:  # an odd piece, which is False
+                yield self._whole(text)
 
 
 _encoders: dict[str, Encoder] = {}
