@@ -222,11 +222,28 @@ def digests(docs: DataFrame, *, vocabulary: str, n: int = N_BEST, id_col: str =
     return rows.mapInArrow(run, f"id {kind}, rank int, score double, n_pieces long, ids_crc32 long, round_trip boolean")
 
 
-def encoded_documents(docs: DataFrame, *, vocabulary: str, n: int = N_BEST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids, score, margin) of each row of `docs`: its best segmentation, and by how much it beats the n-th (0 if it is the only one)."""
-    best = segment(docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("__t")), vocabulary=vocabulary, n=n, text_col="__t", out="__s")
-    first, last = F.get("__s", F.lit(0)), F.element_at("__s", -1)
-    return best.select(F.col(id_col), first["ids"].alias("ids"), first["score"].alias("score"), (first["score"] - last["score"]).alias("margin"))
+def encoded_documents(docs: DataFrame, *, vocabulary: str, n: int = N_BEST, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, the columns `keep`, and of each row of `docs` its best segmentation: ids, score, and margin, by how much it beats the n-th (0 if it is the only one)."""
+    names = [id_col, *keep]
+    kind = {f.name: f.dataType.simpleString() for f in docs.schema}
+
+    def run(batches):
+        own = segmenter(vocabulary)
+        for batch in batches:
+            texts = batch["__text"].to_pylist()
+            for start in range(0, len(texts), 256):
+                found = [own.n_best(t, n) for t in texts[start : start + 256]]
+                ids = [np.frombuffer(f[0][1], own.dtype) for f in found]
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)))
+                score = [f[0][0] / UNIT for f in found]
+                margin = [(f[0][0] - f[-1][0]) / UNIT for f in found]
+                kept = [batch[c].slice(start, 256) for c in names]
+                yield pa.RecordBatch.from_arrays([*kept, lists, pa.array(score, pa.float64()), pa.array(margin, pa.float64())], names=[*names, "ids", "score", "margin"])
+
+    rows = docs.select(*[F.col(f"`{c}`") for c in names], F.col(text_col).alias("__text"))
+    schema = ", ".join(f"`{c}` {kind[c]}" for c in names)
+    return rows.mapInArrow(run, f"{schema}, ids array<int>, score double, margin double")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
