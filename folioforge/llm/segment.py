@@ -4,8 +4,8 @@ A text's lattice has a node before each character and an edge for each piece; a
 holds is one edge of byte pieces. Forward Viterbi scores are exact estimates of what is left of a path
 that a search from the end builds, so that A-star takes complete paths from its heap in order of score.
 
-No piece spans a word's end, nor a line feed: the lattice is a chain of parts that only share nodes. Parts
-are searched once and kept; a document's n best segmentations differ from its best one in those n - 1
+No piece spans a word's end or a line feed, nor steps from a word to the punctuation after it: the lattice
+is a chain of parts that only share nodes. Parts are searched once and kept; a document's n best segmentations differ from its best one in those n - 1
 parts at most whose second-best paths cost least, and only these are combined.
 
 The vocabulary's own scores are merge ranks. As scores of pieces serve log-probabilities of a
@@ -18,6 +18,7 @@ import heapq
 import itertools
 import math
 import re
+import string
 import zlib
 
 import numpy as np
@@ -30,9 +31,8 @@ N_BEST = 4
 #: Shift of ranks in the law.
 SHIFT = 10.0
 UNIT = 1_000_000
-_CACHE = 600_000
+_CACHE = 1_000_000
 _LONG = 64
-_PART = re.compile(" +[^ \n]*|\n|[^ \n]+")
 _NEVER = 1 << 62
 
 
@@ -62,61 +62,73 @@ class Segmenter:
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         norm = math.log(sum(1.0 / (r + SHIFT) for r in range(1, len(self.pieces) + 2)))
         law = lambda rank: -round(UNIT * (math.log(rank + SHIFT) + norm))
-        #: prefix -> (score, id), or None for one that is no piece itself
-        self.trie: dict[str, tuple[int, int] | None] = {}
+        #: prefix -> (score, ids), or False for one that is no piece itself
+        self.trie: dict[str, tuple[int, tuple[int]] | bool] = {}
         for rank, (piece, i) in enumerate(sorted(self.pieces.items(), key=lambda x: x[1]), 1):
             for end in range(1, len(piece)):
-                self.trie.setdefault(piece[:end], None)
-            self.trie[piece] = (law(rank), i)
+                self.trie.setdefault(piece[:end], False)
+            self.trie[piece] = (law(rank), (i,))
         self.byte_score = law(len(self.pieces) + 1)
         self.known: dict[str, tuple[bytes, int, int]] = {}
+        self.parts = self._parts()
+        self.sizes = np.array([len(r) for r in self.raw], dtype=np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.frombuffer(b"".join(self.raw), np.uint8)
+
+    def _parts(self) -> re.Pattern:
+        """Parts of a text: a part begins at spaces, at and after a line feed, and at punctuation that no piece has right after a letter."""
+        letter = "[^\\W\\d_]"
+        after = {p[i] for p in self.pieces for i in range(1, len(p)) if re.match(letter, p[i - 1])}
+        marks = "".join(re.escape(m) for m in sorted(set(string.punctuation) - after))
+        if not marks:
+            return re.compile(" *[^ \n]+|\n| +")
+        return re.compile(f" *{letter}+(?=[{marks} \n]|\\Z)| *[^ \n]+?(?:(?<={letter})(?=[{marks}])|(?=[ \n]|\\Z))|\n| +")
 
     # --- one part ---
 
     def lattice(self, part: str) -> tuple[list[list[tuple[int, int, tuple[int, ...]]]], list[int]]:
         """Edges into each node as (start, score, ids), and the best score from the start to each node."""
-        n, trie = len(part), self.trie
+        n, get = len(part), self.trie.get
         into: list[list] = [[] for _ in range(n + 1)]
         best = [-_NEVER] * (n + 1)
         best[0] = 0
         for i in range(n):
             here, end = best[i], i + 1
-            single = False
-            while end <= n:
-                found = trie.get(part[i:end], 0)
-                if found == 0:
-                    break
-                if found is not None:
-                    into[end].append((i, found[0], (found[1],)))
-                    single |= end == i + 1
-                    if here + found[0] > best[end]:
-                        best[end] = here + found[0]
+            found = get(part[i:end])
+            if not found:  # no piece holds the one character
+                ids = tuple([self.bytes[b] for b in part[i].encode("utf-8", "surrogatepass")])
+                into[end].append((i, self.byte_score * len(ids), ids))
+                best[end] = max(best[end], here + self.byte_score * len(ids))
+            while found is not None:
+                if found:
+                    score, ids = found
+                    into[end].append((i, score, ids))
+                    if here + score > best[end]:
+                        best[end] = here + score
                 end += 1
-            if not single:
-                ids = tuple(self.bytes[b] for b in part[i].encode("utf-8", "surrogatepass"))
-                score = self.byte_score * len(ids)
-                into[i + 1].append((i, score, ids))
-                if here + score > best[i + 1]:
-                    best[i + 1] = here + score
+                if end > n:
+                    break
+                found = get(part[i:end])
         return into, best
 
     def paths(self, part: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
         """The n best (score, ids) of a part, best first; fewer if there are not as many."""
         into, best = self.lattice(part)
-        # cost with the estimate, order of entry, node, score so far, ids from the node on as a linked list
+        # cost with the estimate, order of entry, node, cost so far, ids from the node on as a linked list
         heap, order, out = [(-best[-1], 0, len(part), 0, None)], 0, []
+        push, pop = heapq.heappush, heapq.heappop
         while heap and len(out) < n:
-            cost, _, node, score, tail = heapq.heappop(heap)
-            if node == 0:
+            cost, _, node, so_far, tail = pop(heap)
+            if not node:
                 ids = []
                 while tail is not None:
-                    ids.extend(tail[0])
+                    ids += tail[0]
                     tail = tail[1]
                 out.append((-cost, tuple(ids)))
                 continue
             for start, edge, ids in into[node]:
                 order += 1
-                heapq.heappush(heap, (-(score + edge + best[start]), order, start, score + edge, (ids, tail)))
+                push(heap, (so_far - edge - best[start], order, start, so_far - edge, (ids, tail)))
         return out
 
     def _learn(self, part: str) -> tuple[bytes, int, int]:
@@ -135,7 +147,7 @@ class Segmenter:
         """The n best (score in millionths, raw ids) of a whole text; the empty text has one, without ids."""
         if not text:
             return [(0, b"")]
-        parts = _PART.findall(" " + text)
+        parts = self.parts.findall(" " + text)
         get = self.known.get
         found = [get(p) or self._learn(p) for p in parts]
         score = sum([f[1] for f in found])
@@ -158,9 +170,15 @@ class Segmenter:
             out.append((score - cost, b"".join(other)))
         return out
 
+    def decode_bytes(self, ids: np.ndarray) -> bytes:
+        """UTF-8 of a text from its ids."""
+        ids = ids.astype(np.int64)
+        sizes = self.sizes[ids]
+        at = np.repeat(self.starts[ids] - (np.cumsum(sizes) - sizes), sizes)
+        return self.flat[at + np.arange(len(at))].tobytes()[1:]
+
     def decode(self, raw: bytes) -> str:
-        text = b"".join(map(self.raw.__getitem__, np.frombuffer(raw, self.dtype).tolist())).decode("utf-8", "surrogatepass")
-        return text[1:]
+        return self.decode_bytes(np.frombuffer(raw, self.dtype)).decode("utf-8", "surrogatepass")
 
 
 _segmenters: dict[str, Segmenter] = {}
@@ -206,6 +224,7 @@ def digests(docs: DataFrame, *, vocabulary: str, n: int = N_BEST, id_col: str =
         for batch in batches:
             at, rank, score, size, crc, same = [], [], [], [], [], []
             for i, text in enumerate(batch["text"].to_pylist()):
+                plain = (text or "").encode("utf-8", "surrogatepass")
                 for k, (s, raw) in enumerate(own.n_best(text, n), 1):
                     ids = np.frombuffer(raw, own.dtype)
                     at.append(i)
@@ -213,7 +232,7 @@ def digests(docs: DataFrame, *, vocabulary: str, n: int = N_BEST, id_col: str =
                     score.append(s / UNIT)
                     size.append(len(ids))
                     crc.append(zlib.crc32(ids.astype("<u4").tobytes()))
-                    same.append(own.decode(raw) == (text or ""))
+                    same.append(own.decode_bytes(ids) == plain)
             columns = [batch["id"].take(pa.array(at, pa.int64())), pa.array(rank, pa.int32()), pa.array(score, pa.float64())]
             columns += [pa.array(size, pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, names=names)
