@@ -47,15 +47,14 @@ def letter_pages(names: DataFrame, per_page: int) -> DataFrame:
     return placed.groupBy(index_letter(F.col("name")).alias("letter")).agg((F.floor((F.min("place") - 1) / per_page) + 1).cast("long").alias("page"))
 
 
-def letter_runs(names: DataFrame) -> DataFrame:
-    """(run, letter, occurrence, n): consecutive rows of one letter, and which run of its letter it is.
+def runs_of(rows: DataFrame, order) -> DataFrame:
+    """(scope, run, letter, n, occurrence): consecutive rows of one letter in the window `order`, which run of its letter each is.
 
-    names: scope, name, id; runs are within a scope, which is the unit of one window task.
+    rows: scope, letter and the columns of the order. A scope is the unit of one window task.
     """
-    order = Window.partitionBy("scope").orderBy("name", "id")
-    lettered = names.withColumn("letter", index_letter(F.col("name")))
     step = F.coalesce((F.col("letter") != F.lag("letter").over(order)).cast("int"), F.lit(1))
-    runs = lettered.withColumn("run", F.sum(step).over(order)).groupBy("scope", "run", "letter").agg(F.count(F.lit(1)).alias("n"))
+    stepped = rows.withColumn("step", step)
+    runs = stepped.withColumn("run", F.sum("step").over(order)).groupBy("scope", "run", "letter").agg(F.count(F.lit(1)).alias("n"))
     return runs.withColumn("occurrence", F.row_number().over(Window.partitionBy("scope", "letter").orderBy("run")))
 
 
