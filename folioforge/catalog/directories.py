@@ -37,13 +37,13 @@ def _(spark, sf_dir):
     return directory.holdings_summary(directory.holdings(pairs(spark, sf_dir)), ("TEXT", "PHOTO", "VIDEO"))
 
 
-_UNION = """u AS (SELECT c_name AS name, 0 AS kind_rank, c_custkey AS id FROM customer WHERE c_custkey % 3 = 0
-  UNION ALL SELECT s_name, 1, s_suppkey FROM supplier WHERE s_suppkey * 2 NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0))"""
+_UNION = """u AS (SELECT c_name AS name, 0 AS kind_rank, c_custkey AS id FROM customer
+  UNION ALL SELECT s_name, 1, s_suppkey FROM supplier WHERE s_suppkey * 31 NOT IN (SELECT c_custkey FROM customer))"""
 
 
 def identities(spark, sf_dir):
-    persons = table(spark, sf_dir, "customer", ["c_custkey", "c_name"]).filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    authors = table(spark, sf_dir, "supplier", ["s_suppkey", "s_name"]).select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), (F.col("s_suppkey") * 2).alias("person_id"))
+    persons = table(spark, sf_dir, "customer", ["c_custkey", "c_name"]).select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    authors = table(spark, sf_dir, "supplier", ["s_suppkey", "s_name"]).select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), (F.col("s_suppkey") * 31).alias("person_id"))
     return directory.union_directory(persons, authors)
 
 

@@ -62,7 +62,7 @@ def _(spark, sf_dir):
 
 
 _REGISTRY = """e AS (SELECT p_partkey AS entity_id, p_name AS display, p_brand || ' ' || p_name AS canonical FROM part),
-a AS (SELECT l_partkey AS entity_id, p_type || '-' || p_size AS alias FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber = 1)"""
+a AS (SELECT l_partkey AS entity_id, p_type || '-' || p_size AS alias FROM lineitem JOIN part ON p_partkey = l_partkey)"""
 
 
 @query(
@@ -88,7 +88,7 @@ def _(spark, sf_dir):
 def _ranked(spark, sf_dir, text):
     part = table(spark, sf_dir, "part", ["p_partkey", "p_name", "p_brand", "p_type", "p_size"])
     names = part.select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("display"), F.concat_ws(" ", "p_brand", "p_name").alias("canonical"))
-    linked = table(spark, sf_dir, "lineitem", ["l_partkey", "l_linenumber"]).filter("l_linenumber = 1").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    linked = table(spark, sf_dir, "lineitem", ["l_partkey"]).join(part, F.col("l_partkey") == F.col("p_partkey"))
     return entities.registry_rank(names, linked.select(F.col("l_partkey").alias("entity_id"), F.concat("p_type", F.lit("-"), F.col("p_size").cast("string")).alias("alias")), text)
 
 

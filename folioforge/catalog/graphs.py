@@ -92,11 +92,11 @@ def _(spark, sf_dir):
 
 @query(
     "retired_redirects",
-    "SELECT l_partkey AS retired, min(l_suppkey) AS target FROM lineitem WHERE l_linenumber = 1 GROUP BY 1 HAVING count(DISTINCT l_suppkey) = 1",
+    "SELECT l_orderkey AS retired, min(l_suppkey) AS target FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) = 1",
 )
 def _(spark, sf_dir):
-    merges = table(spark, sf_dir, "lineitem", ["l_partkey", "l_suppkey", "l_linenumber"]).filter("l_linenumber = 1")
-    return graph.redirects(merges.select(F.col("l_partkey").alias("retired"), F.col("l_suppkey").alias("target")))
+    merges = table(spark, sf_dir, "lineitem", ["l_orderkey", "l_suppkey"])
+    return graph.redirects(merges.select(F.col("l_orderkey").alias("retired"), F.col("l_suppkey").alias("target")))
 
 
 @query(

@@ -158,7 +158,7 @@ def _(spark, sf_dir):
 @query(
     "exists_or_membership",
     """WITH i AS (SELECT o_orderkey AS item_id, 'Customer#' || lpad((o_orderkey % 2000)::VARCHAR, 9, '0') AS author FROM orders),
-l AS (SELECT l_orderkey AS item_id, l_suppkey AS author_id FROM lineitem WHERE l_linenumber = 1),
+l AS (SELECT l_orderkey AS item_id, l_suppkey AS author_id FROM lineitem WHERE l_returnflag = 'R'),
 n AS (SELECT c_name AS name, min(c_custkey) AS author_id FROM customer GROUP BY 1 HAVING count(*) = 1)
 SELECT DISTINCT i.item_id, l.author_id FROM i JOIN l USING (item_id)
 UNION SELECT i.item_id, n.author_id FROM i JOIN n ON i.author = n.name WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.item_id = i.item_id)""",
@@ -166,7 +166,7 @@ UNION SELECT i.item_id, n.author_id FROM i JOIN n ON i.author = n.name WHERE NOT
 def _(spark, sf_dir):
     k = F.col("o_orderkey")
     own = table(spark, sf_dir, "orders", ["o_orderkey"]).select(k.alias("item_id"), F.concat(F.lit("Customer#"), F.lpad((k % 2000).cast("string"), 9, "0")).alias("author"))
-    links = table(spark, sf_dir, "lineitem", ["l_orderkey", "l_suppkey", "l_linenumber"]).filter("l_linenumber = 1").select(F.col("l_orderkey").alias("item_id"), F.col("l_suppkey").alias("author_id"))
+    links = table(spark, sf_dir, "lineitem", ["l_orderkey", "l_suppkey", "l_returnflag"]).filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("item_id"), F.col("l_suppkey").alias("author_id"))
     names = table(spark, sf_dir, "customer", ["c_custkey", "c_name"]).select(F.col("c_custkey").alias("author_id"), F.col("c_name").alias("name"))
     return access.member_or_named(own, links, names)
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -100,20 +98,24 @@ def line_clusters(words: DataFrame) -> DataFrame:
 def plan_bands(lines: list[tuple[float, float]], height: float, most: int = 6, share: float = 0.35) -> list[int] | None:
     """Cuts (index of the first line of each band but the first): fewest bands no higher than share * height, then the widest gaps, then the earliest cuts.
 
-    None if no plan of at most `most` bands fits.
+    None if no plan of at most `most` bands fits. best[j] is the best plan of the first j lines in k bands:
+    a further gap does not change the order of two plans that end at the same line.
     """
     n = len(lines)
-    for bands in range(1, min(most, n) + 1):
-        best = None
-        for cuts in combinations(range(1, n), bands - 1):
-            edges = (0, *cuts, n)
-            if any(lines[b - 1][1] - lines[a][0] > share * height for a, b in zip(edges, edges[1:], strict=False)):
-                continue
-            gaps = sorted((lines[c][0] - lines[c - 1][1] for c in cuts), reverse=True)
-            key = ([-g for g in gaps], list(cuts))
-            best = min(best, key) if best else key
-        if best:
-            return best[1]
+    fits = lambda a, b: lines[b - 1][1] - lines[a][0] <= share * height
+    best: dict[int, tuple[list[float], list[int]]] = {j: ([], []) for j in range(1, n + 1) if fits(0, j)}
+    for _ in range(most):
+        if n in best:
+            return best[n][1]
+        more: dict[int, tuple[list[float], list[int]]] = {}
+        for c, (gaps, cuts) in best.items():
+            for j in range(c + 1, n + 1):
+                if not fits(c, j):
+                    break
+                key = (sorted([*gaps, -(lines[c][0] - lines[c - 1][1])]), [*cuts, c])
+                if j not in more or key < more[j]:
+                    more[j] = key
+        best = more
     return None
 
 

@@ -48,7 +48,7 @@ def text_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when((k + e) % 2 == 0, "SOURCE_TEXT").otherwise("HEBREW_TEXT").alias("result_type"),
         F.element_at(F.array(*map(F.lit, ("gemini", "vision", "htr"))), e + 1).alias("engine"),
         F.element_at(F.array(*map(F.lit, ("SUCCEEDED", "NEEDS_REVIEW", "FAILED", "SUCCEEDED", "NEEDS_REVIEW"))), ((k * 7 + e * 3) % 5 + 1).cast("int")).alias("status"),
-        F.when((k * 3 + e) % 11 == 0, "  ").otherwise(F.substring(F.coalesce("text", F.lit("")), 1, 40)).alias("text"),
+        F.when((k * 3 + e) % 11 == 0, "  ").otherwise(F.coalesce("text", F.lit(""))).alias("text"),
         ((k * 13 + e * 5) % 97).cast("long").alias("created_at"),
     )
 
@@ -57,6 +57,6 @@ RESULTS_SQL = """results AS (
   SELECT doc_id * 3 + e AS result_id, doc_id, lang, CASE WHEN (doc_id + e) % 2 = 0 THEN 'SOURCE_TEXT' ELSE 'HEBREW_TEXT' END AS result_type,
          ['gemini', 'vision', 'htr'][e + 1] AS engine,
          ['SUCCEEDED', 'NEEDS_REVIEW', 'FAILED', 'SUCCEEDED', 'NEEDS_REVIEW'][(doc_id * 7 + e * 3) % 5 + 1] AS status,
-         CASE WHEN (doc_id * 3 + e) % 11 = 0 THEN '  ' ELSE substring(coalesce(text, ''), 1, 40) END AS text,
+         CASE WHEN (doc_id * 3 + e) % 11 = 0 THEN '  ' ELSE coalesce(text, '') END AS text,
          ((doc_id * 13 + e * 5) % 97)::BIGINT AS created_at
   FROM documents, (SELECT unnest([0, 1, 2]) AS e))"""
