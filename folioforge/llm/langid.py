@@ -19,16 +19,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import caches
+
 UNKNOWN = "und"
 #: Bounds of the training sample (documents) and of the model (words and n-grams; rows of gram and language).
 MAX_TRAIN_DOCS = 20_000
-MAX_WORDS = 200_000
-MAX_GRAMS = 200_000
+MAX_WORDS = 100_000
+MAX_GRAMS = 100_000
 ORDERS = (5, 4, 3, 2, 1)
 #: A document is rejected below this share of the evidence.
 MIN_SCORE = 0.5
 SMOOTH = 0.5
-_CACHE = 400_000
+_CACHE = 250_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 _HASH_BINS = 4096
 
@@ -174,7 +176,7 @@ def train(
             words.mapInPandas(_gram_counts, "lang string, order int, gram string, n long").groupBy("order", "gram", "lang")
             .agg(F.sum("n").alias("n")).filter("n > 1 OR order = 1").orderBy(F.desc("n"), "order", "gram", "lang").limit(max_grams),
         ]
-        model_rows = [tuple(r) for t in tops for r in t.select("order", "gram", "lang", "n").toPandas().itertuples(index=False)]
+        model_rows = [tuple(r) for t in tops for r in t.select("order", "gram", "lang", "n").toLocalIterator()]
     finally:
         words.unpersist()
     languages = sorted(priors)
@@ -193,6 +195,7 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text", out: str =
 
     @F.pandas_udf("lang_pred string, score double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        caches.claim("languages")
         scorer = Scorer(shared.value)
         for texts in batches:
             yield pd.DataFrame([scorer.score(t) for t in texts], columns=["lang_pred", "score"])

@@ -27,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import caches
+
 N_BEST = 4
 #: Shift of ranks in the law.
 SHIFT = 10.0
 UNIT = 1_000_000
-_CACHE = 1_000_000
+_CACHE = 600_000
 _LONG = 64
 _NEVER = 1 << 62
 
@@ -186,11 +188,15 @@ _segmenters: dict[str, Segmenter] = {}
 
 def segmenter(file: str) -> Segmenter:
     """The process's searcher of a file, with the parts it has met."""
+    caches.claim("segment")
     if file not in _segmenters:
         _segmenters[file] = Segmenter(file)
     return _segmenters[file]
 
 
+caches.register("segment", _segmenters.clear)
+
+
 def segment(docs: DataFrame, *, vocabulary: str, n: int = N_BEST, text_col: str = "text", out: str = "segmentations") -> DataFrame:
     """`docs` with a column `out`: array<struct<score double, ids array<int>>>, the n best segmentations, best first.
 

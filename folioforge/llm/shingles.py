@@ -5,9 +5,11 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from . import caches
+
 #: Words of a shingle.
 SIZE = 5
-_WORDS = 1_000_000
+_WORDS = 500_000
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -20,6 +22,7 @@ class _Hashes(dict):
 
 
 _known = _Hashes()
+caches.register("words", _known.clear)
 
 
 def _finish(h: np.ndarray) -> np.ndarray:
@@ -28,16 +31,24 @@ def _finish(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def word_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of the words of a text.
+
+    bytes.split() parts at space and 0x09-0x0D, and bytes.lower() changes A-Z alone.
+    """
+    caches.claim("words")
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    return np.fromiter(map(_known.__getitem__, words), dtype=np.uint64, count=len(words))
+
+
 def shingle_set(text: str | None, size: int = SIZE) -> np.ndarray:
     """Ascending 64-bit hashes of the distinct word shingles of a text, A-Z lower-cased.
 
-    bytes.split() parts at space and 0x09-0x0D, and bytes.lower() changes A-Z alone. A text with fewer
-    words is one shingle of them all; null, empty or blank: no shingle.
+    A text with fewer words is one shingle of them all; null, empty or blank: no shingle.
     """
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not words:
+    ids = word_hashes(text)
+    if not len(ids):
         return np.empty(0, dtype=np.uint64)
-    ids = np.fromiter(map(_known.__getitem__, words), dtype=np.uint64, count=len(words))
     n = max(1, len(ids) - size + 1)
     h = np.full(n, min(size, len(ids)), dtype=np.uint64)
     for i in range(min(size, len(ids))):

@@ -28,6 +28,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import caches
 from .common import fresh_path
 
 MAGIC = b"FFIDS001"
@@ -115,11 +116,15 @@ _encoders: dict[str, Encoder] = {}
 
 def _encoder(file: str) -> Encoder:
     """The process's encoder for a file, with what it has learned in earlier tasks."""
+    caches.claim("encoder")
     if file not in _encoders:
         _encoders[file] = Encoder(file)
     return _encoders[file]
 
 
+caches.register("encoder", _encoders.clear)
+
+
 # --- files ------------------------------------------------------------------------------------------
 
 
