@@ -13,6 +13,11 @@ SPACE = "[\\s\\x{00A0}]+"
 TOKEN_GAP = "[^\\p{L}\\p{N}]+"
 
 
+def bound(value: Column, body) -> Column:
+    """body(value) with the value computed once, although lambdas within use it for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fold_dashes(text: Column) -> Column:
     return F.translate(text, DASHES, "-" * len(DASHES))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.functions.text import fold_dashes, json_hash
+from folioforge.functions.text import bound, fold_dashes, json_hash
 
 MAX_SURFACE = 255
 # Bidirectional marks that a surface loses.
@@ -47,8 +47,10 @@ def detect(texts: DataFrame, surfaces: DataFrame, max_words: int = 8) -> DataFra
         raise ValueError(f"a surface has more than {max_words} words")
     hits = None
     for n in lengths:  # at most max_words passes
-        grams = words.filter(F.size("words") >= n).select("item_id", "words", F.explode(F.sequence(F.lit(0), F.size("words") - n)).alias("start"))
-        grams = grams.select("item_id", "start", F.array_join(F.slice("words", F.col("start") + 1, n), " ").alias("surface"))
+        # the n-grams of a text are one array before they become rows, so that no row carries the whole text
+        grams = words.filter(F.size("words") >= n).select(
+            "item_id", F.posexplode(bound(F.col("words"), lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " ")))).alias("start", "surface")
+        )
         found = grams.join(dictionary.filter(F.col("words") == n).select("surface"), "surface").select("item_id", "surface", "start", (F.col("start") + n).alias("end"))
         hits = found if hits is None else hits.unionByName(found)
     return hits if hits is not None else texts.select("item_id", F.lit("").alias("surface"), F.lit(0).alias("start"), F.lit(0).alias("end")).filter(F.lit(False))
