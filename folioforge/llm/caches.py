@@ -6,6 +6,8 @@ others, so that a worker never holds more than the largest of them.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable
 
 _drops: dict[str, Callable[[], None]] = {}
@@ -24,3 +26,6 @@ def claim(owner: str) -> None:
             if name != owner:
                 drop()
         _owner = owner
+        gc.collect()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)  # what is free goes back to the system

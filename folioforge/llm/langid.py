@@ -75,20 +75,21 @@ def _gram_counts(frames):
 
 
 class Model:
-    """Log frequencies: {word: row}, {(order, gram): row} and a matrix [row, language]."""
+    """Log frequencies: {order and gram: row}, words under order 0, and a matrix [row, language]."""
 
     def __init__(self, languages: list[str], priors: list[float], rows: list[tuple[int, str, str, int]]):
         """rows: (order, gram, language, count); order 0 holds the words."""
         self.languages, self.priors = languages, np.asarray(priors, dtype=np.float64)
         place = {x: i for i, x in enumerate(languages)}
-        self.index: dict[tuple[int, str], int] = {}
+        self.index: dict[str, int] = {}
         for order, gram, _, _ in rows:
-            self.index.setdefault((order, gram), len(self.index))
+            self.index.setdefault(f"{order}{gram}", len(self.index))
         counts = np.zeros((len(self.index), len(languages)))
         orders = np.zeros(len(self.index), dtype=np.int64)
         for order, gram, lang, n in rows:
-            counts[self.index[order, gram], place[lang]] += n
-            orders[self.index[order, gram]] = order
+            row = self.index[f"{order}{gram}"]
+            counts[row, place[lang]] += n
+            orders[row] = order
         self.table = np.zeros_like(counts)
         for order in np.unique(orders):
             own = orders == order
@@ -97,10 +98,10 @@ class Model:
 
     def evidence(self, word: str) -> np.ndarray | None:
         """Log frequency by language of one lower-case word of letters; None if nothing in it is known."""
-        if (row := self.index.get((0, word))) is not None:
+        if (row := self.index.get(f"0{word}")) is not None:
             return self.table[row]
         for order in ORDERS:
-            found = [r for g in grams(word, order) if (r := self.index.get((order, g))) is not None]
+            found = [r for g in grams(word, order) if (r := self.index.get(f"{order}{g}")) is not None]
             if found:
                 return self.table[found].mean(axis=0)
         return None

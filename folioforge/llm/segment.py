@@ -33,7 +33,7 @@ N_BEST = 4
 #: Shift of ranks in the law.
 SHIFT = 10.0
 UNIT = 1_000_000
-_CACHE = 600_000
+_CACHE = 400_000
 _LONG = 64
 _NEVER = 1 << 62
 
@@ -229,7 +229,8 @@ def digests(docs: DataFrame, *, vocabulary: str, n: int = N_BEST, id_col: str =
         own = segmenter(vocabulary)
         for batch in batches:
             at, rank, score, size, crc, same = [], [], [], [], [], []
-            for i, text in enumerate(batch["text"].to_pylist()):
+            texts = (t for start in range(0, batch.num_rows, 256) for t in batch["text"].slice(start, 256).to_pylist())
+            for i, text in enumerate(texts):
                 plain = (text or "").encode("utf-8", "surrogatepass")
                 for k, (s, raw) in enumerate(own.n_best(text, n), 1):
                     ids = np.frombuffer(raw, own.dtype)
@@ -255,9 +256,8 @@ def encoded_documents(docs: DataFrame, *, vocabulary: str, n: int = N_BEST, id_c
     def run(batches):
         own = segmenter(vocabulary)
         for batch in batches:
-            texts = batch["__text"].to_pylist()
-            for start in range(0, len(texts), 256):
-                found = [own.n_best(t, n) for t in texts[start : start + 256]]
+            for start in range(0, batch.num_rows, 256):
+                found = [own.n_best(t, n) for t in batch["__text"].slice(start, 256).to_pylist()]
                 ids = [np.frombuffer(f[0][1], own.dtype) for f in found]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)))
