@@ -26,6 +26,17 @@ def workdir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Texts that go to a Python worker at a time. Spark's default suits short rows; as many whole texts are many MB on both sides.
+BATCH_ROWS = 512
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches at BATCH_ROWS rows at most; a smaller setting stays."""
+    if not 0 < int(spark.conf.get(ARROW_ROWS)) <= BATCH_ROWS:
+        spark.conf.set(ARROW_ROWS, BATCH_ROWS)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{workdir(spark)}/folioforge/{name}-{uuid.uuid4().hex}"
 

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import caches
+from .common import small_batches
 
 UNKNOWN = "und"
 #: Bounds of the training sample (documents) and of the model (words and n-grams; rows of gram and language).
@@ -166,6 +167,7 @@ def train(
     max_docs: int = MAX_TRAIN_DOCS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS,
 ) -> Model:
     """A model of the rows of `docs` with id, text and language; the number of documents, words and n-grams is bounded."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).dropna()
     sample = training_sample(rows, max_docs).select("lang", "text")
     words = sample.mapInArrow(_word_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
@@ -192,6 +194,7 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text", out: str =
     nothing is known goes to the most frequent language. Ties go to the first language by name. Whole
     texts are scored. An input column named `out` gives way; all others are kept.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")

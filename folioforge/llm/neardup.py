@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage_table
+from .common import small_batches, stage_table
 from .components import connected_components
 from .shingles import Circulant, band_keys, shingle_set, similar
 

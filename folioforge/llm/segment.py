@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import caches
+from .common import small_batches
 
 N_BEST = 4
 #: Shift of ranks in the law.
@@ -205,6 +206,8 @@ def segment(docs: DataFrame, *, vocabulary: str, n: int = N_BEST, text_col: str
     An input column named `out` gives way; all others are kept.
     """
 
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("array<struct<score:double,ids:array<int>>>")
     def run(texts: pd.Series) -> pd.Series:
         own = segmenter(vocabulary)
@@ -222,6 +225,7 @@ def digests(docs: DataFrame, *, vocabulary: str, n: int = N_BEST, id_col: str =
     ids_crc32: of the ids as little-endian unsigned 32-bit integers. round_trip: the ids decode to the
     text. Null text: as the empty text. Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     names = ["id", "rank", "score", "n_pieces", "ids_crc32", "round_trip"]
 
@@ -250,6 +254,7 @@ def digests(docs: DataFrame, *, vocabulary: str, n: int = N_BEST, id_col: str =
 
 def encoded_documents(docs: DataFrame, *, vocabulary: str, n: int = N_BEST, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """id, the columns `keep`, and of each row of `docs` its best segmentation: ids, score, and margin, by how much it beats the n-th (0 if it is the only one)."""
+    small_batches(docs.sparkSession)
     names = [id_col, *keep]
     kind = {f.name: f.dataType.simpleString() for f in docs.schema}
 

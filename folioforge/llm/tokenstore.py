@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import caches
-from .common import fresh_path
+from .common import fresh_path, small_batches
 
 MAGIC = b"FFIDS001"
 INDEX_MAGIC = b"FFMPH001"
@@ -358,6 +358,7 @@ def write_store(
     them all. Empty table: a store without shards. Other columns are not read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     folder = folder or fresh_path(spark, "token-store")
     fs, inner = _open(folder)
     fs.create_dir(inner, recursive=True)
