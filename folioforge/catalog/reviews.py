@@ -213,3 +213,60 @@ def _(spark, sf_dir):
     parts = F.array_sort(F.collect_list(F.struct("turn", line.alias("line"))))
     body = turns.groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda p: p["line"]), "").alias("b"))
     return files.page_xml_lines(body.select(F.col("conv_id").alias("page"), F.concat(F.lit("<PcGts xmlns='http://x'><Page>"), "b", F.lit("</Page></PcGts>")).alias("xml")))
+
+
+@query(
+    "merge_previews",
+    """WITH m AS (SELECT c_custkey AS retired, c_custkey - 1 AS target FROM customer WHERE c_custkey % 10 = 7), l AS (SELECT DISTINCT o_custkey AS identity, o_orderkey % 200 AS item_id FROM orders),
+s AS (SELECT DISTINCT o_custkey AS identity, o_orderkey % 50 AS item_id, o_orderstatus AS action FROM orders)
+SELECT retired, target, (SELECT count(*) FROM l WHERE identity = retired AND item_id NOT IN (SELECT item_id FROM l k WHERE k.identity = target))::BIGINT AS moved,
+  (SELECT count(*) FROM l WHERE identity = retired AND item_id IN (SELECT item_id FROM l k WHERE k.identity = target))::BIGINT AS dropped,
+  (SELECT count(*) FROM s a JOIN s b ON a.item_id = b.item_id AND a.action = b.action WHERE a.identity = retired AND b.identity = target)::BIGINT AS blockers FROM m""",
+)
+def _(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders", ["o_custkey", "o_orderkey", "o_orderstatus"])
+    links = orders.select(F.col("o_custkey").alias("identity"), (F.col("o_orderkey") % 200).alias("item_id")).distinct()
+    pending = orders.select(F.col("o_custkey").alias("identity"), (F.col("o_orderkey") % 50).alias("item_id"), F.col("o_orderstatus").alias("action")).distinct()
+    merges = table(spark, sf_dir, "customer", ["c_custkey"]).filter("c_custkey % 10 = 7").select(F.col("c_custkey").alias("retired"), (F.col("c_custkey") - 1).alias("target"))
+    return reviews.merge_preview(links, pending, merges)
+
+
+@query(
+    "overlap_cleanup_reasons",
+    """SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_partkey % 11 = 0 THEN 'stale_source' WHEN l_suppkey % 13 = 0 THEN 'wrong_normalization_version' WHEN l_returnflag = 'N' THEN 'not_currently_accepted'
+  WHEN l_quantity < 10 THEN 'not_contained' WHEN l_linestatus = 'O' THEN 'mixed_or_nonpending_status' WHEN l_discount > 0.08 THEN 'has_authoritative_occurrence' WHEN l_tax < 0.01 THEN 'missing_detect_event' ELSE 'eligible' END AS reason FROM lineitem""",
+)
+def _(spark, sf_dir):
+    c = F.col
+    lines = table(spark, sf_dir, "lineitem").withColumns({
+        "sha": F.lit("a"), "current_sha": F.when(c("l_partkey") % 11 == 0, "b").otherwise("a"), "version": F.when(c("l_suppkey") % 13 == 0, 2).otherwise(1), "accepted": c("l_returnflag") != "N",
+        "contained": c("l_quantity") >= 10, "all_pending": c("l_linestatus") != "O", "authoritative": c("l_discount") > 0.08, "detected": c("l_tax") >= 0.01,
+    })
+    return reviews.overlap_reasons(lines).select("l_orderkey", "l_linenumber", "l_partkey", "reason")
+
+
+@query(
+    "run_lineages",
+    """WITH r AS (SELECT user_id AS document, event_type AS collection, event_id % 3 AS model, CASE WHEN event_id % 4 > 0 THEN event_id // 3 END AS remote, value > 90 AS verified FROM events),
+s AS (SELECT remote FROM r WHERE remote IS NOT NULL GROUP BY 1 HAVING count(DISTINCT (document, collection, model)) > 1)
+SELECT document, collection, model, count(*)::BIGINT AS runs, count(DISTINCT remote)::BIGINT AS remotes, coalesce(bool_or(remote IN (SELECT remote FROM s)), false) AS shared, bool_or(verified) AS verified FROM r GROUP BY ALL""",
+)
+def _(spark, sf_dir):
+    k = F.col("event_id")
+    rows = table(spark, sf_dir, "events", ["event_id", "user_id", "event_type", "value"]).select(
+        F.col("user_id").alias("document"), F.col("event_type").alias("collection"), (k % 3).alias("model"), F.when(k % 4 > 0, F.floor(k / 3)).alias("remote"), (F.col("value") > 90).alias("verified")
+    )
+    return reviews.lineages(rows)
+
+
+@query(
+    "version_audit",
+    """WITH v AS (SELECT conv_id AS page, turn AS version, CASE role WHEN 'user' THEN 'a' WHEN 'assistant' THEN 'b' END AS sha, CASE WHEN conv_id % 9 > 0 THEN 'a' END AS o FROM conversations)
+SELECT page, coalesce(string_agg(version, ',' ORDER BY version) FILTER (sha = o), '') AS original, coalesce(string_agg(version, ',' ORDER BY version) FILTER (sha <> o), '') AS non_matching,
+  coalesce(string_agg(version, ',' ORDER BY version) FILTER (sha IS NULL OR o IS NULL), '') AS insufficient FROM v GROUP BY page""",
+)
+def _(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations", ["conv_id", "turn", "role"])
+    sha = F.when(F.col("role") == "user", "a").when(F.col("role") == "assistant", "b")
+    made = reviews.version_audit(turns.select(F.col("conv_id").alias("page"), F.col("turn").alias("version"), sha.alias("sha"), F.when(F.col("conv_id") % 9 > 0, "a").alias("original_sha")))
+    return made.select("page", *[F.array_join(c, ",").alias(c) for c in ("original", "non_matching", "insufficient")])

@@ -109,3 +109,49 @@ def representatives(members: DataFrame, most: int = 4) -> DataFrame:
 def single_target(rows: DataFrame, key: str, target: str) -> DataFrame:
     """(key, target, error): a key's one target; `ambiguous` where it has several."""
     return rows.groupBy(key).agg(F.min(target).alias(target), F.when(F.countDistinct(target) > 1, "ambiguous").alias("error"))
+
+
+def merge_preview(links: DataFrame, pending: DataFrame, merges: DataFrame) -> DataFrame:
+    """(retired, target, moved, dropped, blockers) of proposed merges (retired, target).
+
+    links: identity, item_id. pending: identity, item_id, action. moved: links that go to the keeper;
+    dropped: those it has already; blockers: suggestions of one action that both have for one item.
+    """
+    own = merges.join(links.withColumnRenamed("identity", "retired"), "retired", "left")
+    kept = links.select(F.col("identity").alias("target"), "item_id", F.lit(True).alias("there")).distinct()
+    counted = own.join(kept, ["target", "item_id"], "left").groupBy("retired", "target").agg(
+        F.count_if(F.col("item_id").isNotNull() & F.col("there").isNull()).alias("moved"), F.count_if(F.col("there")).alias("dropped")
+    )
+    mine = merges.join(pending.withColumnRenamed("identity", "retired"), "retired")
+    both = mine.join(pending.withColumnRenamed("identity", "target"), ["target", "item_id", "action"], "left_semi").groupBy("retired", "target").agg(F.count(F.lit(1)).alias("blockers"))
+    return counted.join(both, ["retired", "target"], "left").withColumn("blockers", F.coalesce("blockers", F.lit(0)))
+
+
+def overlap_reasons(proposals: DataFrame) -> DataFrame:
+    """`proposals` with `reason`, the first that forbids its cleanup, or `eligible`.
+
+    proposals: sha, current_sha, version, accepted, contained, all_pending, authoritative, detected (booleans but the first three).
+    """
+    no = lambda c: ~F.coalesce(F.col(c), F.lit(False))
+    reason = (
+        F.when(~F.col("sha").eqNullSafe(F.col("current_sha")), "stale_source").when(~F.col("version").eqNullSafe(F.lit(1)), "wrong_normalization_version").when(no("accepted"), "not_currently_accepted")
+        .when(no("contained"), "not_contained").when(no("all_pending"), "mixed_or_nonpending_status").when(~no("authoritative"), "has_authoritative_occurrence").when(no("detected"), "missing_detect_event").otherwise("eligible")
+    )
+    return proposals.withColumn("reason", reason)
+
+
+def lineages(runs: DataFrame) -> DataFrame:
+    """(document, collection, model, runs, remotes, shared, verified) of upload runs (document, collection, model, remote, verified); shared: a remote id that another lineage has too."""
+    key = ["document", "collection", "model"]
+    owners = runs.filter("remote IS NOT NULL").groupBy("remote").agg((F.countDistinct(*key) > 1).alias("is_shared"))
+    rows = runs.join(owners, "remote", "left")
+    return rows.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("runs"), F.countDistinct("remote").alias("remotes"), F.bool_or(F.coalesce("is_shared", F.lit(False))).alias("shared"), F.bool_or("verified").alias("verified")
+    )
+
+
+def version_audit(versions: DataFrame) -> DataFrame:
+    """(page, original, non_matching, insufficient): ids of a page's transcript versions (page, version, sha, original_sha) by class, ascending."""
+    kind = F.when(F.col("sha").isNull() | F.col("original_sha").isNull(), "insufficient").when(F.col("sha") == F.col("original_sha"), "original").otherwise("non_matching")
+    listed = lambda name: F.array_sort(F.collect_list(F.when(kind == name, F.col("version")))).alias(name)
+    return versions.groupBy("page").agg(*[listed(n) for n in ("original", "non_matching", "insufficient")])
