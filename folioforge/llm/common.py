@@ -56,6 +56,12 @@ def drop_stage(df: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def remove_stages(spark: SparkSession) -> None:
+    """Delete all stage tables of the shared folder; to be called when no result that reads them is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{workdir(spark)}/folioforge")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def uniform(key: Column, seed: str) -> Column:
     """A number in (0, 1) that depends on the key alone: 52 bits of md5, which any SQL engine can repeat."""
     text = F.concat(F.coalesce(key.cast("string"), F.lit("null")), F.lit(f":{seed}"))

@@ -153,7 +153,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ma
     chosen = docs.filter(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select(F.col(text_col).alias("text"))
     lines = chosen.select(F.explode(F.split("text", "\n")).alias("text")).withColumn("words", paragraph_words(F.col("text"))).filter(F.size("words") > 1)
     lines = lines.withColumn("grams", n_grams(F.col("words"))).filter(2 * F.size(F.array_intersect("grams", known)) < F.size("grams"))
-    negatives = stage_table(lines.select("words", "grams").limit(max_negatives), "negatives")
+    negatives = stage_table(lines.select("words", "grams").orderBy(F.xxhash64("grams"), F.xxhash64("words")).limit(max_negatives), "negatives")
     n_negatives = negatives.count()
     common = {
         r["h"]
