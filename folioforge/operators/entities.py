@@ -45,15 +45,20 @@ def detect(texts: DataFrame, surfaces: DataFrame, max_words: int = 8) -> DataFra
     lengths = [r["words"] for r in dictionary.select("words").distinct().orderBy("words").collect()]
     if lengths and lengths[-1] > max_words:
         raise ValueError(f"a surface has more than {max_words} words")
-    hits = None
-    for n in lengths:  # at most max_words passes
-        # the n-grams of a text are one array before they become rows, so that no row carries the whole text
-        grams = words.filter(F.size("words") >= n).select(
-            "item_id", F.posexplode(bound(F.col("words"), lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " ")))).alias("start", "surface")
+    if not lengths:
+        return texts.select("item_id", F.lit("").alias("surface"), F.lit(0).alias("start"), F.lit(0).alias("end")).filter(F.lit(False))
+
+    def grams(w, n: int):
+        """The n-grams of a text's words with their places."""
+        made = F.transform(
+            F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))),
+            lambda i: F.struct(F.array_join(F.slice(w, i, n), " ").alias("surface"), (i - 1).alias("start"), (i + (n - 1)).alias("end")),
         )
-        found = grams.join(dictionary.filter(F.col("words") == n).select("surface"), "surface").select("item_id", "surface", "start", (F.col("start") + n).alias("end"))
-        hits = found if hits is None else hits.unionByName(found)
-    return hits if hits is not None else texts.select("item_id", F.lit("").alias("surface"), F.lit(0).alias("start"), F.lit(0).alias("end")).filter(F.lit(False))
+        return F.slice(made, 1, F.greatest(F.size(w) - n + 1, F.lit(0)))
+
+    # the n-grams of a text are one array before they become rows, so that no row carries the whole text
+    rows = words.select("item_id", F.explode(bound(F.col("words"), lambda w: F.concat(*[grams(w, n) for n in lengths]))).alias("x")).select("item_id", "x.*")
+    return rows.join(dictionary.select("surface"), "surface").select("item_id", "surface", "start", "end")
 
 
 def surviving(hits: DataFrame) -> DataFrame:
