@@ -20,6 +20,7 @@ QUERIES = {
 ORACLES = {
     "op1_quality": quality.SQL,
     "op4_chat_rotation": chat.SQL,
+    "op5_near_duplicates": neardup.SQL,
     "op6_mixing": mixing.SQL,
     "op9_exact_top_k": topk.SQL,
 }
