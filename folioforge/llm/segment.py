@@ -34,7 +34,7 @@ N_BEST = 4
 #: Shift of ranks in the law.
 SHIFT = 10.0
 UNIT = 1_000_000
-_CACHE = 400_000
+_CACHE = 600_000
 _LONG = 64
 _NEVER = 1 << 62
 
@@ -65,12 +65,14 @@ class Segmenter:
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         norm = math.log(sum(1.0 / (r + SHIFT) for r in range(1, len(self.pieces) + 2)))
         law = lambda rank: -round(UNIT * (math.log(rank + SHIFT) + norm))
-        #: prefix -> (score, ids), or False for one that is no piece itself
-        self.trie: dict[str, tuple[int, tuple[int]] | bool] = {}
+        #: piece -> (score, ids), and the same as a tree of [next by character, value or None]
+        self.scores: dict[str, tuple[int, tuple[int]]] = {}
+        self.tree: list = [{}, None]
         for rank, (piece, i) in enumerate(sorted(self.pieces.items(), key=lambda x: x[1]), 1):
-            for end in range(1, len(piece)):
-                self.trie.setdefault(piece[:end], False)
-            self.trie[piece] = (law(rank), (i,))
+            node = self.tree
+            for ch in piece:
+                node = node[0].setdefault(ch, [{}, None])
+            node[1] = self.scores[piece] = (law(rank), (i,))
         self.byte_score = law(len(self.pieces) + 1)
         self.known: dict[str, tuple[bytes, int, int]] = {}
         self.parts = self._parts()
@@ -89,29 +91,32 @@ class Segmenter:
 
     # --- one part ---
 
-    def lattice(self, part: str) -> tuple[list[list[tuple[int, int, tuple[int, ...]]]], list[int]]:
-        """Edges into each node as (start, score, ids), and the best score from the start to each node."""
-        n, get = len(part), self.trie.get
+    def lattice(self, part: str) -> tuple[list[list[tuple[int, tuple[int, tuple[int, ...]]]]], list[int]]:
+        """Edges into each node as (start, (score, ids)), and the best score from the start to each node."""
+        n, first = len(part), self.tree[0].get
         into: list[list] = [[] for _ in range(n + 1)]
         best = [-_NEVER] * (n + 1)
         best[0] = 0
         for i in range(n):
             here, end = best[i], i + 1
-            found = get(part[i:end])
-            if not found:  # no piece holds the one character
+            node = first(part[i])
+            if node is None or node[1] is None:  # no piece is the one character
                 ids = tuple([self.bytes[b] for b in part[i].encode("utf-8", "surrogatepass")])
-                into[end].append((i, self.byte_score * len(ids), ids))
-                best[end] = max(best[end], here + self.byte_score * len(ids))
-            while found is not None:
-                if found:
-                    score, ids = found
-                    into[end].append((i, score, ids))
-                    if here + score > best[end]:
-                        best[end] = here + score
-                end += 1
-                if end > n:
+                value = (self.byte_score * len(ids), ids)
+                into[end].append((i, value))
+                if here + value[0] > best[end]:
+                    best[end] = here + value[0]
+            while node is not None:
+                value = node[1]
+                if value is not None:
+                    into[end].append((i, value))
+                    total = here + value[0]
+                    if total > best[end]:
+                        best[end] = total
+                if end == n:
                     break
-                found = get(part[i:end])
+                node = node[0].get(part[end])
+                end += 1
         return into, best
 
     def paths(self, part: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
@@ -129,7 +134,7 @@ class Segmenter:
                     tail = tail[1]
                 out.append((-cost, tuple(ids)))
                 continue
-            for start, edge, ids in into[node]:
+            for start, (edge, ids) in into[node]:
                 order += 1
                 push(heap, (so_far - edge - best[start], order, start, so_far - edge, (ids, tail)))
         return out

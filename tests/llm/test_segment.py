@@ -22,7 +22,7 @@ def every_path(own, text):
             return
         single = False
         for end in range(i + 1, len(text) + 1):
-            if found := own.trie.get(text[i:end]):
+            if found := own.scores.get(text[i:end]):
                 single |= end == i + 1
                 go(end, score + found[0], [*ids, *found[1]])
         if not single:
