@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,7 +32,7 @@ ORDERS = (5, 4, 3, 2, 1)
 #: A document is rejected below this share of the evidence.
 MIN_SCORE = 0.5
 SMOOTH = 0.5
-_CACHE = 250_000
+_CACHE = 400_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 _HASH_BINS = 4096
 
@@ -80,6 +81,7 @@ class Model:
 
     def __init__(self, languages: list[str], priors: list[float], rows: list[tuple[int, str, str, int]]):
         """rows: (order, gram, language, count); order 0 holds the words."""
+        self.key = uuid.uuid4().hex
         self.languages, self.priors = languages, np.asarray(priors, dtype=np.float64)
         place = {x: i for i, x in enumerate(languages)}
         self.index: dict[str, int] = {}
@@ -148,6 +150,19 @@ class Scorer:
         return self.model.languages[best], float(odds[best] / odds.sum())
 
 
+_scorers: dict[str, Scorer] = {}
+caches.register("languages", _scorers.clear)
+
+
+def _scorer(model: Model) -> Scorer:
+    """The process's scorer of a model, with the tokens that it has met in earlier tasks."""
+    caches.claim("languages")
+    if model.key not in _scorers:
+        _scorers.clear()
+        _scorers[model.key] = Scorer(model)
+    return _scorers[model.key]
+
+
 def training_sample(docs: DataFrame, max_docs: int) -> DataFrame:
     """At most `max_docs` rows of (id, text, lang), those with the smallest hashes of their ids."""
     keyed = docs.withColumn("bin", F.pmod(F.xxhash64("id"), F.lit(_HASH_BINS)))
@@ -199,8 +214,7 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text", out: str =
 
     @F.pandas_udf("lang_pred string, score double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        caches.claim("languages")
-        scorer = Scorer(shared.value)
+        scorer = _scorer(shared.value)
         for texts in batches:
             yield pd.DataFrame([scorer.score(t) for t in texts], columns=["lang_pred", "score"])
 
