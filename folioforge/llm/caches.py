@@ -26,6 +26,7 @@ def claim(owner: str) -> None:
             if name != owner:
                 drop()
         _owner = owner
+        gc.enable()
         gc.collect()
         if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
             trim(0)  # what is free goes back to the system

@@ -14,12 +14,14 @@ Zipf-Mandelbrot law over the ranks, in whole millionths, so that sums and compar
 
 from __future__ import annotations
 
+import gc
 import heapq
 import itertools
 import math
 import re
 import string
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -34,7 +36,8 @@ N_BEST = 4
 #: Shift of ranks in the law.
 SHIFT = 10.0
 UNIT = 1_000_000
-_CACHE = 600_000
+#: Parts of each of two generations that are kept.
+_CACHE = 350_000
 _LONG = 64
 _NEVER = 1 << 62
 
@@ -62,7 +65,8 @@ class Segmenter:
             raise ValueError("the vocabulary has no byte pieces")
         if any("\n" in p or " " in p.lstrip(" ") for p in self.pieces):
             raise ValueError("a piece spans the end of a word")
-        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.code = "H" if size <= 1 << 16 else "I"
+        self.dtype = np.dtype(self.code)
         norm = math.log(sum(1.0 / (r + SHIFT) for r in range(1, len(self.pieces) + 2)))
         law = lambda rank: -round(UNIT * (math.log(rank + SHIFT) + norm))
         #: piece -> (score, ids), and the same as a tree of [next by character, value or None]
@@ -75,6 +79,7 @@ class Segmenter:
             node[1] = self.scores[piece] = (law(rank), (i,))
         self.byte_score = law(len(self.pieces) + 1)
         self.known: dict[str, tuple[bytes, int, int]] = {}
+        self.older: dict[str, tuple[bytes, int, int]] = {}
         self.parts = self._parts()
         self.sizes = np.array([len(r) for r in self.raw], dtype=np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
@@ -87,7 +92,7 @@ class Segmenter:
         marks = "".join(re.escape(m) for m in sorted(set(string.punctuation) - after))
         if not marks:
             return re.compile(" *[^ \n]+|\n| +")
-        return re.compile(f" *{letter}+(?=[{marks} \n]|\\Z)| *[^ \n]+?(?:(?<={letter})(?=[{marks}])|(?=[ \n]|\\Z))|\n| +")
+        return re.compile(f" *{letter}+(?![^{marks} \n])| *[^ \n]+?(?:(?<={letter})(?=[{marks}])|(?![^ \n]))|\n| +")
 
     # --- one part ---
 
@@ -140,12 +145,14 @@ class Segmenter:
         return out
 
     def _learn(self, part: str) -> tuple[bytes, int, int]:
-        """(raw ids, score, what the second-best path costs) of a part."""
-        two = self.paths(part, 2)
-        found = (np.array(two[0][1], dtype=self.dtype).tobytes(), two[0][0], two[0][0] - two[1][0] if len(two) > 1 else _NEVER)
+        """(raw ids, score, what the second-best path costs) of a part; what is met again outlives a generation."""
+        found = self.older.get(part)
+        if found is None:
+            two = self.paths(part, 2)
+            found = (array(self.code, two[0][1]).tobytes(), two[0][0], two[0][0] - two[1][0] if len(two) > 1 else _NEVER)
         if len(part) <= _LONG:
             if len(self.known) >= _CACHE:
-                self.known.clear()
+                self.older, self.known = self.known, {}
             self.known[part] = found
         return found
 
@@ -195,6 +202,7 @@ _segmenters: dict[str, Segmenter] = {}
 def segmenter(file: str) -> Segmenter:
     """The process's searcher of a file, with the parts it has met."""
     caches.claim("segment")
+    gc.disable()  # a search makes many small objects and no cycles; the next owner turns it on again
     if file not in _segmenters:
         _segmenters[file] = Segmenter(file)
     return _segmenters[file]
