@@ -65,3 +65,24 @@ def test_awkward_rows(docs, empty):
     none, none_tail = lmscore.train(empty)
     assert none.train_tokens == 0 and lmscore.score(empty, none, none_tail).count() == 0
     assert all(math.isfinite(r.score) and r.n_known == 0 for r in lmscore.score(docs, none, none_tail).collect())
+
+
+def test_words_and_pairs_seen_once_keep_their_level_in_every_shard(spark, small):
+    df = spark.createDataFrame([(d["doc_id"], d["text"]) for d in small], "doc_id long, text string")
+    got = []
+    for shard_bytes in (1 << 30, 1 << 12):
+        model, tail = lmscore.train(df, shard_bytes=shard_bytes)
+        got.append({r.id: r.score for r in lmscore.score(df, model, tail).collect()})
+    tokens = {d["doc_id"]: [*words(d["text"]), None] for d in small}
+    c, p = Counter(t for ts in tokens.values() for t in ts), Counter(x for ts in tokens.values() for x in zip([0, *ts], ts))
+    assert sum(n == 1 for n in p.values()) > 1000
+    seen = lambda n: float(lmscore.count_of(lmscore.level_of(np.array([n])))[0])
+    off = [0, 0]
+    for i, ts in tokens.items():
+        want = 0.0
+        for a, b in zip([0, *ts], ts):
+            before = len(small) if a == 0 else seen(c[a])
+            want += math.log10((min(seen(p[a, b]), seen(c[b]), before) + 1000 * (seen(c[b]) + 0.1) / model.norm) / (before + 1000))
+        for k in range(2):
+            off[k] += abs(got[k][i] - want) > 0.002 * abs(want)
+    assert max(off) < 0.05 * len(small), "but for false positives of the filter, levels are those of exact counts"
