@@ -1,6 +1,6 @@
 """Licence scans by a trained paragraph classifier.
 
-Paragraphs (lines) are classified by multinomial logistic regression over word n-grams. Its features are
+Paragraphs (single lines, and runs of lines without a blank one between them) are classified by multinomial logistic regression over word n-grams. Its features are
 the word pairs and triples of the licence templates that hardly any sampled paragraph of the corpus
 has, so that a paragraph without a feature is of the unknown class, and texts without one are passed
 over after a single look at their word pairs. Probabilities are calibrated by a temperature that is
@@ -85,6 +85,7 @@ OTHER_LEGAL = (
     "The licensee shall pay an annual fee for the licence to sell food and drink under the terms of the local council.",
 )
 FAMILIES = tuple(sorted(TEMPLATES))
+_WORD, _NO_WORD = "[\\p{L}\\p{N}¶]", "[^\\p{L}\\p{N}¶]"
 
 
 def paragraph_words(text: Column) -> Column:
@@ -94,6 +95,12 @@ def paragraph_words(text: Column) -> Column:
     return F.filter(F.split(marked, " "), lambda w: w != "")
 
 
+def paragraphs(text: Column) -> Column:
+    """The lines of a text, and after them its runs of two or more lines with words, each joined to one line; a line without a letter or digit ends a run."""
+    runs = F.filter(F.split(text, f"\n{_NO_WORD}*\n"), lambda x: x.rlike(f"{_WORD}{_NO_WORD}*\n{_NO_WORD}*{_WORD}"))
+    return F.concat(F.split(text, "\n"), F.transform(runs, lambda x: F.translate(x, "\n", " ")))
+
+
 def _pairs(words: Column) -> Column:
     return _let(words, lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.xxhash64(F.slice(w, i, 2))))
 
@@ -209,7 +216,7 @@ def scan(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str
     """A row for each row of `docs`: id, n_paragraphs (with a feature), families (distinct confirmed ones, ascending),
     family (that of the highest probability; `unknown` if none is confirmed), score (its calibrated probability, else 0).
 
-    A paragraph is a line. Ties of probability go to the first family by name. Null or empty text: no
+    A paragraph is a line, or a run of several lines that no blank line parts, so that wrapped notices are found. Ties of probability go to the first family by name. Null or empty text: no
     paragraph, `unknown`. Null and repeated ids: a row each. Empty table: no rows. Other columns are not
     read. Whole texts are scanned, and every paragraph that has a feature is scored.
     """
@@ -217,7 +224,8 @@ def scan(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str
     n = len(FAMILIES)
     wanted = F.array(*[F.lit(h) for h in model.pairs]) if model.pairs else F.array().cast("array<bigint>")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    words = rows.select("id", "text", paragraph_words(F.coalesce("text", F.lit(""))).alias("words"))
+    # pairs across line ends as well: a notice may be wrapped anywhere
+    words = rows.select("id", "text", paragraph_words(F.translate(F.coalesce("text", F.lit("")), "\n", " ")).alias("words"))
     found = F.when(F.size("words") > 1, F.size(F.array_intersect(_pairs(F.col("words")), wanted)) > 0).otherwise(False)
     # texts without a feature go on without their text
     kept = stage_table(words.select("id", F.monotonically_increasing_id().alias("row"), F.when(found, F.col("text")).alias("text")), "licence-texts")
@@ -225,7 +233,7 @@ def scan(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str
     features = spark.createDataFrame(model.weights or [(0, [0.0] * (n + 1))], "h long, w array<double>")
     marks = spark.createDataFrame(model.templates, "h long, t array<int>")
     lookup = F.broadcast(marks.join(features, "h", "left"))  # the templates' n-grams: some hundreds
-    lines = kept.filter("text IS NOT NULL").select("row", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    lines = kept.filter("text IS NOT NULL").select("row", F.posexplode(paragraphs(F.col("text"))).alias("line", "text"))
     grams = lines.select("row", "line", F.explode(n_grams(paragraph_words(F.col("text")))).alias("h"))
     hits = grams.join(lookup, "h")
     sums = [F.coalesce(F.sum(F.get("w", F.lit(k))), F.lit(0.0)) + F.lit(model.intercepts[k]) for k in range(n + 1)]

@@ -31,3 +31,18 @@ def test_awkward_rows(docs, empty, model):
     assert len(got) == docs.count() and {r.family for r in got} == {"unknown"}
     assert licences.scan(empty, model).count() == 0
     assert licences.train(empty).weights is not None
+
+
+def test_wrapped_licence_texts_are_found(spark, model):
+    import textwrap
+
+    long = [(f, t) for f, ts in licences.TEMPLATES.items() for t in ts if len(t) > 120]
+    rows = [(prefix.join(["", *textwrap.wrap(t, width)]).strip("\n"), f) for f, t in long for width, prefix in ((76, "\n"), (40, "\n # "), (76, "\n * "))]
+    rows = [(f"/* tool {i}\n *\n{t}\n\nint main;", f) for i, (t, f) in enumerate(rows)] + [("Licensed\nunder\nCC\nBY\n4.0.\n", "cc-by"), ("one plain line\nand one more\n\n", "unknown")]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    assert {r.id: r.family for r in licences.scan(df, model).collect()} == dict(enumerate(f for _, f in rows))
+
+
+def test_single_lines_are_not_counted_twice(spark):
+    df = spark.createDataFrame([("a b\n\n # c d\n--\ne f\ng h\n",)], "text string")
+    assert [x.strip() for x in df.select(licences.paragraphs(F.col("text")).alias("x")).first().x if x.strip()] == ["a b", "# c d", "--", "e f", "g h", "e f g h"]
