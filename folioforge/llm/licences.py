@@ -2,7 +2,7 @@
 
 Paragraphs (single lines, and runs of lines without a blank one between them) are classified by multinomial logistic regression over word n-grams. Its features are
 the word pairs and triples of the licence templates that hardly any sampled paragraph of the corpus
-has, so that a paragraph without a feature is of the unknown class, and texts without one are passed
+has, and always so many that no paragraph which confirms a template is without one, so that a paragraph without a feature is of the unknown class, and texts without one are passed
 over after a single look at their word pairs. Probabilities are calibrated by a temperature that is
 fitted on examples held back; a prediction counts only if a template of its family confirms it.
 
@@ -26,7 +26,7 @@ VARIANTS = 60
 MAX_NEGATIVES = 4000
 #: Documents whose paragraphs are sampled as negatives.
 NEGATIVE_DOCS = 1000
-#: A template n-gram in more than this share of the negatives is no feature.
+#: A template n-gram in more than this share of the negatives is no feature, as long as its template keeps enough others.
 COMMON = 0.002
 #: Share of negatives that may pass for a licence, before templates are compared.
 FALSE_POSITIVES = 0.001
@@ -160,6 +160,10 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ma
     chosen = docs.filter(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select(F.col(text_col).alias("text"))
     lines = chosen.select(F.explode(F.split("text", "\n")).alias("text")).withColumn("words", paragraph_words(F.col("text"))).filter(F.size("words") > 1)
     lines = lines.withColumn("grams", n_grams(F.col("words"))).filter(2 * F.size(F.array_intersect("grams", known)) < F.size("grams"))
+    # a longer line may embed a whole notice: what confirms a template is no negative
+    for k, size in enumerate(sizes):
+        own = F.array(*[F.lit(h) for h in sorted(h for h, t in by_gram.items() if k in t)])
+        lines = lines.filter(F.size(F.array_intersect("grams", own)) < CONFIRM * size)
     negatives = stage_table(lines.select("words", "grams").orderBy(F.xxhash64("grams"), F.xxhash64("words")).limit(max_negatives), "negatives")
     n_negatives = negatives.count()
     common = {
@@ -167,8 +171,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ma
         for r in negatives.select(F.explode(F.array_intersect("grams", known)).alias("h")).groupBy("h").count()
         .filter(F.col("count") > COMMON * n_negatives).collect()
     }
-    pairs = sorted(h for h in is_pair if h not in common)
-    features = sorted(set(pairs) | {h for h in by_gram if h in triple_pairs and h not in common and any(p in set(pairs) for p in triple_pairs[h])})
+    pairs, features = _features(by_gram, sizes, is_pair, triple_pairs, common)
 
     legal = spark.createDataFrame([(t,) for t in OTHER_LEGAL], "text string").withColumn("words", paragraph_words(F.col("text")))
     positive = templates.select("label", "words").unionByName(legal.select(F.lit(unknown).alias("label"), "words"))
@@ -200,6 +203,21 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ma
     return Model(weights, [(h, sorted(t)) for h, t in sorted(by_gram.items())], sizes, owners, pairs, intercepts, temperature, threshold)
 
 
+def _features(by_gram: dict, sizes: list[int], is_pair: set, triple_pairs: dict, common: set) -> tuple[list[int], list[int]]:
+    """The word pairs that are features, and all features.
+
+    A template whose n-grams without a feature could confirm it keeps all of them, however common they are.
+    """
+    while True:
+        pairs = {h for h in is_pair if h not in common}
+        features = pairs | {h for h in by_gram if h in triple_pairs and h not in common and any(p in pairs for p in triple_pairs[h])}
+        without = [sum(k in t for h, t in by_gram.items() if h not in features) for k in range(len(sizes))]
+        short = {k for k, n in enumerate(without) if n >= CONFIRM * sizes[k]}
+        if not short:
+            return sorted(pairs), sorted(features)
+        common = {h for h in common if not short & set(by_gram[h])}
+
+
 def _log_loss(z: Column, label: Column, temperature: float) -> Column:
     """Mean of -log of the probability of the true class."""
     top = F.array_max(z)

@@ -46,3 +46,16 @@ def test_wrapped_licence_texts_are_found(spark, model):
 def test_single_lines_are_not_counted_twice(spark):
     df = spark.createDataFrame([("a b\n\n # c d\n--\ne f\ng h\n",)], "text string")
     assert [x.strip() for x in df.select(licences.paragraphs(F.col("text")).alias("x")).first().x if x.strip()] == ["a b", "# c d", "--", "e f", "g h", "e f g h"]
+
+
+def test_a_frequent_notice_within_longer_lines_is_not_lost(spark):
+    end = "(c) 2020 Example Corp. Licensed under CC BY 4.0. For other terms write to the legal office of the company at its seat in the old town."
+    docs = spark.createDataFrame([(i, f"text {i} of the source has words of its own number {i}\n{end}") for i in range(300)], "doc_id long, text string")
+    alone = spark.createDataFrame([(1, "Licensed under CC BY 4.0."), (2, f"some text\n{end}"), (3, "For other terms write to the legal office.")], "doc_id long, text string")
+    assert {r.id: r.family for r in licences.scan(alone, licences.train(docs)).collect()} == {1: "cc-by", 2: "cc-by", 3: "unknown"}
+
+
+def test_what_confirms_a_template_has_a_feature():
+    grams, triples = {1: {0}, 2: {0}, 3: {0}, 4: {1}}, {3: (1, 2)}
+    assert licences._features(grams, [3, 1], {1, 2, 4}, triples, {1, 2, 4}) == ([1, 2, 4], [1, 2, 3, 4])
+    assert licences._features(grams, [3, 1], {1, 2, 4}, triples, {1}) == ([2, 4], [2, 3, 4])
