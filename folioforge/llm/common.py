@@ -41,6 +41,22 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{workdir(spark)}/folioforge/{name}-{uuid.uuid4().hex}"
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to clash with no column of `df`."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def whole(df: DataFrame, *, without: tuple[str, ...] = ()) -> list[Column]:
+    """All columns of `df` by name, whatever characters the names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c not in without]
+
+
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once to the shared folder and go on from the files, which outlive any executor."""
     path = fresh_path(df.sparkSession, name)

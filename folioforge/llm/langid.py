@@ -2,8 +2,10 @@
 
 A known word scores its log frequency in each language. An unseen one falls back to its character
 n-grams, the longest first: the mean log frequency of those that are known at the first length at which
-any is. Words and n-grams are counted over a bounded, hashed sample of labelled documents, whole texts;
-the model holds a bounded number of both, so that it can be broadcast at any size of input.
+any is. Words and n-grams are counted over a bounded sample of labelled documents, whole texts; the model
+holds all words and n-grams of that sample. Only the sample is bounded: in documents, dealt evenly to the
+languages so that a rare one keeps its documents beside a huge one, and by the size of the model that comes
+of it, as the model is broadcast.
 """
 
 from __future__ import annotations
@@ -11,30 +13,34 @@ from __future__ import annotations
 import math
 import re
 import uuid
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import caches
-from .common import small_batches
+from .common import small_batches, stage_table, unused, whole
+from .shingles import _finish
 
 UNKNOWN = "und"
-#: Bounds of the training sample (documents) and of the model (words and n-grams; rows of gram and language).
+#: Bound of the training sample, in documents. Each language gives its documents of the smallest hashes, all languages equally many
+#: as far as they have them. With more languages than this, one document each of as many languages, the most frequent ones.
 MAX_TRAIN_DOCS = 20_000
-MAX_WORDS = 100_000
-MAX_GRAMS = 100_000
+#: Bound of the model, in counts of an n-gram in a language, 14 to 22 bytes each: where the sample has more, half as many documents are taken.
+MAX_MODEL_ROWS = 4_000_000
 ORDERS = (5, 4, 3, 2, 1)
 #: A document is rejected below this share of the evidence.
 MIN_SCORE = 0.5
 SMOOTH = 0.5
-_CACHE = 400_000
+#: Tokens whose evidence a worker remembers, and the bytes that they may take.
+_CACHE, _CACHE_BYTES = 400_000, 96 << 20
 _LETTERS = re.compile(r"[^\W\d_]+")
-_HASH_BINS = 4096
+_BINS = 4096
+_STEP, _ORDER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -45,109 +51,182 @@ def grams(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
-def _word_counts(batches):
-    """(lang, gram, n) of each partition, flushed when large."""
-    counts: Counter = Counter()
-
-    def flush():
-        rows = list(counts.items())
-        counts.clear()
-        return pa.RecordBatch.from_pydict(
-            {"lang": pa.array([k[0] for k, _ in rows], pa.string()), "word": pa.array([k[1] for k, _ in rows], pa.string()), "n": pa.array([v for _, v in rows], pa.int64())}
-        )
-
+class Keys:
+    """64-bit keys of words, none of them empty, and of the n-grams of all of them at once."""
+
+    def __init__(self, words: list[str]):
+        self.points = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        self.sizes = np.fromiter(map(len, words), np.int64, len(words))
+        self.begins = np.cumsum(self.sizes + 2) - self.sizes - 2
+
+    def words(self) -> np.ndarray:
+        """A key of each word."""
+        power = np.cumprod(np.full(int(self.sizes.max(initial=0)), _STEP, dtype=np.uint64))
+        flat, owner = self._letters(np.arange(len(self.sizes)))
+        place = np.arange(len(flat)) - (np.cumsum(self.sizes) - self.sizes)[owner]
+        values = _finish(self.points[flat] + _ORDER) * power[place]
+        total = np.add.reduceat(values, np.cumsum(self.sizes) - self.sizes) if len(values) else np.empty(0, np.uint64)
+        return _finish(total + self.sizes.astype(np.uint64))
+
+    def _letters(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = self.sizes[which]
+        owner = np.repeat(np.arange(len(which)), n)
+        return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + (self.begins[which] + 1)[owner], owner
+
+    def grams(self, order: int, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the n-grams of the chosen words, and the place of each one's word among the chosen."""
+        if order == 1:
+            start, owner = self._letters(which)
+        else:
+            n = np.maximum(self.sizes[which] + 3 - order, 0)
+            owner = np.repeat(np.arange(len(which)), n)
+            start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + self.begins[which][owner]
+        key = np.full(len(start), order, dtype=np.uint64)
+        for k in range(order):
+            key = key * _STEP + self.points[start + k]
+        return _finish(key * _ORDER + np.uint64(order)), owner
+
+
+def _tallies(lang: str, counts: Counter) -> pa.RecordBatch:
+    """(lang, order, key, n) of the words, under order 0, and of their n-grams."""
+    keys, times = Keys(list(counts)), np.fromiter(counts.values(), np.int64, len(counts))
+    found = [(0, keys.words(), times)]
+    for order in ORDERS:
+        key, owner = keys.grams(order, np.arange(len(times)))
+        found.append((order, key, times[owner]))
+    out = []
+    for order, key, n in found:
+        distinct, at = np.unique(key, return_inverse=True)
+        out.append((np.full(len(distinct), order, np.int32), distinct, np.bincount(at, n, len(distinct)).astype(np.int64)))
+    orders, key, n = (np.concatenate(x) for x in zip(*out, strict=True))
+    return pa.RecordBatch.from_pydict({"lang": pa.repeat(pa.scalar(lang, pa.string()), len(key)), "order": orders, "key": key.view(np.int64), "n": n})
+
+
+def _counted(batches):
+    """The tallies of a partition, language by language, flushed when large."""
+    counts: dict[str, Counter] = defaultdict(Counter)
+    held = 0
     for batch in batches:
         for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
-            for word, n in Counter(_LETTERS.findall(text.lower())).items():
-                counts[lang, word] += n
-            if len(counts) > 500_000:
-                yield flush()
-    yield flush()
-
-
-def _gram_counts(frames):
-    for frame in frames:
-        counts: Counter = Counter()
-        for lang, word, n in zip(frame["lang"], frame["word"], frame["n"], strict=True):
-            for order in ORDERS:
-                for gram in grams(word, order):
-                    counts[lang, order, gram] += n
-        rows = list(counts.items())
-        yield pd.DataFrame({"lang": [k[0] for k, _ in rows], "order": [k[1] for k, _ in rows], "gram": [k[2] for k, _ in rows], "n": [v for _, v in rows]})
+            own = counts[lang]
+            held -= len(own)
+            own.update(_LETTERS.findall(text.lower()))
+            held += len(own)
+            if held > 200_000:
+                yield from (_tallies(x, c) for x, c in counts.items() if c)
+                counts.clear()
+                held = 0
+    yield from (_tallies(x, c) for x, c in counts.items() if c)
 
 
 class Model:
-    """Log frequencies: {order and gram: row}, words under order 0, and a matrix [row, language]."""
+    """Log frequencies by key: sparse rows over the languages, on top of what an n-gram of the order that a language lacks has there."""
 
-    def __init__(self, languages: list[str], priors: list[float], rows: list[tuple[int, str, str, int]]):
-        """rows: (order, gram, language, count); order 0 holds the words."""
-        self.key = uuid.uuid4().hex
+    def __init__(self, languages: list[str], priors: list[float], rows: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]):
+        """rows: order (0 for words), key, number of the language and count, a row for each that is found."""
+        self.id = uuid.uuid4().hex
         self.languages, self.priors = languages, np.asarray(priors, dtype=np.float64)
-        place = {x: i for i, x in enumerate(languages)}
-        self.index: dict[str, int] = {}
-        for order, gram, _, _ in rows:
-            self.index.setdefault(f"{order}{gram}", len(self.index))
-        counts = np.zeros((len(self.index), len(languages)))
-        orders = np.zeros(len(self.index), dtype=np.int64)
-        for order, gram, lang, n in rows:
-            row = self.index[f"{order}{gram}"]
-            counts[row, place[lang]] += n
-            orders[row] = order
-        self.table = np.zeros_like(counts)
-        for order in np.unique(orders):
-            own = orders == order
-            totals = counts[own].sum(axis=0) + SMOOTH * (own.sum() + 1)
-            self.table[own] = np.log((counts[own] + SMOOTH) / totals)
-
-    def evidence(self, word: str) -> np.ndarray | None:
-        """Log frequency by language of one lower-case word of letters; None if nothing in it is known."""
-        if (row := self.index.get(f"0{word}")) is not None:
-            return self.table[row]
+        order, key, lang, n = rows
+        sort = np.lexsort((lang, key))
+        order, key, lang, n = order[sort], key[sort], lang[sort], n[sort]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+        self.keys, self.begins = key[first], np.append(first, len(key)).astype(np.int32)
+        self.orders = order[first].astype(np.int8)
+        totals = np.zeros((len(ORDERS) + 1, len(languages)))
+        np.add.at(totals, (order, lang), n)
+        distinct = np.bincount(self.orders, minlength=len(ORDERS) + 1)
+        self.absent = np.log(SMOOTH / (totals + SMOOTH * (distinct[:, None] + 1)))
+        self.lang = lang.astype(np.uint16 if len(languages) < 1 << 16 else np.int32)
+        self.more = np.log((n + SMOOTH) / SMOOTH).astype(np.float32)
+
+    def rows(self, keys: np.ndarray) -> np.ndarray:
+        """The model's row of each key; -1 for unknown ones."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
+
+    def _sums(self, order: int, owner: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+        """Sums of the log frequencies of one order's rows by owner."""
+        sizes, wide = self.begins[rows + 1] - self.begins[rows], len(self.languages)
+        flat = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(self.begins[rows], sizes)
+        more = np.bincount(np.repeat(owner, sizes) * wide + self.lang[flat], self.more[flat], n * wide).reshape(n, wide)
+        return more + np.bincount(owner, minlength=n)[:, None] * self.absent[order]
+
+    def evidence(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Log frequencies by language of lower-case words of letters, and whether anything in a word is known."""
+        keys = Keys(words)
+        out, known = np.zeros((len(words), len(self.languages))), np.zeros(len(words), bool)
+        row = self.rows(keys.words())
+        at = np.flatnonzero(row >= 0)
+        out[at], known[at] = self._sums(0, np.arange(len(at)), row[at], len(at)), True
         for order in ORDERS:
-            found = [r for g in grams(word, order) if (r := self.index.get(f"{order}{g}")) is not None]
-            if found:
-                return self.table[found].mean(axis=0)
-        return None
+            left = np.flatnonzero(~known)
+            if not len(left):
+                break
+            key, owner = keys.grams(order, left)
+            row = self.rows(key)
+            owner, row = owner[row >= 0], row[row >= 0]
+            n = np.bincount(owner, minlength=len(left))
+            some = n > 0
+            out[left[some]] = (self._sums(order, owner, row, len(left)) / np.maximum(n, 1)[:, None])[some]
+            known[left[some]] = True
+        return out, known
 
 
 class Scorer:
     """Scores texts; remembers the evidence of the tokens it has met."""
 
     def __init__(self, model: Model):
-        self.model, self.rows, self.matrix, self.used = model, {}, np.zeros((1024, len(model.languages))), 0
-
-    def _row(self, token: str) -> int:
-        if self.used >= _CACHE:
-            self.rows, self.used = {}, 0
-        found = [e for w in _LETTERS.findall(token.lower()) if (e := self.model.evidence(w)) is not None]
-        if not found:
-            row = -1
-        else:
-            if self.used == len(self.matrix):
-                self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
-            row, self.used = self.used, self.used + 1
-            self.matrix[row] = np.sum(found, axis=0)
-        self.rows[token] = row
-        return row
-
-    def score(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.model.languages or not any(map(str.isalpha, text)):
-            return UNKNOWN, 0.0
-        total = np.zeros(len(self.model.languages))
-        tokens = text.split()
-        for start in range(0, len(tokens), 50_000):
-            part = tokens[start : start + 50_000]
-            if self.used + len(part) > _CACHE:
-                self.rows, self.used = {}, 0
-            known = self.rows.get
-            rows = [r if (r := known(t)) is not None else self._row(t) for t in part]
-            at = np.array([r for r in rows if r >= 0], dtype=np.int64)
-            if len(at):
-                total += self.matrix[at].sum(axis=0)
-        total = (total - total.max()) / math.sqrt(len(tokens)) + self.model.priors
-        odds = np.exp(total - total.max())
-        best = int(np.argmax(odds))  # ties: the first language by name
-        return self.model.languages[best], float(odds[best] / odds.sum())
+        self.model, self.bound = model, max(1024, min(_CACHE, _CACHE_BYTES // (8 * max(1, len(model.languages)))))
+        self.rows: dict[str, int] = {}
+        self.matrix, self.used = np.zeros((1024, len(model.languages))), 0
+
+    def _learn(self, tokens: list[str]) -> None:
+        """Evidence of tokens not met before: the sum of that of their words. -1: none in them is known."""
+        parts = [_LETTERS.findall(t.lower()) for t in tokens]
+        evidence, known = self.model.evidence([w for p in parts for w in p])
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        owner = np.repeat(np.arange(len(parts)), sizes)
+        total, some = np.zeros((len(parts), len(self.model.languages))), np.zeros(len(parts), bool)
+        for k in range(total.shape[1]):
+            total[:, k] = np.bincount(owner[known], evidence[known, k], len(parts))
+        some[owner[known]] = True
+        n = int(some.sum())
+        while self.used + n > len(self.matrix):
+            self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
+        place = np.full(len(parts), -1, np.int64)
+        place[some] = np.arange(self.used, self.used + n)
+        self.matrix[self.used : self.used + n] = total[some]
+        self.used += n
+        self.rows.update(zip(tokens, place.tolist(), strict=True))
+
+    def score(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """lang_pred and score of each text."""
+        model, out = self.model, []
+        for text in texts:
+            if not text or not model.languages or not any(map(str.isalpha, text)):
+                out.append((UNKNOWN, 0.0))
+                continue
+            total, tokens = np.zeros(len(model.languages)), text.split()
+            step = min(50_000, self.bound)
+            for start in range(0, len(tokens), step):
+                part = tokens[start : start + step]
+                try:
+                    rows = list(map(self.rows.__getitem__, part))
+                except KeyError:
+                    if len(self.rows) + len(part) > self.bound:
+                        self.rows, self.used = {}, 0
+                    self._learn(list(set(part).difference(self.rows)))
+                    rows = list(map(self.rows.__getitem__, part))
+                at = np.array(rows, dtype=np.int64)
+                if len(at := at[at >= 0]):
+                    total += self.matrix[at].sum(axis=0)
+            total = (total - total.max()) / math.sqrt(len(tokens)) + model.priors
+            odds = np.exp(total - total.max())
+            best = int(np.argmax(odds))  # ties: the first language by name
+            out.append((model.languages[best], float(odds[best] / odds.sum())))
+        return out
 
 
 _scorers: dict[str, Scorer] = {}
@@ -157,49 +236,95 @@ caches.register("languages", _scorers.clear)
 def _scorer(model: Model) -> Scorer:
     """The process's scorer of a model, with the tokens that it has met in earlier tasks."""
     caches.claim("languages")
-    if model.key not in _scorers:
+    if model.id not in _scorers:
         _scorers.clear()
-        _scorers[model.key] = Scorer(model)
-    return _scorers[model.key]
+        _scorers[model.id] = Scorer(model)
+    return _scorers[model.id]
+
+
+def quotas(sizes: dict[str, int], max_docs: int) -> dict[str, int]:
+    """Documents of each language in a sample of `max_docs`: equally many as far as they go, what small ones lack goes to the others."""
+    out, left = {}, max_docs
+    order = sorted(sizes, key=lambda x: (sizes[x], x))
+    if len(order) > max_docs:
+        order = sorted(sorted(order, key=lambda x: (-sizes[x], x))[:max_docs], key=lambda x: (sizes[x], x))
+    for k, lang in enumerate(order):
+        out[lang] = min(sizes[lang], left // (len(order) - k))
+        left -= out[lang]
+    return out
+
 
+def training_sample(docs: DataFrame, max_docs: int, sizes: dict[str, int] | None = None) -> DataFrame:
+    """At most `max_docs` rows of (id, text, lang): of each language those with the smallest hashes of id and text, as many as `quotas` says.
 
-def training_sample(docs: DataFrame, max_docs: int) -> DataFrame:
-    """At most `max_docs` rows of (id, text, lang), those with the smallest hashes of their ids."""
-    keyed = docs.withColumn("bin", F.pmod(F.xxhash64("id"), F.lit(_HASH_BINS)))
-    bins = {r["bin"]: r["count"] for r in keyed.groupBy("bin").count().collect()}  # _HASH_BINS rows at most
-    if sum(bins.values()) <= max_docs:
+    The hash that ends a language's part is found digit by digit, from counts of _BINS bins each. Copies of
+    one row are taken all or none; where a language had nothing else to give, each row is taken once.
+    """
+    if sizes is None:
+        sizes = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
+    wanted = quotas(sizes, max_docs)
+    if all(wanted.get(x) == n for x, n in sizes.items()):
         return docs
-    taken, last = 0, -1
-    for b in range(_HASH_BINS):
-        if taken + bins.get(b, 0) > max_docs:
+    spark, copies = docs.sparkSession, False
+    (h,) = unused(docs, "hash")
+    keyed = docs.withColumn(h, F.shiftrightunsigned(F.xxhash64("id", "text"), 4))  # five digits of 12 bits
+    # of each language: rows taken so far, and the range of hashes in which its part ends
+    state = {x: (0, 0) for x, n in sizes.items() if 0 < wanted.get(x, 0) < n}
+    ends = {x: (1 << 60) if wanted.get(x) == n else 0 for x, n in sizes.items()}
+    for shift in (48, 36, 24, 12, 0):
+        if not state:
             break
-        taken, last = taken + bins.get(b, 0), b
-    return keyed.filter(F.col("bin") <= last).drop("bin")
+        low = spark.createDataFrame([(x, s[1]) for x, s in state.items()], "lang string, low long")
+        bins = keyed.select("lang", h).join(F.broadcast(low), "lang").withColumn("bin", F.shiftright(F.col(h) - F.col("low"), shift))
+        counts = defaultdict(dict)
+        for r in bins.filter((F.col("bin") >= 0) & (F.col("bin") < _BINS)).groupBy("lang", "bin").count().toLocalIterator():  # _BINS rows a language at most
+            counts[r["lang"]][r["bin"]] = r["count"]
+        following = {}
+        for x, (taken, begin) in state.items():
+            for b in sorted(counts[x]):
+                if taken + counts[x][b] > wanted[x]:
+                    following[x] = (taken, begin + (b << shift))
+                    break
+                taken += counts[x][b]
+            else:
+                b = _BINS
+            ends[x] = begin + (b << shift)
+            if x in following and shift == 0 and taken == 0:
+                ends[x], copies = ends[x] + 1, True  # more copies of one row than the language may give
+        state = {x: s for x, s in following.items() if s[0] < wanted[x]}
+    limits = spark.createDataFrame([(x, e) for x, e in ends.items() if e], "lang string, end long")
+    taken = keyed.join(F.broadcast(limits), "lang").filter(F.col(h) < F.col("end"))
+    return (taken.dropDuplicates(["lang", h]) if copies else taken).select("id", "text", "lang")
 
 
 def train(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    max_docs: int = MAX_TRAIN_DOCS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS,
+    max_docs: int = MAX_TRAIN_DOCS, max_rows: int = MAX_MODEL_ROWS,
 ) -> Model:
-    """A model of the rows of `docs` with id, text and language; the number of documents, words and n-grams is bounded."""
-    small_batches(docs.sparkSession)
+    """A model of the rows of `docs` with id, text and language.
+
+    `max_docs` bounds the labelled documents that are learned from, and is halved as long as the model of
+    the sample has more than `max_rows` counts; a model of one document is taken whatever it has. Of the
+    sample every word and n-gram is kept. Priors are the languages' shares of all labelled documents. Rows
+    with a null id, text or language are not learned from. Empty table: a model without languages.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).dropna()
-    sample = training_sample(rows, max_docs).select("lang", "text")
-    words = sample.mapInArrow(_word_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    words = words.filter(F.length("word") <= 64).persist()
-    try:
-        priors = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(1000).collect()}
-        tops = [
-            words.select(F.lit(0).alias("order"), F.col("word").alias("gram"), "lang", "n").orderBy(F.desc("n"), "gram", "lang").limit(max_words),
-            words.mapInPandas(_gram_counts, "lang string, order int, gram string, n long").groupBy("order", "gram", "lang")
-            .agg(F.sum("n").alias("n")).filter("n > 1 OR order = 1").orderBy(F.desc("n"), "order", "gram", "lang").limit(max_grams),
-        ]
-        model_rows = [tuple(r) for t in tops for r in t.select("order", "gram", "lang", "n").toLocalIterator()]
-    finally:
-        words.unpersist()
-    languages = sorted(priors)
-    total = sum(priors.values())
-    return Model(languages, [math.log(priors[x] / total) for x in languages], [r for r in model_rows if r[2] in priors])
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row a language
+    while True:
+        sample = training_sample(rows, max_docs, sizes).select("lang", "text")
+        tallies = sample.mapInArrow(_counted, "lang string, order int, key long, n long").groupBy("lang", "order", "key").agg(F.sum("n").alias("n"))
+        tallies = stage_table(tallies, "language-counts")
+        if tallies.count() <= max_rows or max_docs == 1:
+            break
+        max_docs = max(1, max_docs // 2)
+    languages = sorted(quotas(sizes, max_docs))
+    numbers = spark.createDataFrame([(x, i) for i, x in enumerate(languages)], "lang string, number int")
+    got = tallies.join(F.broadcast(numbers), "lang").select("order", "key", "number", "n").toArrow()  # max_rows at most
+    order, key, number, n = (got[c].to_numpy() for c in ("order", "key", "number", "n"))
+    total = sum(sizes[x] for x in languages)
+    return Model(languages, [math.log(sizes[x] / total) for x in languages], (order, key.view(np.uint64), number, n))
 
 
 def predict(docs: DataFrame, model: Model, *, text_col: str = "text", out: str = "language") -> DataFrame:
@@ -216,22 +341,27 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text", out: str =
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = _scorer(shared.value)
         for texts in batches:
-            yield pd.DataFrame([scorer.score(t) for t in texts], columns=["lang_pred", "score"])
+            yield pd.DataFrame(scorer.score(texts.tolist()), columns=["lang_pred", "score"])
 
-    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != out], F.col(text_col).alias("__text"))
-    return kept.withColumn(out, run("__text")).drop("__text")
+    return docs.select(*[c for c, name in zip(whole(docs), docs.columns, strict=True) if name.lower() != out.lower()], run(F.col(text_col)).alias(out))
 
 
-def fold(id_col: str) -> "F.Column":
+def fold(id_col: str) -> Column:
     """crc32 of the id as text, mod 3; null for a null id, which neither trains nor is held out."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3
 
 
 def accepted_documents(docs: DataFrame, *, min_score: float = MIN_SCORE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of `docs` whose language is told with at least `min_score`; learns from two thirds of the rows."""
+    """The rows of `docs` whose language is told with at least `min_score`; learns from two thirds of the rows.
+
+    Texts that are null, empty or without a letter are told no language and go. Rows without an id are
+    judged, though not learned from; repeated rows are judged alike. Empty table: empty result. The
+    columns are those of `docs`, whatever their names.
+    """
     model = train(docs.filter(fold(id_col) != 1), id_col=id_col, text_col=text_col, lang_col=lang_col)
-    scored = predict(docs, model, text_col=text_col, out="__language")
-    return scored.filter((F.col("__language.lang_pred") != UNKNOWN) & (F.col("__language.score") >= min_score)).drop("__language")
+    (told,) = unused(docs, "language")
+    scored = predict(docs, model, text_col=text_col, out=told)
+    return scored.filter((F.col(told)["lang_pred"] != UNKNOWN) & (F.col(told)["score"] >= min_score)).select(*whole(docs))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -241,5 +371,3 @@ def query(spark, sf_dir: str) -> DataFrame:
     model = train(docs.filter(fold("doc_id") != 1))
     scored = predict(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", F.coalesce(fold("doc_id") == 1, F.lit(False)).alias("held_out"), "language.lang_pred", "language.score")
-
-
