@@ -9,6 +9,8 @@ and the blocks' selections are merged by rank.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -19,20 +21,20 @@ QUERY_BLOCK = 1024
 CANDIDATE_BLOCK = 16384
 #: Candidates whose scores are held at a time; times QUERY_BLOCK integers of 8 bytes.
 TILE = 1024
-#: Integer components are held within this bound, so that no score of under 2**20 dimensions overflows.
-BOUND = 2**21
+#: Sums below this magnitude are formed in 64-bit integers, larger ones in Python's own.
+_FITS = 1 << 62
+_LONG = (-(1 << 63), (1 << 63) - 1)
 
 
 def integer_vector(vector: Column, scale: float = 64.0) -> Column:
-    """floor(scale * x) of each component, as bigint; null for a null vector or one with a null or non-finite component.
+    """floor(scale * x) of each component, as a double, which holds it exactly; null for a null vector or one with a null or non-finite component.
 
-    Components beyond +-BOUND are held at the bound.
+    A product beyond the range of doubles is held at the end of the range.
     """
     fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
-    held = F.transform(
-        vector, lambda x: F.floor(F.greatest(F.least(x.cast("double") * scale, F.lit(float(BOUND))), F.lit(float(-BOUND))))
-    )
-    return F.when(vector.isNotNull() & fine, held)
+    top = F.lit(sys.float_info.max)
+    scaled = F.transform(vector, lambda x: F.greatest(F.least(x.cast("double") * scale, top), -top))
+    return F.when(vector.isNotNull() & fine, F.transform(scaled, lambda x: F.when(F.abs(x) < 2.0**53, F.floor(x).cast("double")).otherwise(x)))
 
 
 def _dense(table: pa.Table, column: str, width: int) -> np.ndarray:
@@ -41,13 +43,30 @@ def _dense(table: pa.Table, column: str, width: int) -> np.ndarray:
     if isinstance(lists, pa.ChunkedArray):
         lists = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], lists.type)
     lengths = np.diff(lists.offsets.to_numpy())
-    out = np.zeros((len(lengths), width), dtype=np.int64)
+    out = np.zeros((len(lengths), width))
     rows = np.repeat(np.arange(len(lengths)), lengths)
     places = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     out[rows, places] = lists.flatten().to_numpy(zero_copy_only=False)
     return out
 
 
+def _kind(q: np.ndarray, c: np.ndarray):
+    """The smallest integers that hold every sum of the block and twice it; object: Python's."""
+    limit = int(np.abs(q).max(initial=0)) * int(np.abs(c).max(initial=0)) * max(1, q.shape[1])
+    return np.int32 if limit < 1 << 30 else np.int64 if limit < _FITS else object
+
+
+def _integers(x: np.ndarray, kind) -> np.ndarray:
+    return x.astype(kind) if kind is not object else np.array([int(v) for v in x.ravel()], dtype=object).reshape(x.shape)
+
+
+def sort_key(score: int) -> bytes:
+    """Bytes that ascend as integers of any size do."""
+    body = abs(score).to_bytes((abs(score).bit_length() + 7) // 8, "big")
+    size = len(body).to_bytes(2, "big")
+    return b"\1" + size + body if score >= 0 else b"\0" + bytes(255 - x for x in size + body)
+
+
 def _width(table: pa.Table, column: str) -> int:
     return max((int(np.diff(x.offsets.to_numpy()).max(initial=0)) for x in table[column].chunks), default=0)
 
@@ -69,39 +88,45 @@ def _accumulate(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
 
 def _block_top(k: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["query_id", "vec_id", "score"]
         if not left.num_rows or not right.num_rows:
-            return pa.table({n: pa.array([], pa.int64()) for n in names})
+            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64()), "exact": pa.array([], pa.binary())})
         width = max(_width(left, "v"), _width(right, "v"), 1)
         right = right.sort_by("id")
         q_ids, c_ids = left["id"].to_numpy(), right["id"].to_numpy()
         q, c = _dense(left, "v", width), _dense(right, "v", width)
-        limit = int(np.abs(q).max(initial=0)) * int(np.abs(c).max(initial=0)) * width
-        dtype = np.int32 if limit * 2 < 2**31 else np.int64
-        q, c = q.astype(dtype), c.astype(dtype)
+        kind = _kind(q, c)
+        q, c = _integers(q, kind), _integers(c, kind)
+        wide = object if kind is object else np.int64
+        lowest = -(1 << 8192) if kind is object else np.iinfo(np.int64).min  # below every score
         kept_ids = np.empty((0, len(q_ids)), np.int64)
-        kept_scores = np.empty((0, len(q_ids)), np.int64)
-        lowest = np.iinfo(np.int64).min
+        kept_scores = np.empty((0, len(q_ids)), wide)
         for start in range(0, len(c_ids), TILE):
             ids = c_ids[start : start + TILE]
             scores = _accumulate(q, c[start : start + TILE])
             own = np.isin(q_ids, ids)
             tile = scores
             if own.any():
-                tile = scores.astype(np.int64)
+                tile = scores.astype(wide)
                 tile[ids[:, None] == q_ids[None, :]] = lowest
             if len(kept_scores) == k and not own.any():
-                floor = np.maximum(kept_scores.min(axis=0), np.iinfo(dtype).min).astype(dtype)
+                floor = kept_scores.min(axis=0)
+                if kind is np.int32:
+                    floor = np.maximum(floor, np.iinfo(np.int32).min).astype(np.int32)
                 better = (tile > floor).any(axis=1)  # later ids lose ties
                 tile, ids = tile[better], ids[better]
-            all_scores = np.concatenate([kept_scores, tile.astype(np.int64)])
+            all_scores = np.concatenate([kept_scores, tile.astype(wide)])
             all_ids = np.concatenate([kept_ids, np.broadcast_to(ids[:, None], (len(ids), len(q_ids)))])
             if len(all_scores) > k:
                 all_scores, all_ids = _select(all_scores, all_ids, k)
             kept_scores, kept_ids = all_scores, all_ids
-        real = kept_scores > lowest
-        best = [np.broadcast_to(q_ids, kept_ids.shape)[real], kept_ids[real], kept_scores[real]]
-        return pa.table({n: pa.array(x, pa.int64()) for n, x in zip(names, best, strict=True)})
+        real = (kept_scores > lowest).astype(bool)
+        best = kept_scores[real]
+        found = {"query_id": np.broadcast_to(q_ids, kept_ids.shape)[real], "vec_id": kept_ids[real]}
+        found["score"] = np.array([min(max(x, _LONG[0]), _LONG[1]) for x in best], dtype=np.int64) if kind is object else best
+        ends = [i for i, x in enumerate(found["score"].tolist()) if x in _LONG] if kind is object else []
+        exact = np.full(len(best), None, dtype=object)
+        exact[ends] = [sort_key(best[i]) for i in ends]
+        return pa.table({n: pa.array(x, pa.int64()) for n, x in found.items()} | {"exact": pa.array(exact.tolist(), pa.binary())})
 
     return run
 
@@ -109,12 +134,11 @@ def _block_top(k: int):
 def _select(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k best rows of each column, ties to the smaller id; rows of equal score come in ascending id."""
     n = len(scores)
-    # scores * n - row is unique in a column and falls with the row among equal scores
-    low = np.iinfo(np.int64).min
-    rank = np.where(scores == low, low + n, scores * n) - np.arange(n)[:, None]
-    top = np.argpartition(rank, n - k, axis=0)[n - k :]
-    top.sort(axis=0)
-    return np.take_along_axis(scores, top, 0), np.take_along_axis(ids, top, 0)
+    least = np.partition(scores, n - k, axis=0)[n - k]
+    above, level = (scores > least).astype(bool), (scores == least).astype(bool)
+    chosen = above | (level & (np.cumsum(level, axis=0) <= k - above.sum(axis=0)))
+    rows = np.nonzero(chosen.T)[1].reshape(-1, k).T
+    return np.take_along_axis(scores, rows, 0), np.take_along_axis(ids, rows, 0)
 
 
 def exact_top_k(
@@ -130,7 +154,8 @@ def exact_top_k(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest inner products of each query among all candidates but its own id.
 
-    Scores are sums of products of integer components; ties go to the smaller id. Rows with a null id or
+    Scores are sums of products of integer components and exact at any size; one beyond the range of long
+    is ranked by its own value and shown as the end of that range. Ties go to the smaller id. Rows with a null id or
     vector, or with a null or non-finite component, take no part. A vector shorter than another counts as
     filled up with zeros; an empty one scores 0. A query id that is repeated counts once, with its
     smallest vector; a candidate row that is repeated counts each time. No query or no candidate: no rows.
@@ -148,9 +173,9 @@ def exact_top_k(
     left = wanted.select("id", "v", deal(1, q_blocks).alias("qb")).withColumn("cb", every(c_blocks))
     right = rows[1].select("id", "v", deal(2, c_blocks).alias("cb")).withColumn("qb", every(q_blocks))
     found = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(
-        _block_top(k), "query_id long, vec_id long, score long"
+        _block_top(k), "query_id long, vec_id long, score long, exact binary"
     )
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("exact").desc(), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
