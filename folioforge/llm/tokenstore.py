@@ -50,7 +50,8 @@ class Encoder:
 
     A pre-token's ids do not depend on its neighbours, so the library is asked once for each distinct
     pre-token, many at a time with line feeds between them. A text with a character outside the plain
-    ranges goes to the library as a whole, as its pre-tokenizer might split there in another way.
+    ranges, or with the content of an added token, goes to the library as a whole, as it might be split
+    there in another way.
     """
 
     PIECES = re.compile(r" ?[^\W\d_]+|'(?:[stmd]|re|ve|ll)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -61,7 +62,6 @@ class Encoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True
         if hasattr(self.tokenizer.model, "_resize_cache"):
             self.tokenizer.model._resize_cache(0)  # each piece is asked for once, so that the library's own memory only costs time
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
@@ -69,6 +69,7 @@ class Encoder:
         plain = json.loads(self.tokenizer.to_str())
         before = plain.get("pre_tokenizer") or {}
         self.by_piece = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and plain.get("normalizer") is None
+        self.added = tuple(t["content"] for t in plain.get("added_tokens") or [])
         self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.known: dict[str, bytes | bool] = {}
 
@@ -101,12 +102,12 @@ class Encoder:
             return
         if len(self.known) > _CACHE:
             self.known.clear()
-        split = [self.PIECES.findall(text) for text in texts]
-        self._learn(list(set().union(*split).difference(self.known)))
+        split = [None if any(x in text for x in self.added) else self.PIECES.findall(text) for text in texts]
+        self._learn(list(set().union(*filter(None, split)).difference(self.known)))
         get = self.known.__getitem__
         for text, pieces in zip(texts, split, strict=True):
             try:
-                yield b"".join(map(get, pieces))
+                yield self._whole(text) if pieces is None else b"".join(map(get, pieces))
             except TypeError:  # an odd piece, which is False
                 yield self._whole(text)
 

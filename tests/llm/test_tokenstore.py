@@ -12,9 +12,7 @@ FILE = public_tokenizers.path("byte_bpe_50k.json")
 
 @pytest.fixture(scope="module")
 def plain():
-    t = Tokenizer.from_file(FILE)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(FILE)
 
 
 def test_digests_by_plain_code(spark, small, plain):
@@ -29,7 +27,7 @@ def test_digests_by_plain_code(spark, small, plain):
 
 def test_pieces_give_the_library_s_ids(plain, small):
     own = tokenstore.Encoder(FILE)
-    odd = ["a\x0bb c", "x²y 12½", "日本語 test 😀", "<|endoftext|> hi", "a b", "  two  spaces\n\n x\t\ty ", "don't I'll 'sx 're", "_a_b 1_000", "", "é'è ǆ€", "\x1c x", "ab́c"]
+    odd = ["a\x0bb c", "x²y 12½", "日本語 test 😀", "<|endoftext|> hi", "a <|endoftext|> b", "x<|endoftext|><|endoftext|>", "<|endof text|>", "a b", "  two  spaces\n\n x\t\ty ", "don't I'll 'sx 're", "_a_b 1_000", "", "é'è ǆ€", "\x1c x", "ab́c"]
     texts = odd + [d["text"] or "" for d in small]
     for _ in range(2):
         got = [np.frombuffer(raw, own.dtype).tolist() for raw in own.encode(texts)]
