@@ -3,12 +3,16 @@
 Shard file:  magic, id width in bytes (u32), zero (u32) | ids, little-endian, document after document |
              key (i64), key is null (u8), number of ids (u64) of each record | records (u64), ids (u64), magic
 Index file:  magic, numpy arrays by name (npz): the levels of the hash, and for each slot fingerprint (u32),
-             shard (u32), first id (u64), number of ids (u64), records of the key (u32)
-manifest.json: shards in ascending key order with their counts, index files by bucket.
-
-Documents are range-partitioned by key; a task encodes and writes one shard, in key order. A file's name
-is new for each attempt, and only files that a finished task reported are in the manifest, so attempts
-that died leave nothing that is read. Files are opened through pyarrow's file systems by URI.
+             shard, record in the shard (u32), first id, number of ids, records of the key (u64)
+shards.tab:  64 bytes a shard in ascending key order: name, ids, ids of all shards before, records, records without a key
+index.tab:   32 bytes an index file: name, by bucket
+manifest.json: numbers of shards, shards with records without a key, buckets, width of an id
+
+Documents are range-partitioned by key; a task encodes and writes one shard, in key order. A key of very
+many records goes over into further shards. A file's name is new for each attempt, and only files that a
+finished task reported are in the tables, so attempts that died leave nothing that is read. Whoever looks
+a key up reads two small records and one index file, however many there are. Files are opened through
+pyarrow's file systems by URI.
 """
 
 from __future__ import annotations
@@ -21,10 +25,12 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +46,9 @@ _HEAD = 16
 _TAIL = 24
 _CACHE = 800_000
 _FLUSH = 8 << 20
+#: Ids of neighbouring records that are read at once.
+_AT_ONCE = 1 << 20
+_SHARD = struct.Struct("<32sQQQQ")
 
 
 # --- encoding ---------------------------------------------------------------------------------------
@@ -138,7 +147,7 @@ def _shard_writer(folder: str, tokenizer: str, end_id: int):
     def run(batches):
         encoder = None
         keys, nulls, counts = [], [], []
-        name = f"shard-{uuid.uuid4().hex}.ids"
+        name = uuid.uuid4().hex
         fs = sink = None
         for batch in batches:
             if not batch.num_rows:
@@ -147,7 +156,7 @@ def _shard_writer(folder: str, tokenizer: str, end_id: int):
                 encoder = _encoder(tokenizer)
                 end = np.array([end_id], dtype=encoder.dtype).tobytes()
                 fs, inner = _open(folder)
-                sink = fs.open_output_stream(f"{inner}/{name}")
+                sink = fs.open_output_stream(f"{inner}/shard-{name}.ids")
                 sink.write(MAGIC + struct.pack("<II", encoder.width, 0))
             ids = batch["id"]
             keys.append(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -167,10 +176,8 @@ def _shard_writer(folder: str, tokenizer: str, end_id: int):
             sink.write(key.astype("<i8").tobytes() + null.astype("u1").tobytes() + n.tobytes())
             sink.write(struct.pack("<QQ", len(n), int(n.sum())) + MAGIC)
             sink.close()
-            low = int(key[~null].min()) if (~null).any() else None
-            yield pa.RecordBatch.from_pydict(
-                {"file": [name], "low": pa.array([low], pa.int64()), "n_null": [int(null.sum())], "n_docs": [len(n)], "n_ids": [int(n.sum())], "width": [encoder.width]}
-            )
+            at = TaskContext.get().partitionId()  # partitions are ranges of keys in ascending order
+            yield pa.RecordBatch.from_pydict({"at": [at], "name": [name], "n_null": [int(null.sum())], "n_docs": [len(n)], "n_ids": [int(n.sum())], "width": [encoder.width]})
 
     return run
 
@@ -240,27 +247,44 @@ def fingerprint(keys: np.ndarray) -> np.ndarray:
     return (mix64(keys.astype(np.uint64), 0xF1) >> np.uint64(32)).astype(np.uint32)
 
 
+#: What an index file holds of each key besides its fingerprint.
+_FIELDS = (("shard", np.uint32), ("record", np.uint32), ("first", np.uint64), ("n", np.uint64), ("records", np.uint64))
+
+
 def _index_writer(folder: str):
     def run(group: pa.Table) -> pa.Table:
-        t = {c: group[c].to_numpy() for c in ("key", "shard", "first", "n", "records")}
+        t = {c: group[c].to_numpy() for c in ("key", "shard", "record", "first", "n", "records")}
+        order = np.lexsort((t["shard"], t["key"]))
+        t = {c: x[order] for c, x in t.items()}
+        begin = np.flatnonzero(np.concatenate([[True], t["key"][1:] != t["key"][:-1]]))
+        records = np.add.reduceat(t["records"], begin)  # a key of many records may lie in several shards
+        t = {c: x[begin] for c, x in t.items()} | {"records": records}
         keys = t["key"].view(np.uint64)
         hash_ = PerfectHash.build(keys)
         slot, bucket = hash_.find(keys), int(group["bucket"][0].as_py())
         arrays = {"sizes": np.array([len(x) for x in hash_.levels], dtype=np.uint64), "bits": np.packbits(np.concatenate(hash_.levels)), "print": np.empty(len(keys), np.uint32)}
         arrays["print"][slot] = fingerprint(keys)
-        for name, kind in (("shard", np.uint32), ("first", np.uint64), ("n", np.uint64), ("records", np.uint32)):
+        for name, kind in _FIELDS:
             arrays[name] = np.empty(len(keys), kind)
             arrays[name][slot] = t[name]
-        name, raw = f"index-{bucket:06d}-{uuid.uuid4().hex}.mph", io.BytesIO()
+        name, raw = uuid.uuid4().hex, io.BytesIO()
         np.savez(raw, **arrays)
         fs, inner = _open(folder)
-        with fs.open_output_stream(f"{inner}/{name}") as sink:
+        with fs.open_output_stream(f"{inner}/index-{name}.mph") as sink:
             sink.write(INDEX_MAGIC + raw.getvalue())
-        return pa.table({"bucket": pa.array([bucket], pa.int64()), "file": [name], "n": pa.array([len(keys)], pa.int64())})
+        return pa.table({"bucket": pa.array([bucket], pa.int64()), "name": [name]})
 
     return run
 
 
+class Shard(NamedTuple):
+    name: str
+    n_ids: int
+    start: int  # ids of all shards before
+    n_docs: int
+    n_null: int
+
+
 class TokenStore:
     """Keyed and sequential access to a store that `write_store` made."""
 
@@ -268,28 +292,38 @@ class TokenStore:
         self.folder = folder
         self.fs, self.inner = _open(folder)
         with self.fs.open_input_file(f"{self.inner}/manifest.json") as f:
-            self.manifest = json.loads(f.read())
-        self.shards = self.manifest["shards"]
-        self.starts = np.concatenate([[0], np.cumsum([s["n_ids"] for s in self.shards], dtype=np.int64)]) if self.shards else np.zeros(1, np.int64)
-        self._index: dict[int, tuple] = {}
+            manifest = json.loads(f.read())
+        self.n_shards, self.null_shards, self.buckets, self.width = (manifest[x] for x in ("shards", "null_shards", "buckets", "width"))
+        self._index: dict[int, tuple | None] = {}
+        self._own: dict[int, tuple] = {}
+        self.loads = 0  # index files read
+
+    def _entry(self, table: str, at: int, size: int) -> bytes:
+        with self.fs.open_input_file(f"{self.inner}/{table}.tab") as f:
+            return f.read_at(size, at * size)
+
+    def shard(self, number: int) -> Shard:
+        name, *numbers = _SHARD.unpack(self._entry("shards", number, _SHARD.size))
+        return Shard(name.decode(), *numbers)
 
     def _bucket(self, bucket: int):
         if bucket not in self._index:
-            name = self.manifest["index"].get(str(bucket))
-            if name is None:
-                return None
-            with self.fs.open_input_file(f"{self.inner}/{name}") as f:
-                a = dict(np.load(io.BytesIO(f.read()[len(INDEX_MAGIC) :])))
-            ends = np.cumsum(a["sizes"].astype(np.int64))
-            bits = np.unpackbits(a.pop("bits"), count=int(ends[-1])).astype(bool)
-            self._index = {bucket: (PerfectHash(np.split(bits, ends[:-1])), a)}  # one at a time in memory
+            name, found = self._entry("index", bucket, 32).decode(), None
+            if name.strip():
+                with self.fs.open_input_file(f"{self.inner}/index-{name}.mph") as f:
+                    a = dict(np.load(io.BytesIO(f.read()[len(INDEX_MAGIC) :])))
+                ends = np.cumsum(a["sizes"].astype(np.int64))
+                bits = np.unpackbits(a.pop("bits"), count=int(ends[-1])).astype(bool)
+                found = PerfectHash(np.split(bits, ends[:-1])), a
+                self.loads += 1
+            self._index = {bucket: found}  # one at a time in memory
         return self._index[bucket]
 
     def find(self, keys: np.ndarray) -> dict[str, np.ndarray]:
-        """shard (-1: not in the store), first id in the shard, number of ids and records of each key."""
+        """shard (-1: not in the store), record, first id, number of ids and records of each key."""
         keys = np.asarray(keys, dtype=np.int64)
-        out = {n: np.zeros(len(keys), dtype=np.int64) for n in ("first", "n", "records")} | {"shard": np.full(len(keys), -1, dtype=np.int64)}
-        buckets = bucket_of(keys, self.manifest["buckets"])
+        out = {n: np.zeros(len(keys), dtype=np.int64) for n, _ in _FIELDS} | {"shard": np.full(len(keys), -1, dtype=np.int64)}
+        buckets = bucket_of(keys, self.buckets)
         for b in np.unique(buckets):
             if (found := self._bucket(int(b))) is None:
                 continue
@@ -301,48 +335,73 @@ class TokenStore:
                 out[name][at[good]] = found[1][name][slot[good]]
         return out
 
-    def read(self, shard: int, first: int, n: int, file=None) -> np.ndarray:
-        """n ids of a shard from one position on."""
-        width = self.shards[shard]["width"]
-        f = file or self.fs.open_input_file(f"{self.inner}/{self.shards[shard]['file']}")
-        raw = f.read_at(n * width, _HEAD + first * width)
-        if file is None:
-            f.close()
-        return np.frombuffer(raw, f"<u{width}")
+    def spans(self, keys: np.ndarray) -> Iterator[tuple[int, int, int, int, int, int]]:
+        """(key, shard, record, records, first id, ids) of what each key has in each shard; ids are 0 for several records."""
+        e = self.find(keys)
+        for i in np.flatnonzero(e["shard"] >= 0).tolist():
+            key, shard, record, first, n, left = int(keys[i]), *(int(e[x][i]) for x in ("shard", "record", "first", "n", "records"))
+            if left == 1:
+                yield key, shard, record, 1, first, n
+                continue
+            while left > 0 and shard < self.n_shards:
+                here = min(left, self.shard(shard).n_docs - record)
+                yield key, shard, record, here, first, 0
+                shard, record, first, left = shard + 1, 0, 0, left - here
+
+    def _opened(self, number: int):
+        """One shard's row, file and, where asked for, record table at a time."""
+        if number not in self._own:
+            for _, file, _ in self._own.values():
+                file.close()
+            row = self.shard(number)
+            self._own = {number: (row, self.fs.open_input_file(f"{self.inner}/shard-{row.name}.ids"), {})}
+        return self._own[number]
+
+    def _table(self, number: int) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids, first id) of each record of a shard."""
+        row, _, held = self._opened(number)
+        if not held:
+            n = _records(self.fs, f"{self.inner}/shard-{row.name}.ids")[2].astype(np.int64)
+            held["n"], held["first"] = n, np.cumsum(n) - n
+        return held["n"], held["first"]
+
+    def read(self, spans) -> Iterator[tuple[int | None, int, np.ndarray]]:
+        """(key, place of the first id in the whole store, ids) of each record of the spans. Neighbours in a file are read at once."""
+        waiting: list[tuple] = []  # key, first, n
+
+        def flush(number: int):
+            if waiting:
+                row, file, _ = self._opened(number)
+                low, size = waiting[0][1], sum(w[2] for w in waiting)
+                ids = np.frombuffer(file.read_at(size * self.width, _HEAD + low * self.width), f"<u{self.width}")
+                for key, first, n in waiting:
+                    yield key, row.start + first, ids[first - low : first - low + n]
+                waiting.clear()
+
+        at = -1
+        for key, shard, record, records, first, n in spans:
+            if shard != at:
+                yield from flush(at)
+                at = shard
+            if records == 1 and n:
+                parts = ((first, n),)
+            else:
+                sizes, firsts = self._table(shard)
+                parts = zip(firsts[record : record + records].tolist(), sizes[record : record + records].tolist(), strict=True)
+            for begin, size in parts:
+                if waiting and (begin != waiting[-1][1] + waiting[-1][2] or begin - waiting[0][1] > _AT_ONCE):
+                    yield from flush(at)
+                waiting.append((key, begin, size))
+        yield from flush(at)
 
     def get(self, key: int) -> list[np.ndarray]:
         """The ids of each record of one key; empty if the key is not in the store."""
-        return [ids for _, _, _, ids in self.get_many([key])]
+        return [ids for _, _, ids in self.read(self.spans(np.array([key], dtype=np.int64)))]
 
-    def get_many(self, keys) -> Iterator[tuple[int, int, int, np.ndarray]]:
-        """(key, shard, first id, ids) of every record of the keys, each shard's in file order."""
-        keys = np.asarray(keys, dtype=np.int64)
-        e = self.find(keys)
-        order = np.lexsort((e["first"], e["shard"]))
-        open_shard, file = -1, None
-        for i in order[np.searchsorted(e["shard"][order], 0) :]:
-            shard, first = int(e["shard"][i]), int(e["first"][i])
-            if shard != open_shard:
-                if file is not None:
-                    file.close()
-                open_shard, file = shard, self.fs.open_input_file(f"{self.inner}/{self.shards[shard]['file']}")
-            if e["records"][i] == 1:
-                yield int(keys[i]), shard, first, self.read(shard, first, int(e["n"][i]), file)
-            else:
-                own, null, n = _records(self.fs, f"{self.inner}/{self.shards[shard]['file']}")
-                at = np.flatnonzero((own == keys[i]) & ~null)
-                firsts = np.cumsum(n) - n
-                for j in at:
-                    yield int(keys[i]), shard, int(firsts[j]), self.read(shard, int(firsts[j]), int(n[j]), file)
-        if file is not None:
-            file.close()
-
-    def null_records(self, shard: int) -> Iterator[tuple[int, np.ndarray]]:
-        """(first id, ids) of the records without a key, which come first."""
-        _, null, n = _records(self.fs, f"{self.inner}/{self.shards[shard]['file']}")
-        firsts = np.cumsum(n) - n
-        for j in np.flatnonzero(null):
-            yield int(firsts[j]), self.read(shard, int(firsts[j]), int(n[j]))
+    def null_records(self, shard: int) -> Iterator[tuple[None, int, np.ndarray]]:
+        """As `read`: the records without a key, which come first in a shard."""
+        if n := self.shard(shard).n_null:
+            yield from self.read([(None, shard, 0, n, 0, 0)])
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -355,8 +414,9 @@ def write_store(
     """Encode every whole text and write shards, index and manifest; returns the store's folder.
 
     Keys are integers; records lie in ascending key order, those without a key first. Null text: as the
-    empty text, which is the end id alone. A repeated key: its records lie side by side and `get` returns
-    them all. Empty table: a store without shards. Other columns are not read.
+    empty text, which is the end id alone. A repeated key: its records lie side by side, over several
+    shards if they are very many, and `get` returns them all. Empty table: a store without shards. Other
+    columns are not read.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -364,40 +424,49 @@ def write_store(
     fs, inner = _open(folder)
     fs.create_dir(inner, recursive=True)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    dealt = rows.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), F.col("text"))
-    made = dealt.mapInArrow(_shard_writer(folder, tokenizer, end_id), "file string, low long, n_null long, n_docs long, n_ids long, width long")
-    shards = sorted((r.asDict() for r in made.collect()), key=lambda r: (r["n_null"] == 0, r["low"] is not None, r["low"] or 0))
-    total = sum(s["n_docs"] for s in shards)
-    buckets = max(1, -(-total // index_bucket))
-    entries = _entries(spark, folder, shards, buckets)
-    index = entries.groupBy("bucket").applyInArrow(_index_writer(folder), "bucket long, file string, n long").collect() if shards else []
-    manifest = {"shards": shards, "buckets": buckets, "index": {str(r["bucket"]): r["file"] for r in index}}
-    with fs.open_output_stream(f"{inner}/manifest.json") as f:
-        f.write(json.dumps(manifest).encode())
+    # the last two part the records of one key, also those of one text
+    order = [F.col("id").asc_nulls_first(), "hash", "tie"]
+    rows = rows.withColumn("hash", F.xxhash64("text")).withColumn("tie", F.monotonically_increasing_id())
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "text")
+    made = dealt.mapInArrow(_shard_writer(folder, tokenizer, end_id), "at long, name string, n_null long, n_docs long, n_ids long, width long")
+    shards = sorted(made.collect(), key=lambda r: r["at"])  # a row for each shard
+    buckets = max(1, -(-sum(r["n_docs"] for r in shards) // index_bucket))
+    start, table = 0, io.BytesIO()
+    for r in shards:
+        table.write(_SHARD.pack(r["name"].encode(), r["n_ids"], start, r["n_docs"], r["n_null"]))
+        start += r["n_ids"]
+    names = [b" " * 32] * buckets
+    if shards:
+        index = _entries(spark, folder, [r["name"] for r in shards], buckets).groupBy("bucket").applyInArrow(_index_writer(folder), "bucket long, name string")
+        for r in index.collect():  # a row for each index file
+            names[r["bucket"]] = r["name"].encode()
+    manifest = {"shards": len(shards), "null_shards": sum(r["n_null"] > 0 for r in shards), "buckets": buckets, "width": shards[0]["width"] if shards else 4}
+    for file, content in (("shards.tab", table.getvalue()), ("index.tab", b"".join(names)), ("manifest.json", json.dumps(manifest).encode())):
+        with fs.open_output_stream(f"{inner}/{file}") as f:
+            f.write(content)
     return folder
 
 
-def _entries(spark: SparkSession, folder: str, shards: list[dict], buckets: int) -> DataFrame:
-    """An index row of each key, from the shards' record tables."""
-    schema = "bucket long, key long, shard long, first long, n long, records long"
+def _entries(spark: SparkSession, folder: str, names: list[str], buckets: int) -> DataFrame:
+    """An index row of each key and shard, from the shards' record tables."""
 
     def run(batches):
         fs, inner = _open(folder)
         for batch in batches:
-            for shard, file in zip(batch["shard"].to_pylist(), batch["file"].to_pylist(), strict=True):
-                key, null, n = _records(fs, f"{inner}/{file}")
-                first = np.cumsum(n) - n
-                key, n, first = key[~null], n[~null], first[~null]
-                if not len(key):
+            for shard, name in zip(batch["shard"].to_pylist(), batch["name"].to_pylist(), strict=True):
+                key, null, n = _records(fs, f"{inner}/shard-{name}.ids")
+                first, begin = np.cumsum(n) - n, np.concatenate([[True], key[1:] != key[:-1]])
+                begin[1:] |= null[:-1]
+                begin = np.flatnonzero(begin & ~null)
+                if not len(begin):
                     continue
-                begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
                 records = np.diff(np.concatenate([begin, [len(key)]]))
                 key = key[begin]
-                columns = (bucket_of(key, buckets), key, np.full(len(key), shard), first[begin], n[begin], records)
-                yield pa.RecordBatch.from_pydict({c: pa.array(x.astype(np.int64)) for c, x in zip("bucket key shard first n records".split(), columns, strict=True)})
+                columns = {"bucket": bucket_of(key, buckets), "key": key, "shard": np.full(len(key), shard), "record": begin, "first": first[begin], "n": n[begin], "records": records}
+                yield pa.RecordBatch.from_pydict({c: pa.array(x.astype(np.int64)) for c, x in columns.items()})
 
-    listed = spark.createDataFrame([(i, s["file"]) for i, s in enumerate(shards)] or [], "shard long, file string")
-    return listed.repartition(max(1, len(shards))).mapInArrow(run, schema)
+    listed = spark.createDataFrame(list(enumerate(names)), "shard long, name string")
+    return listed.repartition(len(names)).mapInArrow(run, "bucket long, key long, shard long, record long, first long, n long, records long")
 
 
 def read_digests(spark: SparkSession, folder: str, keys: DataFrame) -> DataFrame:
@@ -407,38 +476,45 @@ def read_digests(spark: SparkSession, folder: str, keys: DataFrame) -> DataFrame
     null among the keys stands for all records without a key. Keys that the store lacks give no row.
     """
     store = TokenStore(folder)
-    buckets, n_shards = store.manifest["buckets"], len(store.shards)
-    name = keys.columns[0]
-
-    def digest(store: TokenStore, key, shard: int, first: int, ids: np.ndarray):
-        return key, int(store.starts[shard]) + first, len(ids), zlib.crc32(ids.astype("<u4").tobytes())
+    columns = ("doc_id", "start", "n_tokens", "ids_crc32")
+
+    def digests(records) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for key, start, ids in records:
+            rows.append((key, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+            if len(rows) == 10_000:
+                yield pa.RecordBatch.from_pydict({c: pa.array(x, pa.int64()) for c, x in zip(columns, zip(*rows, strict=True), strict=True)})
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_pydict({c: pa.array(x, pa.int64()) for c, x in zip(columns, zip(*rows, strict=True), strict=True)})
+
+    def bucketed(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"key": batch["key"], "bucket": bucket_of(batch["key"].to_numpy(), store_buckets)})
 
-    def table(rows: list[tuple]) -> pa.RecordBatch:
-        columns = zip("doc_id start n_tokens ids_crc32".split(), zip(*rows, strict=True), strict=True)
-        return pa.RecordBatch.from_pydict({c: pa.array(x, pa.int64()) for c, x in columns})
+    def looked_up(group: pa.Table) -> pa.Table:
+        """All keys of one bucket, by its one index file."""
+        spans = list(TokenStore(folder).spans(group["key"].to_numpy()))
+        names = ("key", "shard", "record", "records", "first", "n")
+        return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(names, zip(*spans, strict=True) if spans else [()] * 6, strict=True)})
 
-    def by_key(batches):
+    def by_shard(batches):
         own = TokenStore(folder)
-        for batch in batches:
-            rows = [digest(own, *r) for r in own.get_many(batch["key"].to_numpy())]
-            if rows:
-                yield table(rows)
+        yield from digests(own.read(r for batch in batches for r in zip(*(batch[c].to_pylist() for c in ("key", "shard", "record", "records", "first", "n")), strict=True)))
 
     def without_key(batches):
         own = TokenStore(folder)
-        for batch in batches:
-            for shard in batch["shard"].to_pylist():
-                rows = [digest(own, None, shard, *r) for r in own.null_records(shard)]
-                if rows:
-                    yield table(rows)
-
-    schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
-    # keys of one range of ids lie in few shards, so that reads are close together
-    distinct = keys.select(F.col(name).cast("long").alias("key")).filter("key IS NOT NULL").distinct()
-    found = distinct.repartitionByRange("key").mapInArrow(by_key, schema)
-    nulls = [i for i in range(n_shards) if store.shards[i]["n_null"]]
-    if nulls:
-        listed = spark.createDataFrame([(i,) for i in nulls], "shard long")
+        yield from digests(r for batch in batches for shard in batch["shard"].to_pylist() for r in own.null_records(shard))
+
+    store_buckets, schema = store.buckets, "doc_id long, start long, n_tokens long, ids_crc32 long"
+    distinct = keys.select(F.col(keys.columns[0]).cast("long").alias("key")).filter("key IS NOT NULL").distinct()
+    spans = distinct.mapInArrow(bucketed, "key long, bucket long").groupBy("bucket").applyInArrow(looked_up, "key long, shard long, record long, records long, first long, n long")
+    # the ids are many times the keys: as many tasks as shards
+    spans = spans.repartition(max(1, store.n_shards), "shard").sortWithinPartitions("shard", "record")
+    found = spans.mapInArrow(by_shard, schema)
+    if store.null_shards:
+        asked = keys.filter(F.col(keys.columns[0]).isNull()).limit(1).count()
+        listed = spark.range(store.null_shards if asked else 0).withColumnRenamed("id", "shard").repartition(max(1, store.null_shards), "shard")
         found = found.unionByName(listed.mapInArrow(without_key, schema))
     return found
 

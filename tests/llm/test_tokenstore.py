@@ -50,7 +50,7 @@ def test_store_with_awkward_rows(spark, docs, empty, plain, tmp_path):
     rows = docs.select("doc_id", "text").collect()
     want = sorted(([*plain.encode(r.text or "", add_special_tokens=False).ids, 2] for r in rows), key=str)
     own = [ids.tolist() for key in {r.doc_id for r in rows} - {None} for ids in store.get(key)]
-    none = [ids.tolist() for s in range(len(store.shards)) for _, ids in store.null_records(s)]
+    none = [ids.tolist() for s in range(store.n_shards) for _, _, ids in store.null_records(s)]
     assert sorted(own + none, key=str) == want and len(none) == 2
     assert len(store.get(7)) == 2 and store.get(12345) == [] and store.get(-1) == []
     shown = tokenstore.read_digests(spark, folder, docs.select("doc_id")).collect()
@@ -60,3 +60,25 @@ def test_store_with_awkward_rows(spark, docs, empty, plain, tmp_path):
     assert [r.doc_id for r in sorted(shown, key=lambda r: r.start)] == sorted((r.doc_id for r in rows), key=lambda i: (i is not None, i or 0))
     none = tokenstore.write_store(empty, f"file://{tmp_path}/none", tokenizer=FILE)
     assert tokenstore.TokenStore(none).get(1) == [] and tokenstore.read_digests(spark, none, empty.select("doc_id")).count() == 0
+
+
+def test_a_bucket_s_index_is_read_once_and_a_key_of_many_records_parts_over_shards(spark, plain, tmp_path):
+    rows = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 WHEN id % 3 = 1 THEN NULL ELSE id END AS doc_id", "concat('text ', id % 50) AS text")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        folder = tokenstore.write_store(rows.repartition(6), f"file://{tmp_path}/store", tokenizer=FILE, index_bucket=100)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    store = tokenstore.TokenStore(folder)
+    keys = np.array([r.doc_id for r in rows.filter("doc_id IS NOT NULL").distinct().collect()], np.int64)
+    found = list(store.spans(np.unique(keys)))
+    assert store.loads <= store.buckets and store.buckets == 30
+    assert len({s for k, s, *_ in found if k == 7}) > 1 and len(store.get(7)) == 1000
+    shown = tokenstore.read_digests(spark, folder, rows.select("doc_id")).collect()
+    at = sorted((r.start, r.n_tokens) for r in shown)
+    assert len(at) == 3000 and at[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(at, at[1:]))
+    order = [r.doc_id for r in sorted(shown, key=lambda r: r.start)]
+    assert order == sorted(order, key=lambda i: (i is not None, i or 0))
+    ids = [*plain.encode("text 3", add_special_tokens=False).ids, 2]
+    assert sum(r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes()) for r in shown) == 60
+    assert tokenstore.read_digests(spark, folder, rows.filter("doc_id = 7").select("doc_id")).count() == 1000
