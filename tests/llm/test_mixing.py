@@ -52,3 +52,36 @@ def test_awkward_rows(docs, empty):
     assert len(got) == docs.count() and all(r.taken <= 2 * r.size for r in got)
     assert mixing.mixed_documents(docs).columns == docs.columns
     assert mixing.mix(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
+
+
+def near(rows):
+    """Whether each source's taken words are within a longest document of its target."""
+    taken, target, longest = defaultdict(int), {}, defaultdict(int)
+    for r in rows:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        longest[r.source] = max(longest[r.source], r.size)
+    return all(abs(taken[s] - target[s]) <= longest[s] for s in target)
+
+
+def test_rows_without_id_or_with_one_id_come_near_the_target(spark):
+    columns = "CASE WHEN id < 500 THEN 'a' ELSE 'b' END AS source"
+    text = "CASE WHEN id % 3 = 0 THEN 'three words here' ELSE concat('some four words ', id) END AS text"
+    for doc_id in ("CAST(NULL AS LONG)", "7L", "id % 2", "CASE WHEN id % 3 > 0 THEN id END"):
+        df = spark.range(1000).selectExpr(f"{doc_id} AS doc_id", text, columns, "id AS __number")
+        got = mixing.mix(df, weights=(5, 2)).collect()
+        assert len(got) == 1000 and near(got)
+        again = mixing.mix(df.repartition(9), weights=(5, 2)).collect()
+        assert sorted(map(str, got)) == sorted(map(str, again)), "reruns agree"
+        mixed = mixing.mixed_documents(df, weights=(5, 2))
+        assert mixed.columns == df.columns and mixed.count() == sum(r.times for r in got)
+        assert {r.n for r in mixed.groupBy("__number").agg(F.count("*").alias("n")).collect()} <= {1, 2}
+
+
+def test_weights_of_zero_are_spread_and_come_last(spark):
+    df = spark.range(3000).selectExpr("id AS doc_id", "'one two three' AS text", "CASE WHEN id < 2000 THEN 's' ELSE 't' END AS source", "CASE id % 4 WHEN 0 THEN 0.0 WHEN 1 THEN NULL WHEN 2 THEN double('NaN') ELSE 1e-3 END AS w")
+    got = mixing.mix(df, weight=F.col("w"), weights=(1, 10), share=0.5).collect()
+    mine = [r for r in got if r.source == "s"]
+    assert near(got) and 0 < sum(r.times for r in mine) < 500 and all(r.id % 4 == 3 for r in mine if r.times)
+    keyed = mixing._keyed(mixing._measured(df, "doc_id", "text", "source", F.col("w")), None, mixing.KEY_BUCKETS, "mix")
+    assert keyed.groupBy("__bucket").count().agg(F.max("count")).first()[0] < 10
