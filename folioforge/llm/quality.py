@@ -13,11 +13,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, stage_table
+from .common import SPACES, stage_table, unused, whole
 
-#: A line is removed in a host if more than max(MIN_DOCS, MAX_SHARE * documents of the host) documents hold it.
+#: A line is removed in a host if more than min(MAX_DOCS, max(MIN_DOCS, MAX_SHARE * different texts of the host)) different texts hold it.
 MIN_DOCS = 10
 MAX_SHARE = 0.01
+MAX_DOCS = 10_000
+#: Frequent lines that are broadcast; with more of them only those of the most texts are, and the others are joined by shuffle.
+BROADCAST_LINES = 1_000_000
 #: A document is rejected if less than this share of its words is left.
 KEEP_SHARE = 0.5
 MIN_WORDS = 20
@@ -100,6 +103,23 @@ def profile(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def _hits(occurrences: DataFrame, frequent: DataFrame, broadcast_lines: int) -> DataFrame:
+    """Occurrences of frequent lines. The lines of the most texts, which are hot keys, are always broadcast."""
+    same = (F.col("h") == F.col("__h")) & F.col("host").eqNullSafe(F.col("__host"))
+    if frequent.count() <= broadcast_lines:
+        return occurrences.join(F.broadcast(frequent), same)
+    # a line's power of two is its class; whole classes are broadcast from the top, as many as fit
+    classes = frequent.groupBy(F.floor(F.log2("n")).alias("c")).count().orderBy(F.desc("c")).collect()  # 64 rows at most
+    fit, low = broadcast_lines, 64
+    for r in classes:
+        fit -= r["count"]
+        if fit < 0:
+            break
+        low = r["c"]
+    hot = F.floor(F.log2("n")) >= low
+    return occurrences.join(F.broadcast(frequent.filter(hot)), same).unionByName(occurrences.join(frequent.filter(~hot), same))
+
+
 def line_rules(
     docs: DataFrame,
     *,
@@ -108,29 +128,30 @@ def line_rules(
     host_col: str = "source",
     min_docs: int = MIN_DOCS,
     max_share: float = MAX_SHARE,
+    max_docs: int = MAX_DOCS,
     keep_share: float = KEEP_SHARE,
+    broadcast_lines: int = BROADCAST_LINES,
 ) -> DataFrame:
     """One row per row of `docs`: id, host, content (hash of the text), the base counts, base_failed,
     n_removed_words, removed (hashes of the removed lines, ascending), kept.
 
-    A line's count is that of the different texts of the host that hold it, so that copies of a document
-    are one document. A document is kept if it passes the base rules (MIN_WORDS words at least, at most
+    A line's count is that of the different texts of the host that hold it, and its limit a share of the
+    host's different texts, so that copies of a document are one document on both sides. A document is kept if it passes the base rules (MIN_WORDS words at least, at most
     REPEAT_SHARE of them in repeated windows of WINDOW words) and at least `keep_share` of its words is left.
 
     Null text: as the empty text, rejected for want of words. Null host: a host of its own. Null id: kept
     as it is. Repeated rows: judged alike. Empty table: empty result. Other columns are not read.
     """
     facts = stage_table(profile(docs, id_col=id_col, text_col=text_col, host_col=host_col), "line-profile")
-    hosts = facts.groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
+    hosts = facts.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
     lines = facts.select("host", "content", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
     # documents of one text fall together before lines are counted; what remains is summed on the map side
     counts = lines.distinct().groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > min_docs)
-    frequent = counts.join(hosts.withColumnRenamed("host", "__host"), F.col("host").eqNullSafe(F.col("__host"))).filter(
-        F.col("n") > F.lit(float(max_share)) * F.col("docs")
-    )
-    frequent = stage_table(frequent.select("__host", F.col("h").alias("__h")), "frequent-lines")
+    limit = F.least(F.lit(float(max_docs)), F.lit(float(max_share)) * F.col("docs"))
+    frequent = counts.join(hosts.withColumnRenamed("host", "__host"), F.col("host").eqNullSafe(F.col("__host"))).filter(F.col("n") > limit)
+    frequent = stage_table(frequent.select("__host", F.col("h").alias("__h"), "n"), "frequent-lines")
     occurrences = facts.select("row", "host", F.explode("lines").alias("x")).select("row", "host", "x.h", "x.w")
-    hits = occurrences.join(frequent, (F.col("h") == F.col("__h")) & F.col("host").eqNullSafe(F.col("__host")))
+    hits = _hits(occurrences, frequent, broadcast_lines)
     removed = hits.groupBy("row").agg(
         F.sum("w").cast("long").alias("n_removed_words"), F.sort_array(F.collect_set("h")).alias("removed")
     )
@@ -152,18 +173,16 @@ def cleaned_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     Rows that are repeated stay repeated. Nulls and ties: as in `line_rules`.
     """
     ruled = line_rules(docs, id_col=id_col, text_col=text_col, host_col=host_col, **limits).filter("kept")
-    ruled = ruled.groupBy("id", "host", "content").agg(F.first("removed").alias("__removed"))  # equal keys are equal rows
-    ruled = ruled.select(F.col("id").alias("__id"), F.col("host").alias("__host"), F.col("content").alias("__content"), "__removed")
-    keyed = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    joined = keyed.join(
-        ruled,
-        F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__content")) & F.col(host_col).eqNullSafe(F.col("__host")),
+    (found,) = unused(docs, "found")
+    ruled = ruled.groupBy("id", "host", "content").agg(F.first("removed").alias("removed")).select(F.struct("*").alias(found))  # equal keys are equal rows
+    rule, text = F.col(found), F.col(text_col)
+    joined = docs.join(
+        ruled, F.col(id_col).eqNullSafe(rule["id"]) & (F.xxhash64(F.coalesce(text, F.lit(""))) == rule["content"]) & F.col(host_col).eqNullSafe(rule["host"])
     )
-    text = F.col(text_col)
     paired = F.arrays_zip(F.split(text, "\n").alias("raw"), F.transform(normal_lines(text), lambda x: F.xxhash64(x)).alias("h"))
-    left = F.array_join(F.transform(F.filter(paired, lambda z: ~F.array_contains(F.col("__removed"), z["h"])), lambda z: z["raw"]), "\n")
-    cleaned = F.when(F.size("__removed") > 0, left).otherwise(text)
-    return joined.select(*[(cleaned.alias(c) if c == text_col else F.col(f"`{c}`")) for c in docs.columns])
+    left = F.array_join(F.transform(F.filter(paired, lambda z: ~F.array_contains(rule["removed"], z["h"])), lambda z: z["raw"]), "\n")
+    cleaned = F.when(F.size(rule["removed"]) > 0, left).otherwise(text)
+    return joined.select(*[cleaned.alias(name) if name == text_col else c for c, name in zip(whole(docs), docs.columns, strict=True)])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -191,9 +210,9 @@ norm AS (
   SELECT r, source, text, trim(regexp_replace(translate(translate(line, '{UPPER}', '{LOWER}'),
          chr(9) || chr(11) || chr(12) || chr(13), '    '), ' {{2,}}', ' ', 'g'), ' ') AS line FROM raw),
 cnt AS (SELECT source, line, count(DISTINCT text) AS n FROM norm WHERE line <> '' GROUP BY source, line),
-host AS (SELECT source, count(*) AS docs FROM d GROUP BY source),
+host AS (SELECT source, count(DISTINCT text) AS docs FROM d GROUP BY source),
 freq AS (SELECT c.source, c.line FROM cnt c JOIN host h ON c.source IS NOT DISTINCT FROM h.source
-         WHERE c.n > {MIN_DOCS} AND c.n > {MAX_SHARE}::DOUBLE * h.docs),
+         WHERE c.n > {MIN_DOCS} AND c.n > least({MAX_DOCS}::DOUBLE, {MAX_SHARE}::DOUBLE * h.docs)),
 gone AS (SELECT m.r, sum(length(m.line) - length(replace(m.line, ' ', '')) + 1)::BIGINT AS n
          FROM norm m JOIN freq f ON m.source IS NOT DISTINCT FROM f.source AND m.line = f.line GROUP BY m.r),
 a AS (

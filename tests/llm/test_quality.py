@@ -41,6 +41,34 @@ def test_copies_of_a_text_count_once(spark):
     assert all(r.kept for r in quality.line_rules(df).collect())
 
 
+def test_copies_do_not_dilute_the_limit(spark):
+    footer, own = "a footer of the site that many of its pages have", "page {0} has quite many words of its own which make up nearly all of it page {0} of {0} pages in all"
+    rows = [(i, f"{own.format(i)}\n{footer}", "h") for i in range(15)] + [(100 + i, own.format("copied"), "h") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    removed = {r.id: r.n_removed_words for r in quality.line_rules(df).collect()}
+    assert all(removed[i] == len(footer.split()) for i in range(15)) and removed[100] == 0
+
+
+def test_limit_stops_at_a_number_of_texts(spark):
+    rows = [(i, f"line of {i % 2}\nown {i}", "h") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    count = lambda **limits: sum(r.n_removed_words > 0 for r in quality.line_rules(df, **limits).collect())
+    assert (count(max_share=0.6), count(max_share=0.6, max_docs=29), count(max_share=0.6, max_docs=30)) == (0, 60, 0)
+
+
+def test_frequent_lines_beyond_the_broadcast_bound_are_joined(spark):
+    rows = [(i, "\n".join(f"line {k} of many" for k in range(8) if i % (k + 1) == 0) + f"\nown {i}", None if i % 5 else "h") for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = sorted(map(str, quality.line_rules(df).collect()))
+    assert all(sorted(map(str, quality.line_rules(df, broadcast_lines=n).collect())) == want for n in (0, 1, 3))
+
+
+def test_user_columns_keep_their_names(spark, docs):
+    own = docs.selectExpr("*", "'mine' AS __hash", "'y' AS found", "'z' AS removed")
+    got = quality.cleaned_documents(own)
+    assert got.columns == own.columns and {(r["__hash"], r.found, r.removed) for r in got.collect()} == {("mine", "y", "z")}
+
+
 def test_awkward_rows(docs, empty):
     got = quality.line_rules(docs).collect()
     assert len(got) == docs.count()
