@@ -8,27 +8,41 @@ from pyspark.sql import functions as F
 from .common import drop_stage, stage_table
 
 MAX_ROUNDS = 60
+#: A node of more than this share of all links is hot: 2 / HOT_SHARE nodes at most, which are broadcast.
+HOT_SHARE = 1e-4
+HOT_LINKS = 256
+
+
+def _hung(edges: DataFrame, least: DataFrame, n_links: int) -> DataFrame:
+    """`edges` (u, v) with the m of their u from `least` (x, m, n), n being the number of u's edges.
+
+    The edges of a hot node are not brought to one task: its m is broadcast.
+    """
+    at = F.col("u") == F.col("x")
+    hot = F.col("n") > max(HOT_LINKS, int(HOT_SHARE * n_links))
+    few = F.broadcast(least.filter(hot))
+    return edges.join(few, at).select("v", "m").unionByName(edges.join(few, at, "left_anti").join(least.filter(~hot), at).select("v", "m"))
 
 
 def connected_components(links: DataFrame) -> DataFrame:
     """(a, b) links of long ids -> (node, root) for every node but the roots; root is the least id of the component.
 
     Each round hangs every neighbour of a node below the least one it knows. Minima are aggregated before
-    they are shuffled and joined back, so that a node with very many links is no group of one task. Every
+    they are shuffled, and those of nodes with very many links are broadcast back to the links. Every
     round's edges are written to the shared folder and replace those of the last. Links of a node to
     itself and repeated links do no harm. No links: no rows.
     """
     edges = stage_table(
         links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links"
     )
-    mark = None
+    mark, n_links = None, edges.count()
     for _ in range(MAX_ROUNDS):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, F.col("u") == F.col("x")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select(F.col("u").alias("x"), F.least("u", "m").alias("m"), "n")
+        large = _hung(both.filter("v > u"), least, n_links).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.filter("u <> v").distinct()
-        below = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), "m")
-        small = large.join(below, F.col("u") == F.col("x")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        below = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select(F.col("u").alias("x"), "m", "n")
+        small = _hung(large, below, n_links).select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.filter("u <> v").unionByName(below.select(F.col("x").alias("u"), F.col("m").alias("v"))).distinct()
         new = stage_table(small, "links")
         drop_stage(edges)
@@ -36,7 +50,7 @@ def connected_components(links: DataFrame) -> DataFrame:
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break
-        mark = now
+        mark, n_links = now, now[0]
     else:
         raise RuntimeError(f"components are not settled after {MAX_ROUNDS} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -4,7 +4,8 @@ Documents with one and the same shingle set are one node. Nodes that share a ban
 first every member of a bucket is verified against the bucket's least node; then, in the buckets that
 still hold nodes of several components, all pairs across components whose signatures agree well enough
 are verified, and only links that join components leave the task. Large buckets are dealt in pairs of
-blocks. Every link is verified on the full sets of both texts.
+blocks, first of signatures alone; texts go only to the pairs of blocks, and of those only to the nodes,
+whose signatures agree. Every link is verified on the full sets of both texts.
 
 With 48 bands of 5 coordinates, two sets of similarity 0.75 share no band with probability 2e-6.
 """
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stage_table
+from .common import small_batches, stage_table, unused, whole
 from .components import connected_components
 from .shingles import Circulant, band_keys, shingle_set, similar
 
@@ -127,36 +128,64 @@ class _Union(dict):
             self[max(a, b)] = min(a, b)
 
 
+def _close(r: tuple, key: int, component: np.ndarray, bands: np.ndarray, sig: np.ndarray, agree: np.ndarray) -> np.ndarray:
+    """The rows whose signatures agree with r's, of other components, and share no band with it before this bucket's."""
+    close = np.flatnonzero((agree >= AGREE * BANDS * ROWS) & (component != r[2]))
+    if not len(close):
+        return close
+    mine = np.frombuffer(r[3], np.int64)
+    band = int(np.flatnonzero(mine == key)[0])
+    return close[~(bands[close, :band] == mine[:band]).any(axis=1)]
+
+
+def _halves(rows: list[tuple], across: bool) -> tuple[list[tuple], list[tuple]]:
+    """The rows that are compared with each other; within one block the same ones twice."""
+    if not across:
+        return rows, rows
+    return [r for r in rows if r[0] == rows[0][0]], [r for r in rows if r[0] != rows[0][0]]
+
+
+def _pairs(key: int, left: list[tuple], right: list[tuple], across: bool):
+    """(row of left, places in right that it is to be compared with, best first)."""
+    if not right:
+        return
+    bands = np.array([np.frombuffer(r[3], np.int64) for r in right])
+    sig = np.array([np.frombuffer(r[4], np.uint8) for r in right])
+    component = np.array([r[2] for r in right])
+    for i, r in enumerate(left):
+        last = len(right) if across else i
+        agree = (sig[:last] == np.frombuffer(r[4], np.uint8)).sum(axis=1)
+        close = _close(r, key, component[:last], bands[:last], sig[:last], agree)
+        if len(close):
+            yield r, close[np.argsort(-agree[close], kind="stable")]
+
+
+def promising(key: int, rows: list[tuple], across: bool) -> list[tuple[int, int]]:
+    """(block, node) of the rows that are to be compared with any other. rows: (block, node, component, bands, sig)."""
+    left, right = _halves(rows, across)
+    found = set()
+    for r, close in _pairs(key, left, right, across):
+        found.add(r[:2])
+        found.update(right[j][:2] for j in close)
+    return sorted(found)
+
+
 def verify_bucket(key: int, rows: list[tuple], across: bool) -> list[tuple[int, int]]:
     """Links that join components of one bucket, or of two blocks of it if `across`.
 
-    rows: (block, node, component, text, bands, sig). A pair belongs to the first band that its nodes share.
+    rows: (block, node, component, bands, sig, text). A pair belongs to the first band that its nodes share.
     """
-    left = [r for r in rows if not across or r[0] == rows[0][0]]
-    right = [r for r in rows if r[0] != rows[0][0]] if across else rows
-    if not right:
-        return []
-    bands = np.array([np.frombuffer(r[4], np.int64) for r in right])
-    sig = np.array([np.frombuffer(r[5], np.uint8) for r in right])
-    component = np.array([r[2] for r in right])
+    left, right = _halves(rows, across)
     sets: dict[int, np.ndarray] = {}
     known, links = _Union(), []
 
     def of(r):
         if r[1] not in sets:
-            sets[r[1]] = shingle_set(r[3])
+            sets[r[1]] = shingle_set(r[5])
         return sets[r[1]]
 
-    for i, r in enumerate(left):
-        last = len(right) if across else i
-        agree = (sig[:last] == np.frombuffer(r[5], np.uint8)).sum(axis=1)
-        close = np.flatnonzero((agree >= AGREE * BANDS * ROWS) & (component[:last] != r[2]))
-        if not len(close):
-            continue
-        mine = np.frombuffer(r[4], np.int64)
-        band = int(np.flatnonzero(mine == key)[0])
-        close = close[~(bands[close, :band] == mine[:band]).any(axis=1)]
-        for j in close[np.argsort(-agree[close], kind="stable")]:
+    for r, close in _pairs(key, left, right, across):
+        for j in close:
             other = right[j]
             if known.find(r[2]) != known.find(other[2]) and similar(of(r), of(other), PERCENT):
                 known.join(r[2], other[2])
@@ -164,15 +193,24 @@ def verify_bucket(key: int, rows: list[tuple], across: bool) -> list[tuple[int,
     return links
 
 
+_CELL = ["key", "i", "j", "block", "node", "component", "bands", "sig"]
+
+
+def _promising_cells(batches):
+    for (key, i, j), rows in groupby(_rows(batches, _CELL), key=lambda r: r[:3]):
+        if found := promising(key, [r[3:] for r in rows], i != j):
+            block, node = zip(*found, strict=True)
+            yield pa.RecordBatch.from_pydict({c: pa.array(x, pa.int64()) for c, x in zip(_CELL, ([key] * len(found), [i] * len(found), [j] * len(found), block, node))})
+
+
 def _verify_blocks(batches):
-    columns = ["key", "i", "j", "block", "node", "component", "text", "bands", "sig"]
-    for (key, i, j), rows in groupby(_rows(batches, columns), key=lambda r: r[:3]):
+    for (key, i, j), rows in groupby(_rows(batches, [*_CELL, "text"]), key=lambda r: r[:3]):
         if links := verify_bucket(key, [r[3:] for r in rows], i != j):
             yield _links(links)
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of `docs`: doc_id, n_shingles, component_id, kept.
+    """One row per row of `docs`: doc_id, n_shingles, component_id, kept. Ids may be of any type that has an order.
 
     Shingles are the distinct runs of five words, A-Z lower-cased; a shorter text is one shingle. Documents
     are linked at a Jaccard similarity of 0.75 or more; component_id is the least id that links reach,
@@ -190,9 +228,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def _labelled(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
     """The result of `near_duplicates` with the node of each row, and the seed of the nodes' hashes."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
     for seed in range(8):
-        facts = stage_table(rows.mapInArrow(_profile(seed), "id long, n long, node long, check long, bands array<long>"), "profile")
+        facts = stage_table(rows.mapInArrow(_profile(seed), f"id {kind}, n long, node long, check long, bands array<long>"), "profile")
         nodes = stage_table(
             facts.filter("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("low"), (F.min("check") != F.max("check")).alias("clash")), "nodes"
         )
@@ -248,9 +287,14 @@ def _block_links(members: DataFrame, roots: DataFrame, texts: DataFrame) -> Data
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"))
     mixed = mixed.filter("lo <> hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     open_ = placed.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    cells = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("key", "node", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    full = cells.join(texts.withColumnRenamed("node", "x"), F.col("node") == F.col("x")).drop("x")
+    marks = texts.select(F.col("node").alias("x"), "bands", "sig")
+    cells = open_.join(marks, F.col("node") == F.col("x")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "bands", "sig")
+    dealt = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "block", "node")
+    found = stage_table(dealt.mapInArrow(_promising_cells, "key long, i long, j long, block long, node long"), "promising")
+    component = roots.select(F.col("node").alias("y"), "root")
+    full = found.join(texts.withColumnRenamed("node", "x"), F.col("node") == F.col("x")).join(component, F.col("node") == F.col("y"), "left")
+    full = full.select("key", "i", "j", "block", "node", F.coalesce("root", "node").alias("component"), "bands", "sig", "text")
     dealt = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "block", "node")
     return dealt.mapInArrow(_verify_blocks, "a long, b long")
 
@@ -272,14 +316,14 @@ def deduplicated_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     """
     labels, seed = _labelled(docs, id_col, text_col)
     kept = stage_table(labels.filter("kept").select("doc_id", "node", "n_shingles"), "kept")
-    ids = kept.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("__id")).distinct()
-    rows = docs.join(ids, F.col(id_col).cast("long") == F.col("__id")).drop("__id").dropDuplicates([id_col])
-    nodes = kept.filter("doc_id IS NULL AND n_shingles > 0").select(F.col("node").alias("__kept")).distinct()
-    bare = docs.filter(F.col(id_col).isNull()).withColumn("__node", _node_of(seed)(F.col(text_col)))
-    chosen = bare.join(nodes, F.col("__node") == F.col("__kept")).dropDuplicates(["__node"])
-    empty = bare.filter("__node IS NULL")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return rows.select(*columns).unionByName(chosen.select(*columns)).unionByName(empty.select(*columns))
+    own, node = unused(docs, "own", "node")
+    ids = kept.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias(own)).distinct()
+    rows = docs.join(ids, F.col(id_col) == F.col(own)).drop(own).dropDuplicates([id_col])
+    nodes = kept.filter("doc_id IS NULL AND n_shingles > 0").select(F.col("node").alias(own)).distinct()
+    bare = docs.filter(F.col(id_col).isNull()).withColumn(node, _node_of(seed)(F.col(text_col)))
+    chosen = bare.join(nodes, F.col(node) == F.col(own)).dropDuplicates([node])
+    empty = bare.filter(F.col(node).isNull())
+    return rows.select(*whole(docs)).unionByName(chosen.select(*whole(docs))).unionByName(empty.select(*whole(docs)))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
