@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import caches
-from .common import small_batches
+from .common import small_batches, unused, whole
 
 N_BEST = 4
 #: Shift of ranks in the law.
@@ -228,8 +228,7 @@ def segment(docs: DataFrame, *, vocabulary: str, n: int = N_BEST, text_col: str
             lambda t: None if t is None else [{"score": s / UNIT, "ids": np.frombuffer(raw, own.dtype).astype(np.int32)} for s, raw in own.n_best(t, n)]
         )
 
-    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != out], F.col(text_col).alias("__text"))
-    return kept.withColumn(out, run("__text")).drop("__text")
+    return docs.select(*[c for c, name in zip(whole(docs), docs.columns, strict=True) if name.lower() != out.lower()], run(F.col(text_col)).alias(out))
 
 
 def digests(docs: DataFrame, *, vocabulary: str, n: int = N_BEST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -266,27 +265,34 @@ def digests(docs: DataFrame, *, vocabulary: str, n: int = N_BEST, id_col: str =
 
 
 def encoded_documents(docs: DataFrame, *, vocabulary: str, n: int = N_BEST, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, the columns `keep`, and of each row of `docs` its best segmentation: ids, score, and margin, by how much it beats the n-th (0 if it is the only one)."""
+    """id, the columns `keep`, and of each row of `docs` its best segmentation: ids, score, and margin, by how much it beats the n-th (0 if it is the only one).
+
+    Null, empty and repeated texts and ids: as in `digests`, a row each, of no pieces where there is no text.
+    Where a kept column is called ids, score or margin, the new one of that name begins with an underscore.
+    Empty table: no rows.
+    """
     small_batches(docs.sparkSession)
     names = [id_col, *keep]
+    kept_columns = docs.select(*[F.col(f"`{c}`") for c in names])
+    text, *made = unused(kept_columns, "text", "ids", "score", "margin")
     kind = {f.name: f.dataType.simpleString() for f in docs.schema}
 
     def run(batches):
         own = segmenter(vocabulary)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
-                found = [own.n_best(t, n) for t in batch["__text"].slice(start, 256).to_pylist()]
+                found = [own.n_best(t, n) for t in batch[text].slice(start, 256).to_pylist()]
                 ids = [np.frombuffer(f[0][1], own.dtype) for f in found]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)))
                 score = [f[0][0] / UNIT for f in found]
                 margin = [(f[0][0] - f[-1][0]) / UNIT for f in found]
                 kept = [batch[c].slice(start, 256) for c in names]
-                yield pa.RecordBatch.from_arrays([*kept, lists, pa.array(score, pa.float64()), pa.array(margin, pa.float64())], names=[*names, "ids", "score", "margin"])
+                yield pa.RecordBatch.from_arrays([*kept, lists, pa.array(score, pa.float64()), pa.array(margin, pa.float64())], names=[*names, *made])
 
-    rows = docs.select(*[F.col(f"`{c}`") for c in names], F.col(text_col).alias("__text"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in names], F.col(text_col).alias(text))
     schema = ", ".join(f"`{c}` {kind[c]}" for c in names)
-    return rows.mapInArrow(run, f"{schema}, ids array<int>, score double, margin double")
+    return rows.mapInArrow(run, f"{schema}, `{made[0]}` array<int>, `{made[1]}` double, `{made[2]}` double")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
