@@ -115,4 +115,5 @@ def _(spark, sf_dir):
     new = table(spark, sf_dir, "customer", ["c_custkey"]).filter("c_custkey % 4 = 0").select(mark("c", c).alias("parent"), mark("r", c % 5).alias("child"))
     new = new.unionByName(nation.select(mark("n", k).alias("parent"), mark("n", k + k % 2).alias("child")))
     pairs = nation.filter("n_nationkey % 10 = 1").select(mark("n", k).alias("low"), mark("n", k + 1).alias("high"))
-    return graph.edge_errors(new, graph.closure(edges(spark, sf_dir)), pairs)
+    closed, rest = graph.closure_and_rest(edges(spark, sf_dir))
+    return graph.edge_errors(new, closed, pairs, rest)

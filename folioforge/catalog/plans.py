@@ -90,7 +90,7 @@ def _(spark, sf_dir):
 
 @query(
     "slug_collisions",
-    """WITH b AS (SELECT p_partkey AS id, regexp_replace(lower(trim(p_name)), '[^a-z0-9]+', '-', 'g') AS base FROM part WHERE p_partkey % 4 <> 0),
+    """WITH b AS (SELECT p_partkey AS id, regexp_replace(lower(trim(p_name)), '[^a-z0-9]+', '-', 'g') AS base FROM part WHERE p_partkey % 40 <> 0),
 t AS (SELECT base, count(*) AS used FROM (SELECT DISTINCT regexp_replace(lower(trim(p_name)), '[^a-z0-9]+', '-', 'g') AS base FROM part WHERE p_partkey % 40 = 0) GROUP BY 1),
 r AS (SELECT id, b.base, row_number() OVER (PARTITION BY b.base ORDER BY id) + coalesce(used, 0) AS n FROM b LEFT JOIN t ON b.base = t.base)
 SELECT id, CASE WHEN n = 1 THEN base ELSE base || '-' || n END AS slug FROM r""",
@@ -100,7 +100,7 @@ def _(spark, sf_dir):
 
     part = table(spark, sf_dir, "part", ["p_partkey", "p_name"])
     taken = part.filter("p_partkey % 40 = 0").select(slug(F.col("p_name")).alias("slug")).distinct()
-    return diffs.unique_slugs(part.filter("p_partkey % 4 <> 0").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), taken)
+    return diffs.unique_slugs(part.filter("p_partkey % 40 <> 0").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), taken)
 
 
 @query("merge_identities", "SELECT DISTINCT CASE WHEN o_custkey % 10 = 3 THEN o_custkey - 3 ELSE o_custkey END AS c, l_partkey AS item FROM orders JOIN lineitem ON o_orderkey = l_orderkey")

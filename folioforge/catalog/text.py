@@ -189,11 +189,12 @@ def _(spark, sf_dir):
 
 @query(
     "crop_merges",
-    """WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS t FROM documents), u AS (SELECT doc_id, t[1:4] AS a, t[3:8] AS b FROM s),
-k AS (SELECT doc_id, a, b, (SELECT max(n) FROM unnest(range(0, 7)) x(n) WHERE n <= len(a) AND n <= len(b) AND (n = 0 OR a[len(a) - n + 1:len(a)] = b[1:n])) AS n FROM u)
+    """WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS t FROM documents), u AS (SELECT doc_id, t[1:(len(t) + 1) // 2 + 1] AS a, t[(len(t) + 1) // 2:len(t)] AS b FROM s),
+k AS (SELECT doc_id, a, b, (SELECT max(n) FROM unnest(range(0, least(len(a), len(b)) + 1)) x(n) WHERE (n = 0 OR a[len(a) - n + 1:len(a)] = b[1:n])) AS n FROM u)
 SELECT doc_id, array_to_string(list_concat(a, b[n + 1:len(b)]), chr(10)) AS merged FROM k""",
 )
 def _(spark, sf_dir):
     rows = table(spark, sf_dir, "documents", ["doc_id", "text"]).select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("t"))
-    halves = rows.select("doc_id", F.slice("t", 1, 4).alias("a"), F.slice("t", 3, 6).alias("b"))
+    middle = F.floor((F.size("t") + 1) / 2).cast("int")
+    halves = rows.select("doc_id", F.slice("t", F.lit(1), middle + 1).alias("a"), F.slice("t", middle, F.size("t")).alias("b"))
     return halves.select("doc_id", F.array_join(ordered.merge_overlap(F.col("a"), F.col("b")), "\n").alias("merged"))

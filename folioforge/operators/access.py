@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # What each role may see; an unknown role sees what is public.
@@ -24,9 +24,8 @@ def renderable(items: DataFrame, photos: DataFrame) -> DataFrame:
 
     photos: item_id, photo_id, position, status, key. An outer join on the one chosen photo per item.
     """
-    place = Window.partitionBy("item_id").orderBy("position", "photo_id")
-    first = photos.withColumn("__n", F.row_number().over(place)).filter("__n = 1")
-    good = first.filter((F.col("status") == "UPLOADED") & (F.length(F.trim("key")) > 0)).select(F.col("item_id").alias("__photo"))
+    first = photos.groupBy("item_id").agg(F.min(F.struct("position", "photo_id", "status", "key")).alias("first"))
+    good = first.filter((F.col("first.status") == "UPLOADED") & (F.length(F.trim("first.key")) > 0)).select(F.col("item_id").alias("__photo"))
     joined = items.join(good, F.col("item_id") == F.col("__photo"), "left")
     rule = F.when(F.col("item_type") == "PHOTO", F.col("__photo").isNotNull()).when(F.col("item_type") == "DOCUMENT", F.col("upload_status") == "UPLOADED").otherwise(True)
     return joined.filter(rule).drop("__photo")

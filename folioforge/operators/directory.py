@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions.text import index_letter
+from folioforge.sources.shared import cut
 
 
 def holdings(pairs: DataFrame) -> DataFrame:
@@ -28,17 +29,20 @@ def union_directory(persons: DataFrame, authors: DataFrame) -> DataFrame:
     return persons.select("name", F.lit(0).alias("kind_rank"), "id").unionByName(free.select("name", F.lit(1).alias("kind_rank"), "id"))
 
 
-def with_places(rows: DataFrame, order: list[str]) -> DataFrame:
-    """`rows` with `place`, 1.. in a total order, without one task that sorts them all.
+def with_places(rows: DataFrame, order: list[str], within: tuple[str, ...] = ()) -> DataFrame:
+    """`rows` with `place`, 1.. in a total order, of all rows or of those with the same `within`, and no task that sorts them all.
 
-    Rows are range-partitioned and sorted, and numbered by their partition's offset and a count within it.
+    Rows are range-partitioned and sorted, and numbered by the rows of the ranges before and a count within
+    their own. The ranges are checkpointed before they are numbered, so that both readings see the same.
     """
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = rows.repartitionByRange(*within, *order).sortWithinPartitions(*within, *order)
     ids = F.monotonically_increasing_id()
-    marked = ranged.withColumn("__part", F.shiftright(ids, 33)).withColumn("__at", ids.bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = marked.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    offsets = sizes.select("__part", (F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("__offset"))
-    return marked.join(F.broadcast(offsets), "__part").withColumn("place", F.col("__offset") + F.col("__at") + 1).drop("__part", "__at", "__offset")
+    marked = cut(ranged.withColumn("__part", F.shiftright(ids, 33)).withColumn("__at", ids.bitwiseAND(F.lit((1 << 33) - 1))))
+    sizes = marked.groupBy(*within, "__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
+    before = Window.partitionBy(*within).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*within, "__part", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__offset"))
+    joined = marked.join(offsets if within else F.broadcast(offsets), [*within, "__part"])
+    return joined.withColumn("place", F.col("__offset") + F.col("__at") + 1).select(*rows.columns, "place")
 
 
 def letter_pages(names: DataFrame, per_page: int) -> DataFrame:

@@ -86,9 +86,13 @@ def grouped(hits: DataFrame, many: int = 5, short: int = 3) -> DataFrame:
     return rows.withColumn("group_id", json_hash(F.col("surface"))).withColumn("many_items", F.col("items") >= many).withColumn("short_surface", F.length("surface") <= short)
 
 
-def cover_of(hits: DataFrame) -> DataFrame:
-    """(item_id, surface, start, end, cover) of contained hits: the longest cover, then the earliest, then by surface."""
-    a, b = hits.alias("a"), hits.alias("b")
-    covers = a.join(b, (F.col("a.item_id") == F.col("b.item_id")) & (F.col("b.start") <= F.col("a.start")) & (F.col("b.end") >= F.col("a.end")) & ((F.col("b.end") - F.col("b.start")) > (F.col("a.end") - F.col("a.start"))))
-    best = F.min(F.struct((F.col("b.start") - F.col("b.end")).alias("minus"), F.col("b.start").alias("start"), F.col("b.surface").alias("surface")))
-    return covers.groupBy("a.item_id", "a.surface", "a.start", "a.end").agg(best["surface"].alias("cover"))
+def cover_of(hits: DataFrame, max_words: int = 8) -> DataFrame:
+    """(item_id, surface, start, end, cover) of contained hits: the longest cover, then the earliest, then by surface.
+
+    A cover has `max_words` words at most, and so begins at most so many words before: the hits of those
+    places are all that a hit is compared with.
+    """
+    near = Window.partitionBy("item_id").orderBy("start").rangeBetween(1 - max_words, 0)
+    rows = hits.withColumn("__near", F.collect_set(F.struct((F.col("start") - F.col("end")).alias("minus"), "start", "end", "surface")).over(near))
+    covers = F.filter("__near", lambda x: (x["end"] >= F.col("end")) & (x["minus"] < F.col("start") - F.col("end")))
+    return rows.select("item_id", "surface", "start", "end", F.array_min(covers)["surface"].alias("cover")).filter("cover IS NOT NULL").distinct()

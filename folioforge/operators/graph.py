@@ -8,23 +8,37 @@ from pyspark.sql import functions as F
 from folioforge.sources.shared import cut
 
 MAX_DEPTH = 32
+#: Levels after which the pairs found so far become one table again.
+REWRITE = 6
 
 
 def closure(edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(parent, child) -> (ancestor, descendant, depth) with the least depth; cycles end, the start itself is kept where one leads back.
+    """(parent, child) -> (ancestor, descendant, depth) with the least depth; cycles end, the start itself is kept where one leads back."""
+    return closure_and_rest(edges, max_depth)[0]
+
+
+def closure_and_rest(edges: DataFrame, max_depth: int = MAX_DEPTH) -> tuple[DataFrame, DataFrame]:
+    """The closure, and (ancestor, descendant) that the walk would reach first beyond `max_depth`: none if it is complete.
 
     A frontier join per level; pairs that are known are cut by an anti join, so that a cycle adds nothing.
+    What is known is written anew every few levels.
     """
     step = edges.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant")).distinct()
     found = step.withColumn("depth", F.lit(1))
     frontier, hop = step, step.select(F.col("ancestor").alias("descendant"), F.col("descendant").alias("next"))
-    for depth in range(2, max_depth + 1):
+    for depth in range(2, max_depth + 2):
         reached = frontier.join(hop, "descendant").select("ancestor", F.col("next").alias("descendant")).distinct()
         frontier = cut(reached.join(found, ["ancestor", "descendant"], "left_anti"))
-        if frontier.isEmpty():
+        if depth > max_depth or frontier.isEmpty():
             break
         found = found.unionByName(frontier.withColumn("depth", F.lit(depth)))
-    return found
+        found = cut(found) if depth % REWRITE == 0 else found
+    return found, frontier
+
+
+def truncated(rest: DataFrame) -> DataFrame:
+    """(ancestor) of topics from which the walk was cut off."""
+    return rest.select("ancestor").distinct()
 
 
 def cycles(closed: DataFrame) -> DataFrame:
@@ -64,10 +78,15 @@ def redirects(merges: DataFrame) -> DataFrame:
     return merges.groupBy("retired").agg(F.countDistinct("target").alias("n"), F.min("target").alias("target")).filter("n = 1").drop("n")
 
 
-def edge_errors(new: DataFrame, closed: DataFrame, related: DataFrame) -> DataFrame:
-    """(parent, child, error) of proposed edges: self, cycle, or already related; null where the edge is allowed."""
+def edge_errors(new: DataFrame, closed: DataFrame, related: DataFrame, rest: DataFrame | None = None) -> DataFrame:
+    """(parent, child, error) of proposed edges: self, cycle, truncated, or already related; null where the edge is allowed.
+
+    rest: as of `closure_and_rest`. Where the walk below the child was cut off, a cycle cannot be ruled out.
+    """
     back = closed.select(F.col("descendant").alias("parent"), F.col("ancestor").alias("child"), F.lit(True).alias("closes")).distinct()
     pair = related.select(F.col("low").alias("__l"), F.col("high").alias("__h"), F.lit(True).alias("is_related"))
     rows = new.join(back, ["parent", "child"], "left").join(pair, (F.least("parent", "child") == F.col("__l")) & (F.greatest("parent", "child") == F.col("__h")), "left")
-    error = F.when(F.col("parent") == F.col("child"), "self").when(F.col("closes"), "cycle").when(F.col("is_related"), "related")
+    open_ = truncated(rest).select(F.col("ancestor").alias("child"), F.lit(True).alias("is_open")) if rest is not None else None
+    rows = rows.withColumn("is_open", F.lit(False)) if open_ is None else rows.join(open_, "child", "left")
+    error = F.when(F.col("parent") == F.col("child"), "self").when(F.col("closes"), "cycle").when(F.col("is_open"), "truncated").when(F.col("is_related"), "related")
     return rows.select("parent", "child", error.alias("error"))

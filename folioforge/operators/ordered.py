@@ -137,10 +137,10 @@ def bands(lines: DataFrame, height: float) -> DataFrame:
 
 
 def merge_overlap(upper: Column, lower: Column) -> Column:
-    """Two line lists as one, without the longest suffix of the first that begins the second."""
-    longest = F.array_max(
-        F.filter(F.sequence(F.lit(0), F.least(F.size(upper), F.size(lower))), lambda k: (k == 0) | (F.slice(upper, F.size(upper) - k + 1, k) == F.slice(lower, 1, k)))
-    )
+    """Two line lists as one, without the longest suffix of the first that begins the second. Only suffixes that start as the second does are compared."""
+    starts = F.sequence(F.lit(0), F.least(F.size(upper), F.size(lower)))
+    same = lambda k: (F.get(upper, F.size(upper) - k) == F.get(lower, F.lit(0))) & (F.slice(upper, F.size(upper) - k + 1, k) == F.slice(lower, 1, k))
+    longest = F.array_max(F.filter(starts, lambda k: (k == 0) | same(k)))
     return F.concat(upper, F.slice(lower, longest + 1, F.size(lower)))
 
 

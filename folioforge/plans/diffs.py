@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions.text import slug
+from folioforge.operators.directory import with_places
+from folioforge.sources.shared import cut
 
 
 def drift(index: DataFrame, current: DataFrame, key: str, content: str) -> DataFrame:
@@ -54,17 +56,45 @@ def findings(**rules: Column) -> Column:
     return F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()]))
 
 
+def numbered(base: Column, n: Column, size: int) -> Column:
+    """base, base-2, base-3, …, cut so that the number fits."""
+    suffix = F.concat(F.lit("-"), n.cast("string"))
+    return F.when(n == 1, base).otherwise(F.concat(F.substring(base, F.lit(1), F.lit(size) - F.length(suffix)), suffix))
+
+
 def unique_slugs(names: DataFrame, taken: DataFrame, size: int = 255) -> DataFrame:
-    """(id, slug) of names (id, name): a base that is taken gets -2, -3, … in id order.
+    """(id, slug) of names (id, name) as if they came in id order: a base that is taken gets -2, -3, …, the first that is free.
 
-    Numbers are ranks within a base, shifted by the slugs of that base that are taken.
+    A name's number is its rank within the base, shifted by the numbers that the base cannot have: those of
+    `taken` (slug), and those that an earlier name of another base has, as "a-2" is the base of "A 2" and the
+    second slug of "a". The latter are found round by round, until no slug is given twice; a round costs a
+    few joins, and without such names one is enough. Ids are distinct.
     """
-    base = names.withColumn("base", slug(F.col("name"), size))
-    used = taken.groupBy("slug").agg(F.count(F.lit(1)).alias("used")).withColumnRenamed("slug", "base")
-    rank = F.row_number().over(Window.partitionBy("base").orderBy("id"))
-    placed = base.withColumn("rank", rank).join(used, "base", "left").withColumn("n", F.col("rank") + F.coalesce("used", F.lit(0)))
-    suffix = F.concat(F.lit("-"), F.col("n").cast("string"))
-    return placed.select("id", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat(F.substring("base", F.lit(1), F.lit(size) - F.length(suffix)), suffix)).alias("slug"))
+    bases = names.select("id", F.coalesce(slug(F.col("name"), size), F.lit("")).alias("base"))
+    ranked = cut(with_places(bases, ["id"], within=("base",)).withColumnRenamed("place", "rank"))
+    number = F.regexp_extract("slug", "-([2-9]|[1-9]\\d{1,8})$", 1)
+    stored = taken.select("slug").distinct()
+    parted = stored.filter(number != "").select(F.regexp_replace("slug", "-\\d+$", "").alias("base"), number.cast("long").alias("n"))
+    blocked = stored.select(F.col("slug").alias("base"), F.lit(1).cast("long").alias("n")).unionByName(parted)
+    blocked = blocked.join(ranked.select("base").distinct(), "base", "left_semi").withColumn("since", F.lit(None).cast(ranked.schema["id"].dataType))
+    while True:
+        stored_too, since = F.max(F.col("since").isNull()), F.min("since")
+        blocked = blocked.groupBy("base", "n").agg(F.when(~stored_too, since).alias("since"))
+        # earlier names of the base are not kept from a number that only later ones cannot have
+        earlier = blocked.join(ranked.select("base", "id"), "base").groupBy("base", "n").agg(F.count_if(F.col("id") < F.col("since")).alias("earlier"))
+        kept = F.array_sort(F.collect_list(F.struct("n", "earlier")))
+        fold = lambda a, x: F.when(x["n"] - F.size(a) > x["earlier"], F.array_append(a, x["n"])).otherwise(a)
+        skips = earlier.groupBy("base").agg(F.aggregate(kept, F.array().cast("array<bigint>"), fold).alias("skips"))
+        free = F.transform("skips", lambda x, i: x - i)  # free numbers up to each number that is skipped, itself included
+        placed = ranked.join(skips, "base", "left").withColumn("n", F.col("rank") + F.coalesce(F.size(F.filter(free, lambda x: x <= F.col("rank"))), F.lit(0)))
+        placed = cut(placed.select("id", "base", "n", numbered(F.col("base"), F.col("n"), size).alias("slug")))
+        holders = placed.select("slug", "id").unionByName(stored.select("slug", F.lit(None).cast(ranked.schema["id"].dataType).alias("id")))
+        owners = holders.groupBy("slug").agg(F.count(F.lit(1)).alias("k"), F.max(F.col("id").isNull()).alias("stored"), F.min("id").alias("owner")).filter("k > 1")
+        lost = placed.join(owners, "slug").filter(F.col("stored") | (F.col("id") != F.col("owner")))
+        lost = cut(lost.select("base", "n", F.when(~F.col("stored"), F.col("owner")).alias("since")).distinct())
+        if lost.isEmpty():
+            return placed.select("id", "slug")
+        blocked = cut(blocked.unionByName(lost))
 
 
 def repoint(links: DataFrame, merges: DataFrame, key: str) -> DataFrame:
@@ -96,10 +126,19 @@ def apply_state(counters: DataFrame) -> DataFrame:
 
 
 def merge_cycles(merges: DataFrame) -> DataFrame:
-    """(cycle): least member of each cycle of a functional graph (retired, target), each cycle once."""
-    from folioforge.operators.graph import closure
+    """(cycle): least member of each cycle of a functional graph (retired, target), each cycle once, however long.
 
-    closed = closure(merges.select(F.col("retired").alias("parent"), F.col("target").alias("child")))
-    on = closed.filter("ancestor = descendant").select(F.col("ancestor").alias("node")).distinct()
-    least = closed.join(on.withColumnRenamed("node", "descendant"), "descendant", "left_semi").join(on.withColumnRenamed("node", "ancestor"), "ancestor", "left_semi")
-    return least.groupBy("ancestor").agg(F.min("descendant").alias("cycle")).select("cycle").distinct()
+    Paths are followed by doubling: after k rounds a node knows the one 2**k steps on and the least on the
+    way. Nodes whose path ends drop out; with 2**k >= nodes, whoever is reached is on a cycle and has seen all
+    of it. Of several targets of one node the least counts.
+    """
+    steps = merges.groupBy(F.col("retired").alias("node")).agg(F.min("target").alias("to"))
+    steps = cut(steps.filter("node IS NOT NULL AND to IS NOT NULL").withColumn("least", F.col("node")))
+    n, reach = steps.count(), 1
+    while True:
+        on = steps.select(F.col("node").alias("to"), F.col("to").alias("further"), F.col("least").alias("other"))
+        steps = cut(steps.join(on, "to").select("node", F.col("further").alias("to"), F.least("least", "other").alias("least")))
+        reach *= 2
+        if reach >= n:
+            break
+    return steps.join(steps.select(F.col("to").alias("node")).distinct(), "node", "left_semi").select(F.col("least").alias("cycle")).distinct()

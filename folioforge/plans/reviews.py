@@ -39,14 +39,21 @@ def remap(breaks: DataFrame, mapping: DataFrame) -> DataFrame:
     return joined.groupBy("snapshot").agg(F.when(good, F.array_sort(F.collect_list("target"))).alias("targets"))
 
 
-def earlier(snapshots: DataFrame) -> DataFrame:
-    """(newer, older, place): the older snapshots of each snapshot's document (snapshot_id, document_id, created), newest first. An as-of self join on the document."""
+def earlier(snapshots: DataFrame, most: int = 100) -> DataFrame:
+    """(newer, older, place): the older snapshots of each snapshot's document (snapshot_id, document_id, created), newest first, `most` at most.
+
+    A document's snapshots are one window in order of time, in which each looks back; the bound keeps a
+    document of very many snapshots from making all its pairs. No more than `most` are of one moment.
+    """
     from pyspark.sql import Window
 
-    a = snapshots.select(F.col("snapshot_id").alias("newer"), "document_id", F.col("created").alias("__at"))
-    b = snapshots.select(F.col("snapshot_id").alias("older"), "document_id", "created")
-    pairs = a.join(b, "document_id").filter(F.col("created") < F.col("__at"))
-    return pairs.select("newer", "older", F.row_number().over(Window.partitionBy("newer").orderBy(F.desc("created"), "older")).alias("place"))
+    back = Window.partitionBy("document_id").orderBy("created")
+    rows = snapshots.withColumn("__rank", F.dense_rank().over(back))
+    past = Window.partitionBy("document_id").orderBy("created", F.desc("snapshot_id")).rowsBetween(-2 * most, -1)
+    # snapshots of one moment are not older than each other; of the rows before, the last `most` of earlier moments count
+    rows = rows.withColumn("__past", F.collect_list(F.struct("__rank", "snapshot_id")).over(past))
+    held = F.reverse(F.filter("__past", lambda x: x["__rank"] < F.col("__rank")))
+    return rows.select(F.col("snapshot_id").alias("newer"), F.posexplode(F.slice(held, 1, most)).alias("at", "x")).select("newer", F.col("x.snapshot_id").alias("older"), (F.col("at") + 1).alias("place"))
 
 
 def candidates(names: DataFrame, persons: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -133,6 +140,7 @@ def overlap_reasons(proposals: DataFrame) -> DataFrame:
     proposals: sha, current_sha, version, accepted, contained, all_pending, authoritative, detected (booleans but the first three).
     """
     no = lambda c: ~F.coalesce(F.col(c), F.lit(False))
+    # The reasons, which reviewers read.
     reason = (
         F.when(~F.col("sha").eqNullSafe(F.col("current_sha")), "stale_source").when(~F.col("version").eqNullSafe(F.lit(1)), "wrong_normalization_version").when(no("accepted"), "not_currently_accepted")
         .when(no("contained"), "not_contained").when(no("all_pending"), "mixed_or_nonpending_status").when(~no("authoritative"), "has_authoritative_occurrence").when(no("detected"), "missing_detect_event").otherwise("eligible")

@@ -61,7 +61,16 @@ def sheet(spark: SparkSession, path: str, name: str) -> DataFrame:
     The workbook is read as one binary row, through whatever store Spark reads, and unzipped in the task.
     """
     book = spark.read.format("binaryFile").load(path).select("content")
-    columns = next(iter(_rows_of(bytes(book.first()["content"]), name)), [])
+
+    def header(frames):
+        for frame in frames:
+            for content in frame["content"]:
+                found = next(_rows_of(bytes(content), name), []) if name in _sheets_of(bytes(content)) else None
+                yield pd.DataFrame({"names": [found]})
+
+    columns = book.mapInPandas(header, "names array<string>").first()["names"]  # only the names leave the task
+    if columns is None:
+        raise ValueError(f"no sheet {name}")
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
     def read(frames):
@@ -74,15 +83,17 @@ def sheet(spark: SparkSession, path: str, name: str) -> DataFrame:
     return book.mapInPandas(read, schema)
 
 
+def _sheets_of(content: bytes) -> list[str]:
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        return [e.get("name") for e in ElementTree.fromstring(z.read("xl/workbook.xml")).iter() if _local(e) == "sheet"]
+
+
 def _rows_of(content: bytes, name: str):
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         texts = []
         if "xl/sharedStrings.xml" in z.namelist():
             texts = ["".join(t.text or "" for t in si.iter() if _local(t) == "t") for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")) if _local(si) == "si"]
-        sheets = [e for e in ElementTree.fromstring(z.read("xl/workbook.xml")).iter() if _local(e) == "sheet"]
-        at = next((i for i, s in enumerate(sheets, 1) if s.get("name") == name), None)
-        if at is None:
-            raise ValueError(f"no sheet {name}")
+        at = _sheets_of(content).index(name) + 1
         for row in (e for e in ElementTree.fromstring(z.read(f"xl/worksheets/sheet{at}.xml")).iter() if _local(e) == "row"):
             cells: list[str | None] = []
             for cell in row:

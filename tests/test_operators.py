@@ -67,6 +67,76 @@ def test_merge_cycles_are_reported_once(spark):
     assert rows(diffs.merge_cycles(merges)) == [(1,), (5,)]
 
 
+def test_merge_cycles_of_any_length(spark):
+    ring = [(i, (i + 1) % 50) for i in range(50)] + [(100 + i, 101 + i) for i in range(70)] + [(170, 3)] + [(500, 500), (600, None), (None, 5)]
+    assert rows(diffs.merge_cycles(spark.createDataFrame(ring, "retired long, target long"))) == [(0,), (500,)]
+    assert diffs.merge_cycles(spark.createDataFrame([], "retired long, target long")).count() == 0
+
+
+def test_slugs_are_those_of_names_that_come_one_by_one(spark):
+    rng = random.Random(7)
+    few = ["A B", "a  b", "A B 2", "a-b-2-2", "A b 3", "c", "c 2", "c 2 2", "x" * 300, "x" * 253 + " 2", ""]
+    for case in ([*few[:2], few[2]], [rng.choice(few) for _ in range(60)], [rng.choice(few) for _ in range(60)]):
+        taken = {"c-2", "a-b-4", "x" * 255}
+        want, used = {}, set(taken)
+        for i, name in enumerate(case):
+            base = "-".join("".join(ch if ch.isalnum() else " " for ch in name.lower()).split())[:255]
+            n = 1
+            while (s := base if n == 1 else f"{base[: 255 - len(f'-{n}')]}-{n}") in used:
+                n += 1
+            want[i] = s
+            used.add(s)
+        df = spark.createDataFrame(list(enumerate(case)), "id long, name string")
+        assert {r.id: r.slug for r in diffs.unique_slugs(df, spark.createDataFrame([(t,) for t in taken], "slug string")).collect()} == want
+
+
+def test_places_hold_under_any_partitioning(spark):
+    df = spark.range(1000).selectExpr("id % 3 AS k", "hash(id) AS v", "id")
+    for conf in ({}, {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "13"}, {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k"}):
+        for c, v in conf.items():
+            spark.conf.set(c, v)
+        try:
+            got = directory.with_places(df.repartition(5), ["v", "id"], within=("k",)).collect()
+        finally:
+            for c in conf:
+                spark.conf.set("spark.sql.shuffle.partitions", "4") if "shuffle" in c else spark.conf.unset(c)
+        for k in range(3):
+            own = sorted((r for r in got if r.k == k), key=lambda r: (r.v, r.id))
+            assert [r.place for r in own] == list(range(1, len(own) + 1))
+
+
+def test_covers_by_pairwise_comparison(spark):
+    rng = random.Random(6)
+    hits = list({(i % 3, f"s{rng.randrange(9)}", a := rng.randrange(25), a + rng.randrange(1, 9)) for i in range(120)})
+    want = []
+    for h in hits:
+        covers = [(o[2] - o[3], o[2], o[1]) for o in hits if o[0] == h[0] and o[2] <= h[2] and o[3] >= h[3] and o[3] - o[2] > h[3] - h[2]]
+        want += [(*h, min(covers)[2])] if covers else []
+    assert rows(entities.cover_of(spark.createDataFrame(hits, "item_id long, surface string, start int, end int"))) == sorted(want, key=str)
+
+
+def test_a_cut_closure_says_so_and_its_edges_are_refused(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "parent long, child long")
+    closed, rest = graph.closure_and_rest(chain)
+    assert closed.agg(F.max("depth")).first()[0] == 32 and {r.ancestor for r in graph.truncated(rest).collect()} == set(range(8))
+    new = spark.createDataFrame([(40, 0), (40, 10), (50, 20)], "parent long, child long")
+    none = spark.createDataFrame([], "low long, high long")
+    assert {(r.parent, r.child): r.error for r in graph.edge_errors(new, closed, none, rest).collect()} == {(40, 0): "truncated", (40, 10): "cycle", (50, 20): None}
+    assert graph.closure_and_rest(chain.filter("parent < 30"))[1].isEmpty()
+
+
+def test_earlier_snapshots_by_plain_code(spark):
+    from folioforge.plans import reviews
+
+    rng = random.Random(8)
+    data = [(i, i % 4, rng.randrange(12)) for i in range(80)]
+    want = []
+    for i, d, t in data:
+        older = sorted((-u, j) for j, e, u in data if e == d and u < t)
+        want += [(i, j, k) for k, (_, j) in enumerate(older[:9], 1)]
+    assert rows(reviews.earlier(spark.createDataFrame(data, "snapshot_id long, document_id long, created long"), most=9)) == sorted(want, key=str)
+
+
 def test_apply_states(spark):
     make = lambda data: spark.createDataFrame(data, "name string, found long, approved long")
     assert diffs.apply_state(make([("a", 0, 3)])).first()[0] == "ALREADY_APPLIED"
