@@ -8,20 +8,23 @@ from pyspark.sql import functions as F
 from .common import drop_stage, stage_table
 
 MAX_ROUNDS = 60
-#: A node of more than this share of all links is hot: 2 / HOT_SHARE nodes at most, which are broadcast.
+#: A node of more than this share of all links is hot: 4 / HOT_SHARE nodes at most, which are broadcast.
 HOT_SHARE = 1e-4
 HOT_LINKS = 256
 
 
 def _hung(edges: DataFrame, least: DataFrame, n_links: int) -> DataFrame:
-    """`edges` (u, v) with the m of their u from `least` (x, m, n), n being the number of u's edges.
+    """(v, m) of `edges` (u, v), with the m of their u from the table `least` (x, m, n), n being the number of u's edges.
 
     The edges of a hot node are not brought to one task: its m is broadcast.
     """
     at = F.col("u") == F.col("x")
-    hot = F.col("n") > max(HOT_LINKS, int(HOT_SHARE * n_links))
-    few = F.broadcast(least.filter(hot))
-    return edges.join(few, at).select("v", "m").unionByName(edges.join(few, at, "left_anti").join(least.filter(~hot), at).select("v", "m"))
+    hot = least.filter(F.col("n") > max(HOT_LINKS, int(HOT_SHARE * n_links))).select("x", "m").collect()  # 4 / HOT_SHARE rows at most
+    if not hot:
+        return edges.join(least, at).select("v", "m")
+    few = F.broadcast(edges.sparkSession.createDataFrame(hot, "x long, m long"))
+    rest = edges.join(few.select("x"), at, "left_anti").join(least, at)
+    return edges.join(few, at).select("v", "m").unionByName(rest.select("v", "m"))
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -38,14 +41,16 @@ def connected_components(links: DataFrame) -> DataFrame:
     mark, n_links = None, edges.count()
     for _ in range(MAX_ROUNDS):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select(F.col("u").alias("x"), F.least("u", "m").alias("m"), "n")
+        tally = [F.min("v").alias("m"), F.count(F.lit(1)).alias("n")]
+        least = stage_table(both.groupBy("u").agg(*tally).select(F.col("u").alias("x"), F.least("u", "m").alias("m"), "n"), "least")
         large = _hung(both.filter("v > u"), least, n_links).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u <> v").distinct()
-        below = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select(F.col("u").alias("x"), "m", "n")
+        large = stage_table(large.filter("u <> v").distinct(), "large")
+        below = stage_table(large.groupBy("u").agg(*tally).select(F.col("u").alias("x"), "m", "n"), "below")
         small = _hung(large, below, n_links).select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.filter("u <> v").unionByName(below.select(F.col("x").alias("u"), F.col("m").alias("v"))).distinct()
         new = stage_table(small, "links")
-        drop_stage(edges)
+        for old in (edges, least, large, below):
+            drop_stage(old)
         edges = new
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
