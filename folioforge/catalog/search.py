@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from folioforge.operators import access, filters, search
 from folioforge.registry import query
-from folioforge.sources.archive import ITEMS_SQL, items
+from folioforge.sources.archive import ITEMS_SQL, items, search_index
 from folioforge.sources.tables import table
 
 QUERY = "the ing"
@@ -31,25 +31,29 @@ hit AS (SELECT *, round((CASE WHEN {whole('t_title')} THEN 1.0 ELSE 0.0 END + CA
 {body}"""
 
 
+def _search(spark, sf_dir, text):
+    return search.search(access.visible(items(spark, sf_dir)), search_index(spark, sf_dir), text)
+
+
 def order():
     return [F.desc("relevance"), F.desc("created_day"), F.asc("item_id")]
 
 
 @query("search_ranked_page", _search_sql(["the", "ing"], "SELECT item_id, relevance, created_day FROM hit ORDER BY relevance DESC, created_day DESC, item_id LIMIT 48"))
 def _(spark, sf_dir):
-    found = search.search(access.visible(items(spark, sf_dir)), QUERY)
+    found = _search(spark, sf_dir, QUERY)
     return search.page(found, order()).select("item_id", "relevance", "created_day")
 
 
 @query("search_second_page", _search_sql(["of"], "SELECT item_id, relevance FROM hit ORDER BY relevance DESC, created_day DESC, item_id LIMIT 24 OFFSET 24"))
 def _(spark, sf_dir):
-    found = search.search(access.visible(items(spark, sf_dir)), "of")
+    found = _search(spark, sf_dir, "of")
     return search.page(found, order(), number=2, size=24).select("item_id", "relevance")
 
 
 @query("search_all_matches", _search_sql(["and"], "SELECT item_id, relevance FROM hit"))
 def _(spark, sf_dir):
-    return search.search(access.visible(items(spark, sf_dir)), "And").select("item_id", "relevance")
+    return _search(spark, sf_dir, "And").select("item_id", "relevance")
 
 
 @query(
@@ -58,7 +62,7 @@ def _(spark, sf_dir):
   count(*) FILTER (item_type = 'PHOTO')::BIGINT AS photos, count(*) FILTER (item_type = 'VIDEO')::BIGINT AS videos FROM hit"""),
 )
 def _(spark, sf_dir):
-    return search.type_counts(search.search(access.visible(items(spark, sf_dir)), "the"))
+    return search.type_counts(_search(spark, sf_dir, "the"))
 
 
 @query(
@@ -68,7 +72,7 @@ SELECT item_id FROM v WHERE list_contains({_tok("concat_ws(' ', title, metadata,
 UNION SELECT item_id FROM v WHERE contains(lower(title), 'der') UNION SELECT item_id FROM v WHERE contains(lower(metadata), 'der')""",
 )
 def _(spark, sf_dir):
-    return search.term_candidates(access.visible(items(spark, sf_dir)), "der")
+    return search.term_candidates(access.visible(items(spark, sf_dir)), search_index(spark, sf_dir), "der")
 
 
 @query(
@@ -109,11 +113,6 @@ def _(spark, sf_dir):
     return items(spark, sf_dir).select("item_id", search.literal_matches(F.col("body"), "the").alias("n"))
 
 
-@query("snippet_windows")
-def _(spark, sf_dir):
-    return search.snippets(access.visible(items(spark, sf_dir)), "the and")
-
-
 @query(
     "visibility_rls",
     f"""WITH {ITEMS_SQL}, r AS (SELECT unnest(['public', 'family', 'admin']) AS role)

@@ -46,6 +46,18 @@ def label(precision: Column, start: Column, end: Column) -> Column:
     )
 
 
+def parts(raw: Column) -> Column:
+    """(year, month, day) of an ISO date; null for what is none."""
+    day = F.try_to_date(F.when(F.trim(raw).rlike("^\\d{4}-\\d{2}-\\d{2}$"), F.trim(raw)), "yyyy-MM-dd")
+    return F.when(day.isNotNull(), F.struct(F.year(day).alias("year"), F.month(day).alias("month"), F.day(day).alias("day")))
+
+
+def stored_error(precision: Column, start: Column, end: Column) -> Column:
+    """date_precision or date_end, whichever of a stored date is wrong first; null for a good one."""
+    known = F.coalesce(precision.isin(*PRECISIONS), F.lit(False))
+    return F.when(~known, "date_precision").when(end < start, "date_end")
+
+
 def year_filter(raw_from: str | None, raw_to: str | None, strict: bool = True) -> tuple[int, int] | str | None:
     """(low, high) of a year filter; an error code in strict mode; None for no filter."""
     clean = [None if x is None or not x.strip() else x.strip() for x in (raw_from, raw_to)]

@@ -83,3 +83,28 @@ def sort_key(name: Column) -> Column:
 def json_hash(*fields: Column) -> Column:
     """SHA-256 of the fields' canonical JSON."""
     return F.sha2(F.to_json(F.struct(*fields)), 256)
+
+
+def stripped(text: Column) -> Column:
+    """Without blanks of any kind at both ends."""
+    return F.regexp_replace(text, "^[\\s\\x{00A0}]+|[\\s\\x{00A0}]+$", "")
+
+
+def equivalent(a: Column, b: Column) -> Column:
+    """Whether two texts are the same but for blanks at their ends; null is the empty text."""
+    return stripped(F.coalesce(a, F.lit(""))) == stripped(F.coalesce(b, F.lit("")))
+
+
+def joined_bands(texts: Column) -> Column:
+    """Texts of a page's bands, stripped, one after the other in lines."""
+    return F.array_join(F.transform(texts, stripped), "\n")
+
+
+def suggested_values(raw: Column) -> Column:
+    """Parts between commas and line ends, trimmed, blanks dropped, first occurrences kept."""
+    return ordered_names(raw, "[\n,]")
+
+
+def limited_names(raw: Column, longest: int) -> Column:
+    """(names, error): comma-separated names, and whether one is too long."""
+    return bound(ordered_names(F.coalesce(raw, F.lit(""))), lambda x: F.struct(x.alias("names"), F.exists(x, lambda n: F.length(n) > longest).alias("error")))

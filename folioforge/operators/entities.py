@@ -96,3 +96,43 @@ def cover_of(hits: DataFrame, max_words: int = 8) -> DataFrame:
     rows = hits.withColumn("__near", F.collect_set(F.struct((F.col("start") - F.col("end")).alias("minus"), "start", "end", "surface")).over(near))
     covers = F.filter("__near", lambda x: (x["end"] >= F.col("end")) & (x["minus"] < F.col("start") - F.col("end")))
     return rows.select("item_id", "surface", "start", "end", F.array_min(covers)["surface"].alias("cover")).filter("cover IS NOT NULL").distinct()
+
+
+def excluded(items: DataFrame, low: int | None = None, high: int | None = None, after: int | None = None) -> DataFrame:
+    """(photos, videos, without_text): items within the bounds of ids that a run does not look at, in one pass. items: item_id, item_type, text."""
+    k = F.col("item_id")
+    for bound_, condition in ((low, lambda v: k >= v), (high, lambda v: k <= v), (after, lambda v: k > v)):
+        items = items if bound_ is None else items.filter(condition(bound_))
+    kind = F.col("item_type")
+    return items.agg(
+        F.count_if(kind == "PHOTO").alias("photos"), F.count_if(kind == "VIDEO").alias("videos"), F.count_if(kind.isin("DOCUMENT", "TEXT") & F.col("text").isNull()).alias("without_text")
+    )
+
+
+def checked(items: DataFrame, sha: str = "sha") -> DataFrame:
+    """`items` (item_id, text, sha) with `failure`: what keeps one from being examined, so that it does not stop the others; null where nothing does."""
+    failure = F.when(F.col("text").isNull(), "missing_text").when(~F.col(sha).eqNullSafe(F.sha2("text", 256)), "stale_text")
+    return items.withColumn("failure", failure)
+
+
+def run_report(examined: DataFrame) -> DataFrame:
+    """(examined, failures, cursor) of a run over items (item_id, failure): the cursor is the last id before the first failure, from which a later run may go on."""
+    first = examined.agg(F.min(F.when(F.col("failure").isNotNull(), F.col("item_id"))).alias("__first"))
+    rows = examined.crossJoin(F.broadcast(first))  # one row
+    return rows.agg(
+        F.count(F.lit(1)).alias("examined"), F.count("failure").alias("failures"),
+        F.max(F.when(F.col("__first").isNull() | (F.col("item_id") < F.col("__first")), F.col("item_id"))).alias("cursor"),
+    )
+
+
+def ledger(found: DataFrame, stored: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows to append, (new, existing)): each found key once; those that the ledger holds are counted, whatever their status, and never written again."""
+    once = found.dropDuplicates(keys)
+    known = stored.select(*keys).distinct().withColumn("__known", F.lit(True))
+    flagged = once.join(known, keys, "left")
+    counts = flagged.agg(F.count_if(F.col("__known").isNull()).alias("new"), F.count("__known").alias("existing"))
+    return flagged.filter("__known IS NULL").select(*found.columns), counts
+
+
+def without_retired(entities: DataFrame, retired: DataFrame) -> DataFrame:
+    return entities.join(retired.select("entity_id"), "entity_id", "left_anti")

@@ -90,3 +90,50 @@ def edge_errors(new: DataFrame, closed: DataFrame, related: DataFrame, rest: Dat
     rows = rows.withColumn("is_open", F.lit(False)) if open_ is None else rows.join(open_, "child", "left")
     error = F.when(F.col("parent") == F.col("child"), "self").when(F.col("closes"), "cycle").when(F.col("is_open"), "truncated").when(F.col("is_related"), "related")
     return rows.select("parent", "child", error.alias("error"))
+
+
+def neighbourhood(closed: DataFrame, edges: DataFrame, related: DataFrame) -> DataFrame:
+    """(topic, other): descendants, ancestors, related topics and siblings of each topic, each once, itself left out."""
+    down = closed.select(F.col("ancestor").alias("topic"), F.col("descendant").alias("other"))
+    up = closed.select(F.col("descendant").alias("topic"), F.col("ancestor").alias("other"))
+    united = down.unionByName(up).unionByName(neighbours(related)).unionByName(siblings(edges))
+    return united.filter("topic <> other").distinct()
+
+
+def topic_list(rolled: DataFrame, topics: DataFrame, labels: DataFrame, text: str = "") -> DataFrame:
+    """(topic, label, items) of public topics with items, whose label or an alternate one contains the text.
+
+    rolled: as of `roll_up`. topics: topic, label, is_public. labels: topic, alternate.
+    """
+    needle = text.strip().lower()
+    rows = topics.filter("is_public").join(rolled.filter("combined > 0").select("topic", F.col("combined").alias("items")), "topic")
+    if needle:
+        hit = labels.filter(F.contains(F.lower("alternate"), F.lit(needle))).select("topic").distinct().withColumn("__hit", F.lit(True))
+        rows = rows.join(hit, "topic", "left").filter(F.contains(F.lower("label"), F.lit(needle)) | F.col("__hit"))
+    return rows.select("topic", "label", "items")
+
+
+def topic_detail(topics: DataFrame, labels: DataFrame, edges: DataFrame, related: DataFrame, rolled: DataFrame) -> DataFrame:
+    """(topic, label, alternates, parents, children, related, items): a topic's page, lists joined by ", " in order; each side is aggregated before it is joined."""
+    def listed(rows: DataFrame, value: str, name: str) -> DataFrame:
+        return rows.groupBy("topic").agg(F.array_join(F.array_sort(F.collect_set(value)), ", ").alias(name))
+
+    sides = [
+        listed(labels, "alternate", "alternates"), listed(edges.select(F.col("child").alias("topic"), F.col("parent").alias("x")), "x", "parents"),
+        listed(edges.select(F.col("parent").alias("topic"), F.col("child").alias("x")), "x", "children"), listed(neighbours(related).select("topic", F.col("other").alias("x")), "x", "related"),
+    ]
+    rows = topics.select("topic", "label")
+    for side, name in zip(sides, ("alternates", "parents", "children", "related"), strict=True):
+        rows = rows.join(side, "topic", "left").withColumn(name, F.coalesce(name, F.lit("")))
+    return rows.join(rolled.select("topic", F.col("combined").alias("items")), "topic", "left").withColumn("items", F.coalesce("items", F.lit(0)))
+
+
+def provenance(direct: DataFrame, closed: DataFrame, topics: DataFrame) -> DataFrame:
+    """(topic, item_id, is_direct, through): why an item stands under a topic: linked itself, and the topics below through which it is, ascending.
+
+    direct: topic, item_id. topics: the topics asked for.
+    """
+    own = direct.join(topics.select("topic"), "topic", "left_semi").select("topic", "item_id", F.lit(None).cast("string").alias("via"))
+    below = closed.join(topics.select(F.col("topic").alias("ancestor")), "ancestor", "left_semi").filter("ancestor <> descendant")
+    lifted = direct.join(below.select(F.col("descendant").alias("topic"), "ancestor"), "topic").select(F.col("ancestor").alias("topic"), "item_id", F.col("topic").cast("string").alias("via"))
+    return own.unionByName(lifted).groupBy("topic", "item_id").agg(F.bool_or(F.col("via").isNull()).alias("is_direct"), F.array_join(F.array_sort(F.collect_set("via")), ", ").alias("through"))

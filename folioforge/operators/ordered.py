@@ -136,6 +136,21 @@ def bands(lines: DataFrame, height: float) -> DataFrame:
     return lines.groupBy("page").applyInPandas(one, "page long, band int, first int, last int, cut double")
 
 
+def words_in_bands(words: DataFrame, rects: DataFrame) -> DataFrame:
+    """(page, word, band, error) of words (page, word, ymin, ymax) over a page's bands (page, band, top, bottom): crosses_cut, or not_one_band where no or several bands hold it.
+
+    Bands are few to a page, so that a word meets them as one array.
+    """
+    of_page = rects.groupBy("page").agg(F.collect_list(F.struct("band", "top", "bottom")).alias("bands"))
+    rows = words.join(of_page, "page", "left")
+    holds = lambda b: (F.col("ymin") >= b["top"]) & (F.col("ymax") < b["bottom"])
+    touches = lambda b: (F.col("ymin") < b["bottom"]) & (F.col("ymax") >= b["top"])
+    own = F.filter(F.coalesce("bands", F.array().cast(of_page.schema["bands"].dataType)), holds)
+    crossed = F.coalesce(F.exists("bands", lambda b: touches(b) & ~holds(b)), F.lit(False))
+    error = F.when(crossed, "crosses_cut").when(F.size(own) != 1, "not_one_band")
+    return rows.select("page", "word", F.when(error.isNull(), F.get(own, F.lit(0))["band"]).alias("band"), error.alias("error"))
+
+
 def merge_overlap(upper: Column, lower: Column) -> Column:
     """Two line lists as one, without the longest suffix of the first that begins the second. Only suffixes that start as the second does are compared."""
     starts = F.sequence(F.lit(0), F.least(F.size(upper), F.size(lower)))

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +14,8 @@ MAX_QUERY = 200
 TITLE, META, BODY = 1.0, 0.4, 0.2
 TITLE_BOOST, META_BOOST = 1.0, 0.4
 PAGE_SIZES, DEFAULT_PAGE = (24, 48, 96), 48
-TARGET, CAP = 190, 220
+#: Files of the index are parted by this many buckets of tokens.
+BUCKETS = 64
 
 
 def terms(query: str) -> list[str] | None:
@@ -35,37 +35,33 @@ def terms(query: str) -> list[str] | None:
     return list(dict.fromkeys(out))
 
 
-def search(items: DataFrame, query: str) -> DataFrame:
-    """`items` that match every term, with `relevance`.
+def search(items: DataFrame, index: DataFrame, query: str) -> DataFrame:
+    """`items` that match every term, with `relevance`. index: postings of the items, as `stored_index` gives them.
 
-    A term matches as a token of any field or as a substring of title or metadata. One scan, no shuffle:
-    all conditions are expressions over the item's own row.
+    A term matches as a token of any field or as a substring of title or metadata. Tokens come from the
+    postings of the query's terms alone, and substrings from a scan of the two short fields: no body is read.
     """
     wanted = terms(query)
     if wanted is None:
         return items.withColumn("relevance", F.lit(0.0))
     if not wanted:
         return items.withColumn("relevance", F.lit(0.0)).filter(F.lit(False))
-    fields = {"title": TITLE, "metadata": META, "body": BODY}
-    rows = items.withColumns({f"__{f}": tokens(F.col(f)) for f in fields})
-    has = lambda f, t: F.array_contains(f"__{f}", t)
-    inside = lambda f, t: F.contains(F.lower(f), F.lit(t))
+    weights = {"A": TITLE, "B": META, "C": BODY}
+    found = postings_of(index, wanted).groupBy("item_id").agg(F.collect_set("token").alias("__tokens"), *[F.count_if(F.col("field") == f).alias(f"__{f}") for f in weights])
+    inside = {(f, t): F.coalesce(F.contains(F.lower(f), F.lit(t)), F.lit(False)) for f in ("title", "metadata") for t in wanted}
     every: Column = F.lit(True)
     for t in wanted:
-        every &= has("title", t) | has("metadata", t) | has("body", t) | inside("title", t) | inside("metadata", t)
+        every &= F.coalesce(F.array_contains("__tokens", t), F.lit(False)) | inside["title", t] | inside["metadata", t]
     rank: Column = F.lit(0.0)
-    for f, weight in fields.items():
-        whole: Column = F.lit(True)
-        for t in wanted:
-            whole &= has(f, t)
-        rank += F.when(whole, weight).otherwise(0.0)
-    boost: Column = F.lit(0.0)
+    for f, weight in weights.items():  # a field's postings are one a token: as many as terms are all of them
+        rank += F.when(F.col(f"__{f}") == len(wanted), weight).otherwise(0.0)
     for f, weight in (("title", TITLE_BOOST), ("metadata", META_BOOST)):
         some: Column = F.lit(False)
         for t in wanted:
-            some |= inside(f, t)
-        boost += F.when(some, weight).otherwise(0.0)
-    return rows.filter(every).withColumn("relevance", F.round(rank + boost, 6)).drop(*[f"__{f}" for f in fields])
+            some |= inside[f, t]
+        rank += F.when(some, weight).otherwise(0.0)
+    rows = items.join(found, "item_id", "left").filter(every)
+    return rows.withColumn("relevance", F.round(rank, 6)).select(*items.columns, "relevance")
 
 
 def page(rows: DataFrame, order: list[Column], number: int = 1, size: int = DEFAULT_PAGE) -> DataFrame:
@@ -74,9 +70,9 @@ def page(rows: DataFrame, order: list[Column], number: int = 1, size: int = DEFA
     return rows.orderBy(*order).offset((max(1, number) - 1) * size).limit(size)
 
 
-def term_candidates(items: DataFrame, term: str) -> DataFrame:
+def term_candidates(items: DataFrame, index: DataFrame, term: str) -> DataFrame:
     """Ids that match a term by token, by title or by metadata: a union of three arms."""
-    token = items.filter(F.array_contains(tokens(F.concat_ws(" ", "title", "metadata", "body")), term)).select("item_id")
+    token = postings_of(index, [term]).select("item_id").join(items.select("item_id"), "item_id", "left_semi")
     arms = [items.filter(F.contains(F.lower(f), F.lit(term))).select("item_id") for f in ("title", "metadata")]
     return token.unionByName(arms[0]).unionByName(arms[1]).distinct()
 
@@ -103,6 +99,41 @@ def postings(items: DataFrame) -> DataFrame:
     return rows.groupBy("item_id", "token", "field").agg(F.count(F.lit(1)).alias("n"), F.min("at").cast("long").alias("first"))
 
 
+def bucket_of(token: Column) -> Column:
+    return (F.crc32(token.cast("binary")) % BUCKETS).cast("int")
+
+
+def write_index(items: DataFrame, path: str) -> None:
+    """The postings as files by bucket of the token, sorted by token: a query opens the buckets of its terms and skips to them.
+
+    Ranges end within a token's postings as well, so that a token of very many items is many tasks.
+    """
+    keyed = postings(items).withColumn("bucket", bucket_of(F.col("token")))
+    keyed.repartitionByRange("bucket", "token", "item_id").sortWithinPartitions("bucket", "token", "item_id").write.partitionBy("bucket").mode("overwrite").parquet(path)
+
+
+def postings_of(index: DataFrame, wanted: list[str]) -> DataFrame:
+    """The postings of some tokens; files of other buckets are not opened."""
+    if "bucket" in index.columns:
+        index = index.filter(F.col("bucket").isin(*{zlib.crc32(t.encode()) % BUCKETS for t in wanted}))
+    return index.filter(F.col("token").isin(*wanted))
+
+
+def refreshed(index: DataFrame, items: DataFrame, ids: DataFrame) -> DataFrame:
+    """`index` with the postings of the given ids (item_id, repeats and unknown ones allowed) made anew; an item that is gone has none."""
+    wanted = ids.select("item_id").distinct()
+    new = postings(items.join(wanted, "item_id", "left_semi"))
+    return index.select(*new.columns).join(wanted, "item_id", "left_anti").unionByName(new)
+
+
+def refresh_ids(*sides: DataFrame) -> DataFrame:
+    """Distinct item ids of several sources, ascending: what a change of a person asks to be indexed anew."""
+    ids = sides[0].select("item_id")
+    for side in sides[1:]:
+        ids = ids.unionByName(side.select("item_id"))
+    return ids.distinct().orderBy("item_id")
+
+
 def match_label(items: DataFrame, query: str) -> DataFrame:
     """(item_id, label): the one field in which a term stands, `several` or `none`."""
     wanted = terms(query) or []
@@ -118,55 +149,3 @@ def literal_matches(text: Column, term: str) -> Column:
     """Number of non-overlapping occurrences, case ignored."""
     low = F.lower(text)
     return ((F.length(low) - F.length(F.replace(low, F.lit(term.lower()), F.lit("")))) / len(term)).cast("long")
-
-
-def snippet_window(text: str, wanted: list[str]) -> tuple[int, int, int]:
-    """(start, end, distinct terms) of the window of at most CAP characters with the most distinct terms, the earliest."""
-    spans, start = [], None
-    for i, ch in enumerate(text + " "):
-        if ch.isalnum():
-            start = i if start is None else start
-        elif start is not None:
-            spans.append((start, i, text[start:i].casefold()))
-            start = None
-    hits = [s for s in spans if s[2] in set(wanted)]
-    if not hits:
-        return 0, min(len(text), TARGET), 0
-    best = None
-    for i, first in enumerate(hits):
-        seen, end = set(), first[1]
-        for hit in hits[i:]:
-            if hit[1] - first[0] > CAP:
-                break
-            seen.add(hit[2])
-            end = hit[1]
-        key = (-len(seen), first[0])
-        if best is None or key < best[0]:
-            best = (key, first[0], end, len(seen))
-    _, low, high, n = best
-    spare = max(0, TARGET - (high - low))
-    left = min(low, spare // 2)
-    right = min(len(text) - high, spare - left)
-    left = min(low, spare - right)
-    low, high = low - left, min(len(text), high + right)
-    for a, b, _ in spans:  # snap outward to token edges
-        low = a if a < low < b else low
-        high = b if a < high < b else high
-    return low, high, n
-
-
-def snippets(items: DataFrame, query: str) -> DataFrame:
-    """(item_id, snippet, n_terms) of the items' bodies, blanks collapsed."""
-    wanted = terms(query) or []
-
-    @F.pandas_udf("snippet string, n_terms long")
-    def cut(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for part in texts:
-            rows = []
-            for text in part:
-                text = " ".join((text or "").split())
-                low, high, n = snippet_window(text, wanted)
-                rows.append(("…" * (low > 0) + text[low:high] + "…" * (high < len(text)), n))
-            yield pd.DataFrame(rows, columns=["snippet", "n_terms"])
-
-    return items.select("item_id", cut("body").alias("x")).select("item_id", "x.snippet", "x.n_terms")

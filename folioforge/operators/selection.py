@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def latest_displayable(results: DataFrame) -> DataFrame:
-    """Per document and type the newest SUCCEEDED result, else the newest NEEDS_REVIEW; blank texts and failures never.
+def latest_displayable(results: DataFrame, blank: bool = True) -> DataFrame:
+    """Per document and type the newest SUCCEEDED result, else the newest NEEDS_REVIEW; failures never, nor blank texts, or only empty ones where `blank` is false.
 
     An aggregate with map-side combine instead of a window: the best row is a maximum of structs.
     """
-    usable = results.filter(F.col("status").isin("SUCCEEDED", "NEEDS_REVIEW") & F.col("text").rlike("\\S"))
+    usable = results.filter(F.col("status").isin("SUCCEEDED", "NEEDS_REVIEW") & (F.col("text").rlike("\\S") if blank else F.col("text") != ""))
     best = F.max(F.struct((F.col("status") == "SUCCEEDED").alias("ok"), "created_at", "result_id", "status", "engine", "text"))
     return usable.groupBy("doc_id", "result_type").agg(best.alias("x")).select("doc_id", "result_type", "x.result_id", "x.status", "x.engine", "x.text")
 
@@ -29,6 +29,18 @@ def displayed_transcription(latest: DataFrame, language: DataFrame) -> DataFrame
     return joined.select("doc_id", first.alias("result_id"))
 
 
+def displayed_translation(latest: DataFrame, language: DataFrame) -> DataFrame:
+    """(doc_id, result_id): the Hebrew text of documents in another language whose source text is shown as well."""
+    own = latest.filter("result_type = 'HEBREW_TEXT'").join(language.filter("lang <> 'he'").select("doc_id"), "doc_id", "left_semi")
+    return own.join(latest.filter("result_type = 'SOURCE_TEXT'").select("doc_id"), "doc_id", "left_semi").select("doc_id", "result_id")
+
+
+def next_positions(items: DataFrame, photos: DataFrame) -> DataFrame:
+    """(item_id, position) that a further photo of each item gets; 1 for the first."""
+    last = photos.groupBy("item_id").agg(F.max("position").alias("last"))
+    return items.join(last, "item_id", "left").select("item_id", (F.coalesce("last", F.lit(0)) + 1).cast("long").alias("position"))
+
+
 def processing_state(documents: DataFrame, results: DataFrame, engine: str) -> DataFrame:
     """(doc_id, state) of one engine: a missing expected type is PARTIAL, all failed FAILED, all usable READY, else PARTIAL."""
     own = results.filter(F.col("engine") == engine)

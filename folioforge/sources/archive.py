@@ -6,9 +6,12 @@ and visibility, type and upload status follow from the id. Real archives bring t
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import shared_folder
 from .tables import table
 
 
@@ -60,3 +63,18 @@ RESULTS_SQL = """results AS (
          CASE WHEN (doc_id * 3 + e) % 11 = 0 THEN '  ' ELSE coalesce(text, '') END AS text,
          ((doc_id * 13 + e * 5) % 97)::BIGINT AS created_at
   FROM documents, (SELECT unnest([0, 1, 2]) AS e))"""
+
+
+_indexes: dict[tuple[str, str], str] = {}
+
+
+def search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The postings of a directory's items, written to the shared folder once in a session and read from there by every search."""
+    from folioforge.operators.search import write_index
+
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _indexes:
+        path = f"{shared_folder(spark)}/folioforge-search/{uuid.uuid4().hex}"
+        write_index(items(spark, sf_dir), path)
+        _indexes[key] = path
+    return spark.read.parquet(_indexes[key])

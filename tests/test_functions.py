@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioforge.functions import dates, text
-from folioforge.operators import ordered, search
+from folioforge.operators import matches, ordered, search
 
 
 def value(spark, column):
@@ -60,11 +60,18 @@ def test_terms():
     assert search.terms("  The cat's ") == ["the", "cat", "s"] and search.terms("  ") is None and search.terms("x" * 201) == [] and search.terms("!!") == []
 
 
-def test_snippet_window_prefers_distinct_terms_then_the_earliest():
-    body = "alpha " + "x " * 150 + "beta alpha " + "y " * 200 + "alpha beta"
-    low, high, n = search.snippet_window(body, ["alpha", "beta"])
-    assert n == 2 and body[low:high].count("beta") == 1 and low < 400 and high - low <= 230
-    assert search.snippet_window("none here", ["zzz"]) == (0, 9, 0)
+def test_snippets_prefer_distinct_terms_then_the_earliest_and_end_at_whole_words(spark):
+    body = "alpha " + "xx " * 150 + "beta Alpha " + "yy " * 200 + "alpha beta"
+    df = spark.createDataFrame([(1, body), (2, "none  here"), (3, None), (4, "word " * 100), (5, "alphabet")], "item_id long, text string")
+    got = {r.item_id: r for r in matches.snippets(df, ["alpha", "beta"]).collect()}
+    shown = got[1].snippet
+    assert got[1].n_terms == 2 and "beta Alpha yy" in shown and shown.startswith("…x") and shown.endswith("y…") and 185 <= len(shown) <= 200
+    assert (got[2].snippet, got[2].n_terms) == ("none here", 0) and got[3].snippet == "" and got[5].n_terms == 0
+    assert got[4].snippet == ("word " * 100)[:190] + "…"
+    parts = matches.segments(spark.createDataFrame([(1, "beta and ALPHA, alphabet")], "item_id long, snippet string"), ["alpha", "beta"]).orderBy("place").collect()
+    assert [(r.part, r.is_match) for r in parts] == [("beta", True), (" and ", False), ("ALPHA", True), (", alphabet", False)]
+    ranges = matches.literal_ranges(spark.createDataFrame([(1, "Aaaa aA"), (2, "İaa")], "item_id long, text string"), ["item_id"], ["AA", "aa"])
+    assert sorted((r.item_id, r.start, r.end) for r in ranges.collect()) == [(1, 0, 2), (1, 2, 4), (1, 5, 7)], "a text whose lower case is longer has none"
 
 
 def test_bands_by_full_enumeration():
