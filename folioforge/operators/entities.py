@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from folioforge.functions.text import bound, fold_dashes, json_hash
 
 MAX_SURFACE = 255
+#: Surfaces that are broadcast, of 255 characters at most; and the size of the table of first words.
+BROADCAST_SURFACES = 100_000
+FIRST_WORD_BINS = 4096
 # Bidirectional marks that a surface loses.
 BIDI = "‎‏‪‫‬‭‮⁦⁧⁨⁩"
 
@@ -36,29 +39,36 @@ def registry_rank(entities: DataFrame, aliases: DataFrame, query: str) -> DataFr
 def detect(texts: DataFrame, surfaces: DataFrame, max_words: int = 8) -> DataFrame:
     """Hits (item_id, surface, start, end, in words) of dictionary surfaces that stand between word bounds.
 
-    texts: item_id, text. surfaces: surface (normal form, words apart by one space). Texts become their word
-    n-grams up to `max_words`, which meet the dictionary in an equi join: no text is compared with every
-    surface, and the dictionary may be of any size. Surfaces of more words than `max_words` are refused.
+    texts: item_id, text. surfaces: surface (normal form, words apart by one space). Of a text's words those
+    stay that may begin a surface, by a table of hashes of first words; only there n-grams are made, and
+    they meet the dictionary in an equi join: no text is compared with every surface. A dictionary of up to
+    BROADCAST_SURFACES is broadcast, so that a frequent surface is no hot key; a larger one is joined by
+    shuffle, its frequent surfaces' rows being split at run time. Surfaces of more words than `max_words` are refused.
     """
-    dictionary = surfaces.select("surface", F.size(F.split("surface", " ")).alias("words")).filter(F.length("surface").between(1, MAX_SURFACE)).distinct()
-    words = texts.select("item_id", F.filter(F.split(F.lower("text"), "[^\\p{L}\\p{N}\\p{M}]+"), lambda w: w != "").alias("words"))
-    lengths = [r["words"] for r in dictionary.select("words").distinct().orderBy("words").collect()]
+    dictionary = surfaces.select("surface", F.split("surface", " ").alias("w")).filter(F.length("surface").between(1, MAX_SURFACE)).distinct()
+    facts = dictionary.agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.size("w")).alias("lengths"), F.collect_set(_bin(F.get("w", F.lit(0)))).alias("bins")).first()
+    lengths = sorted(facts["lengths"])
     if lengths and lengths[-1] > max_words:
         raise ValueError(f"a surface has more than {max_words} words")
     if not lengths:
         return texts.select("item_id", F.lit("").alias("surface"), F.lit(0).alias("start"), F.lit(0).alias("end")).filter(F.lit(False))
+    begins = F.array(*[F.lit(k in set(facts["bins"])) for k in range(FIRST_WORD_BINS)])
 
-    def grams(w, n: int):
-        """The n-grams of a text's words with their places."""
-        made = F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))),
-            lambda i: F.struct(F.array_join(F.slice(w, i, n), " ").alias("surface"), (i - 1).alias("start"), (i + (n - 1)).alias("end")),
-        )
-        return F.slice(made, 1, F.greatest(F.size(w) - n + 1, F.lit(0)))
+    def grams(w):
+        """The n-grams of a text's words that may be surfaces, with their places."""
+        at = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.get(begins, _bin(F.get(w, i))))
+        made = F.transform(at, lambda i: F.array(*[F.struct(F.array_join(F.slice(w, i + 1, n), " ").alias("surface"), i.alias("start"), (i + n).alias("end")) for n in lengths]))
+        return F.filter(F.flatten(made), lambda x: x["end"] <= F.size(w))
 
+    words = texts.select("item_id", F.filter(F.split(F.lower("text"), "[^\\p{L}\\p{N}\\p{M}]+"), lambda w: w != "").alias("words")).filter(F.size("words") > 0)
     # the n-grams of a text are one array before they become rows, so that no row carries the whole text
-    rows = words.select("item_id", F.explode(bound(F.col("words"), lambda w: F.concat(*[grams(w, n) for n in lengths]))).alias("x")).select("item_id", "x.*")
-    return rows.join(dictionary.select("surface"), "surface").select("item_id", "surface", "start", "end")
+    rows = words.select("item_id", F.explode(bound(F.col("words"), grams)).alias("x")).select("item_id", "x.*")
+    known = dictionary.select("surface")
+    return rows.join(F.broadcast(known) if facts["n"] <= BROADCAST_SURFACES else known, "surface").select("item_id", "surface", "start", "end")
+
+
+def _bin(word):
+    return F.pmod(F.xxhash64(word), F.lit(FIRST_WORD_BINS)).cast("int")
 
 
 def surviving(hits: DataFrame) -> DataFrame:

@@ -57,20 +57,37 @@ class Request:
         return self.finish(action, self.token if token < 0 else token)
 
 
+def _step(a, x):
+    """The state (status, token, lease, out) of a request after one more delivery: the rules of `Request` as expressions."""
+    deliver, recover = x["action"] == "deliver", x["action"] == "recover"
+    running, parked = a["status"] == "RUNNING", a["status"] == "RECOVERY_REQUIRED"
+    holds = (running | parked) & (F.when(x["token"] < 0, a["token"]).otherwise(x["token"]) == a["token"])
+    outcome = (
+        F.when(deliver & a["status"].isin("QUEUED", "ENQUEUE_FAILED"), "EXECUTE").when(deliver & running & (a["lease"] > x["now"]), "DEFER").when(deliver, "ACK")
+        .when(recover & parked, "REQUEUED").when(recover, "REFUSED").when(holds, "DONE").otherwise("REFUSED")
+    )
+    status = (
+        F.when(outcome == "EXECUTE", "RUNNING").when((outcome == "ACK") & running, "RECOVERY_REQUIRED").when(outcome == "REQUEUED", "QUEUED")
+        .when(outcome == "DONE", F.when(x["action"] == "NOOP", "FAILED").otherwise(x["action"])).otherwise(a["status"])
+    )
+    token = F.when(outcome == "EXECUTE", x["event_id"]).when(outcome == "REQUEUED", F.lit(-1).cast("long")).otherwise(a["token"])
+    lease = F.when(outcome == "EXECUTE", x["now"] + float(LEASE_SECONDS)).when(outcome == "REQUEUED", F.lit(0.0)).otherwise(a["lease"])
+    row = F.struct(x["event_id"].alias("event_id"), outcome.alias("outcome"), status.alias("status"))
+    return F.struct(status.alias("status"), token.alias("token"), lease.alias("lease"), F.array_append(a["out"], row).alias("out"))
+
+
 def replay(deliveries: DataFrame) -> DataFrame:
     """Outcome of each delivery (request_id, event_id, now, action, token), folded per request in order of (now, event_id).
 
-    A request's deliveries are one group; it is left after its terminal action, which bounds a real queue's groups.
+    A request's deliveries are one array, folded by built-in functions; it is left after its terminal
+    action, which bounds a real queue's arrays.
     """
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        state, rows = Request(), []
-        for r in group.sort_values(["now", "event_id"]).itertuples(index=False):
-            outcome = state.step(r.action, r.now, r.event_id, r.token)
-            rows.append((r.request_id, r.event_id, outcome, state.status))
-        return pd.DataFrame(rows, columns=["request_id", "event_id", "outcome", "status"])
-
-    return deliveries.groupBy("request_id").applyInPandas(fold, SCHEMA)
+    step = F.struct(F.col("now").cast("double").alias("now"), F.col("event_id").cast("long").alias("event_id"), "action", F.col("token").cast("long").alias("token"))
+    own = deliveries.groupBy("request_id").agg(F.array_sort(F.collect_list(step)).alias("steps"))
+    none = F.array().cast("array<struct<event_id:bigint,outcome:string,status:string>>")
+    begin = F.struct(F.lit("QUEUED").alias("status"), F.lit(-1).cast("long").alias("token"), F.lit(0.0).alias("lease"), none.alias("out"))
+    rows = own.select("request_id", F.explode(F.aggregate("steps", begin, _step)["out"]).alias("x"))
+    return rows.select(F.col("request_id").cast("long").alias("request_id"), "x.event_id", "x.outcome", "x.status")
 
 
 def stream(deliveries: DataFrame) -> DataFrame:
