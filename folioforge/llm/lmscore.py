@@ -108,7 +108,7 @@ def _counted(parts: list[np.ndarray], kind: int, shards: int):
     keys, counts = np.unique(np.concatenate(parts), return_counts=True)
     shard = shard_of(keys, shards)
     ends = np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
-    used = [s for s in range(shards) if ends[s] < ends[s + 1]]
+    used = np.flatnonzero(ends[1:] > ends[:-1]).tolist()
     counts = counts.astype(np.uint32)
     return pa.RecordBatch.from_pydict(
         {
@@ -259,12 +259,17 @@ def log_probabilities(c_word: np.ndarray, c_pair: np.ndarray, begins: np.ndarray
 
 
 def train(docs: DataFrame, *, text_col: str = "text", head: int = HEAD, shard_bytes: int = SHARD_BYTES, prior: float = PRIOR) -> tuple[Model, DataFrame]:
-    """A model of all whole texts of `docs`, and the table of its counts (a row for each kind and shard)."""
+    """A model of all whole texts of `docs`, and the table of the words beyond the head with their counts.
+
+    Null and empty texts are one token, the end; repeated rows are learned from each time. Empty table: a
+    model whose counts are all 0. Other columns are not read.
+    """
     small_batches(docs.sparkSession)
     text = docs.select(F.col(text_col).alias("text"))
     n_docs, size = text.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     shards = max(16, -(-size // shard_bytes))
-    parts = text.mapInArrow(_count(shards), "kind int, shard long, keys binary, counts binary")
+    # as many tasks as groups, whatever the session's number: a task holds one shard
+    parts = text.mapInArrow(_count(shards), "kind int, shard long, keys binary, counts binary").repartition(2 * shards, "kind", "shard")
     counts = stage_table(parts.groupBy("kind", "shard").applyInArrow(_merge, _COUNTS), "ngram-counts")
     sums = {r["kind"]: r for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()}
     n, v = (sums[0]["total"], sums[0]["n"]) if 0 in sums else (0, 0)
@@ -345,7 +350,7 @@ def _asked(shards: int):
                 _, begins, words, at = _unpack(*packed)
                 for kind, keys in ((0, np.sort(words)), (1, np.unique(pair_hashes(words[at], begins)))):
                     ends = np.searchsorted(shard_of(keys, shards), np.arange(shards + 1, dtype=np.uint64))
-                    used = [s for s in range(shards) if ends[s] < ends[s + 1]]
+                    used = np.flatnonzero(ends[1:] > ends[:-1]).tolist()
                     yield pa.RecordBatch.from_pydict(
                         {
                             "pack": pa.array([pack.as_py()] * len(used), pa.int64()),
@@ -417,7 +422,7 @@ def score(docs: DataFrame, model: Model, tail: DataFrame, *, id_col: str = "doc_
     kind = rows.schema["id"].dataType.simpleString()
     packs = rows.mapInArrow(_packs, f"ids array<{kind}>, sizes array<long>, words binary, places binary")
     packs = stage_table(packs.withColumn("pack", F.monotonically_increasing_id()), "token-packs")
-    asked = packs.select("pack", "sizes", "words", "places").mapInArrow(_asked(model.shards), "pack long, kind int, shard long, keys binary")
+    asked = packs.select("pack", "sizes", "words", "places").mapInArrow(_asked(model.shards), "pack long, kind int, shard long, keys binary").repartition(2 * model.shards, "kind", "shard")
     answers = asked.groupBy("kind", "shard").cogroup(model.segments.groupBy("kind", "shard")).applyInArrow(_answer, "pack long, kind int, shard long, levels binary")
     scored = packs.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(run, f"id {kind}, n_tokens long, n_head long, head_score double, score double, others array<long>")
     scored = stage_table(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
