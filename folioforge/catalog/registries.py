@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from folioforge.catalog.entities import _HITS, hits, surfaces
 from folioforge.catalog.graphs import _CLOSED, _DIRECT, direct, edges
 from folioforge.catalog.text import words
 from folioforge.functions import dates, text
 from folioforge.operators import entities, graph, ordered
 from folioforge.plans import registry as plans
 from folioforge.registry import query
+from folioforge.sources import files
 from folioforge.sources.archive import ITEMS_SQL, RESULTS_SQL, items, text_results
 from folioforge.sources.tables import table
 
@@ -195,6 +197,32 @@ def _(spark, sf_dir):
     return entities.without_retired(table(spark, sf_dir, "part", ["p_partkey", "p_name"]).withColumnRenamed("p_partkey", "entity_id"), retired)
 
 
+@query(
+    "entity_batch_appends",
+    f"""{_HITS}, s AS (SELECT * FROM hits a WHERE item_id % 3 <> 0 AND NOT EXISTS (SELECT 1 FROM hits b WHERE b.item_id = a.item_id AND b.start <= a.start AND b."end" >= a."end" AND b."end" - b.start > a."end" - a.start))
+SELECT item_id, surface, start FROM s WHERE NOT (item_id % 2 = 0 AND start % 2 = 0)""",
+)
+def _(spark, sf_dir):
+    k = F.col("doc_id")
+    rows = table(spark, sf_dir, "documents", ["doc_id", "text"]).select(k.alias("item_id"), F.coalesce("text", F.lit("")).alias("text"), F.when(k % 3 != 0, F.sha2(F.coalesce("text", F.lit("")), 256)).alias("sha"))
+    names = surfaces(spark, sf_dir)
+    stored = hits(spark, sf_dir).filter("item_id % 2 = 0 AND start % 2 = 0").select("item_id", "surface", "start")
+    return entities.examine(rows, names, stored)[0].select("item_id", "surface", "start")
+
+
+@query("document_pages", "SELECT l_orderkey AS document_id, l_partkey * 10 + l_linenumber AS file_id, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey * 10 + l_linenumber))::INTEGER AS page FROM lineitem")
+def _(spark, sf_dir):
+    c = F.col
+    lines = table(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_partkey"])
+    return files.page_rows(lines.select(c("l_orderkey").alias("document_id"), (c("l_partkey") * 10 + c("l_linenumber")).alias("file_id"), c("l_linenumber").alias("position")))
+
+
+@query("photo_object_keys", "SELECT DISTINCT p_brand AS key FROM part UNION SELECT p_type FROM part WHERE p_partkey % 3 = 0")
+def _(spark, sf_dir):
+    rows = table(spark, sf_dir, "part", ["p_partkey", "p_brand", "p_type"]).select(F.concat(F.lit(" "), "p_brand").alias("original"), F.when(_k() % 3 == 0, F.col("p_type")).when(_k() % 3 == 1, " ").alias("thumbnail"))
+    return files.keys_of(rows, "original", "thumbnail")
+
+
 # --- topics
 
 

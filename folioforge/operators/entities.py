@@ -146,3 +146,14 @@ def ledger(found: DataFrame, stored: DataFrame, keys: list[str]) -> tuple[DataFr
 
 def without_retired(entities: DataFrame, retired: DataFrame) -> DataFrame:
     return entities.join(retired.select("entity_id"), "entity_id", "left_anti")
+
+
+def examine(items: DataFrame, surfaces: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows to append, counts of new and existing, report) of a run over items (item_id, text, sha); nothing is written: a dry run stops here, an applied one appends the rows.
+
+    stored: item_id, surface, start. Items that fail are left out and counted, the others go on.
+    """
+    examined = checked(items)
+    found = surviving(detect(examined.filter("failure IS NULL").select("item_id", "text"), surfaces))
+    rows, counts = ledger(found, stored, ["item_id", "surface", "start"])
+    return rows, counts, run_report(examined)

@@ -55,8 +55,8 @@ def _local(element) -> str:
     return element.tag.rpartition("}")[2]
 
 
-def sheet(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """A sheet of an XLSX workbook as strings, its first row the column names; blank rows are dropped.
+def sheet(spark: SparkSession, path: str, name: str, required: tuple[str, ...] = ()) -> DataFrame:
+    """A sheet of an XLSX workbook as strings, its first row the column names, or the first that has all `required` ones; blank rows are dropped.
 
     The workbook is read as one binary row, through whatever store Spark reads, and unzipped in the task.
     """
@@ -65,7 +65,7 @@ def sheet(spark: SparkSession, path: str, name: str) -> DataFrame:
     def header(frames):
         for frame in frames:
             for content in frame["content"]:
-                found = next(_rows_of(bytes(content), name), []) if name in _sheets_of(bytes(content)) else None
+                found = next((r for _, r in _from_header(bytes(content), name, required)), []) if name in _sheets_of(bytes(content)) else None
                 yield pd.DataFrame({"names": [found]})
 
     columns = book.mapInPandas(header, "names array<string>").first()["names"]  # only the names leave the task
@@ -76,13 +76,39 @@ def sheet(spark: SparkSession, path: str, name: str) -> DataFrame:
     def read(frames):
         for frame in frames:
             for content in frame["content"]:
-                rows = list(_rows_of(bytes(content), name))[1:]
+                rows = [r for k, r in _from_header(bytes(content), name, required) if k]
                 rows = [(r + [None] * len(columns))[: len(columns)] for r in rows if any(x not in (None, "") for x in r)]
                 yield pd.DataFrame(rows, columns=columns, dtype=object)
 
     return book.mapInPandas(read, schema)
 
 
+def _from_header(content: bytes, name: str, required: tuple[str, ...]):
+    """(number, row) from the header row on, which is number 0."""
+    number = -1
+    for row in _rows_of(content, name):
+        if number >= 0 or set(required) <= set(row):
+            number += 1
+            yield number, row
+
+
+def open_reviews(aliases: DataFrame, status: str = "status", key: str = "id", closed: tuple[str, ...] = ("APPROVED", "REJECTED")) -> DataFrame:
+    """Ids of a sheet's alias rows whose review is not closed, each once."""
+    return aliases.filter(~F.coalesce(F.upper(F.trim(status)).isin(*closed), F.lit(False))).select(key).distinct()
+
+
+def checked_json(spark: SparkSession, path: str, schema: str, expected_sha256: str) -> DataFrame:
+    """A JSON file of one array or object of a fixed schema; a file whose hash is not the expected one fails the read, and so does what does not fit."""
+    _same_hash(spark, path, expected_sha256)
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+
+
+def _same_hash(spark: SparkSession, path: str, expected: str) -> None:
+    found = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).first()[0]
+    if found != expected:
+        raise ValueError(f"the file's SHA-256 is {found}")
+
+
 def _sheets_of(content: bytes) -> list[str]:
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         return [e.get("name") for e in ElementTree.fromstring(z.read("xl/workbook.xml")).iter() if _local(e) == "sheet"]
@@ -113,9 +139,7 @@ def _rows_of(content: bytes, name: str):
 def checked_csv(spark: SparkSession, path: str, schema: str, expected_sha256: str | None = None) -> DataFrame:
     """A CSV of a fixed schema; a malformed row fails the read, and so does a file whose hash is not the expected one."""
     if expected_sha256:
-        found = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).first()[0]
-        if found != expected_sha256:
-            raise ValueError(f"the file's SHA-256 is {found}")
+        _same_hash(spark, path, expected_sha256)
     return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
 
 
@@ -146,3 +170,17 @@ def revise(history: DataFrame, edits: DataFrame) -> DataFrame:
     one = edits.groupBy("result_id", "base_revision").agg(F.min("text").alias("text"))
     joined = one.join(now, "result_id").filter((F.col("base_revision") == F.col("now.revision")) & (F.col("text") != F.col("now.text")))
     return joined.select("result_id", (F.col("base_revision") + 1).alias("revision"), "text")
+
+
+def page_rows(files: DataFrame) -> DataFrame:
+    """(document_id, file_id, page): a document's files (document_id, file_id, position) in order, pages from 1."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("document_id").orderBy("position", "file_id")
+    return files.select("document_id", "file_id", F.row_number().over(order).alias("page"))
+
+
+def keys_of(rows: DataFrame, *columns: str) -> DataFrame:
+    """(key): the object keys that any of the columns holds, trimmed, each once; blanks are none."""
+    keys = rows.select(F.explode(F.array(*[F.trim(c) for c in columns])).alias("key"))
+    return keys.filter(F.length("key") > 0).distinct()

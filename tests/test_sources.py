@@ -25,6 +25,15 @@ def test_sheet_of_a_workbook(spark, tmp_path):
     assert [(r.id, r.name) for r in got] == [("7", "Anna"), (None, "Bo")]
     with pytest.raises(ValueError):
         files.sheet(spark, f"{tmp_path}/b.xlsx", "third")
+    found = files.sheet(spark, f"{tmp_path}/b.xlsx", "second", required=("7",)).collect()
+    assert [tuple(r) for r in found] == [(None, "Bo")], "the header is the first row with the required names"
+    reviews = spark.createDataFrame([("1", "approved "), ("2", None), ("3", "OPEN"), ("3", "OPEN")], "id string, status string")
+    assert sorted(r.id for r in files.open_reviews(reviews).collect()) == ["2", "3"]
+    (tmp_path / "a.json").write_text('[{"a": 1}, {"a": 2}]')
+    sha = hashlib.sha256((tmp_path / "a.json").read_bytes()).hexdigest()
+    assert [r.a for r in files.checked_json(spark, f"{tmp_path}/a.json", "a long", sha).collect()] == [1, 2]
+    with pytest.raises(ValueError):
+        files.checked_json(spark, f"{tmp_path}/a.json", "a long", "0")
 
 
 def test_page_xml(spark):
