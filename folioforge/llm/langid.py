@@ -254,16 +254,20 @@ def quotas(sizes: dict[str, int], max_docs: int) -> dict[str, int]:
     return out
 
 
+def _sizes(docs: DataFrame, most: int) -> dict[str, int]:
+    """Documents of each language, of the `most` most frequent ones."""
+    return {r["lang"]: r["count"] for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()}
+
+
 def training_sample(docs: DataFrame, max_docs: int, sizes: dict[str, int] | None = None) -> DataFrame:
     """At most `max_docs` rows of (id, text, lang): of each language those with the smallest hashes of id and text, as many as `quotas` says.
 
     The hash that ends a language's part is found digit by digit, from counts of _BINS bins each. Copies of
     one row are taken all or none; where a language had nothing else to give, each row is taken once.
     """
-    if sizes is None:
-        sizes = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
+    sizes = _sizes(docs, max_docs) if sizes is None else sizes
     wanted = quotas(sizes, max_docs)
-    if all(wanted.get(x) == n for x, n in sizes.items()):
+    if len(sizes) < max_docs and all(wanted.get(x) == n for x, n in sizes.items()):
         return docs
     spark, copies = docs.sparkSession, False
     (h,) = unused(docs, "hash")
@@ -311,7 +315,7 @@ def train(
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).dropna()
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row a language
+    sizes = _sizes(rows, max_docs)
     while True:
         sample = training_sample(rows, max_docs, sizes).select("lang", "text")
         tallies = sample.mapInArrow(_counted, "lang string, order int, key long, n long").groupBy("lang", "order", "key").agg(F.sum("n").alias("n"))
