@@ -108,6 +108,7 @@ def blocking_run() -> Column:
 
 def coalesce_outcome(status: Column) -> Column:
     """What a repeated request is told, by the status of the active one."""
+    # Outcomes that callers act on.
     return F.when(status == "RUNNING", "ALREADY_RUNNING").when(status == "RECOVERY_REQUIRED", "BLOCKED_RECOVERY_REQUIRED").otherwise("ALREADY_QUEUED")
 
 

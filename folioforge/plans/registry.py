@@ -17,6 +17,7 @@ def alias_errors(aliases: DataFrame, rows: DataFrame, kinds: tuple[str, ...]) ->
     targets = rows.select(F.col("id").alias("target"), "decision", F.col("canonical").alias("own"), F.lit(True).alias("known"))
     marked = mark_duplicates(aliases.withColumns({c: F.coalesce(c, F.lit("")) for c in ("target", "name")}), {"twice": ["target", "name"]}).join(targets, "target", "left")
     c = F.col
+    # The error codes, which reviewers read.
     fault = F.when(c("known").isNull(), "ALIAS_TARGET_ABSENT").when(~c("decision").eqNullSafe(F.lit("APPROVE")), "ALIAS_TARGET_NOT_APPROVE").when(~c("canonical").eqNullSafe(c("own")), "ALIAS_CANONICAL_MISMATCH")
     found = F.when(c("target") == "", F.array(F.lit("ALIAS_TARGET_MISSING"))).otherwise(
         F.array_compact(F.array(
