@@ -8,7 +8,7 @@ from folioforge.catalog.entities import _HITS, hits, surfaces
 from folioforge.catalog.graphs import _CLOSED, _DIRECT, direct, edges
 from folioforge.catalog.text import words
 from folioforge.functions import dates, text
-from folioforge.operators import entities, graph, ordered
+from folioforge.operators import entities, graph, ordered, search
 from folioforge.plans import registry as plans
 from folioforge.registry import query
 from folioforge.sources import files
@@ -346,6 +346,65 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "orders", ["o_orderkey", "o_orderdate"]).select("o_orderkey", dates.stored_error(precision, day, end).alias("error"))
 
 
+@query(
+    "search_documents",
+    """WITH i AS (SELECT o_orderkey AS item_id, ' ' || o_orderpriority || '  x' AS title, 'Legacy ' || o_custkey % 7 AS author, CASE WHEN o_orderkey % 3 = 0 THEN 'Source' END AS source, CASE WHEN o_orderkey % 4 = 0 THEN ' a  note ' ELSE '' END AS note FROM orders),
+l AS (SELECT l_orderkey AS item_id, l_linenumber, l_suppkey, l_partkey, l_returnflag, l_linestatus, l_quantity FROM lineitem),
+p AS (SELECT item_id, 0 AS part, (l_linenumber, 'Author ' || l_suppkey % 5) AS o, 0 AS k, 'Author ' || l_suppkey % 5 AS x FROM l WHERE l_quantity > 25 UNION ALL SELECT item_id, 0, (0, ''), 0, author FROM i WHERE item_id NOT IN (SELECT item_id FROM l WHERE l_quantity > 25)
+  UNION ALL SELECT item_id, 1, (0, ''), 0, source FROM i UNION ALL SELECT item_id, 2, (0, l_returnflag), 0, l_returnflag FROM l UNION ALL SELECT item_id, 3, (0, l_linestatus), 0, l_linestatus FROM l UNION ALL SELECT item_id, 4, (0, ''), 0, note FROM i
+  UNION ALL SELECT item_id, 5, (l_partkey, 'Person ' || (l_partkey + 1000000)), k, CASE k WHEN 0 THEN 'Person ' || (l_partkey + 1000000) ELSE 'Alias ' || l_partkey % 3 END FROM l, (SELECT unnest([0, 1]) AS k) WHERE l_quantity < 10),
+c AS (SELECT item_id, part, o, k, trim(regexp_replace(x, '\\s+', ' ', 'g')) AS x FROM p WHERE x IS NOT NULL), f AS (SELECT item_id, x, min((part, o, k)) AS o FROM c WHERE x <> '' GROUP BY ALL), m AS (SELECT item_id, string_agg(x, chr(10) ORDER BY o) AS metadata FROM f GROUP BY 1)
+SELECT item_id, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS title, coalesce(metadata, '') AS metadata FROM i LEFT JOIN m USING (item_id)""",
+)
+def _(spark, sf_dir):
+    c, k = F.col, F.col("o_orderkey")
+    own = table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderpriority"]).select(
+        k.alias("item_id"), F.concat(F.lit(" "), "o_orderpriority", F.lit("  x")).alias("title"), F.concat(F.lit("Legacy "), c("o_custkey") % 7).alias("author"), F.when(k % 3 == 0, "Source").alias("source"), F.when(k % 4 == 0, " a  note ").otherwise("").alias("note")
+    )
+    lines = table(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_returnflag", "l_linestatus", "l_quantity"]).withColumnRenamed("l_orderkey", "item_id")
+    authors = lines.filter("l_quantity > 25").select("item_id", c("l_linenumber").alias("position"), F.concat(F.lit("Author "), c("l_suppkey") % 5).alias("name"))
+    kinds = {"categories": lines.select("item_id", c("l_returnflag").alias("name")).distinct(), "tags": lines.select("item_id", c("l_linestatus").alias("name")).distinct()}
+    shown = lines.filter("l_quantity < 10").select("item_id", c("l_partkey").alias("person_id"), F.concat(F.lit("Person "), c("l_partkey") + 1_000_000).alias("name"), F.array(F.concat(F.lit("Alias "), c("l_partkey") % 3)).alias("others"))
+    return search.documents(own, authors=authors, labels=kinds, persons=shown)
+
+
+@query(
+    "review_groups",
+    """WITH c AS (SELECT l_orderkey * 10 + l_linenumber AS candidate_id, l_suppkey AS entity_id, lower(l_returnflag) || l_suppkey AS surface, l_linestatus AS text_kind, min(l_orderkey % 50) AS item_id FROM lineitem GROUP BY ALL),
+r AS (SELECT l_orderkey * 10 + l_linenumber AS candidate_id, CASE WHEN l_quantity > 25 THEN 'exact' ELSE 'alias' END || '/' || CASE WHEN l_discount > 0.05 THEN 'SHORT' ELSE '' END AS x FROM lineitem WHERE l_tax > 0.02),
+s AS (SELECT candidate_id, string_agg(DISTINCT x, ',' ORDER BY x) AS reasons FROM r GROUP BY 1), g AS (SELECT entity_id, surface, text_kind, coalesce(reasons, '') AS reasons, count(*)::BIGINT AS members, count(DISTINCT item_id)::BIGINT AS items FROM c LEFT JOIN s USING (candidate_id) GROUP BY ALL)
+SELECT sha256('{"entity_id":' || entity_id || ',"surface":"' || surface || '","text_kind":"' || text_kind || '","reasons":"' || reasons || '"}') AS group_id, *, length(surface) <= 3 AS short_surface, items >= 5 AS many_items, contains(reasons, ',') AS several_reasons FROM g""",
+)
+def _(spark, sf_dir):
+    c = F.col
+    lines = table(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag", "l_linestatus", "l_quantity", "l_discount", "l_tax"])
+    key = (c("l_orderkey") * 10 + c("l_linenumber")).alias("candidate_id")
+    rows = lines.select(key, c("l_suppkey").alias("entity_id"), F.concat(F.lower("l_returnflag"), c("l_suppkey").cast("string")).alias("surface"), c("l_linestatus").alias("text_kind"), (c("l_orderkey") % 50).alias("item_id"))
+    candidates = rows.groupBy("candidate_id", "entity_id", "surface", "text_kind").agg(F.min("item_id").alias("item_id"))
+    why = lines.filter("l_tax > 0.02").select(key, F.when(c("l_quantity") > 25, "exact").otherwise("alias").alias("method"), F.when(c("l_discount") > 0.05, "SHORT").alias("alias_kind"))
+    return entities.review_groups(candidates, why)
+
+
+@query(
+    "page_geometry_counters",
+    """WITH l AS (SELECT l_orderkey % 40 AS page, l_suppkey AS region_id, CASE WHEN l_partkey % 7 <> 0 THEN l_partkey % 20 END AS line_id, CASE WHEN l_partkey % 5 = 0 THEN ' ' ELSE 'x' END AS text, l_partkey % 9 AS k, l_quantity::INT AS q, CASE WHEN l_partkey % 2 = 0 THEN '0,1 2,3' END AS baseline, l_orderkey % 40 % 3 <> 2 AS sized FROM lineitem),
+g AS (SELECT *, k NOT IN (0, 1, 2) AS given_and_read, k IN (3, 4) AS flat, k > 2 AND sized AND (k = 4 OR 10 + q > 50) AS beyond FROM l)
+SELECT page, count(DISTINCT region_id)::BIGINT AS regions, count(*)::BIGINT AS lines, count(*) FILTER (text = 'x')::BIGINT AS with_text, count(*) FILTER (k NOT IN (0, 1))::BIGINT AS with_coords, count(*) FILTER (k > 2 AND NOT flat AND NOT beyond)::BIGINT AS valid,
+  count(*) FILTER (text = 'x' AND k > 2 AND NOT flat AND NOT beyond)::BIGINT AS with_text_and_valid, count(baseline)::BIGINT AS with_baseline, count(*) FILTER (text = 'x' AND baseline IS NOT NULL)::BIGINT AS with_text_and_baseline, count(line_id)::BIGINT AS with_id,
+  (count(line_id) - count(DISTINCT line_id))::BIGINT AS duplicate_ids, count(*) FILTER (k = 2)::BIGINT AS malformed, count(*) FILTER (flat)::BIGINT AS degenerate, count(*) FILTER (beyond)::BIGINT AS out_of_bounds FROM g GROUP BY page""",
+)
+def _(spark, sf_dir):
+    c, k, q = F.col, F.col("l_partkey") % 9, F.col("l_quantity").cast("int")
+    wide = F.concat(F.lit("10,10 "), (q + 10).cast("string"), F.lit(",10 10,20"))
+    points = F.when(k == 1, "  ").when(k == 2, "1,2 x,3 4,5").when(k == 3, F.concat(F.lit("10,10 "), (q + 10).cast("string"), F.lit(",10"))).when(k == 4, F.concat(F.lit("10,-5 "), (q + 10).cast("string"), F.lit(",-5 30,-5"))).when(k > 4, wide)
+    lines = table(spark, sf_dir, "lineitem", ["l_orderkey", "l_suppkey", "l_partkey", "l_quantity"])
+    sized = c("l_orderkey") % 40 % 3 != 2
+    return ordered.geometry_counters(lines.select(
+        (c("l_orderkey") % 40).alias("page"), c("l_suppkey").alias("region_id"), F.when(c("l_partkey") % 7 != 0, c("l_partkey") % 20).alias("line_id"), F.when(c("l_partkey") % 5 == 0, " ").otherwise("x").alias("text"), points.alias("points"),
+        F.when(c("l_partkey") % 2 == 0, "0,1 2,3").alias("baseline"), F.when(sized, 50).alias("width"), F.when(sized, 1000).alias("height"),
+    ))
+
+
 _BANDS = "rects AS (SELECT k::INT AS band, k * 300.0 - CASE WHEN k = 3 THEN 40 ELSE 0 END AS top, (k + 1) * 300.0 AS bottom FROM range(0, 4) t(k))"
 
 

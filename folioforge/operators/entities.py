@@ -96,6 +96,23 @@ def grouped(hits: DataFrame, many: int = 5, short: int = 3) -> DataFrame:
     return rows.withColumn("group_id", json_hash(F.col("surface"))).withColumn("many_items", F.col("items") >= many).withColumn("short_surface", F.length("surface") <= short)
 
 
+def review_groups(candidates: DataFrame, reasons: DataFrame, many: int = 5, short: int = 3) -> DataFrame:
+    """(group_id, entity_id, surface, text_kind, reasons, members, items, short_surface, many_items, several_reasons): candidates that are reviewed together.
+
+    candidates: candidate_id, entity_id, surface, text_kind, item_id. reasons: candidate_id, method, alias_kind.
+    Candidates of one entity, surface and kind of text are together if the same set of reasons holds for them.
+    """
+    reason = F.concat_ws("/", "method", F.coalesce("alias_kind", F.lit("")))
+    sets = reasons.groupBy("candidate_id").agg(F.array_join(F.array_sort(F.collect_set(reason)), ",").alias("reasons"))
+    per = candidates.join(sets, "candidate_id", "left").withColumn("reasons", F.coalesce("reasons", F.lit("")))
+    key = ["entity_id", "surface", "text_kind", "reasons"]
+    rows = per.groupBy(*key).agg(F.count(F.lit(1)).alias("members"), F.countDistinct("item_id").alias("items"))
+    return rows.select(
+        json_hash(*key).alias("group_id"), *key, "members", "items", (F.length("surface") <= short).alias("short_surface"), (F.col("items") >= many).alias("many_items"),
+        F.contains("reasons", F.lit(",")).alias("several_reasons"),
+    )
+
+
 def cover_of(hits: DataFrame, max_words: int = 8) -> DataFrame:
     """(item_id, surface, start, end, cover) of contained hits: the longest cover, then the earliest, then by surface.
 

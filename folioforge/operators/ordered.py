@@ -69,6 +69,31 @@ def polygon(points: Column) -> Column:
     return F.when(good, F.transform(parts, lambda p: F.struct(F.split(p, ",")[0].cast("int").alias("x"), F.split(p, ",")[1].cast("int").alias("y"))))
 
 
+def geometry_counters(lines: DataFrame) -> DataFrame:
+    """Counts of a page's lines (page, region_id, line_id, text, points, baseline, width, height) and of what is wrong with their geometry, in one aggregate.
+
+    A polygon is malformed if its points cannot be read, degenerate if they have no area, out of bounds if
+    any lies beyond the page; the others are valid. Without the page's size no bounds are judged.
+    """
+    c, points = F.col, F.filter(F.split(F.trim("points"), " +"), lambda p: p != "")
+    pair = "^-?\\d+,-?\\d+$"
+    rows = lines.withColumn("__p", points).withColumn("__read", (F.size("__p") > 0) & F.forall("__p", lambda p: p.rlike(pair)))
+    xy = F.transform("__p", lambda p: F.struct(F.split(p, ",")[0].cast("int").alias("x"), F.split(p, ",")[1].cast("int").alias("y")))
+    rows = rows.withColumn("__xy", F.when(c("__read"), xy))
+    box = bounding_box(c("__xy"))
+    rows = rows.withColumn("__flat", c("__read") & ((F.size("__xy") < 3) | (box["max_x"] <= box["min_x"]) | (box["max_y"] <= box["min_y"])))
+    sized = c("width").isNotNull() & c("height").isNotNull()
+    rows = rows.withColumn("__out", F.coalesce(c("__read") & sized & ((box["min_x"] < 0) | (box["min_y"] < 0) | (box["max_x"] > c("width")) | (box["max_y"] > c("height"))), F.lit(False)))
+    has, given = F.coalesce(c("text").rlike("\\S"), F.lit(False)), F.coalesce(F.trim("points") != "", F.lit(False))
+    good = F.coalesce(c("__read"), F.lit(False)) & ~F.coalesce(c("__flat"), F.lit(False)) & ~c("__out")
+    straight = F.coalesce(F.trim("baseline") != "", F.lit(False))
+    return rows.groupBy("page").agg(
+        F.countDistinct("region_id").alias("regions"), F.count(F.lit(1)).alias("lines"), F.count_if(has).alias("with_text"), F.count_if(given).alias("with_coords"), F.count_if(good).alias("valid"),
+        F.count_if(has & good).alias("with_text_and_valid"), F.count_if(straight).alias("with_baseline"), F.count_if(has & straight).alias("with_text_and_baseline"), F.count("line_id").alias("with_id"),
+        (F.count("line_id") - F.countDistinct("line_id")).alias("duplicate_ids"), F.count_if(given & ~F.coalesce(c("__read"), F.lit(False))).alias("malformed"), F.count_if(c("__flat")).alias("degenerate"), F.count_if(c("__out")).alias("out_of_bounds"),
+    )
+
+
 def bounding_box(points: Column) -> Column:
     xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
     return F.struct(F.array_min(xs).alias("min_x"), F.array_min(ys).alias("min_y"), F.array_max(xs).alias("max_x"), F.array_max(ys).alias("max_y"))

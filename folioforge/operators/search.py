@@ -7,7 +7,7 @@ import zlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.functions.text import tokens
+from folioforge.functions.text import collapse, tokens
 
 MAX_QUERY = 200
 #: Weights of a field in which all terms of the query stand, and of a term within title or metadata.
@@ -99,6 +99,31 @@ def postings(items: DataFrame) -> DataFrame:
     return rows.groupBy("item_id", "token", "field").agg(F.count(F.lit(1)).alias("n"), F.min("at").cast("long").alias("first"))
 
 
+def documents(items: DataFrame, *, authors: DataFrame, labels: dict[str, DataFrame], persons: DataFrame) -> DataFrame:
+    """(item_id, title, metadata): what is searched of each item besides its texts, in lines; blanks collapsed, empties and repeats dropped.
+
+    items: item_id, title, author (a legacy name), source, note. authors: item_id, position, name. labels: name
+    of a kind (categories, events, tags, in this order) -> item_id, name. persons: item_id, person_id, name,
+    others (aliases, then family names). Order: authors by position, or else the legacy name; source;
+    labels by kind and name; note; persons by name. Each side becomes one array an item before it is joined.
+    """
+    def listed(rows: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+        own = F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("__v"))))
+        return rows.groupBy("item_id").agg(F.transform(own, lambda x: x["__v"]).alias(name))
+
+    rows, none = items, F.array().cast("array<string>")
+    people = persons.withColumn("lines", F.concat(F.array("name"), F.coalesce("others", none)))
+    sides = {"__authors": listed(authors, ["position"], "name", "__authors"), "__people": listed(people, ["name", "person_id"], "lines", "__people")}
+    sides |= {f"__{k}": listed(side, ["name"], "name", f"__{k}") for k, side in labels.items()}
+    for side in sides.values():
+        rows = rows.join(side, "item_id", "left")
+    held = lambda name: F.coalesce(name, none)
+    written = F.when(F.size(held("__authors")) > 0, F.col("__authors")).otherwise(F.array("author"))
+    parts = F.concat(written, F.array("source"), *[held(f"__{k}") for k in labels], F.array("note"), F.coalesce(F.flatten("__people"), none))
+    clean = F.filter(F.transform(parts, lambda x: collapse(F.coalesce(x, F.lit("")))), lambda x: x != "")
+    return rows.select("item_id", collapse(F.coalesce("title", F.lit(""))).alias("title"), F.array_join(F.array_distinct(clean), "\n").alias("metadata"))
+
+
 def bucket_of(token: Column) -> Column:
     return (F.crc32(token.cast("binary")) % BUCKETS).cast("int")
 
