@@ -37,7 +37,7 @@ N_BEST = 4
 SHIFT = 10.0
 UNIT = 1_000_000
 #: Parts of each of two generations that are kept.
-_CACHE = 270_000
+_CACHE = 160_000
 _LONG = 64
 _NEVER = 1 << 62
 
@@ -214,7 +214,7 @@ caches.register("segment", _segmenters.clear)
 def segment(docs: DataFrame, *, vocabulary: str, n: int = N_BEST, text_col: str = "text", out: str = "segmentations") -> DataFrame:
     """`docs` with a column `out`: array<struct<score double, ids array<int>>>, the n best segmentations, best first.
 
-    Whole texts are searched. Null text: null. Empty text: one segmentation without pieces. A text with
+    Whole texts are searched. Null or empty text: one segmentation without pieces. A text with
     fewer than n segmentations has them all. Equal scores come in an order that depends on the text alone.
     An input column named `out` gives way; all others are kept.
     """
@@ -225,7 +225,7 @@ def segment(docs: DataFrame, *, vocabulary: str, n: int = N_BEST, text_col: str
     def run(texts: pd.Series) -> pd.Series:
         own = segmenter(vocabulary)
         return texts.map(
-            lambda t: None if t is None else [{"score": s / UNIT, "ids": np.frombuffer(raw, own.dtype).astype(np.int32)} for s, raw in own.n_best(t, n)]
+            lambda t: [{"score": s / UNIT, "ids": np.frombuffer(raw, own.dtype).astype(np.int32)} for s, raw in own.n_best(t, n)]
         )
 
     return docs.select(*[c for c, name in zip(whole(docs), docs.columns, strict=True) if name.lower() != out.lower()], run(F.col(text_col)).alias(out))
