@@ -31,6 +31,7 @@ PERCENT = 75
 AGREE = 0.55
 #: Nodes of a block of a large bucket, and members verified in a row against one pivot.
 BLOCK = 512
+STAR_BLOCK = 128
 #: Node ids that are broadcast to filter the texts; beyond, they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -270,7 +271,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, i
 def _star_links(members: DataFrame, texts: DataFrame) -> DataFrame:
     """Verified links of buckets' members to the least node of the bucket."""
     pairs = members.filter("node <> pivot").select("node", "pivot").distinct()
-    sizes = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    sizes = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / STAR_BLOCK).cast("int").alias("blocks"))
     body = texts.select(F.col("node").alias("x"), "text")
     many = pairs.join(sizes, "pivot").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     many = many.join(body, F.col("node") == F.col("x")).select("pivot", "block", F.lit(1).alias("member"), "node", "text")
