@@ -2,30 +2,18 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioforge.sources.shared import shared_folder
+
 #: A word is a run of anything but these six characters.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
-def workdir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; an own one only in local mode where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    own = os.path.join(tempfile.gettempdir(), f"folioforge-{os.getpid()}")
-    os.makedirs(own, exist_ok=True)
-    return f"file://{own}"
-
-
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Texts that go to a Python worker at a time. Spark's default suits short rows; as many whole texts are many MB on both sides.
 BATCH_ROWS = 512
@@ -38,7 +26,7 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{workdir(spark)}/folioforge/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/folioforge/{name}-{uuid.uuid4().hex}"
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:
@@ -74,7 +62,7 @@ def drop_stage(df: DataFrame) -> None:
 
 def remove_stages(spark: SparkSession) -> None:
     """Delete all stage tables of the shared folder; to be called when no result that reads them is needed any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{workdir(spark)}/folioforge")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/folioforge")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

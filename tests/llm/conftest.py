@@ -26,7 +26,7 @@ def docs(spark):
     ]
     kind = "doc_id long, text string, lang string, source string, n_chars long"
     df = spark.createDataFrame(rows, kind)
-    return df.selectExpr("*", "'x' AS id", "1 AS size", "2 AS node", "3 AS kept", "4 AS row", "5 AS target", "6 AS word", "7 AS n", "8 AS h", "9 AS mix", "10 AS score")
+    return df.selectExpr("*", "'x' AS id", "1 AS size", "2 AS node", "3 AS kept", "4 AS row", "5 AS target", "6 AS word", "7 AS n", "8 AS h", "9 AS mix", "10 AS score", "'a' AS __text", "'b' AS __id", "'c' AS __hash", "'d' AS __language", "'e' AS __node", "'f' AS __kept", "11 AS __size", "'g' AS own", "'h' AS doc")
 
 
 @pytest.fixture(scope="session")
