@@ -37,7 +37,7 @@ N_BEST = 4
 SHIFT = 10.0
 UNIT = 1_000_000
 #: Parts of each of two generations that are kept.
-_CACHE = 160_000
+_CACHE = 130_000
 _LONG = 64
 _NEVER = 1 << 62
 
