@@ -113,7 +113,7 @@ def _counted(batches):
             held -= len(own)
             own.update(_LETTERS.findall(text.lower()))
             held += len(own)
-            if held > 200_000:
+            if held > 60_000:
                 yield from (_tallies(x, c) for x, c in counts.items() if c)
                 counts.clear()
                 held = 0
