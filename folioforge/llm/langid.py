@@ -37,7 +37,7 @@ ORDERS = (5, 4, 3, 2, 1)
 MIN_SCORE = 0.5
 SMOOTH = 0.5
 #: Tokens whose evidence a worker remembers, and the bytes that they may take.
-_CACHE, _CACHE_BYTES = 400_000, 96 << 20
+_CACHE, _CACHE_BYTES = 100_000, 48 << 20
 _LETTERS = re.compile(r"[^\W\d_]+")
 _BINS = 4096
 _STEP, _ORDER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -210,7 +210,7 @@ class Scorer:
                 out.append((UNKNOWN, 0.0))
                 continue
             total, tokens = np.zeros(len(model.languages)), text.split()
-            step = min(50_000, self.bound)
+            step = min(20_000, self.bound)
             for start in range(0, len(tokens), step):
                 part = tokens[start : start + step]
                 try:
