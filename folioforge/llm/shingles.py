@@ -9,7 +9,7 @@ from . import caches
 
 #: Words of a shingle.
 SIZE = 5
-_WORDS = 500_000
+_WORDS = 200_000
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
