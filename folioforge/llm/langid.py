@@ -255,24 +255,33 @@ def quotas(sizes: dict[str, int], max_docs: int) -> dict[str, int]:
     return out
 
 
-def _sizes(docs: DataFrame, most: int) -> dict[str, int]:
+def _hash() -> Column:
+    """A row's place in the order in which its language gives rows: 60 bits, five digits of 12."""
+    return F.shiftrightunsigned(F.xxhash64("id", "text"), 4)
+
+
+def sample_keys(docs: DataFrame) -> DataFrame:
+    """(lang, hash) of rows (id, text, lang), as a table: the texts are read once for all that chooses among them."""
+    return stage_table(docs.select("lang", _hash().alias("hash")), "language-keys")
+
+
+def _sizes(keys: DataFrame, most: int) -> dict[str, int]:
     """Documents of each language, of the `most` most frequent ones."""
-    return {r["lang"]: r["count"] for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()}
+    return {r["lang"]: r["count"] for r in keys.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()}
 
 
-def training_sample(docs: DataFrame, max_docs: int, sizes: dict[str, int] | None = None) -> DataFrame:
+def training_sample(docs: DataFrame, max_docs: int, keys: DataFrame | None = None, sizes: dict[str, int] | None = None) -> DataFrame:
     """At most `max_docs` rows of (id, text, lang): of each language those with the smallest hashes of id and text, as many as `quotas` says.
 
     The hash that ends a language's part is found digit by digit, from counts of _BINS bins each. Copies of
     one row are taken all or none; where a language had nothing else to give, each row is taken once.
     """
-    sizes = _sizes(docs, max_docs) if sizes is None else sizes
+    keys = sample_keys(docs) if keys is None else keys
+    sizes = _sizes(keys, max_docs) if sizes is None else sizes
     wanted = quotas(sizes, max_docs)
     if len(sizes) < max_docs and all(wanted.get(x) == n for x, n in sizes.items()):
         return docs
     spark, copies = docs.sparkSession, False
-    (h,) = unused(docs, "hash")
-    keyed = docs.withColumn(h, F.shiftrightunsigned(F.xxhash64("id", "text"), 4))  # five digits of 12 bits
     # of each language: rows taken so far, and the range of hashes in which its part ends
     state = {x: (0, 0) for x, n in sizes.items() if 0 < wanted.get(x, 0) < n}
     ends = {x: (1 << 60) if wanted.get(x) == n else 0 for x, n in sizes.items()}
@@ -280,7 +289,7 @@ def training_sample(docs: DataFrame, max_docs: int, sizes: dict[str, int] | None
         if not state:
             break
         low = spark.createDataFrame([(x, s[1]) for x, s in state.items()], "lang string, low long")
-        bins = keyed.select("lang", h).join(F.broadcast(low), "lang").withColumn("bin", F.shiftright(F.col(h) - F.col("low"), shift))
+        bins = keys.join(F.broadcast(low), "lang").withColumn("bin", F.shiftright(F.col("hash") - F.col("low"), shift))
         counts = defaultdict(dict)
         for r in bins.filter((F.col("bin") >= 0) & (F.col("bin") < _BINS)).groupBy("lang", "bin").count().toLocalIterator():  # _BINS rows a language at most
             counts[r["lang"]][r["bin"]] = r["count"]
@@ -298,8 +307,8 @@ def training_sample(docs: DataFrame, max_docs: int, sizes: dict[str, int] | None
                 ends[x], copies = ends[x] + 1, True  # more copies of one row than the language may give
         state = {x: s for x, s in following.items() if s[0] < wanted[x]}
     limits = spark.createDataFrame([(x, e) for x, e in ends.items() if e], "lang string, end long")
-    taken = keyed.join(F.broadcast(limits), "lang").filter(F.col(h) < F.col("end"))
-    return (taken.dropDuplicates(["lang", h]) if copies else taken).select("id", "text", "lang")
+    taken = docs.select("id", "text", "lang").withColumn("hash", _hash()).join(F.broadcast(limits), "lang").filter(F.col("hash") < F.col("end"))
+    return (taken.dropDuplicates(["lang", "hash"]) if copies else taken).select("id", "text", "lang")
 
 
 def train(
@@ -316,9 +325,10 @@ def train(
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).dropna()
-    sizes = _sizes(rows, max_docs)
+    keys = sample_keys(rows)
+    sizes = _sizes(keys, max_docs)
     while True:
-        sample = training_sample(rows, max_docs, sizes).select("lang", "text")
+        sample = training_sample(rows, max_docs, keys, sizes).select("lang", "text")
         tallies = sample.mapInArrow(_counted, "lang string, order int, key long, n long").groupBy("lang", "order", "key").agg(F.sum("n").alias("n"))
         tallies = stage_table(tallies, "language-counts")
         if tallies.count() <= max_rows or max_docs == 1:

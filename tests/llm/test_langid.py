@@ -121,6 +121,6 @@ def test_awkward_rows(docs, empty):
     assert {r.language.lang_pred for r in langid.predict(docs, none).collect()} == {"und"}
     assert langid.predict(empty, model).count() == 0
     assert langid.accepted_documents(docs).columns == docs.columns and langid.accepted_documents(empty).count() == 0
-    own = docs.selectExpr("*", "'mine' AS language", "'x' AS __text", "1 AS hash", "2 AS bin")
+    own = docs.selectExpr("*", "'mine' AS language", "1 AS hash", "2 AS bin")
     kept = langid.accepted_documents(own, min_score=0.0)
     assert kept.columns == own.columns and {r.language for r in kept.collect()} == {"mine"}
