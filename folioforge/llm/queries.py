@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, langid, licences, lmscore, mixing, neardup, quality, segment, tokenstore, topk
+from . import chat, langid, licences, lmscore, mixing, neardup, quality, segment, tokenstore, topk, vectorcodes
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_token_store": tokenstore.query,
     "op9_exact_top_k": topk.query,
     "op10_language_id": langid.query,
+    "op11_vector_codes": vectorcodes.query,
 }
 
 ORACLES = {
@@ -23,4 +24,5 @@ ORACLES = {
     "op5_near_duplicates": neardup.SQL,
     "op6_mixing": mixing.SQL,
     "op9_exact_top_k": topk.SQL,
+    "op11_vector_codes": vectorcodes.SQL,
 }
