@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, langid, licences, lmscore, mixing, neardup, quality, repair, segment, tokenstore, topk, vectorcodes
+from . import chat, langid, licences, lmscore, mixing, neardup, ngramjoin, quality, repair, segment, tokenstore, topk, vectorcodes
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_exact_top_k": topk.query,
     "op10_language_id": langid.query,
     "op11_vector_codes": vectorcodes.query,
+    "op12_ngram_join": ngramjoin.query,
     "op13_conversation_repair": repair.query,
 }
 
@@ -26,4 +27,5 @@ ORACLES = {
     "op6_mixing": mixing.SQL,
     "op9_exact_top_k": topk.SQL,
     "op11_vector_codes": vectorcodes.SQL,
+    "op12_ngram_join": ngramjoin.SQL,
 }
