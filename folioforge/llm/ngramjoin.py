@@ -14,8 +14,8 @@ A group's sets are stored in a trie of n-gram runs. A probe block goes down the
 sets: the overlap of each probe with the path is added up run by run and shared by everything below, and
 probes leave, or the whole subtree is cut, where what remains of either set is too short. At a leaf
 the overlap is that of the full sets. First each node meets the least node of one of its groups; then,
-in groups that still hold several components, blocks meet blocks, and only links that join components
-leave the task.
+in groups that still hold several components, blocks meet blocks: tries of beginnings tell which nodes
+may be similar at all, full sets move of those alone, and only links that join components leave the task.
 """
 
 from __future__ import annotations
@@ -105,8 +105,42 @@ class Probes:
         return stop
 
 
-def join(trie: Trie, probes: Probes, *, percent: int = PERCENT, skip=None):
-    """(row of the trie's order, probe, overlap) of all similar sets.
+class Jaccard:
+    """Which full sets are similar, and which may still become so on the way down."""
+
+    def __init__(self, trie: Trie, probes: Probes, percent: int = PERCENT):
+        self.trie, self.probes, self.percent = trie, probes, percent
+
+    def open(self, low: int, high: int, depth: int, overlap: np.ndarray, passed: np.ndarray) -> np.ndarray:
+        """What a pair can still reach along the longest set of the subtree, and along the probe, would be enough."""
+        sizes, b = self.trie.sizes[low:high], self.probes.sizes
+        along = overlap + sizes.max() - depth
+        reach = np.minimum(along, overlap + b - passed)
+        return similar_sizes(along, sizes.max(), b, self.percent) & similar_sizes(reach, sizes.min(), b, self.percent)
+
+    def met(self, row: int, overlap: np.ndarray) -> np.ndarray:
+        return similar_sizes(overlap, self.trie.sizes[row], self.probes.sizes, self.percent)
+
+
+class Beginnings:
+    """Whose beginnings share as many n-grams as those of similar sets do. left, right: the full sets' sizes, of the trie's rows and of the probes."""
+
+    def __init__(self, trie: Trie, probes: Probes, left: np.ndarray, right: np.ndarray, percent: int = PERCENT):
+        self.trie, self.probes, self.left, self.right = trie, probes, left, right
+        self.least = may_differ(left, percent), may_differ(right, percent)
+        self.percent = percent
+
+    def open(self, low: int, high: int, depth: int, overlap: np.ndarray, passed: np.ndarray) -> np.ndarray:
+        reach = overlap + np.minimum(self.trie.sizes[low:high].max() - depth, self.probes.sizes - passed)
+        return reach >= np.minimum(self.least[0][low:high].min(), self.least[1])
+
+    def met(self, row: int, overlap: np.ndarray) -> np.ndarray:
+        fits = similar_sizes(np.minimum(self.left[row], self.right), self.left[row], self.right, self.percent)
+        return fits & (overlap >= np.minimum(self.least[0][row], self.least[1]))
+
+
+def join(trie: Trie, probes: Probes, rule, skip=None):
+    """(row of the trie's order, probe, overlap) of all pairs that `rule` finds met.
 
     skip(low, high): the probes that need not go on into the subtree of those rows.
     """
@@ -114,14 +148,11 @@ def join(trie: Trie, probes: Probes, *, percent: int = PERCENT, skip=None):
     stack = [(0, len(trie.sets), 0, 0, np.zeros(n, np.int64), np.zeros(n, np.int64), np.ones(n, bool))]
     while stack:
         low, high, depth, start, overlap, passed, alive = stack.pop()
-        least, most = trie.sizes[low:high].min(), trie.sizes[low:high].max()
         end, path = trie.below(low, high), trie.sets[low]
         if skip is not None:
             alive = alive & ~skip(low, high)
         while True:
-            # what a pair of these sizes can still reach: along the longest set of the subtree, and along the probe
-            reach = np.minimum(overlap + most - depth, overlap + probes.sizes - passed)
-            alive = alive & similar_sizes(overlap + most - depth, most, probes.sizes, percent) & similar_sizes(reach, least, probes.sizes, percent)
+            alive = alive & rule.open(low, high, depth, overlap, passed)
             if depth >= end or not alive.any():
                 break
             stop = min(depth + STEP, end)
@@ -131,7 +162,7 @@ def join(trie: Trie, probes: Probes, *, percent: int = PERCENT, skip=None):
         if not alive.any():
             continue
         if high - low == 1:
-            for probe in np.flatnonzero(alive & similar_sizes(overlap, trie.sizes[low], probes.sizes, percent)):
+            for probe in np.flatnonzero(alive & rule.met(low, overlap)):
                 yield low, int(probe), int(overlap[probe])
             continue
         stack += [(a, b, depth, start, overlap, passed, alive) for a, b in trie.children(low, high, depth)]
@@ -174,9 +205,17 @@ def _sets(seed: int, size: int):
     return run
 
 
+def _values(column: pa.Array) -> list:
+    """Python's values; of a list column arrays."""
+    if not pa.types.is_list(column.type):
+        return column.to_pylist()
+    flat, at = column.values.to_numpy(), column.offsets.to_pylist()
+    return [flat[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+
 def _rows(batches, columns: list[str]):
     for batch in batches:
-        yield from zip(*(batch[c].to_pylist() for c in columns), strict=True)
+        yield from zip(*(_values(batch[c]) for c in columns), strict=True)
 
 
 def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -195,8 +234,8 @@ def _stars(percent: int):
         for (pivot, _), rows in groupby(_rows(batches, ["pivot", "block", "member", "node", "grams"]), key=lambda r: r[:2]):
             held = [(node, _unpacked(grams)) for _, _, _, node, grams in rows]
             if held[0][0] == pivot and len(held) > 1:
-                trie = Trie([s for _, s in held[1:]])
-                found = [(held[1 + trie.order[low]][0], pivot) for low, _, _ in join(trie, Probes([held[0][1]]), percent=percent)]
+                trie, probes = Trie([s for _, s in held[1:]]), Probes([held[0][1]])
+                found = [(held[1 + trie.order[low]][0], pivot) for low, _, _ in join(trie, probes, Jaccard(trie, probes, percent))]
                 if found:
                     yield _links(found)
 
@@ -217,53 +256,87 @@ class _Components:
         return bool(x != y)
 
 
-def cell_links(nodes: list[int], components: list[int], sets: list[np.ndarray], first: int, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Links that join components: of the first `first` rows with the others, or among all of them if there are no others."""
-    across = first < len(nodes)
-    kept = list(range(first, len(nodes))) if across else list(range(len(nodes)))
-    trie, probes = Trie([sets[i] for i in kept]), Probes(sets[:first])
-    rows = [kept[i] for i in trie.order]
-    parts, found = _Components(components), []
+class _Cell:
+    """The first rows as probes and the others, or where there are none all of them, as a trie."""
 
-    def skip(low: int, high: int) -> np.ndarray:
+    def __init__(self, components: list[int], sets: list[np.ndarray], first: int):
+        kept = list(range(first if first < len(sets) else 0, len(sets)))
+        self.trie, self.probes = Trie([sets[i] for i in kept]), Probes(sets[:first])
+        self.rows = [kept[i] for i in self.trie.order]
+        self.parts, self.first = _Components(components), first
+
+    def skip(self, low: int, high: int) -> np.ndarray:
         """Probes of the one component that all sets of a subtree belong to."""
-        own = parts.of[rows[low:high]]
-        return (parts.of[:first] == own[0]) if (own == own[0]).all() else np.zeros(first, bool)
+        own = self.parts.of[self.rows[low:high]]
+        return self.parts.of[: self.first] == own[0] if (own == own[0]).all() else np.zeros(self.first, bool)
+
+
+def promising(components: list[int], sizes: list[int], beginnings: list[np.ndarray], first: int, percent: int = PERCENT) -> list[int]:
+    """The rows of which another component's row shares enough of the beginning; beginnings: of their n-grams, those that are met elsewhere."""
+    cell, n = _Cell(components, beginnings, first), np.array(sizes)
+    rule, found = Beginnings(cell.trie, cell.probes, n[cell.rows], n[:first], percent), set()
+    for low, probe, _ in join(cell.trie, cell.probes, rule, cell.skip):
+        if cell.parts.of[cell.rows[low]] != cell.parts.of[probe]:
+            found |= {cell.rows[low], probe}
+    return sorted(found)
+
 
-    for low, probe, _ in join(trie, probes, percent=percent, skip=skip):
-        if parts.join(rows[low], probe):
-            found.append((nodes[rows[low]], nodes[probe]))
+def cell_links(nodes: list[int], components: list[int], sets: list[np.ndarray], first: int, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Links that join components: of the first `first` rows with the others, or among all of them if there are no others."""
+    cell, found = _Cell(components, sets, first), []
+    for low, probe, _ in join(cell.trie, cell.probes, Jaccard(cell.trie, cell.probes, percent), cell.skip):
+        if cell.parts.join(cell.rows[low], probe):
+            found.append((nodes[cell.rows[low]], nodes[probe]))
     return found
 
 
-def _cells(percent: int):
-    """Rows by (key, i, j), block i first."""
+_CELL = ["key", "i", "j", "block", "node"]
+
+
+def _held(batches, columns: list[str]):
+    """(cell, its rows, the number of those of block i, which come first), for cells with something to compare."""
+    for cell, rows in groupby(_rows(batches, columns), key=lambda r: r[:3]):
+        held = list(rows)
+        first = sum(r[3] == cell[1] for r in held)
+        if first and (first < len(held) if cell[1] < cell[2] else first > 1):
+            yield cell, held, first
+
+
+def _promising_cells(percent: int):
+    def run(batches):
+        for cell, held, first in _held(batches, [*_CELL, "component", "n", "met"]):
+            rows = promising([r[5] for r in held], [r[6] for r in held], [np.sort(r[7].view(np.uint64)) for r in held], first, percent)
+            if rows:
+                columns = zip(*[(*cell, held[k][3], held[k][4]) for k in rows], strict=True)
+                yield pa.RecordBatch.from_pydict({c: pa.array(x, pa.int64()) for c, x in zip(_CELL, columns, strict=True)})
+
+    return run
+
 
+def _linked_cells(percent: int):
     def run(batches):
-        for (_, i, j), rows in groupby(_rows(batches, ["key", "i", "j", "block", "node", "component", "grams"]), key=lambda r: r[:3]):
-            held = list(rows)
-            first = sum(r[3] == i for r in held)
-            if first and (i == j or first < len(held)):
-                links = cell_links([r[4] for r in held], [r[5] for r in held], [_unpacked(r[6]) for r in held], first, percent)
-                if links:
-                    yield _links(links)
+        for _, held, first in _held(batches, [*_CELL, "component", "grams"]):
+            links = cell_links([r[4] for r in held], [r[5] for r in held], [_unpacked(r[6]) for r in held], first, percent)
+            if links:
+                yield _links(links)
 
     return run
 
 
-def _groups(nodes: DataFrame, percent: int) -> DataFrame:
-    """(key, node, n, pivot, blocks): groups of nodes of which similar ones share at least one; pivot is a group's least node."""
+def _groups(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Groups (key, node, n, pivot, blocks) of nodes of which similar ones share at least one; pivot is a group's least node. And (node, n, met): the n-grams of a beginning that are met elsewhere."""
     grams = nodes.select("node", "n", F.explode("grams").alias("key"))
     shared = grams.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     met = grams.join(shared, "key").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("met"))  # of one text
-    spare = F.size("met") - least_met(F.col("n"), percent) + 1
-    keys = met.filter(spare > 0).select("node", "n", F.explode(F.slice("met", 1, spare.cast("int"))).alias("x")).select("node", "n", "x.key")
+    spare = (F.size("met") - least_met(F.col("n"), percent) + 1).cast("int")
+    met = stage_table(met.filter(spare > 0).select("node", "n", F.transform("met", lambda x: x["key"]).alias("met"), spare.alias("spare")), "gram-met")
+    keys = met.select("node", "n", F.explode(F.slice("met", F.lit(1), F.col("spare"))).alias("key"))
     keys = stage_table(keys, "gram-keys")
     marks = [F.bit_xor(F.xxhash64("node", F.lit(salt))).alias(f"mark{salt}") for salt in (1, 2)]
     groups = keys.groupBy("key").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("total"), F.min("node").alias("pivot"), *marks).filter("nodes > 1")
     groups = groups.groupBy("nodes", "total", "pivot", "mark1", "mark2").agg(F.min("key").alias("key"))
     blocks = F.ceil(F.greatest(F.col("nodes") / BLOCK_NODES, F.col("total") / BLOCK_GRAMS)).cast("int")
-    return stage_table(keys.join(groups.select("key", "pivot", blocks.alias("blocks")), "key"), "gram-groups")
+    return stage_table(keys.join(groups.select("key", "pivot", blocks.alias("blocks")), "key"), "gram-groups"), met
 
 
 def _block(blocks: str) -> Column:
@@ -282,16 +355,20 @@ def _star_links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.repartition("pivot", "block").sortWithinPartitions("pivot", "block", "member").mapInArrow(_stars(percent), "a long, b long")
 
 
-def _cell_links(groups: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between components that share a group."""
-    placed = groups.select("key", "node", "blocks").join(roots.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left")
-    placed = placed.select("key", "node", "blocks", F.coalesce("root", "node").alias("component"))
+def _cell_links(groups: DataFrame, met: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components that share a group. Beginnings are compared before full sets move."""
+    placed = groups.select("key", "node", "n", "blocks").join(roots.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left")
+    placed = placed.select("key", "node", "n", "blocks", F.coalesce("root", "node").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select(F.col("key").alias("open"))
     rows = placed.join(mixed, F.col("key") == F.col("open"), "left_semi").withColumn("block", _block("blocks"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component")
-    rows = rows.join(sets.select(F.col("node").alias("x"), "grams"), F.col("node") == F.col("x")).drop("x")
-    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "block", "node").mapInArrow(_cells(percent), "a long, b long")
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "component")
+    rows = rows.join(met.select(F.col("node").alias("x"), "met"), F.col("node") == F.col("x")).drop("x")
+    dealt = lambda df: df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", F.col("block") != F.col("i"), "node")
+    found = stage_table(dealt(rows).mapInArrow(_promising_cells(percent), "key long, i long, j long, block long, node long"), "gram-promising")
+    full = found.join(sets.select(F.col("node").alias("x"), "grams"), F.col("node") == F.col("x"))
+    full = full.join(roots.withColumnRenamed("node", "y"), F.col("node") == F.col("y"), "left").select(*_CELL, F.coalesce("root", "node").alias("component"), "grams")
+    return dealt(full).mapInArrow(_linked_cells(percent), "a long, b long")
 
 
 def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -318,7 +395,7 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     else:
         raise RuntimeError("different sets keep the same 64-bit hash")
 
-    groups = _groups(nodes, percent)
+    groups, met = _groups(nodes, percent)
     involved = stage_table(groups.select("node").distinct().join(nodes.select("node", "low"), "node"), "gram-involved")
     few = involved.count() <= BROADCAST_IDS
     wanted, known = involved.select("low").distinct(), involved.select("node")
@@ -328,7 +405,7 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     stars = stage_table(_star_links(groups, sets, percent), "gram-stars")
     roots = connected_components(stars)
-    cells = _cell_links(groups, roots, sets, percent)
+    cells = _cell_links(groups, met, roots, sets, percent)
     roots = connected_components(stage_table(stars.unionByName(cells), "gram-links"))
 
     placed = nodes.join(roots.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left").select("node", "low", F.coalesce("root", "node").alias("root"))

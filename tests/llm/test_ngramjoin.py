@@ -100,8 +100,8 @@ def test_the_trie_finds_what_comparing_finds():
         return np.unique(np.concatenate([kept, rng.integers(0, 1 << 62, rng.integers(0, 12)).astype(np.uint64)]))
 
     left, right = [one() for _ in range(60)], [one() for _ in range(40)]
-    trie = ngramjoin.Trie(left)
-    found = sorted((trie.order[i], j, k) for i, j, k in ngramjoin.join(trie, ngramjoin.Probes(right)))
+    trie, probes = ngramjoin.Trie(left), ngramjoin.Probes(right)
+    found = sorted((trie.order[i], j, k) for i, j, k in ngramjoin.join(trie, probes, ngramjoin.Jaccard(trie, probes)))
     size = lambda a, b: len(np.intersect1d(a, b))
     want = sorted((i, j, size(a, b)) for i, a in enumerate(left) for j, b in enumerate(right) if ngramjoin.similar_sizes(size(a, b), len(a), len(b)))
     assert found == want and len(want) > 20
