@@ -1,3 +1,3 @@
 """Queries by theme; importing this package registers them."""
 
-from folioforge.catalog import directories, entities, graphs, matches, people, plans, registries, requests, reviews, search, selection, text, work  # noqa: F401
+from folioforge.catalog import directories, entities, graphs, matches, people, plans, registries, requests, reviews, search, selection, surfaces, text, work  # noqa: F401
