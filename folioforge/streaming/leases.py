@@ -10,8 +10,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 LEASE_SECONDS = 45 * 60
 DEFER_SECONDS = 120
@@ -106,6 +107,113 @@ def stream(deliveries: DataFrame) -> DataFrame:
     return deliveries.groupBy("request_id").applyInPandasWithState(fold, SCHEMA, "status string, token long, lease double", "append", "NoTimeout")
 
 
+TIMED = "request_id long, event_id long, outcome string, status string, visible_after double"
+#: Seconds for which the end of a request is remembered, so that copies of its messages are told to go: the longest that a queue keeps a message.
+RETENTION_SECONDS = 14 * 24 * 3600
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class LeaseProcessor(StatefulProcessor):
+    """A request's status, token and lease as state, and one timer: the end of the lease, or of what is remembered of its end."""
+
+    def __init__(self, retention: float = RETENTION_SECONDS):
+        self.retention = retention
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("request", "status string, token long, lease double, timer long")
+
+    def _keep(self, own: Request, timer: int | None, due: float | None) -> None:
+        """Store the request and its only timer, or nothing at all where it ended and nothing is to be remembered."""
+        wanted = None if due is None else int(due * 1000)
+        if timer is not None and timer != wanted:
+            self.handle.deleteTimer(timer)
+        if own.status in TERMINAL and wanted is None:
+            self.state.clear()
+            return
+        if wanted is not None and timer != wanted:
+            self.handle.registerTimer(wanted)
+        self.state.update((own.status, own.token, own.lease, wanted))
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803  names of the interface
+        own, timer = Request(), None
+        if self.state.exists():
+            status, token, lease, timer = self.state.get()
+            own = Request(status, token, lease)
+        last = 0.0
+        for r in sorted(rows, key=lambda r: (r.now, r.event_id)):  # of one request and one batch
+            outcome, last = own.step(r.action, r.now, r.event_id, r.token), r.now
+            after = {"EXECUTE": own.lease, "DEFER": r.now + DEFER_SECONDS}.get(outcome)
+            yield Row(request_id=key[0], event_id=r.event_id, outcome=outcome, status=own.status, visible_after=after)
+        if own.status == "RUNNING":
+            due = own.lease
+        elif own.status in TERMINAL and self.retention:
+            due = timer / 1000 if timer is not None and status in TERMINAL else last + self.retention
+        else:
+            due = None
+        self._keep(own, timer, due)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        if not self.state.exists():
+            return
+        status, token, lease, timer = self.state.get()
+        if timer != expiredTimerInfo.getExpiryTimeInMs():
+            return
+        if status in TERMINAL:
+            self.state.clear()
+        elif status == "RUNNING":  # nobody has to ask: the holder is fenced, and keeps its token
+            self.state.update(("RECOVERY_REQUIRED", token, lease, None))
+            yield Row(request_id=key[0], event_id=None, outcome="EXPIRED", status="RECOVERY_REQUIRED", visible_after=None)
+
+    def close(self) -> None:
+        pass
+
+
+def timed_stream(deliveries: DataFrame, *, late: str = "2 minutes", retention: float = RETENTION_SECONDS, time_mode: str = "EventTime") -> DataFrame:
+    """Outcomes of a stream of deliveries (request_id, event_id, now, action, token), and an EXPIRED row for a lease whose end passes without an event of its request.
+
+    `visible_after` is when a message that stays in the queue is to be seen again: at the end of the lease for
+    EXECUTE, DEFER_SECONDS on for DEFER. With `time_mode` EventTime leases end as the deliveries' own time
+    goes on, and one that comes more than `late` after a newer one is dropped by Spark, so that a rerun gives
+    the same; with ProcessingTime they end by the clock, and none is dropped. A request that has ended is
+    remembered for `retention` seconds and leaves no state after them, at once if that is 0.
+    """
+    rows = deliveries.withColumn("at", F.timestamp_millis((F.col("now") * 1000).cast("long")))
+    rows = rows.withWatermark("at", late) if time_mode == "EventTime" else rows
+    return rows.groupBy("request_id").transformWithState(LeaseProcessor(retention), TIMED, "Append", time_mode)
+
+
+def acknowledgements(outcomes: DataFrame) -> DataFrame:
+    """(event_id, action, visible_after): what the queue is told of each message: `delete` one that is done or refused, `extend` one that is executed or deferred."""
+    kept = F.col("outcome").isin("EXECUTE", "DEFER")
+    return outcomes.filter("event_id IS NOT NULL").select("event_id", F.when(kept, "extend").otherwise("delete").alias("action"), F.when(kept, F.col("visible_after")).alias("visible_after"))
+
+
+def acknowledge_to(path: str):
+    """A foreachBatch function: outcomes and acknowledgements of a batch as tables below its own number.
+
+    A batch that is run again after a restart takes the place of what it left, so that both tables hold each
+    delivery once.
+    """
+    def put(batch: DataFrame, number: int) -> None:
+        held = batch.persist()
+        try:
+            held.write.mode("overwrite").parquet(f"{path}/outcomes/batch={number}")
+            acknowledgements(held).write.mode("overwrite").parquet(f"{path}/acknowledgements/batch={number}")
+        finally:
+            held.unpersist()
+
+    return put
+
+
+def run_queue(deliveries: DataFrame, path: str, checkpoint: str, **options):
+    """Start `timed_stream` over what is there now, with outcomes and acknowledgements below `path`; the query. State is in RocksDB, as timers need."""
+    spark = deliveries.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    writer = timed_stream(deliveries, **options).writeStream.foreachBatch(acknowledge_to(path)).outputMode("append")
+    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def coalesced(requests: DataFrame) -> DataFrame:
     """(document_id, request_id, duplicates): the first active request of each document, and how many repeat it."""
     active = requests.filter(~F.col("status").isin(*TERMINAL))
