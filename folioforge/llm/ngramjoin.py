@@ -271,13 +271,18 @@ class _Cell:
         return self.parts.of[: self.first] == own[0] if (own == own[0]).all() else np.zeros(self.first, bool)
 
 
-def promising(components: list[int], sizes: list[int], beginnings: list[np.ndarray], first: int, percent: int = PERCENT) -> list[int]:
-    """The rows of which another component's row shares enough of the beginning; beginnings: of their n-grams, those that are met elsewhere."""
+def promising(key: int, components: list[int], sizes: list[int], beginnings: list[np.ndarray], keys: list[np.ndarray], first: int, percent: int = PERCENT) -> list[int]:
+    """The rows of which another component's row shares enough of the beginning; beginnings: of their n-grams, those that are met elsewhere.
+
+    keys: the groups of each row, ascending. A pair that several groups hold belongs to the first of them.
+    """
     cell, n = _Cell(components, beginnings, first), np.array(sizes)
     rule, found = Beginnings(cell.trie, cell.probes, n[cell.rows], n[:first], percent), set()
+    owned = [set(k[: np.searchsorted(k, key)].tolist()) for k in keys]
     for low, probe, _ in join(cell.trie, cell.probes, rule, cell.skip):
-        if cell.parts.of[cell.rows[low]] != cell.parts.of[probe]:
-            found |= {cell.rows[low], probe}
+        row = cell.rows[low]
+        if cell.parts.of[row] != cell.parts.of[probe] and owned[row].isdisjoint(owned[probe]):
+            found |= {row, probe}
     return sorted(found)
 
 
@@ -304,8 +309,8 @@ def _held(batches, columns: list[str]):
 
 def _promising_cells(percent: int):
     def run(batches):
-        for cell, held, first in _held(batches, [*_CELL, "component", "n", "met"]):
-            rows = promising([r[5] for r in held], [r[6] for r in held], [np.sort(r[7].view(np.uint64)) for r in held], first, percent)
+        for cell, held, first in _held(batches, [*_CELL, "component", "n", "met", "keys"]):
+            rows = promising(cell[0], [r[5] for r in held], [r[6] for r in held], [np.sort(r[7].view(np.uint64)) for r in held], [r[8] for r in held], first, percent)
             if rows:
                 columns = zip(*[(*cell, held[k][3], held[k][4]) for k in rows], strict=True)
                 yield pa.RecordBatch.from_pydict({c: pa.array(x, pa.int64()) for c, x in zip(_CELL, columns, strict=True)})
@@ -363,7 +368,9 @@ def _cell_links(groups: DataFrame, met: DataFrame, roots: DataFrame, sets: DataF
     rows = placed.join(mixed, F.col("key") == F.col("open"), "left_semi").withColumn("block", _block("blocks"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "component")
-    rows = rows.join(met.select(F.col("node").alias("x"), "met"), F.col("node") == F.col("x")).drop("x")
+    own = groups.groupBy(F.col("node").alias("y")).agg(F.array_sort(F.collect_list("key")).alias("keys"))  # of one text
+    marks = met.select(F.col("node").alias("x"), "met").join(own, F.col("x") == F.col("y")).select("x", "met", "keys")
+    rows = rows.join(marks, F.col("node") == F.col("x")).drop("x")
     dealt = lambda df: df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", F.col("block") != F.col("i"), "node")
     found = stage_table(dealt(rows).mapInArrow(_promising_cells(percent), "key long, i long, j long, block long, node long"), "gram-promising")
     full = found.join(sets.select(F.col("node").alias("x"), "grams"), F.col("node") == F.col("x"))
