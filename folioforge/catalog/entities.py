@@ -85,6 +85,33 @@ def _(spark, sf_dir):
     return _ranked(spark, sf_dir, "Small–1")
 
 
+_HEBREW = """e AS (SELECT p_partkey AS entity_id, CASE WHEN p_partkey % 3 = 0 THEN 'בית־ספר ' || p_name ELSE 'a−b ' || p_name END AS display, p_name AS canonical FROM part),
+a AS (SELECT p_partkey AS alias_id, p_partkey // 2 AS entity_id, CASE WHEN p_partkey % 5 = 0 THEN 'OCR_VARIANT' ELSE 'OTHER' END AS kind, p_type || '–' || p_size AS alias FROM part)"""
+
+
+def _hebrew(spark, sf_dir):
+    k, part = F.col("p_partkey"), table(spark, sf_dir, "part", ["p_partkey", "p_name", "p_type", "p_size"])
+    names = part.select(k.alias("entity_id"), F.concat(F.when(k % 3 == 0, "בית־ספר ").otherwise("a−b "), "p_name").alias("display"), F.col("p_name").alias("canonical"))
+    kind = F.when(k % 5 == 0, "OCR_VARIANT").otherwise("OTHER")
+    return names, part.select(k.alias("alias_id"), F.floor(k / 2).alias("entity_id"), kind.alias("kind"), F.concat("p_type", F.lit("–"), F.col("p_size").cast("string")).alias("alias"))
+
+
+@query("registry_rank_maqaf", f"WITH {_HEBREW} SELECT entity_id, 4 AS rank FROM e WHERE starts_with(display, 'בית־ספר s')")
+def _(spark, sf_dir):
+    names, aliases = _hebrew(spark, sf_dir)
+    return entities.registry_rank(names, aliases.select("entity_id", "alias"), " בית־ספר S")
+
+
+@query(
+    "registry_matched_alias",
+    f"""WITH {_HEBREW}, l AS (SELECT *, replace(lower(alias), '–', '-') AS low FROM a WHERE kind <> 'OCR_VARIANT'),
+r AS (SELECT *, CASE WHEN low = 'small-1' THEN 3 WHEN starts_with(low, 'small-1') THEN 5 WHEN contains(low, 'small-1') THEN 7 END AS rank FROM l)
+SELECT entity_id, replace(alias, '–', '-') AS alias FROM r WHERE rank IS NOT NULL QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY rank, low, alias_id) = 1""",
+)
+def _(spark, sf_dir):
+    return entities.matched_aliases(_hebrew(spark, sf_dir)[1], "Small−1")
+
+
 def _ranked(spark, sf_dir, text):
     part = table(spark, sf_dir, "part", ["p_partkey", "p_name", "p_brand", "p_type", "p_size"])
     names = part.select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("display"), F.concat_ws(" ", "p_brand", "p_name").alias("canonical"))

@@ -103,6 +103,23 @@ def _(spark, sf_dir):
     return diffs.unique_slugs(part.filter("p_partkey % 40 <> 0").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), taken)
 
 
+_NAMES = """n AS (SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'בית־ספר ' || c_mktsegment WHEN 1 THEN 'Müller & ' || c_mktsegment WHEN 2 THEN 'שלום' ELSE '?!' END AS name FROM customer)"""
+
+
+@query(
+    "slugs_of_names",
+    f"""WITH {_NAMES}, k AS (SELECT id, regexp_replace(lower(name), '[^\\p{{L}}\\p{{N}}_\\s-]', '', 'g') AS kept FROM n),
+b AS (SELECT id, coalesce(nullif(trim(regexp_replace(kept, '[-\\s]+', '-', 'g'), '-_'), ''), 'item') AS base FROM k),
+r AS (SELECT id, base, row_number() OVER (PARTITION BY base ORDER BY id) AS n FROM b)
+SELECT id, CASE WHEN n = 1 THEN base ELSE base || '-' || n END AS slug FROM r""",
+)
+def _(spark, sf_dir):
+    k, segment = F.col("c_custkey"), F.col("c_mktsegment")
+    name = F.when(k % 4 == 0, F.concat(F.lit("בית־ספר "), segment)).when(k % 4 == 1, F.concat(F.lit("Müller & "), segment)).when(k % 4 == 2, F.lit("שלום")).otherwise(F.lit("?!"))
+    names = table(spark, sf_dir, "customer", ["c_custkey", "c_mktsegment"]).select(k.alias("id"), name.alias("name"))
+    return diffs.unique_slugs(names, spark.createDataFrame([], "slug string"))
+
+
 @query("merge_identities", "SELECT DISTINCT CASE WHEN o_custkey % 10 = 3 THEN o_custkey - 3 ELSE o_custkey END AS c, l_partkey AS item FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
 def _(spark, sf_dir):
     orders = table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey"])

@@ -61,7 +61,7 @@ def _(spark, sf_dir):
 @query("hebrew_sort_key")
 def _(spark, sf_dir):
     names = table(spark, sf_dir, "customer", ["c_custkey", "c_name"]).withColumn("name", F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("«שלום־ם "), "c_name")).otherwise(F.col("c_name")))
-    return names.select("c_custkey", text.sort_key(F.col("name")).alias("k")).select("c_custkey", "k.script", "k.key")
+    return names.select("c_custkey", text.sort_key(text.folded("name")).alias("k")).select("c_custkey", "k.script", "k.key")
 
 
 @query(

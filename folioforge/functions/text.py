@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-# The dash characters that searches fold to "-".
-DASHES = "‐‑‒–—―−־﹘－"
+# Long dashes and hyphens that searches and orders fold to "-"; the Hebrew maqaf is not one of them.
+DASHES = "\u2010\u2011\u2012\u2013\u2014\u2015\u2212\ufe58\ufe63\uff0d"
 # Hebrew final letters and their ordinary forms.
 FINALS, ORDINARY = "ךםןףץ", "כמנפצ"
 SPACE = "[\\s\\x{00A0}]+"
+#: What blanks are, as part of a class of characters.
+_BLANKS = "\\s\\x{1C}-\\x{1F}\\x{85}\\p{Z}"
+# Fixed value: the slug of a name that has none.
+FALLBACK = "item"
 TOKEN_GAP = "[^\\p{L}\\p{N}]+"
 
 
@@ -36,9 +44,26 @@ def ordered_names(raw: Column, gap: str = ",") -> Column:
     return F.array_distinct(F.filter(F.transform(F.split(raw, gap), lambda x: F.trim(x)), lambda x: x != ""))
 
 
+@F.pandas_udf(StringType())
+def compatible(names: pd.Series) -> pd.Series:
+    """NFKC, for which Spark has no function; null stays."""
+    return names.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+
+
+@F.pandas_udf(StringType())
+def folded(names: pd.Series) -> pd.Series:
+    """NFC and full case folding, for which Spark has no function; null stays."""
+    return names.map(lambda x: unicodedata.normalize("NFC", x).casefold(), na_action="ignore")
+
+
 def slug(name: Column, size: int = 255) -> Column:
-    base = F.regexp_replace(F.lower(F.trim(name)), "[^a-z0-9]+", "-")
-    return F.substring(F.regexp_replace(base, "^-+|-+$", ""), 1, size)
+    """A name as part of an address: letters, digits and underscores of any script in lower case, blanks and hyphens as one hyphen, all else dropped; FALLBACK where nothing is left.
+
+    Names that may hold compatibility forms are passed through `compatible` first, as `unique_slugs` does.
+    """
+    kept = F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), f"[^\\p{{L}}\\p{{N}}_{_BLANKS}-]", "")
+    base = F.regexp_replace(F.regexp_replace(kept, f"[{_BLANKS}-]+", "-"), "^[-_]+|[-_]+$", "")
+    return F.when(base == "", FALLBACK).otherwise(F.substring(base, 1, size))
 
 
 def index_letter(name: Column) -> Column:
@@ -73,10 +98,14 @@ def clock_seconds(raw: Column) -> Column:
 
 
 def sort_key(name: Column) -> Column:
-    """(script rank, key): Hebrew before Latin before others before empty; leading punctuation and case do not count."""
-    key = F.regexp_replace(F.lower(fold_dashes(collapse(F.coalesce(name, F.lit(""))))), "^[^\\p{L}\\p{N}]+", "")
-    key = F.translate(key, FINALS, ORDINARY)
-    rank = F.when(key == "", 3).when(key.rlike("^\\p{IsHebrew}"), 0).when(key.rlike("^\\p{IsLatin}"), 1).otherwise(2)
+    """(script rank, key): Hebrew before Latin before others before empty; leading punctuation and case do not count.
+
+    Case is lowered; names that need NFC or full folding are passed through `folded` first.
+    """
+    plain = F.trim(F.regexp_replace(F.lower(fold_dashes(F.coalesce(name, F.lit("")))), f"[{_BLANKS}]+", " "))
+    key = F.translate(F.regexp_replace(plain, "^[\\p{M}\\p{P}\\p{S}\\p{C} ]+", ""), FINALS, ORDINARY)
+    latin = key.rlike("^[a-z\\x{C0}-\\x{24F}\\x{1E00}-\\x{1EFF}]")
+    rank = F.when(key == "", 3).when(key.rlike("^[\\x{0590}-\\x{05FF}]"), 0).when(latin, 1).otherwise(2)
     return F.struct(rank.alias("script"), key.alias("key"))
 
 

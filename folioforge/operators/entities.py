@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.functions.text import bound, fold_dashes, json_hash
+from folioforge.functions.text import DASHES, bound, fold_dashes, json_hash
 
 MAX_SURFACE = 255
 #: Surfaces that are broadcast, of 255 characters at most; and the size of the table of first words.
@@ -19,12 +19,29 @@ def normal_surface(name):
     return F.trim(F.regexp_replace(F.lower(F.translate(name, BIDI, "")), "\\s+", " "))
 
 
+def folded_query(query: str) -> str:
+    """A query as names are compared with it: trimmed, the same dashes folded, in lower case."""
+    return query.strip().translate({ord(c): "-" for c in DASHES}).lower()
+
+
+def matched_aliases(aliases: DataFrame, query: str, hidden: str = "OCR_VARIANT") -> DataFrame:
+    """(entity_id, alias): of the aliases (alias_id, entity_id, alias, kind) in which a query stands that of the best rank, then by name, then by id.
+
+    Exact, prefix, within. Aliases of the kind `hidden` find their entity, but are never shown.
+    """
+    q, low = F.lit(folded_query(query)), F.lower(fold_dashes(F.col("alias")))
+    rank = F.when(low == q, 3).when(F.startswith(low, q), 5).when(F.contains(low, q), 7)
+    rows = aliases.filter(~F.col("kind").eqNullSafe(hidden)).withColumn("__rank", rank).filter("__rank IS NOT NULL")
+    best = F.min(F.struct("__rank", low.alias("low"), "alias_id", fold_dashes(F.col("alias")).alias("alias")))
+    return rows.groupBy("entity_id").agg(best.alias("x")).select("entity_id", "x.alias")
+
+
 def registry_rank(entities: DataFrame, aliases: DataFrame, query: str) -> DataFrame:
     """(entity_id, rank), 1 to 7: exact display, canonical, alias; prefix of name, alias; within name, alias.
 
     entities: entity_id, display, canonical. aliases: entity_id, alias.
     """
-    q = query.translate({ord(c): "-" for c in "‐‑‒–—―"}).lower()
+    q = folded_query(query)
     low = lambda c: F.lower(fold_dashes(F.col(c)))
     name = F.least(
         F.when(low("display") == q, 1), F.when(low("canonical") == q, 2),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.functions.text import slug
+from folioforge.functions.text import compatible, slug
 from folioforge.operators.directory import with_places
 from folioforge.sources.shared import cut
 
@@ -70,7 +70,7 @@ def unique_slugs(names: DataFrame, taken: DataFrame, size: int = 255) -> DataFra
     second slug of "a". The latter are found round by round, until no slug is given twice; a round costs a
     few joins, and without such names one is enough. Ids are distinct.
     """
-    bases = names.select("id", F.coalesce(slug(F.col("name"), size), F.lit("")).alias("base"))
+    bases = names.select("id", slug(compatible(F.col("name")), size).alias("base"))
     ranked = cut(with_places(bases, ["id"], within=("base",)).withColumnRenamed("place", "rank"))
     number = F.regexp_extract("slug", "-([2-9]|[1-9]\\d{1,8})$", 1)
     stored = taken.select("slug").distinct()

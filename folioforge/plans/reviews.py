@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioforge.operators.directory import with_places
+from folioforge.sources.shared import cut
+
 
 def link_plan(photo_links: DataFrame, photos: DataFrame, item_links: DataFrame) -> DataFrame:
     """(photo_id, person_id, status) per photo link: ERROR without a parent item, NOOP where the item has the person, else CREATE."""
@@ -39,21 +42,21 @@ def remap(breaks: DataFrame, mapping: DataFrame) -> DataFrame:
     return joined.groupBy("snapshot").agg(F.when(good, F.array_sort(F.collect_list("target"))).alias("targets"))
 
 
-def earlier(snapshots: DataFrame, most: int = 100) -> DataFrame:
-    """(newer, older, place): the older snapshots of each snapshot's document (snapshot_id, document_id, created), newest first, `most` at most.
+def earlier(snapshots: DataFrame, most: int | None = None) -> DataFrame:
+    """(newer, older, place): the older snapshots of each snapshot's document (snapshot_id, document_id, created), newest first, all or the first `most`.
 
-    A document's snapshots are one window in order of time, in which each looks back; the bound keeps a
-    document of very many snapshots from making all its pairs. No more than `most` are of one moment.
+    Snapshots of one moment are not older than each other. Places within the document come from ranges, and a
+    snapshot meets the places before its own in an equi join, so that a document of very many snapshots is
+    many tasks; the result has a row for each pair, which a caller bounds by `most`.
     """
-    from pyspark.sql import Window
-
-    back = Window.partitionBy("document_id").orderBy("created")
-    rows = snapshots.withColumn("__rank", F.dense_rank().over(back))
-    past = Window.partitionBy("document_id").orderBy("created", F.desc("snapshot_id")).rowsBetween(-2 * most, -1)
-    # snapshots of one moment are not older than each other; of the rows before, the last `most` of earlier moments count
-    rows = rows.withColumn("__past", F.collect_list(F.struct("__rank", "snapshot_id")).over(past))
-    held = F.reverse(F.filter("__past", lambda x: x["__rank"] < F.col("__rank")))
-    return rows.select(F.col("snapshot_id").alias("newer"), F.posexplode(F.slice(held, 1, most)).alias("at", "x")).select("newer", F.col("x.snapshot_id").alias("older"), (F.col("at") + 1).alias("place"))
+    placed = with_places(snapshots.select("snapshot_id", "document_id", "created"), [F.col("created"), F.desc("snapshot_id")], within=("document_id",))
+    placed = cut(placed)
+    moments = placed.groupBy("document_id", "created").agg((F.min("place") - 1).alias("before"))
+    first = F.greatest(F.lit(1), F.col("before") - most + 1) if most is not None else F.lit(1).cast("long")
+    newer = placed.drop("place").join(moments, ["document_id", "created"]).filter("before > 0")
+    newer = newer.select("document_id", F.col("snapshot_id").alias("newer"), "before", F.explode(F.sequence(first, F.col("before"))).alias("place"))
+    joined = newer.join(placed.select("document_id", "place", F.col("snapshot_id").alias("older")), ["document_id", "place"])
+    return joined.select("newer", "older", (F.col("before") - F.col("place") + 1).cast("int").alias("place"))
 
 
 def candidates(names: DataFrame, persons: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ def test_clock_seconds(spark, raw, want):
 
 def test_strings(spark):
     assert value(spark, text.ordered_names(F.lit(" a, b,,a ,c"))) == ["a", "b", "c"]
-    assert value(spark, text.slug(F.lit("  Café & Bar!  "))) == "caf-bar"
+    assert value(spark, text.slug(F.lit("  Café & Bar!  "))) == "café-bar"
     assert value(spark, text.normal_whitespace(F.lit("a \t b\r\n\r\nc d "))) == "a b\n\nc d"
     assert value(spark, text.fold_dashes(F.lit("a–b—c"))) == "a-b-c"
     assert value(spark, text.reasons(F.lit('["x","y"]'))) == ["x", "y"] and value(spark, text.reasons(F.lit("plain"))) == ["plain"]
@@ -108,3 +108,38 @@ def test_geometry(spark):
     assert value(spark, merged) == list("abcdef")
     halves = value(spark, ordered.page_halves(F.lit(100), F.lit(1000)))
     assert [(h.top, h.bottom) for h in halves] == [(0, 550), (450, 1000)] and value(spark, ordered.page_halves(F.lit(100), F.lit(50))) is None
+
+
+def test_slugs_keep_letters_of_all_scripts(spark):
+    """By the plain rule: compatibility form, lower case, letters, digits, underscores, blanks and hyphens; then single hyphens."""
+    import re
+    import unicodedata
+
+    names = ["בית ספר", "בית־ספר", "Müller & Sohn", "Straße 5", "ﬁne  print", "a_b", "--x__", "½ cup", "", None, "!?", "日本語 テスト", "ŉ x", "a\u00a0b\u2003c", "É" * 300]
+    for name in names:
+        kept = re.sub(r"[^\w\s-]", "", unicodedata.normalize("NFKC", name or "").lower())
+        want = re.sub(r"[-\s]+", "-", kept).strip("-_")[:255] or "item"
+        row = spark.createDataFrame([(name,)], "name string").select(text.slug(text.compatible("name")).alias("s")).first()
+        assert row.s == want, name
+
+
+def test_maqaf_is_no_dash_and_all_long_dashes_are_one(spark):
+    assert value(spark, text.fold_dashes(F.lit("בית־ספר a−b a﹣b a﹘b a－b"))) == "בית־ספר a-b a-b a-b a-b"
+
+
+def test_sort_keys_by_plain_code(spark):
+    import unicodedata
+
+    def plain(name):
+        t = unicodedata.normalize("NFC", name).translate({ord(c): "-" for c in text.DASHES})
+        t = " ".join(t.split()).casefold().translate(str.maketrans(text.FINALS, text.ORDINARY))
+        while t and (t[0].isspace() or unicodedata.category(t[0])[0] in "MPSC"):
+            t = t[1:]
+        if not t:
+            return 3, ""
+        c = ord(t[0])
+        return (0 if 0x590 <= c <= 0x5FF else 1 if "a" <= t[0] <= "z" or 0xC0 <= c <= 0x24F or 0x1E00 <= c <= 0x1EFF else 2), t
+
+    names = ["«שלום־ם", "Straße", "Ｆull", "é", "É x", "123", "–", "", "  a–b  c ", "Ωmega", "־בית"]
+    rows = spark.createDataFrame([(n,) for n in names], "name string").select("name", text.sort_key(text.folded("name")).alias("k")).collect()
+    assert {r.name: (r.k.script, r.k.key) for r in rows} == {n: plain(n) for n in names}

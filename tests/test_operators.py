@@ -80,7 +80,7 @@ def test_slugs_are_those_of_names_that_come_one_by_one(spark):
         taken = {"c-2", "a-b-4", "x" * 255}
         want, used = {}, set(taken)
         for i, name in enumerate(case):
-            base = "-".join("".join(ch if ch.isalnum() else " " for ch in name.lower()).split())[:255]
+            base = "-".join("".join(ch if ch.isalnum() else " " for ch in name.lower()).split())[:255] or "item"
             n = 1
             while (s := base if n == 1 else f"{base[: 255 - len(f'-{n}')]}-{n}") in used:
                 n += 1
@@ -135,6 +135,16 @@ def test_earlier_snapshots_by_plain_code(spark):
         older = sorted((-u, j) for j, e, u in data if e == d and u < t)
         want += [(i, j, k) for k, (_, j) in enumerate(older[:9], 1)]
     assert rows(reviews.earlier(spark.createDataFrame(data, "snapshot_id long, document_id long, created long"), most=9)) == sorted(want, key=str)
+    assert reviews.earlier(spark.createDataFrame(data, "snapshot_id long, document_id long, created long")).count() == sum(e == d and u < t for _, d, t in data for _, e, u in data)
+
+
+def test_registry_search_folds_names_and_query_alike(spark):
+    entities_ = spark.createDataFrame([(1, "בית־ספר", "x"), (2, "a-b", "y"), (3, "c", "A−B c"), (4, "z", "z")], "entity_id long, display string, canonical string")
+    aliases = spark.createDataFrame([(9, 4, "pre a﹣b", "PLAIN"), (8, 4, "a–b two", "PLAIN"), (7, 4, "a-b", "OCR_VARIANT"), (6, 4, "A-B one", None)], "alias_id long, entity_id long, alias string, kind string")
+    find = lambda q: rows(entities.registry_rank(entities_, aliases.select("entity_id", "alias"), q))
+    assert find("בית־ספר") == [(1, 1)] and find("בית-ספר") == []
+    assert find(" a−b ") == find("A-B") == [(2, 1), (3, 4), (4, 3)]
+    assert rows(entities.matched_aliases(aliases, "a—b")) == [(4, "A-B one")]
 
 
 def test_apply_states(spark):

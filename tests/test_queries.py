@@ -57,3 +57,17 @@ def test_everything_else_works_without_the_optional_parts(tmp_path):
     code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), any(k.startswith('op1_') for k in e.queries()))"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
     assert out.stdout.split() == [str(len(registry.QUERIES)), str(len(registry.ORACLES)), "False"], out.stderr
+
+
+def test_everything_else_works_where_something_cannot_be_imported(tmp_path):
+    import os
+    import pathlib
+    import subprocess
+    import sys
+
+    (tmp_path / "xxhash.py").write_text("raise ImportError('not here')")
+    root = str(pathlib.Path(__file__).parent.parent)
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    env = os.environ | {"PYTHONPATH": f"{tmp_path}:{root}"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert out.stdout.split() == [str(len(registry.QUERIES)), str(len(registry.ORACLES))], out.stderr
