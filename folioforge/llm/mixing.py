@@ -62,11 +62,14 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, max_
 
 
 def _measured(docs: DataFrame, id_col, text_col, source_col, weight) -> DataFrame:
-    """Rows with doc (the whole row), id, source, __size, __weight and __same, which copies of id and text share."""
+    """Rows with doc (the whole row), id, source, __size, __weight and __same, which copies of id and text share, and of a caller's weight."""
     w = (quality_weight(F.col(text_col)) if weight is None else weight).cast("double")
     w = F.when((w > 0) & ~F.isnan(w), F.greatest(F.lit(LEAST_WEIGHT), F.least(F.lit(MOST_WEIGHT), w)))
     text = F.coalesce(F.md5(F.col(text_col).cast("binary")), F.lit("null"))
-    same = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(":"), text).cast("binary"))
+    parts = [F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(":"), text]
+    if weight is not None:  # else it follows from the text
+        parts += [F.lit(":"), F.coalesce(w.cast("string"), F.lit("null"))]
+    same = F.md5(F.concat(*parts).cast("binary"))
     return docs.select(
         F.struct("*").alias("doc"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("__size"), w.alias("__weight"), same.alias("__same")
     )

@@ -312,19 +312,26 @@ def _node_of(seed: int):
 def deduplicated_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group, in the columns of `docs`: that of the least id.
 
-    A repeated id stays once, with any of its rows. Rows without an id: one of each group that has no id
-    at all, and all whose texts have no word.
+    Of an id that several rows have, each kept text stays once, with any of the rows that have both, and so
+    does one row without a word. Rows without an id: one of each group that has no id at all, and all whose
+    texts have no word.
     """
     labels, seed = _labelled(docs, id_col, text_col)
-    kept = stage_table(labels.filter("kept").select("doc_id", "node", "n_shingles"), "kept")
-    own, node = unused(docs, "own", "node")
-    ids = kept.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias(own)).distinct()
-    rows = docs.join(ids, F.col(id_col) == F.col(own)).drop(own).dropDuplicates([id_col])
-    nodes = kept.filter("doc_id IS NULL AND n_shingles > 0").select(F.col("node").alias(own)).distinct()
+    labels = stage_table(labels.select("doc_id", "node", "n_shingles", "kept"), "kept")
+    own, held, node = unused(docs, "own", "held", "node")
+    counted = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("kept").alias("k"))
+    counted = stage_table(counted, "ids")
+    is_id = F.col(id_col) == F.col(own)
+    rows = docs.join(counted.filter("n = 1 AND k = 1").select(F.col("doc_id").alias(own)), is_id, "left_semi")
+    # texts are hashed anew only where an id does not tell its row
+    many = docs.join(counted.filter("n > 1 AND k > 0").select(F.col("doc_id").alias(own)), is_id, "left_semi").withColumn(node, _node_of(seed)(F.col(text_col)))
+    both = labels.filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(own), F.col("node").alias(held)).distinct()
+    many = many.join(both, is_id & F.col(node).eqNullSafe(F.col(held)), "left_semi").dropDuplicates([id_col, node])
+    nodes = labels.filter("kept AND doc_id IS NULL AND n_shingles > 0").select(F.col("node").alias(own)).distinct()
     bare = docs.filter(F.col(id_col).isNull()).withColumn(node, _node_of(seed)(F.col(text_col)))
-    chosen = bare.join(nodes, F.col(node) == F.col(own)).dropDuplicates([node])
+    chosen = bare.join(nodes, F.col(node) == F.col(own), "left_semi").dropDuplicates([node])
     empty = bare.filter(F.col(node).isNull())
-    return rows.select(*whole(docs)).unionByName(chosen.select(*whole(docs))).unionByName(empty.select(*whole(docs)))
+    return rows.select(*whole(docs)).unionByName(many.select(*whole(docs))).unionByName(chosen.select(*whole(docs))).unionByName(empty.select(*whole(docs)))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -85,3 +85,12 @@ def test_weights_of_zero_are_spread_and_come_last(spark):
     assert near(got) and 0 < sum(r.times for r in mine) < 500 and all(r.id % 4 == 3 for r in mine if r.times)
     keyed = mixing._keyed(mixing._measured(df, "doc_id", "text", "source", F.col("w")), None, mixing.KEY_BUCKETS, "mix")
     assert keyed.groupBy("__bucket").count().agg(F.max("count")).first()[0] < 10
+
+
+def test_reruns_agree_where_copies_have_weights_of_their_own(spark):
+    df = spark.range(2000).selectExpr("id % 40 AS doc_id", "'one two three' AS text", "'s' AS source", "1D + id % 7 AS w")
+    runs = [mixing.mix(df.repartition(n), weight=F.col("w"), weights=(1,), share=0.6) for n in (3, 8, 8)]
+    taken = [sorted(map(str, r.collect())) for r in runs]
+    assert taken[0] == taken[1] == taken[2]
+    counts = [sorted((r.w, r.n) for r in mixing.mixed_documents(df.repartition(n), weight=F.col("w"), weights=(1,), share=0.6).groupBy("w").agg(F.count("*").alias("n")).collect()) for n in (3, 8)]
+    assert counts[0] == counts[1]

@@ -102,3 +102,12 @@ def test_signatures_estimate_similarity():
 def test_words_are_parted_and_lowered_as_bytes():
     assert len(shingle_set("A b c d e f")) == 1 and (shingle_set("a b\tc\x0bd\x0ce\rf") == shingle_set("A B C D E F")).all()
     assert (shingle_set("É b") != shingle_set("é b")).all()
+
+
+def test_no_text_of_a_repeated_id_is_lost(spark):
+    rows = [(1, "first text of the first id here"), (1, "quite another text of the same id"), (1, "First text of the  first id here"), (2, "text of the second id stands alone"), (1, None), (1, " ")]
+    rows += [(3, "quite another text of the same id"), (3, "and one of its own besides this"), (4, "quite another text of the same id")]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, k int")
+    for parts in (1, 5):
+        left = sorted((r.doc_id, " ".join((r.text or "").lower().split())) for r in neardup.deduplicated_documents(df.repartition(parts)).collect())
+        assert left == [(1, ""), (1, "first text of the first id here"), (1, "quite another text of the same id"), (2, "text of the second id stands alone"), (3, "and one of its own besides this")]
