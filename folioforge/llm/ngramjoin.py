@@ -123,11 +123,15 @@ class Jaccard:
 
 
 class Beginnings:
-    """Whose beginnings share as many n-grams as those of similar sets do. left, right: the full sets' sizes, of the trie's rows and of the probes."""
+    """Whose beginnings share as many n-grams as those of similar sets do.
 
-    def __init__(self, trie: Trie, probes: Probes, left: np.ndarray, right: np.ndarray, percent: int = PERCENT):
-        self.trie, self.probes, self.left, self.right = trie, probes, left, right
-        self.least = may_differ(left, percent), may_differ(right, percent)
+    left, right: of the trie's rows and of the probes the full sets' sizes, and how many n-grams of a
+    beginning were alike in the bits that are kept, by which an overlap may be too small.
+    """
+
+    def __init__(self, trie: Trie, probes: Probes, left: tuple, right: tuple, percent: int = PERCENT):
+        self.trie, self.probes, self.left, self.right = trie, probes, left[0], right[0]
+        self.least = may_differ(left[0], percent) - left[1], may_differ(right[0], percent) - right[1]
         self.percent = percent
 
     def open(self, low: int, high: int, depth: int, overlap: np.ndarray, passed: np.ndarray) -> np.ndarray:
@@ -276,8 +280,10 @@ def promising(key: int, components: list[int], sizes: list[int], beginnings: lis
 
     keys: the groups of each row, ascending. A pair that several groups hold belongs to the first of them.
     """
-    cell, n = _Cell(components, beginnings, first), np.array(sizes)
-    rule, found = Beginnings(cell.trie, cell.probes, n[cell.rows], n[:first], percent), set()
+    distinct = [np.unique(b) for b in beginnings]
+    alike = np.array([len(b) - len(d) for b, d in zip(beginnings, distinct, strict=True)])
+    cell, n = _Cell(components, distinct, first), np.array(sizes)
+    rule, found = Beginnings(cell.trie, cell.probes, (n[cell.rows], alike[cell.rows]), (n[:first], alike[:first]), percent), set()
     owned = [set(k[: np.searchsorted(k, key)].tolist()) for k in keys]
     for low, probe, _ in join(cell.trie, cell.probes, rule, cell.skip):
         row = cell.rows[low]
@@ -310,7 +316,7 @@ def _held(batches, columns: list[str]):
 def _promising_cells(percent: int):
     def run(batches):
         for cell, held, first in _held(batches, [*_CELL, "component", "n", "met", "keys"]):
-            rows = promising(cell[0], [r[5] for r in held], [r[6] for r in held], [np.sort(r[7].view(np.uint64)) for r in held], [r[8] for r in held], first, percent)
+            rows = promising(cell[0], [r[5] for r in held], [r[6] for r in held], [r[7].view(np.uint32) for r in held], [r[8] for r in held], first, percent)
             if rows:
                 columns = zip(*[(*cell, held[k][3], held[k][4]) for k in rows], strict=True)
                 yield pa.RecordBatch.from_pydict({c: pa.array(x, pa.int64()) for c, x in zip(_CELL, columns, strict=True)})
@@ -329,13 +335,15 @@ def _linked_cells(percent: int):
 
 
 def _groups(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Groups (key, node, n, pivot, blocks) of nodes of which similar ones share at least one; pivot is a group's least node. And (node, n, met): the n-grams of a beginning that are met elsewhere."""
+    """Groups (key, node, n, pivot, blocks) of nodes of which similar ones share at least one; pivot is a group's least node. And (node, n, met): 32 bits of each n-gram of a beginning that is met elsewhere."""
     grams = nodes.select("node", "n", F.explode("grams").alias("key"))
     shared = grams.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     met = grams.join(shared, "key").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("met"))  # of one text
     spare = (F.size("met") - least_met(F.col("n"), percent) + 1).cast("int")
-    met = stage_table(met.filter(spare > 0).select("node", "n", F.transform("met", lambda x: x["key"]).alias("met"), spare.alias("spare")), "gram-met")
-    keys = met.select("node", "n", F.explode(F.slice("met", F.lit(1), F.col("spare"))).alias("key"))
+    small = lambda x: (x["key"].bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(1 << 31)).cast("int")
+    first = F.transform(F.slice("met", F.lit(1), spare), lambda x: x["key"])
+    met = stage_table(met.filter(spare > 0).select("node", "n", F.transform("met", small).alias("met"), first.alias("keys")), "gram-met")
+    keys = met.select("node", "n", F.explode("keys").alias("key"))
     keys = stage_table(keys, "gram-keys")
     marks = [F.bit_xor(F.xxhash64("node", F.lit(salt))).alias(f"mark{salt}") for salt in (1, 2)]
     groups = keys.groupBy("key").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("total"), F.min("node").alias("pivot"), *marks).filter("nodes > 1")
