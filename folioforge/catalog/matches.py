@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from folioforge.catalog.text import _LINES, lines
 from folioforge.operators import access, matches, ordered, search
 from folioforge.registry import query
+from folioforge.sources.tables import table
 from folioforge.sources.archive import ITEMS_SQL, items
 
 WANTED = ["the", "and"]
@@ -134,3 +135,15 @@ def _(spark, sf_dir):
     by_five = rows.filter("item_id % 5 = 0").select("item_id")
     asked = search.refresh_ids(by_five, by_five.filter("item_id % 2 = 0"), spark.range(1).select((F.col("id") - 7).alias("item_id")))
     return search.refreshed(stale, rows.filter("item_id % 10 <> 5"), asked).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "token_spans",
+    """WITH p AS (SELECT doc_id AS item_id, regexp_split_to_array(text, '[\\p{L}\\p{N}]+') AS gaps, regexp_extract_all(text, '[\\p{L}\\p{N}]+') AS hits FROM documents WHERE text IS NOT NULL),
+u AS (SELECT item_id, unnest(hits) AS token, unnest(gaps[1:len(hits)]) AS gap, unnest(range(len(hits))) AS k FROM p),
+s AS (SELECT item_id, token, sum(length(gap) + length(token)) OVER (PARTITION BY item_id ORDER BY k) AS stop FROM u)
+SELECT item_id, (stop - length(token))::BIGINT AS start, stop::BIGINT AS "end", token FROM s""",
+)
+def _(spark, sf_dir):
+    spans = matches.token_spans(table(spark, sf_dir, "documents", ["doc_id", "text"]).select(F.col("doc_id").alias("item_id"), "text"))
+    return spans.select("item_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "token")

@@ -65,6 +65,17 @@ def _(spark, sf_dir):
     return search.type_counts(_search(spark, sf_dir, "the"))
 
 
+@query(
+    "public_last_page",
+    f"""WITH {ITEMS_SQL}, v AS (SELECT item_id, created_day FROM items WHERE visibility = 'PUBLIC'), n AS (SELECT greatest(1, (count(*) + 23) // 24) AS last, count(*) AS total FROM v),
+r AS (SELECT *, row_number() OVER (ORDER BY created_day DESC, item_id DESC) AS place FROM v)
+SELECT item_id, last::BIGINT AS page, total::BIGINT AS total FROM r, n WHERE place > (last - 1) * 24""",
+)
+def _(spark, sf_dir):
+    rows, number, total = search.clamped_page(access.visible(items(spark, sf_dir)), [F.desc("created_day"), F.desc("item_id")], 10**9, 24)
+    return rows.select("item_id", F.lit(number).cast("long").alias("page"), F.lit(total).cast("long").alias("total"))
+
+
 @query(
     "search_term_union_candidates",
     f"""WITH {ITEMS_SQL}, v AS (SELECT * FROM items WHERE visibility = 'PUBLIC')

@@ -22,6 +22,11 @@ def _parted(texts: DataFrame, keys: list[str], pattern: Column | str) -> DataFra
     return rows.withColumn("end", end).select(*keys, (F.col("end") - F.length("hit")).alias("start"), "end", "hit")
 
 
+def token_spans(texts: DataFrame) -> DataFrame:
+    """(item_id, start, end, token): the runs of letters and digits of texts (item_id, text), in the text's own case, and their places."""
+    return _parted(texts, ["item_id"], f"{WORD}+").select("item_id", "start", "end", F.col("hit").alias("token"))
+
+
 def hits(texts: DataFrame, wanted: list[str]) -> DataFrame:
     """(item_id, start, end, term) of the wanted words, case ignored, in texts (item_id, text)."""
     words = "|".join(map(re.escape, wanted)) or "(?!)"

@@ -70,6 +70,14 @@ def page(rows: DataFrame, order: list[Column], number: int = 1, size: int = DEFA
     return rows.orderBy(*order).offset((max(1, number) - 1) * size).limit(size)
 
 
+def clamped_page(rows: DataFrame, order: list[Column], number: int = 1, size: int = DEFAULT_PAGE) -> tuple[DataFrame, int, int]:
+    """(the page, its number, the number of rows): a number beyond the last page is the last, one below the first is the first."""
+    size = size if size in PAGE_SIZES else DEFAULT_PAGE
+    total = rows.count()
+    number = min(max(1, number), max(1, -(-total // size)))
+    return page(rows, order, number, size), number, total
+
+
 def term_candidates(items: DataFrame, index: DataFrame, term: str) -> DataFrame:
     """Ids that match a term by token, by title or by metadata: a union of three arms."""
     token = postings_of(index, [term]).select("item_id").join(items.select("item_id"), "item_id", "left_semi")

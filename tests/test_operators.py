@@ -177,3 +177,33 @@ def test_lease_stream_agrees_with_the_replay(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert {r.event_id: r.outcome for r in spark.table("lease_out").collect()} == OUTCOMES
+
+
+def test_pages_are_clamped_to_the_last(spark):
+    from folioforge.operators import search
+
+    df = spark.range(50)
+
+    def page(rows, number, size=24):
+        shown, place, total = search.clamped_page(rows, [F.col("id")], number, size)
+        return [r.id for r in shown.collect()], place, total
+
+    assert page(df, 9) == ([48, 49], 3, 50) and page(df, -4) == (list(range(24)), 1, 50) and page(df, 2, 7) == ([48, 49], 2, 50)
+    assert page(df.filter("false"), 3) == ([], 1, 0)
+
+
+def test_token_spans_by_a_plain_scan(spark):
+    from folioforge.operators import matches
+
+    texts = ["Ab1, cd-é  שלום!", "", " .,", "x", "a\nb\tc ", "日本語 テスト"]
+    want = []
+    for i, text in enumerate(texts):
+        at = 0
+        while at < len(text):
+            end = at
+            while end < len(text) and text[end].isalnum():
+                end += 1
+            want += [(i, at, end, text[at:end])] if end > at else []
+            at = max(end, at + 1)
+    df = spark.createDataFrame([*enumerate(texts), (9, None)], "item_id long, text string")
+    assert sorted(map(tuple, matches.token_spans(df).collect())) == sorted(want)
