@@ -38,6 +38,8 @@ MIN_SCORE = 0.5
 SMOOTH = 0.5
 #: Tokens whose evidence a worker remembers, and the bytes that they may take.
 _CACHE, _CACHE_BYTES = 100_000, 48 << 20
+#: Tallies that go to the JVM at a time; it holds a batch outside its heap.
+_TALLIES = 1 << 15
 _LETTERS = re.compile(r"[^\W\d_]+")
 _BINS = 4096
 _STEP, _ORDER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -87,19 +89,17 @@ class Keys:
         return _finish(key * _ORDER + np.uint64(order)), owner
 
 
-def _tallies(lang: str, counts: Counter) -> pa.RecordBatch:
-    """(lang, order, key, n) of the words, under order 0, and of their n-grams."""
+def _tallies(lang: str, counts: Counter) -> Iterator[pa.RecordBatch]:
+    """(lang, order, key, n) of the words, under order 0, and of their n-grams: one order at a time, in batches of _TALLIES rows."""
     keys, times = Keys(list(counts)), np.fromiter(counts.values(), np.int64, len(counts))
-    found = [(0, keys.words(), times)]
-    for order in ORDERS:
-        key, owner = keys.grams(order, np.arange(len(times)))
-        found.append((order, key, times[owner]))
-    out = []
-    for order, key, n in found:
+    for order in (0, *ORDERS):
+        key, owner = keys.grams(order, np.arange(len(times))) if order else (keys.words(), slice(None))
         distinct, at = np.unique(key, return_inverse=True)
-        out.append((np.full(len(distinct), order, np.int32), distinct, np.bincount(at, n, len(distinct)).astype(np.int64)))
-    orders, key, n = (np.concatenate(x) for x in zip(*out, strict=True))
-    return pa.RecordBatch.from_pydict({"lang": pa.repeat(pa.scalar(lang, pa.string()), len(key)), "order": orders, "key": key.view(np.int64), "n": n})
+        n = np.bincount(at, times[owner], len(distinct)).astype(np.int64)
+        for start in range(0, len(distinct), _TALLIES):
+            part = distinct[start : start + _TALLIES].view(np.int64)
+            columns = {"lang": pa.repeat(pa.scalar(lang, pa.string()), len(part)), "order": np.full(len(part), order, np.int32), "key": part, "n": n[start : start + _TALLIES]}
+            yield pa.RecordBatch.from_pydict(columns)
 
 
 def _counted(batches):
@@ -114,10 +114,10 @@ def _counted(batches):
             own.update(_LETTERS.findall(text.lower()))
             held += len(own)
             if held > 60_000:
-                yield from (_tallies(x, c) for x, c in counts.items() if c)
+                yield from (b for x, c in counts.items() if c for b in _tallies(x, c))
                 counts.clear()
                 held = 0
-    yield from (_tallies(x, c) for x, c in counts.items() if c)
+    yield from (b for x, c in counts.items() if c for b in _tallies(x, c))
 
 
 class Model:
