@@ -122,19 +122,20 @@ class Automaton:
                 own.append(start)
         return found
 
-    def occurrences(self, text: str) -> Iterator[tuple]:
+    def occurrences(self, text: str, exact: bool = True) -> Iterator[tuple]:
         """(surface, ordinal, start, end, normal_start, normal_end, matched_text, bounded).
 
         Ordinals count the places of a surface from 1, whether or not they stand between word bounds. Where
         a piece of the original does not have the surface as its normal form, that surface has places without
-        start, end and matched_text in this text.
+        start, end and matched_text in this text; unless `exact` is false: then each place has the piece that
+        its characters stand for, "ße" for "se".
         """
         normal, starts, ends = spanned(text)
         if normal != normal_text(text):
             starts = None
         for s, own in self.places(normal_text(text) if starts is None else normal).items():
             spans = [(int(starts[p : p + len(s)].min()), int(ends[p : p + len(s)].max())) for p in own] if starts is not None else None
-            if spans is not None and any(normal_text(text[a:b]) != s for a, b in spans):
+            if exact and spans is not None and any(normal_text(text[a:b]) != s for a, b in spans):
                 spans = None
             for k, p in enumerate(own):
                 bounded = not (p and _is_token(normal[p - 1])) and not (p + len(s) < len(normal) and _is_token(normal[p + len(s)]))
@@ -145,7 +146,7 @@ class Automaton:
 FIELDS = "surface string, ordinal int, start int, end int, normal_start int, normal_end int, matched_text string, bounded boolean"
 
 
-def _walk(surfaces: list[str], kind: pa.DataType):
+def _walk(surfaces: list[str], kind: pa.DataType, exact: bool):
     def run(batches):
         own = Automaton(surfaces)
         kinds = [kind, pa.string(), *[pa.int32()] * 5, pa.string(), pa.bool_()]
@@ -153,7 +154,7 @@ def _walk(surfaces: list[str], kind: pa.DataType):
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(at, BATCH)
-                rows = [(i, *o) for i, text in zip(batch["item_id"].to_pylist(), batch["text"].to_pylist(), strict=True) if text for o in own.occurrences(text)]
+                rows = [(i, *o) for i, text in zip(batch["item_id"].to_pylist(), batch["text"].to_pylist(), strict=True) if text for o in own.occurrences(text, exact)]
                 if rows:
                     columns = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
@@ -169,7 +170,7 @@ def blocks_of(surfaces: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[l
         yield [r.surface for r in usable.filter(F.pmod(F.xxhash64("surface"), F.lit(n)) == k).collect()]
 
 
-def locate(texts: DataFrame, surfaces: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def locate(texts: DataFrame, surfaces: DataFrame, block_chars: int = BLOCK_CHARS, exact: bool = True) -> DataFrame:
     """(item_id, FIELDS): all non-overlapping places of each surface in each text, see `Automaton.occurrences`.
 
     texts: item_id, text. surfaces: surface, in normal form; blank ones and those of more than MAX_SURFACE
@@ -178,7 +179,7 @@ def locate(texts: DataFrame, surfaces: DataFrame, block_chars: int = BLOCK_CHARS
     rows = texts.select("item_id", "text")
     kind = rows.limit(0).toArrow().schema.field("item_id").type
     schema = f"item_id {rows.schema['item_id'].dataType.simpleString()}, {FIELDS}"
-    made = [rows.mapInArrow(_walk(block, kind), schema) for block in blocks_of(surfaces, block_chars)]
+    made = [rows.mapInArrow(_walk(block, kind, exact), schema) for block in blocks_of(surfaces, block_chars)]
     out = made[0] if made else texts.sparkSession.createDataFrame([], schema)
     for more in made[1:]:
         out = out.unionByName(more)
@@ -231,6 +232,6 @@ def candidates(hits: DataFrame, index: DataFrame) -> DataFrame:
     return joined.select(*hits.columns, "ambiguous", F.col("__x.entity_id").alias("entity_id"), F.col("__x.reasons").alias("reasons"))
 
 
-def detected(texts: DataFrame, index: DataFrame) -> DataFrame:
-    """Candidates of the surviving hits of an index's surfaces in texts (item_id, text)."""
-    return candidates(uncovered(accepted(locate(texts, index))), index)
+def detected(texts: DataFrame, index: DataFrame, exact: bool = True) -> DataFrame:
+    """Candidates of the surviving hits of an index's surfaces in texts (item_id, text); for `exact` see `Automaton.occurrences`."""
+    return candidates(uncovered(accepted(locate(texts, index, exact=exact))), index)

@@ -111,3 +111,28 @@ def test_reasons_and_ambiguity_are_kept(spark):
     texts = spark.createDataFrame([(1, "Die Straße, der Weg")], "item_id long, text string")
     found = sorted((r.surface, r.entity_id, r.ambiguous, r.start, len(r.reasons)) for r in surfaces.detected(texts, index).collect())
     assert found == [("strasse", 1, True, 4, 3), ("strasse", 2, True, 4, 1), ("weg", 2, False, 16, 1)]
+
+
+def test_places_that_begin_within_a_folded_character(spark):
+    got = {(s, k): (a, b, m, bounded) for s, k, a, b, _, _, m, bounded in surfaces.Automaton(["se"]).occurrences("Straße, se", exact=False)}
+    assert got == {("se", 1): (4, 6, "ße", False), ("se", 2): (8, 10, "se", True)}
+    texts = spark.createDataFrame([(1, "Straße, se")], "item_id long, text string")
+    names = spark.createDataFrame([("se",)], "surface string")
+    assert surfaces.accepted(surfaces.locate(texts, names)).count() == 0
+    assert [(r.ordinal, r.start, r.matched_text) for r in surfaces.accepted(surfaces.locate(texts, names, exact=False)).collect()] == [(2, 8, "se")]
+
+
+def test_queries_agree_with_sql_where_a_place_begins_within_a_folded_character(spark, tmp_path):
+    import duckdb
+
+    from folioforge import registry
+
+    spark.createDataFrame([(1, "Die Straße, se viel. Masse"), (2, "Große  Gasse"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "se viel"), (1, "gasse in"), (2, "Strasse se")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    duck = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    for name in ("surface_occurrences", "surface_candidates"):
+        df = registry.QUERIES[name](spark, str(tmp_path))
+        want = duck.execute(f"SELECT {', '.join(f'{chr(34)}{c}{chr(34)}' for c in df.columns)} FROM ({registry.ORACLES[name]})").fetchall()
+        assert want and sorted(map(tuple, df.collect())) == sorted(want), name
