@@ -7,7 +7,7 @@ import zlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.functions.text import collapse, tokens
+from folioforge.functions.text import bound, collapse, tokens
 
 MAX_QUERY = 200
 #: Weights of a field in which all terms of the query stand, and of a term within title or metadata.
@@ -16,6 +16,8 @@ TITLE_BOOST, META_BOOST = 1.0, 0.4
 PAGE_SIZES, DEFAULT_PAGE = (24, 48, 96), 48
 #: Files of the index are parted by this many buckets of tokens.
 BUCKETS = 64
+#: Postings of a task that writes them, about; a bucket of more is dealt by item to several.
+TASK_POSTINGS = 3_000_000
 
 
 def terms(query: str) -> list[str] | None:
@@ -100,11 +102,41 @@ def facets(items: DataFrame, retired: list[str] = ()) -> DataFrame:
     return pairs.filter(F.col("choice").isNotNull() & ~F.col("choice").isin(*retired) if retired else F.col("choice").isNotNull()).distinct()
 
 
+def _runs(words: Column) -> Column:
+    """The different words of an array in order, each with its number and first place: what follows one another in the sorted array is one word."""
+    def counted(x: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: (i == 0) | (F.get(x, i)["token"] != F.get(x, i - 1)["token"]))
+        one = lambda ends: lambda i, k: F.struct(
+            F.get(x, i)["token"].alias("token"), (F.coalesce(F.get(ends, k + 1), F.size(x)) - i).cast("long").alias("n"), F.get(x, i)["at"].cast("long").alias("first")
+        )
+        return bound(at, lambda ends: F.transform(ends, one(ends)))
+
+    return bound(F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("token"), i.alias("at")))), lambda x: F.when(F.size(x) > 0, counted(x)))
+
+
+def counted_tokens(rows: DataFrame, fields: dict[str, Column]) -> DataFrame:
+    """(item_id, token, field, n, first) of the texts of `rows` (item_id, …) by field; a null text has none.
+
+    The tokens of a row are counted within the row, so that nothing is shuffled. Only the rows of an id that
+    several rows have are met by a grouping; ids alone are read to find them.
+    """
+    repeated = rows.groupBy("item_id").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select(F.col("item_id").alias("__id"))
+    texts = F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.coalesce(text, F.lit(""))).alias("tokens")) for f, text in fields.items()])
+
+    def of(some: DataFrame) -> DataFrame:
+        per = some.select("item_id", F.explode(texts).alias("x"))
+        return per.select("item_id", "x.field", F.explode(_runs(F.col("x.tokens"))).alias("t")).select("item_id", "t.token", "field", "t.n", "t.first")
+
+    if repeated.isEmpty():
+        return of(rows)
+    same = F.col("item_id").eqNullSafe(F.col("__id"))
+    several = of(rows.join(repeated, same, "left_semi")).groupBy("item_id", "token", "field").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    return of(rows.join(repeated, same, "left_anti")).unionByName(several)
+
+
 def postings(items: DataFrame) -> DataFrame:
     """(item_id, token, field, n, first): the index that a search document becomes."""
-    fields = F.array(*[F.struct(F.lit(w).alias("field"), tokens(F.col(f)).alias("tokens")) for f, w in (("title", "A"), ("metadata", "B"), ("body", "C"))])
-    rows = items.select("item_id", F.explode(fields).alias("x")).select("item_id", "x.field", F.posexplode("x.tokens").alias("at", "token"))
-    return rows.groupBy("item_id", "token", "field").agg(F.count(F.lit(1)).alias("n"), F.min("at").cast("long").alias("first"))
+    return counted_tokens(items, {"A": F.col("title"), "B": F.col("metadata"), "C": F.col("body")})
 
 
 def documents(items: DataFrame, *, authors: DataFrame, labels: dict[str, DataFrame], persons: DataFrame) -> DataFrame:
@@ -136,13 +168,27 @@ def bucket_of(token: Column) -> Column:
     return (F.crc32(token.cast("binary")) % BUCKETS).cast("int")
 
 
-def write_index(items: DataFrame, path: str) -> None:
-    """The postings as files by bucket of the token, sorted by token: a query opens the buckets of its terms and skips to them.
+def in_buckets(postings: DataFrame, about: int) -> DataFrame:
+    """About so many postings (…, bucket), a bucket or a part of its items to a task, each sorted by token.
 
-    Ranges end within a token's postings as well, so that a token of very many items is many tasks.
+    Parts are told by the item, so that a token of very many items is many tasks; no ranges are looked for,
+    for which the tokens of all texts would be made twice.
     """
+    parts = max(1, -(-about // (BUCKETS * TASK_POSTINGS)))
+    task = F.col("bucket") * parts + F.pmod(F.xxhash64("item_id"), F.lit(parts)).cast("int")
+    return postings.repartitionById(BUCKETS * parts, task).sortWithinPartitions("bucket", "token", "item_id")
+
+
+def about_postings(rows: DataFrame, fields: list[str]) -> int:
+    """The postings of texts, about: one for ten characters. It tells the number of tasks alone."""
+    chars = rows.agg(F.sum(sum((F.length(F.coalesce(f, F.lit(""))) for f in fields), F.lit(0)))).first()[0]
+    return (chars or 0) // 10
+
+
+def write_index(items: DataFrame, path: str) -> None:
+    """The postings as files by bucket of the token, sorted by token: a query opens the buckets of its terms and skips to them."""
     keyed = postings(items).withColumn("bucket", bucket_of(F.col("token")))
-    keyed.repartitionByRange("bucket", "token", "item_id").sortWithinPartitions("bucket", "token", "item_id").write.partitionBy("bucket").mode("overwrite").parquet(path)
+    in_buckets(keyed, about_postings(items, ["body"])).write.partitionBy("bucket").mode("overwrite").parquet(path)
 
 
 def postings_of(index: DataFrame, wanted: list[str]) -> DataFrame:

@@ -18,8 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.functions.text import tokens
-from folioforge.operators.search import bucket_of, postings_of, terms
+from folioforge.operators.search import about_postings, bucket_of, counted_tokens, in_buckets, postings_of, terms
 
 #: Fields by weight: title A, metadata B, body and translation C.
 FIELDS = {"title": "A", "metadata": "B", "body": "C", "translation": "D"}
@@ -40,10 +39,7 @@ def _fs(spark: SparkSession, path: str):
 
 def built(documents: DataFrame) -> DataFrame:
     """The postings of documents (item_id, title, metadata, body, translation); a null field has none."""
-    fields = F.array(*[F.struct(F.lit(w).alias("field"), tokens(F.coalesce(F.col(f), F.lit(""))).alias("tokens")) for f, w in FIELDS.items()])
-    rows = documents.select("item_id", F.explode(fields).alias("x")).select("item_id", "x.field", F.posexplode("x.tokens").alias("at", "token"))
-    counted = rows.groupBy("item_id", "token", "field").agg(F.count(F.lit(1)).alias("n"), F.min("at").cast("long").alias("first"))
-    return counted.withColumn("bucket", bucket_of(F.col("token")))
+    return counted_tokens(documents, {w: F.col(f) for f, w in FIELDS.items()}).withColumn("bucket", bucket_of(F.col("token")))
 
 
 class Index:
@@ -77,13 +73,17 @@ class Index:
     def _read(self, name: str, part: str, schema: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(f"{self.path}/segments/{name}/{part}")
 
-    def _write(self, named: DataFrame, documents: DataFrame, postings: DataFrame) -> tuple[str, int]:
+    def _name(self, ids: DataFrame) -> str:
+        """A new segment's name, with the ids that it names written."""
         name = uuid.uuid4().hex
+        ids.select("item_id").distinct().write.parquet(f"{self.path}/segments/{name}/named")
+        return name
+
+    def _write(self, named: DataFrame | str, documents: DataFrame, postings: DataFrame, about: int = 0) -> tuple[str, int]:
+        name = named if isinstance(named, str) else self._name(named)
         folder = f"{self.path}/segments/{name}"
-        named.select("item_id").distinct().write.parquet(f"{folder}/named")
         documents.select("item_id", "title", "metadata").write.parquet(f"{folder}/documents")
-        keyed = postings.repartitionByRange("bucket", "token", "item_id").sortWithinPartitions("bucket", "token", "item_id")
-        keyed.select(*[c.split()[0] for c in POSTINGS.split(", ")]).write.parquet(f"{folder}/postings")
+        in_buckets(postings, about).select(*[c.split()[0] for c in POSTINGS.split(", ")]).write.parquet(f"{folder}/postings")
         return name, self._read(name, "named", NAMED).count()
 
     def refresh(self, documents: DataFrame, ids: DataFrame) -> str | None:
@@ -92,9 +92,10 @@ class Index:
         The documents of other ids are not looked at. Of an id that several documents have, one is an error
         of the caller's. No id: no segment. The segment's name.
         """
-        wanted = ids.select("item_id").filter("item_id IS NOT NULL").distinct()
-        own = documents.join(wanted, "item_id", "left_semi")
-        name, n = self._write(wanted, own, built(own))
+        name = self._name(ids.filter("item_id IS NOT NULL"))
+        # joined as they are written: by their files' size few ids are broadcast, and no text is shuffled to be met with them
+        own = documents.join(self._read(name, "named", NAMED), "item_id", "left_semi")
+        name, n = self._write(name, own, built(own), about_postings(own, ["body"]))
         if not n:
             return None
         self._commit([*self.manifest(), (name, n, 0)])
@@ -138,7 +139,8 @@ class Index:
                 named = named.unionByName(self._read(name, "named", NAMED))
             documents = self._newest("documents", DOCUMENTS, parts)
             kept = documents if not a else named  # below the oldest there is nothing to take off
-            name, n = self._write(kept, documents, self._newest("postings", POSTINGS, parts))
+            about = sum(self._read(name, "postings", POSTINGS).count() for name, _, _ in parts)
+            name, n = self._write(kept, documents, self._newest("postings", POSTINGS, parts), about)
             segments = [*segments[:a], (name, n, parts[0][2] + 1), *segments[b:]]
             self._commit(segments)
         return len(segments)

@@ -89,3 +89,32 @@ def test_lost_refreshes_are_not_seen_and_old_segments_go(spark, tmp_path):
     assert [r.item_id for r in own.search("alpha").collect()] == [1]
     assert own.remove_unused() == 1 and own.remove_unused() == 0
     assert [r.item_id for r in own.search("alpha").collect()] == [1]
+
+
+def test_tokens_are_counted_within_rows(spark):
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from folioforge.operators import search
+
+    kind = "item_id long, title string, metadata string, body string"
+    once = [(1, "b a", "x", "b a b, c"), (2, "", "-", " "), (3, "é É e", "1", "z" * 9)]
+    several = [*once, (1, "a", "", "c d"), (None, "n", "", "n"), (None, "n", "", "")]
+
+    def want(rows):
+        n, first = Counter(), {}
+        for i, *texts in rows:
+            for f, text in zip("ABC", texts, strict=True):
+                for at, t in enumerate(text.replace("-", " ").replace(",", " ").lower().split()):
+                    n[i, t, f] += 1
+                    first[i, t, f] = min(at, first.get((i, t, f), at))
+        return sorted(((*k, n[k], first[k]) for k in n), key=str)
+
+    for rows in (once, several):
+        got = search.postings(spark.createDataFrame(rows, kind))
+        assert sorted(map(tuple, got.collect()), key=str) == want(rows)
+    plain = search.postings(spark.createDataFrame(once, kind))
+    assert "Exchange" not in plain._jdf.queryExecution().executedPlan().toString()
+    dealt = search.in_buckets(plain.withColumn("bucket", search.bucket_of(F.col("token"))), 5 * search.BUCKETS * search.TASK_POSTINGS)
+    assert dealt.rdd.getNumPartitions() == 5 * search.BUCKETS and dealt.count() == plain.count()
