@@ -79,6 +79,8 @@ def counts_without_fan_out(base: DataFrame, key: str, sides: dict[str, tuple[Dat
 
 def photos_with_all(links: DataFrame, persons: list[int]) -> DataFrame:
     """(item_id, photo_id): an item's earliest photo (position, id) that shows all the persons: relational division."""
-    seen = links.filter(F.col("person_id").isin(*persons)).groupBy("item_id", "photo_id", "position").agg(F.countDistinct("person_id").alias("n"))
-    full = seen.filter(F.col("n") == len(set(persons)))
+    wanted = list(dict.fromkeys(persons))
+    shown = [F.bool_or(F.col("person_id") == p).alias(f"__{k}") for k, p in enumerate(wanted)]  # one flag a person: no set is held
+    seen = links.filter(F.col("person_id").isin(*wanted)).groupBy("item_id", "photo_id", "position").agg(*shown)
+    full = seen.filter(" AND ".join(f"__{k}" for k in range(len(wanted))))
     return full.groupBy("item_id").agg(F.min(F.struct("position", "photo_id")).alias("x")).select("item_id", "x.photo_id")
