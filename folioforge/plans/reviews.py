@@ -99,21 +99,24 @@ def segments(lines: DataFrame) -> DataFrame:
 
 
 def representatives(members: DataFrame, most: int = 4) -> DataFrame:
-    """(group, member, role) of up to `most` members (group, item_id, ordinal, unusual): the first, the last, an unusual one, then members of further items."""
+    """(group, member, role) of up to `most` members (group, item_id, ordinal, unusual): the first, the last, an unusual one, then members of further items.
+
+    First, last and unusual are aggregates; of the items' first members only so many are ordered as may be chosen.
+    """
     from pyspark.sql import Window
 
+    at = F.struct("item_id", "ordinal")
+    ends = members.groupBy("group").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.min(F.when(F.col("unusual"), at)).alias("unusual"))
+    roles = ("first", "last", "unusual")
+    named = ends.select("group", F.explode(F.array(*[F.struct(F.lit(k).alias("rank"), F.col(r).alias("at")) for k, r in enumerate(roles)])).alias("x")).filter("x.at IS NOT NULL")
     by = Window.partitionBy("group").orderBy("item_id", "ordinal")
-    back = Window.partitionBy("group").orderBy(F.desc("item_id"), F.desc("ordinal"))
-    odd = Window.partitionBy("group").orderBy(F.desc("unusual"), "item_id", "ordinal")
-    per_item = Window.partitionBy("group", "item_id").orderBy("ordinal")
-    role = (
-        F.when(F.row_number().over(by) == 1, "first").when(F.row_number().over(back) == 1, "last").when((F.row_number().over(odd) == 1) & F.col("unusual"), "unusual")
-        .when(F.row_number().over(per_item) == 1, "new_item")
-    )
-    rank = F.array_position(F.array(*map(F.lit, ("first", "last", "unusual", "new_item"))), F.col("role"))
-    chosen = members.withColumn("role", role).filter("role IS NOT NULL").withColumn("__rank", rank)
-    place = F.row_number().over(Window.partitionBy("group").orderBy("__rank", "item_id", "ordinal"))
-    return chosen.withColumn("__n", place).filter(F.col("__n") <= most).select("group", "item_id", "ordinal", "role")
+    items = members.groupBy("group", "item_id").agg(F.min("ordinal").alias("ordinal")).withColumn("__n", F.row_number().over(by)).filter(F.col("__n") <= most + len(roles))
+    new = items.select("group", F.struct(F.lit(len(roles)).alias("rank"), at.alias("at")).alias("x"))
+    # a member has the first of its roles
+    once = named.unionByName(new).groupBy("group", "x.at").agg(F.min("x.rank").alias("rank"))
+    place = F.row_number().over(Window.partitionBy("group").orderBy("rank", "at"))
+    role = F.get(F.array(*map(F.lit, (*roles, "new_item"))), F.col("rank"))
+    return once.withColumn("__n", place).filter(F.col("__n") <= most).select("group", "at.item_id", "at.ordinal", role.alias("role"))
 
 
 def single_target(rows: DataFrame, key: str, target: str) -> DataFrame:

@@ -224,3 +224,27 @@ def test_bands_of_many_pages_by_plan(spark):
     got = ordered.bands(df, 100.0)
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_representatives_by_hand_in_few_sorts(spark):
+    from folioforge.plans import reviews
+
+    rng = random.Random(6)
+    members = [(g, i, o, rng.random() < 0.1) for g in range(40) for i in rng.sample(range(30), rng.randrange(1, 9)) for o in range(1, rng.randrange(2, 4))]
+    want = []
+    for g in range(40):
+        own, role = sorted(m for m in members if m[0] == g), {}
+        for name, m in [("first", own[0]), ("last", own[-1]), *[("unusual", m) for m in own if m[3]][:1], *[("new_item", m) for m in own if m[2] == 1]]:
+            role.setdefault(m[:3], name)
+        want += [(*k, r) for k, r in list(role.items())[:4]]
+    got = reviews.representatives(spark.createDataFrame(members, "group long, item_id long, ordinal int, unusual boolean"))
+    assert rows(got) == sorted(want, key=str)
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Window [") == 2, "five windows over all members before"
+
+
+def test_photos_with_all_hold_no_sets(spark):
+    links = [(1, 5, 2, "A"), (1, 5, 2, "N"), (1, 5, 2, "A"), (1, 4, 9, "A"), (1, 4, 9, "N"), (2, 7, 1, "A"), (2, 7, 1, None), (3, 1, 1, "N"), (3, 1, 1, "A"), (3, 1, 1, "R")]
+    got = directory.photos_with_all(spark.createDataFrame(links, "item_id long, photo_id long, position long, person_id string"), ["A", "N", "A"])
+    assert rows(got) == [(1, 5), (3, 1)]
+    assert "distinct" not in got._jdf.queryExecution().executedPlan().toString().lower()
