@@ -3,6 +3,8 @@
 A text's lattice has a node before each character and an edge for each piece; a character that no piece
 holds is one edge of byte pieces. Forward Viterbi scores are exact estimates of what is left of a path
 that a search from the end builds, so that A-star takes complete paths from its heap in order of score.
+The forward pass goes over many parts at a time and keeps the second-best score of each node beside the best: that
+gives each part its first path and what the second costs. A-star takes the further paths, and both where the first two score alike.
 
 No piece spans a word's end or a line feed, nor steps from a word to the punctuation after it: the lattice
 is a chain of parts that only share nodes. Parts are searched once and kept; a document's n best segmentations differ from its best one in those n - 1
@@ -20,8 +22,10 @@ import itertools
 import math
 import re
 import string
+import sys
 import zlib
 from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -40,6 +44,9 @@ UNIT = 1_000_000
 _CACHE = 130_000
 _LONG = 64
 _NEVER = 1 << 62
+#: Parts that one forward pass takes, and characters of texts whose parts are met together.
+_PASS = 2048
+_MET = 500_000
 
 
 class Segmenter:
@@ -81,6 +88,7 @@ class Segmenter:
         self.known: dict[str, tuple[bytes, int, int]] = {}
         self.older: dict[str, tuple[bytes, int, int]] = {}
         self.parts = self._parts()
+        self._arrays()
         self.sizes = np.array([len(r) for r in self.raw], dtype=np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.flat = np.frombuffer(b"".join(self.raw), np.uint8)
@@ -94,6 +102,110 @@ class Segmenter:
             return re.compile(" *[^ \n]+|\n| +")
         return re.compile(f" *{letter}+(?![^{marks} \n])| *[^ \n]+?(?:(?<={letter})(?=[{marks}])|(?![^ \n]))|\n| +")
 
+    def _arrays(self) -> None:
+        """The tree as arrays: characters by code point, steps as sorted keys, scores and ids by node. Node 0 is none, node 1 the root, character 0 in no piece."""
+        letters = {ch: k for k, ch in enumerate(sorted({ch for p in self.pieces for ch in p}), 1)}
+        self.letters = np.zeros(sys.maxunicode + 1, np.int32)
+        self.letters[[ord(ch) for ch in letters]] = list(letters.values())
+        self.width = len(letters) + 1
+        nodes: dict[str, int] = {"": 1}
+        steps: dict[int, int] = {}
+        for piece in self.pieces:
+            for end in range(1, len(piece) + 1):
+                if piece[:end] not in nodes:
+                    nodes[piece[:end]] = len(nodes) + 1
+                    steps[nodes[piece[: end - 1]] * self.width + letters[piece[end - 1]]] = nodes[piece[:end]]
+        self.keys = np.array(sorted(steps), np.int64)
+        self.next = np.array([steps[k] for k in self.keys.tolist()], np.int64)
+        self.node_score, self.node_id = np.full(len(nodes) + 1, -_NEVER // 2, np.int64), np.full(len(nodes) + 1, -1, np.int64)
+        for piece, (score, (i,)) in self.scores.items():
+            self.node_score[nodes[piece]], self.node_id[nodes[piece]] = score, i
+        self.depth = max(map(len, self.pieces), default=1)
+
+    # --- many parts ---
+
+    def forward(self, parts: list[str]) -> tuple[list[bytes | None], list[int], list[int]]:
+        """Raw ids of the best path, its score and what the second-best path costs (_NEVER: there is none), of each part.
+
+        Instead of ids None where the first two paths score alike or the best one has byte pieces: A-star takes these.
+        """
+        count, low = len(parts), -_NEVER // 2
+        sizes = np.fromiter(map(len, parts), np.int64, count)
+        longest = int(sizes.max())
+        code = np.zeros((count, longest), np.int64)
+        code[np.arange(longest) < sizes[:, None]] = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        code = np.ascontiguousarray(code.T)  # by place, then part
+        letter = self.letters[code].ravel()
+        depth = min(self.depth, longest)
+        # score and id of the edge by length, start and part; at length 1 bytes where no piece is the one character
+        edge, piece = np.full((depth, longest * count), low, np.int64), np.full((depth, longest * count), -1, np.int64)
+        at, node = np.arange(longest * count), np.ones(longest * count, np.int64)
+        for d in range(depth):
+            if d:
+                inside = at + d * count < len(letter)
+                at, node = at[inside], node[inside]
+            key = node * self.width + letter[at + d * count]
+            found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            known = self.keys[found] == key
+            at, node = at[known], self.next[found[known]]
+            edge[d, at], piece[d, at] = self.node_score[node], self.node_id[node]
+        code = code.ravel()
+        alone = piece[0] < 0
+        edge[0, alone] = self.byte_score * (1 + (code[alone] > 0x7F) + (code[alone] > 0x7FF) + (code[alone] > 0xFFFF))
+        edge, piece = edge.reshape(depth, longest, count), piece.reshape(depth, longest, count)
+        best, second = np.full((longest + 1, count), low, np.int64), np.full((longest + 1, count), low, np.int64)
+        back = np.zeros((longest + 1, count), np.int64)
+        best[0] = 0
+        for end in range(1, longest + 1):
+            first, other, length = best[end], second[end], back[end]
+            for d in range(min(depth, end)):
+                start = end - d - 1
+                value = best[start] + edge[d, start]
+                np.maximum(other, np.minimum(first, value), out=other)
+                np.maximum(other, second[start] + edge[d, start], out=other)
+                length[value > first] = d + 1
+                np.maximum(first, value, out=first)
+        own = np.arange(count)
+        score, margin = best[sizes, own], best[sizes, own] - second[sizes, own]
+        margin[second[sizes, own] <= low // 2] = _NEVER
+        # back along the best paths, all parts a step at a time; ids are filled from the right
+        ids, used, place = np.zeros((count, longest), self.dtype), np.zeros(count, np.int64), sizes.copy()
+        plain = margin > 0
+        while (left := np.flatnonzero(place)).size:
+            length = back[place[left], left]
+            place[left] -= length
+            i = piece[length - 1, place[left], left]
+            plain[left[i < 0]] = False
+            used[left] += 1
+            ids[left, longest - used[left]] = np.maximum(i, 0)
+        raw = ids[np.arange(longest) >= longest - used[:, None]].tobytes()
+        ends = (np.cumsum(used) * self.dtype.itemsize).tolist()
+        out = [raw[a:b] if good else None for a, b, good in zip([0, *ends], ends, plain.tolist(), strict=False)]
+        return out, score.tolist(), margin.tolist()
+
+    def meet(self, parts: Iterable[str]) -> None:
+        """Learn those of the parts that are not known, many in one forward pass; long ones are left to be searched alone."""
+        fresh = []
+        for part in parts:
+            if part not in self.known:
+                if (found := self.older.get(part)) is not None:
+                    self._keep(part, found)
+                elif len(part) <= _LONG:
+                    fresh.append(part)
+        fresh.sort(key=len)
+        for start in range(0, len(fresh), _PASS):
+            some = fresh[start : start + _PASS]
+            for part, *found in zip(some, *self.forward(some), strict=True):
+                if found[0] is None:
+                    self._learn(part)
+                else:
+                    self._keep(part, tuple(found))
+
+    def _keep(self, part: str, found: tuple[bytes, int, int]) -> None:
+        if len(self.known) >= _CACHE:
+            self.older, self.known = self.known, {}
+        self.known[part] = found
+
     # --- one part ---
 
     def lattice(self, part: str) -> tuple[list[list[tuple[int, tuple[int, tuple[int, ...]]]]], list[int]]:
@@ -151,18 +263,30 @@ class Segmenter:
             two = self.paths(part, 2)
             found = (array(self.code, two[0][1]).tobytes(), two[0][0], two[0][0] - two[1][0] if len(two) > 1 else _NEVER)
         if len(part) <= _LONG:
-            if len(self.known) >= _CACHE:
-                self.older, self.known = self.known, {}
-            self.known[part] = found
+            self._keep(part, found)
         return found
 
     # --- whole texts ---
 
     def n_best(self, text: str | None, n: int = N_BEST) -> list[tuple[int, bytes]]:
         """The n best (score in millionths, raw ids) of a whole text; the empty text has one, without ids."""
-        if not text:
+        return next(self.n_best_of([text], n))
+
+    def n_best_of(self, texts: Iterable[str | None], n: int = N_BEST) -> Iterator[list[tuple[int, bytes]]]:
+        """`n_best` of each text; parts that are new in some texts are met together."""
+        some, size = [], 0
+        for text in itertools.chain(texts, [...]):  # the mark ends the last ones
+            if text is ... or size + len(text or "") > _MET:
+                self.meet(set(itertools.chain.from_iterable(some)))
+                yield from (self._n_best(parts, n) for parts in some)
+                some, size = [], 0
+            if text is not ...:
+                some.append(self.parts.findall(" " + text) if text else [])
+                size += len(text or "")
+
+    def _n_best(self, parts: list[str], n: int) -> list[tuple[int, bytes]]:
+        if not parts:
             return [(0, b"")]
-        parts = self.parts.findall(" " + text)
         get = self.known.get
         found = [get(p) or self._learn(p) for p in parts]
         score = sum([f[1] for f in found])
@@ -224,9 +348,8 @@ def segment(docs: DataFrame, *, vocabulary: str, n: int = N_BEST, text_col: str
     @F.pandas_udf("array<struct<score:double,ids:array<int>>>")
     def run(texts: pd.Series) -> pd.Series:
         own = segmenter(vocabulary)
-        return texts.map(
-            lambda t: [{"score": s / UNIT, "ids": np.frombuffer(raw, own.dtype).astype(np.int32)} for s, raw in own.n_best(t, n)]
-        )
+        made = [[{"score": s / UNIT, "ids": np.frombuffer(raw, own.dtype).astype(np.int32)} for s, raw in found] for found in own.n_best_of(texts, n)]
+        return pd.Series(made, index=texts.index, dtype=object)
 
     return docs.select(*[c for c, name in zip(whole(docs), docs.columns, strict=True) if name.lower() != out.lower()], run(F.col(text_col)).alias(out))
 
@@ -246,9 +369,10 @@ def digests(docs: DataFrame, *, vocabulary: str, n: int = N_BEST, id_col: str =
         for batch in batches:
             at, rank, score, size, crc, same = [], [], [], [], [], []
             texts = (t for start in range(0, batch.num_rows, 256) for t in batch["text"].slice(start, 256).to_pylist())
-            for i, text in enumerate(texts):
+            mine, searched = itertools.tee(texts)
+            for i, (text, found) in enumerate(zip(mine, own.n_best_of(searched, n), strict=True)):
                 plain = (text or "").encode("utf-8", "surrogatepass")
-                for k, (s, raw) in enumerate(own.n_best(text, n), 1):
+                for k, (s, raw) in enumerate(found, 1):
                     ids = np.frombuffer(raw, own.dtype)
                     at.append(i)
                     rank.append(k)
@@ -281,7 +405,7 @@ def encoded_documents(docs: DataFrame, *, vocabulary: str, n: int = N_BEST, id_c
         own = segmenter(vocabulary)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
-                found = [own.n_best(t, n) for t in batch[text].slice(start, 256).to_pylist()]
+                found = list(own.n_best_of(batch[text].slice(start, 256).to_pylist(), n))
                 ids = [np.frombuffer(f[0][1], own.dtype) for f in found]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)))

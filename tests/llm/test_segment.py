@@ -66,3 +66,23 @@ def test_awkward_rows(docs, empty):
     assert all(r.round_trip for r in shown) and len({(r.id, r.rank) for r in shown if r.id == 6}) == 4
     assert segment.segment(empty, vocabulary=FILE).count() == 0 and segment.encoded_documents(empty, vocabulary=FILE).count() == 0
     assert segment.encoded_documents(docs, vocabulary=FILE, keep=("source",)).count() == docs.count()
+
+
+def test_parts_met_together_equal_parts_searched_alone(own, small):
+    texts = [d["text"] for d in small][:60] + [None, "", "!!!!!!", "日本 é\n\n", "a" * 200, "\U0001f600 x  y", "\ud800"]
+    parts = sorted({p for t in texts if t for p in own.parts.findall(" " + t) if len(p) <= 64})
+    ids, scores, margins = own.forward(parts)
+    for part, raw, score, margin in zip(parts, ids, scores, margins, strict=True):
+        two = own.paths(part, 2)
+        assert score == two[0][0] and margin == (two[0][0] - two[1][0] if len(two) > 1 else segment._NEVER)
+        assert raw is None or tuple(np.frombuffer(raw, own.dtype).tolist()) == two[0][1]
+    fresh = segment.Segmenter(FILE)
+    assert list(fresh.n_best_of(texts, 4)) == [own.n_best(t, 4) for t in texts]
+
+
+def test_new_parts_are_not_searched_one_by_one(small, monkeypatch):
+    fresh, alone = segment.Segmenter(FILE), []
+    learn = fresh._learn
+    monkeypatch.setattr(fresh, "_learn", lambda part: alone.append(part) or learn(part))
+    list(fresh.n_best_of([d["text"] for d in small], 4))
+    assert len(fresh.known) > 1000 and len(alone) < len(fresh.known) // 10
