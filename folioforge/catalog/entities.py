@@ -23,9 +23,12 @@ def surfaces(spark, sf_dir):
     return rows.unionByName(spark.createDataFrame([("the thing",), ("of the",)], "surface string")).distinct()
 
 
+def texts(spark, sf_dir):
+    return table(spark, sf_dir, "documents", ["doc_id", "text"]).select(F.col("doc_id").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
 def hits(spark, sf_dir):
-    texts = table(spark, sf_dir, "documents", ["doc_id", "text"]).select(F.col("doc_id").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return entities.detect(texts, surfaces(spark, sf_dir))
+    return entities.detect(texts(spark, sf_dir), surfaces(spark, sf_dir))
 
 
 @query("entity_detection", f'{_HITS} SELECT surface, count(*)::BIGINT AS hits, count(DISTINCT item_id)::BIGINT AS items, min(start)::INTEGER AS least, max("end")::INTEGER AS most FROM hits GROUP BY surface')
@@ -40,7 +43,7 @@ def _(spark, sf_dir):
     f"""{_HITS} SELECT item_id, surface, start, "end" FROM hits a WHERE NOT EXISTS (SELECT 1 FROM hits b WHERE b.item_id = a.item_id AND b.start <= a.start AND b."end" >= a."end" AND b."end" - b.start > a."end" - a.start)""",
 )
 def _(spark, sf_dir):
-    return entities.surviving(hits(spark, sf_dir))
+    return entities.surviving(hits(spark, sf_dir), entities.shares(texts(spark, sf_dir)))
 
 
 @query(

@@ -11,6 +11,8 @@ MAX_SURFACE = 255
 #: Surfaces that are broadcast, of 255 characters at most; and the size of the table of first words.
 BROADCAST_SURFACES = 100_000
 FIRST_WORD_BINS = 4096
+#: Characters of texts whose hits one task takes where hits are dealt by item or key.
+SHARE_CHARS = 8_000_000
 # Bidirectional marks that a surface loses.
 BIDI = "‎‏‪‫‬‭‮⁦⁧⁨⁩"
 
@@ -88,12 +90,18 @@ def _bin(word):
     return F.pmod(F.xxhash64(word), F.lit(FIRST_WORD_BINS)).cast("int")
 
 
-def surviving(hits: DataFrame) -> DataFrame:
+def shares(texts: DataFrame) -> int:
+    """Partitions for the hits of texts (item_id, text), a number that grows with their characters, so that a task's share of hits does not. Reads the texts once."""
+    return 1 + (texts.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0) // SHARE_CHARS
+
+
+def surviving(hits: DataFrame, parts: int | None = None) -> DataFrame:
     """Hits that no hit of another surface strictly contains.
 
     Within an item a longer hit that covers a position is the one that reaches farthest among those that
-    start no later: running maxima replace the pairwise comparison.
+    start no later: running maxima replace the pairwise comparison. Items are dealt to `parts` partitions; None: as the session has it.
     """
+    hits = hits.repartition(parts, "item_id") if parts else hits
     up_to = Window.partitionBy("item_id").orderBy("start").rangeBetween(Window.unboundedPreceding, -1)
     same = Window.partitionBy("item_id", "start")
     reach = hits.withColumn("__before", F.max("end").over(up_to)).withColumn("__here", F.max("end").over(same))
@@ -169,10 +177,14 @@ def run_report(examined: DataFrame) -> DataFrame:
     )
 
 
-def ledger(found: DataFrame, stored: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows to append, (new, existing)): each found key once; those that the ledger holds are counted, whatever their status, and never written again."""
-    once = found.dropDuplicates(keys)
-    known = stored.select(*keys).distinct().withColumn("__known", F.lit(True))
+def ledger(found: DataFrame, stored: DataFrame, keys: list[str], parts: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows to append, (new, existing)): each found key once; those that the ledger holds are counted, whatever their status, and never written again.
+
+    Both sides are dealt by all keys to `parts` partitions, in which they are made distinct and meet; None: as the session has it.
+    """
+    dealt = lambda df: df.repartition(parts, *keys) if parts else df
+    once = dealt(found).dropDuplicates(keys)
+    known = dealt(stored.select(*keys)).distinct().withColumn("__known", F.lit(True))
     flagged = once.join(known, keys, "left")
     counts = flagged.agg(F.count_if(F.col("__known").isNull()).alias("new"), F.count("__known").alias("existing"))
     return flagged.filter("__known IS NULL").select(*found.columns), counts
@@ -187,7 +199,7 @@ def examine(items: DataFrame, surfaces: DataFrame, stored: DataFrame) -> tuple[D
 
     stored: item_id, surface, start. Items that fail are left out and counted, the others go on.
     """
-    examined = checked(items)
-    found = surviving(detect(examined.filter("failure IS NULL").select("item_id", "text"), surfaces))
-    rows, counts = ledger(found, stored, ["item_id", "surface", "start"])
+    examined, parts = checked(items), shares(items)
+    found = surviving(detect(examined.filter("failure IS NULL").select("item_id", "text"), surfaces), parts)
+    rows, counts = ledger(found, stored, ["item_id", "surface", "start"], parts)
     return rows, counts, run_report(examined)

@@ -25,6 +25,21 @@ def test_closure_ends_on_cycles_and_keeps_least_depth(spark):
     assert graph.closure(edges.filter("false")).count() == 0
 
 
+def test_a_task_of_an_entity_run_takes_a_bounded_share_of_hits(spark, monkeypatch):
+    monkeypatch.setattr(entities, "SHARE_CHARS", 20)
+    texts = [(k % 9, "of the old town of the old") for k in range(12)] + [(20, ""), (21, None)]  # ids repeat
+    items = spark.createDataFrame(texts, "item_id long, text string").withColumn("sha", F.sha2("text", 256))
+    names = spark.createDataFrame([("of the",), ("the",), ("old",), ("old town",)], "surface string")
+    stored = spark.createDataFrame([(1, "of the", 0), (1, "of the", 0), (50, "old", 1)], "item_id long, surface string, start int")
+    appended, counts, report = entities.examine(items, names, stored)
+    per = [("of the", 0), ("old town", 2), ("of the", 4), ("old", 6)]
+    want = [(k, *x) for k in range(9) for x in per if (k, *x) != (1, "of the", 0)]
+    assert rows(appended.select("item_id", "surface", "start")) == sorted(want, key=str)
+    assert rows(counts) == [(35, 1)] and rows(report) == [(14, 1, 20)]
+    assert appended.rdd.getNumPartitions() == 1 + 12 * 26 // 20  # more texts, more partitions
+    assert entities.shares(items.filter("text IS NULL")) == 1
+
+
 def test_surviving_hits_by_pairwise_comparison(spark):
     rng = random.Random(5)
     hits = [(i % 4, f"s{k}", a := rng.randrange(30), a + rng.randrange(1, 8)) for i in range(150) for k in range(1)]
