@@ -3,17 +3,21 @@
 A surface and a text are compared in one normal form: NFC, without bidirectional marks, case-folded, blanks
 collapsed. That changes lengths, so a text's normal form comes with the piece of the original that each of
 its characters stands for. Dictionaries are dealt in blocks of bounded size; a block's automaton is built
-once per task and every text walks through it once, however many surfaces there are.
+once per task and every text walks through it once, however many surfaces there are. Texts are walked
+through many at a time, and what is told of their places is told in arrays.
 """
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -22,11 +26,10 @@ from folioforge.operators.entities import BIDI, MAX_SURFACE
 
 #: Characters of a block's surfaces, which bound the automaton of a task; a dictionary of more is dealt in several blocks.
 BLOCK_CHARS = 4_000_000
-#: Texts that a task takes from Arrow at a time.
-BATCH = 256
+#: Characters of the texts that a task walks through at a time, a longer text alone; and places that it hands on at a time.
+BATCH_CHARS = 1_000_000
+BATCH_ROWS = 65_536
 _NO_BIDI = dict.fromkeys(map(ord, BIDI))
-_BIDI_CODES = np.array(sorted(_NO_BIDI), dtype=np.uint32)
-_BLANK_CODES = np.array([c for c in range(0x3001) if chr(c).isspace()], dtype=np.uint32)
 
 
 def normal_text(text: str) -> str:
@@ -59,105 +62,261 @@ def _clusters(text: str) -> Iterator[tuple[int, int]]:
         yield start, len(text)
 
 
-def _pieces(text: str) -> tuple[str, np.ndarray, np.ndarray]:
-    """(folded text without marks, start, end): the piece of the original that each character stands for, blanks not collapsed."""
-    if unicodedata.is_normalized("NFC", text) and len(folded := text.casefold()) == len(text):  # folding never shortens: one for one
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        at = np.flatnonzero(~np.isin(codes, _BIDI_CODES))
-        if len(at) < len(text):
-            folded = text.translate(_NO_BIDI).casefold()
-        return folded, at, at + 1
+class _Characters:
+    """What is known of characters by code, learned as they are met: the folded form's length and first code, whether it is a blank or part of a word."""
+
+    def __init__(self):
+        self.size = np.full(sys.maxunicode + 1, -1, np.int8)
+        self.first = np.zeros(sys.maxunicode + 1, np.uint32)
+        self.blank = np.zeros(sys.maxunicode + 1, bool)
+        self.token = np.zeros(sys.maxunicode + 1, bool)
+        self.longer: dict[int, np.ndarray] = {}
+
+    def learn(self, codes: np.ndarray) -> None:
+        for code in np.unique(codes[self.size[codes] < 0]).tolist():
+            c = chr(code)
+            folded = _codes(c.translate(_NO_BIDI).casefold())
+            self.size[code], self.blank[code], self.token[code] = len(folded), c.isspace(), unicodedata.category(c)[0] in "LNM"
+            if len(folded):
+                self.first[code] = folded[0]
+            if len(folded) > 1:
+                self.longer[code] = folded
+
+    def folded(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(codes of the folded text without marks, place of the character that each stands for)."""
+        self.learn(codes)
+        size = self.size[codes]
+        if (size == 1).all():
+            return self.first[codes], np.arange(len(codes))
+        own = np.repeat(np.arange(len(codes)), size)
+        out = self.first[codes][own]
+        long = np.flatnonzero(size > 1)
+        at = (np.cumsum(size, dtype=np.int64) - size)[long]
+        for code in np.unique(codes[long]).tolist():
+            here = at[codes[long] == code]
+            for k, c in enumerate(self.longer[code].tolist()):
+                out[here + k] = c
+        return out, own
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+_CHARACTERS: list[_Characters] = []
+
+
+def _characters() -> _Characters:
+    """One table for all texts of a process."""
+    if not _CHARACTERS:
+        _CHARACTERS.append(_Characters())
+    return _CHARACTERS[0]
+
+
+def _pieces(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes of the folded text without marks, start, end) of a text that NFC changes: the piece of the original that each character stands for, -1 where that can't be told."""
     out, starts, ends = [], [], []
     for start, end in _clusters(text):
         piece = unicodedata.normalize("NFC", text[start:end]).translate(_NO_BIDI).casefold()
         out.append(piece)
         starts += [start] * len(piece)
         ends += [end] * len(piece)
-    return "".join(out), np.array(starts, np.int64), np.array(ends, np.int64)
+    if " ".join("".join(out).split()) != (whole := normal_text(text)):
+        return _codes(whole), (none := np.full(len(whole), -1, np.int64)), none
+    return _codes("".join(out)), np.array(starts, np.int64), np.array(ends, np.int64)
+
+
+class Spanned:
+    """The normal forms of texts, one after the other, each after a line end and the last before one; a normal form has no line end.
+
+    texts: those that NFC leaves alone come first, so this may be in another order than given; `given` tells which is which.
+    codes, starts, ends: each character of the normal forms stands for a piece of `texts[k]`; a blank for its whole run.
+    firsts: where the normal form of each begins, and one beyond.
+    """
+
+    def __init__(self, texts: list[str]):
+        known, plain = _characters(), [unicodedata.is_normalized("NFC", t) for t in texts]
+        self.given = np.array([k for k, x in enumerate(plain) if x] + [k for k, x in enumerate(plain) if not x], np.int64)
+        self.texts, self.plain = [texts[k] for k in self.given.tolist()], sum(plain)
+        whole = _codes("".join("\n" + t for t in self.texts[: self.plain]) + "\n")
+        lengths = np.array([len(t) + 1 for t in self.texts], np.int64)
+        self.bases = np.cumsum(lengths) - lengths + 1  # of each text, if all stood one after the other like the normal forms
+        # a text that NFC leaves alone is folded character by character
+        folded, starts = known.folded(whole)
+        gaps = np.searchsorted(starts, np.append(self.bases[: self.plain] - 1, len(whole) - 1))  # a line end is one character
+        ends = starts + 1
+        if self.plain < len(texts):
+            made, at, line_end = [[folded, starts, ends]], len(folded), _codes("\n")
+            for text, base in zip(self.texts[self.plain :], self.bases[self.plain :].tolist(), strict=True):
+                codes, a, b = _pieces(text)
+                after = np.array([base + len(text)])
+                made.append([np.concatenate(x) for x in ((codes, line_end), (np.where(a < 0, -1, a + base), after), (np.where(b < 0, -1, b + base), after + 1))])
+                at += len(codes) + 1
+                gaps = np.append(gaps, at - 1)
+            folded, starts, ends = (np.concatenate(x) for x in zip(*made, strict=True))
+        known.learn(folded)
+        blank = known.blank[folded]
+        gap = np.zeros(len(folded), bool)
+        gap[gaps] = True
+        keep = ~blank | gap
+        keep[1:] |= ~blank[:-1]  # of a run of blanks the first; none after a line end
+        kept = np.flatnonzero(keep)
+        last = blank[kept] & ~gap[kept]
+        last[:-1] &= gap[kept[1:]]
+        kept = kept[~last]  # none before a line end
+        single = np.flatnonzero(blank[kept] & ~gap[kept])
+        self.codes, self.starts, self.ends = folded[kept], starts[kept], ends[kept]
+        self.codes[single] = ord(" ")
+        self.ends[single] = ends[kept[single + 1] - 1]
+        self.firsts = np.flatnonzero(gap[kept]) + 1
+
+    @property
+    def normal(self) -> str:
+        return self.codes.tobytes().decode("utf-32-le", "surrogatepass")
 
 
 def spanned(text: str) -> tuple[str, np.ndarray, np.ndarray]:
     """(normal form, start, end): each of its characters stands for text[start:end]; a blank for its whole run."""
-    folded, starts, ends = _pieces(text)
-    if not folded:
-        return "", starts, ends
-    codes = np.frombuffer(folded.encode("utf-32-le", "surrogatepass"), np.uint32)
-    blank = np.isin(codes, _BLANK_CODES)
-    kept = np.flatnonzero(~blank | np.concatenate([[False], ~blank[:-1]]))  # of a run of blanks the first
-    if len(kept) and blank[kept[-1]]:
-        kept, last = kept[:-1], kept[-1]  # blanks at the end
-    else:
-        last = len(folded)
-    normal = "".join(" " if b else folded[i] for i, b in zip(kept.tolist(), blank[kept].tolist(), strict=True)) if blank.any() else folded
-    after = np.append(kept[1:], last)
-    return normal, starts[kept], ends[after - 1] if len(kept) else ends[:0]
+    x = Spanned([text])
+    return x.normal[1:-1], x.starts[1:-1] - 1, x.ends[1:-1] - 1
+
+
+class Places:
+    """Places of surfaces in texts, as arrays.
 
+    text, surface: their numbers. ordinal. start, end: in the text; -1 where there is no piece of the original.
+    normal_start, normal_end: in its normal form. bounded: whether it stands between word bounds.
+    """
+
+    FIELDS = ("text", "surface", "ordinal", "start", "end", "normal_start", "normal_end", "bounded")
 
-def _is_token(c: str) -> bool:
-    return unicodedata.category(c)[0] in "LNM"
+    def __init__(self, **columns: np.ndarray):
+        self.__dict__ |= columns
 
 
 class Automaton:
-    """All surfaces of a block in one automaton, and their non-overlapping places in a text."""
+    """All surfaces of a block in one automaton, and their non-overlapping places in texts."""
 
     def __init__(self, surfaces: list[str]):
         import ahocorasick
 
-        self.walker = ahocorasick.Automaton()
-        for s in surfaces:
-            if s:
-                self.walker.add_word(s, s)
-        self.empty = not len(self.walker)
-        if not self.empty:
+        self.surfaces = [s for s in dict.fromkeys(surfaces) if s]
+        self.sizes = np.array([len(s) for s in self.surfaces], np.int64)
+        self.stripped = np.array([s == s.strip() for s in self.surfaces], bool)
+        self.number = np.uint16 if len(self.surfaces) <= 1 << 16 else np.int32  # small ones are sorted faster
+        self.walker = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for k, s in enumerate(self.surfaces):
+            self.walker.add_word(s, k)
+        if self.surfaces:
             self.walker.make_automaton()
 
-    def places(self, normal: str) -> dict[str, list[int]]:
-        """surface -> starts from left to right, of which none overlaps the one before."""
-        found: dict[str, list[int]] = {}
-        if self.empty:
-            return found
-        for end, s in self.walker.iter(normal):
-            start, own = end + 1 - len(s), found.setdefault(s, [])
-            if not own or start >= own[-1] + len(s):
-                own.append(start)
-        return found
-
-    def occurrences(self, text: str, exact: bool = True) -> Iterator[tuple]:
-        """(surface, ordinal, start, end, normal_start, normal_end, matched_text, bounded).
+    def places(self, texts: list[str], exact: bool = True) -> Places:
+        """The places of each surface in each text from left to right, of which none overlaps the one before; all texts are walked through as one.
 
         Ordinals count the places of a surface from 1, whether or not they stand between word bounds. Where
         a piece of the original does not have the surface as its normal form, that surface has places without
-        start, end and matched_text in this text; unless `exact` is false: then each place has the piece that
+        start and end in this text; unless `exact` is false: then each place has the piece that
         its characters stand for, "ße" for "se".
         """
-        normal, starts, ends = spanned(text)
-        if normal != normal_text(text):
-            starts = None
-        for s, own in self.places(normal_text(text) if starts is None else normal).items():
-            spans = [(int(starts[p : p + len(s)].min()), int(ends[p : p + len(s)].max())) for p in own] if starts is not None else None
-            if exact and spans is not None and any(normal_text(text[a:b]) != s for a, b in spans):
-                spans = None
-            for k, p in enumerate(own):
-                bounded = not (p and _is_token(normal[p - 1])) and not (p + len(s) < len(normal) and _is_token(normal[p + len(s)]))
-                a, b = spans[k] if spans else (None, None)
-                yield s, k + 1, a, b, p, p + len(s), None if spans is None else text[a:b], bounded
+        if not self.surfaces or not texts:
+            return Places(**dict.fromkeys(Places.FIELDS[:-1], np.zeros(0, np.int64)), bounded=np.zeros(0, bool))
+        own = Spanned(texts)
+        met = np.fromiter(chain.from_iterable(self.walker.iter(own.normal)), np.int64).reshape(-1, 2)
+        text = np.searchsorted(own.firsts, met[:, 0], "right") - 1
+        order = np.argsort(met[:, 1].astype(self.number), kind="stable")
+        text, surface = text[order], met[order, 1]
+        size = self.sizes[surface]
+        at = met[order, 0] + 1 - size
+
+        new = np.ones(len(at), bool)  # the first place of its surface in its text
+        new[1:] = (surface[1:] != surface[:-1]) | (text[1:] != text[:-1])
+        near = np.flatnonzero(~new & (np.diff(at, prepend=0) < size))
+        if len(near):
+            free = np.ones(len(at), bool)
+            last = seen = -1
+            for i, p, n, previous in zip(near.tolist(), at[near].tolist(), size[near].tolist(), at[near - 1].tolist(), strict=True):
+                last = last if seen == i - 1 else previous
+                if p < last + n:
+                    free[i] = False
+                else:
+                    last = p
+                seen = i
+            text, surface, size, at, new = (x[free] for x in (text, surface, size, at, new))
+        group = np.cumsum(new) - 1
+        ordinal = np.arange(len(at)) - np.flatnonzero(new)[group] + 1
+
+        end_at = at + size
+        start, end, base = own.starts[at], own.ends[end_at - 1], own.bases[text]
+        none = start < 0
+        if exact:
+            odd = (start == own.starts[at - 1]) | (own.starts[end_at - 1] == own.starts[end_at]) | ~self.stripped[surface]
+            for i in np.flatnonzero((text >= own.plain) & ~none).tolist():
+                t, b = own.texts[text[i]], base[i]
+                odd[i] = normal_text(t[start[i] - b : end[i] - b]) != self.surfaces[surface[i]]
+            apart = np.zeros(int(group[-1]) + 1 if len(group) else 0, bool)
+            apart[group[odd]] = True
+            none = none | apart[group]
+        token = _characters().token[own.codes]
+        return Places(
+            text=own.given[text], surface=surface, ordinal=ordinal, start=np.where(none, -1, start - base), end=np.where(none, -1, end - base),
+            normal_start=at - own.firsts[text], normal_end=end_at - own.firsts[text], bounded=~(token[at - 1] | token[end_at]),
+        )
+
+    def occurrences(self, text: str, exact: bool = True) -> Iterator[tuple]:
+        """(surface, ordinal, start, end, normal_start, normal_end, matched_text, bounded) of one text, see `places`."""
+        x = self.places([text], exact)
+        for k in range(len(x.text)):
+            a, b = (int(x.start[k]), int(x.end[k])) if x.start[k] >= 0 else (None, None)
+            yield self.surfaces[x.surface[k]], int(x.ordinal[k]), a, b, int(x.normal_start[k]), int(x.normal_end[k]), None if a is None else text[a:b], bool(x.bounded[k])
 
 
 FIELDS = "surface string, ordinal int, start int, end int, normal_start int, normal_end int, matched_text string, bounded boolean"
 
 
-def _walk(surfaces: list[str], kind: pa.DataType, exact: bool):
+def _slices(texts: pa.Array, text: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """texts[text][start:end] as strings, null where start is -1."""
+    data, offsets = np.frombuffer(texts.buffers()[2] or b"", np.uint8), np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+    begins = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # of the characters
+    base = np.searchsorted(begins, offsets[:-1])[text]
+    none = start < 0
+    a, b = begins[np.where(none, 0, base + start)], begins[np.where(none, 0, base + end)]
+    ends = np.cumsum(b - a)
+    values = data[np.arange(ends[-1]) + np.repeat(a - (ends - (b - a)), b - a)]
+    made = pa.StringArray.from_buffers(len(text), pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(values))
+    return pc.if_else(pa.array(~none), made, pa.scalar(None, pa.string())) if none.any() else made
+
+
+def _shares(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch's rows with a text in shares of about BATCH_CHARS characters."""
+    size = pc.utf8_length(batch["text"])
+    batch = batch.filter(pc.greater(size, 0))
+    share = np.cumsum(pc.utf8_length(batch["text"]).to_numpy(zero_copy_only=False)) // BATCH_CHARS
+    cuts = [0, *(np.flatnonzero(np.diff(share)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:]):
+        if a < b:
+            yield batch.slice(a, b - a)
+
+
+def _walk(surfaces: list[str], exact: bool):
     def run(batches):
         own = Automaton(surfaces)
-        kinds = [kind, pa.string(), *[pa.int32()] * 5, pa.string(), pa.bool_()]
-        names = ["item_id", *(x.split()[0] for x in FIELDS.split(", "))]
+        shown = pa.array(own.surfaces, pa.string())
         for whole in batches:
-            for at in range(0, whole.num_rows, BATCH):
-                batch = whole.slice(at, BATCH)
-                rows = [(i, *o) for i, text in zip(batch["item_id"].to_pylist(), batch["text"].to_pylist(), strict=True) if text for o in own.occurrences(text, exact)]
-                if rows:
-                    columns = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+            for batch in _shares(whole):
+                texts = batch["text"].cast(pa.string())
+                x = own.places(texts.to_pylist(), exact)
+                if not len(x.text):
+                    continue
+                none = x.start < 0
+                columns = {
+                    "item_id": batch["item_id"].take(pa.array(x.text)), "surface": shown.take(pa.array(x.surface)), "ordinal": pa.array(x.ordinal, pa.int32()),
+                    "start": pa.array(x.start, pa.int32(), mask=none), "end": pa.array(x.end, pa.int32(), mask=none), "normal_start": pa.array(x.normal_start, pa.int32()),
+                    "normal_end": pa.array(x.normal_end, pa.int32()), "matched_text": _slices(texts, x.text, x.start, x.end), "bounded": pa.array(x.bounded),
+                }
+                found = pa.RecordBatch.from_pydict(columns)
+                for at in range(0, found.num_rows, BATCH_ROWS):
+                    yield found.slice(at, BATCH_ROWS)
 
     return run
 
@@ -171,15 +330,14 @@ def blocks_of(surfaces: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[l
 
 
 def locate(texts: DataFrame, surfaces: DataFrame, block_chars: int = BLOCK_CHARS, exact: bool = True) -> DataFrame:
-    """(item_id, FIELDS): all non-overlapping places of each surface in each text, see `Automaton.occurrences`.
+    """(item_id, FIELDS): all non-overlapping places of each surface in each text, see `Automaton.places`.
 
     texts: item_id, text. surfaces: surface, in normal form; blank ones and those of more than MAX_SURFACE
     characters are left out. One pass over the texts for each block of surfaces; no text or empty text: no rows.
     """
     rows = texts.select("item_id", "text")
-    kind = rows.limit(0).toArrow().schema.field("item_id").type
     schema = f"item_id {rows.schema['item_id'].dataType.simpleString()}, {FIELDS}"
-    made = [rows.mapInArrow(_walk(block, kind, exact), schema) for block in blocks_of(surfaces, block_chars)]
+    made = [rows.mapInArrow(_walk(block, exact), schema) for block in blocks_of(surfaces, block_chars)]
     out = made[0] if made else texts.sparkSession.createDataFrame([], schema)
     for more in made[1:]:
         out = out.unionByName(more)
@@ -233,5 +391,5 @@ def candidates(hits: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def detected(texts: DataFrame, index: DataFrame, exact: bool = True) -> DataFrame:
-    """Candidates of the surviving hits of an index's surfaces in texts (item_id, text); for `exact` see `Automaton.occurrences`."""
+    """Candidates of the surviving hits of an index's surfaces in texts (item_id, text); for `exact` see `Automaton.places`."""
     return candidates(uncovered(accepted(locate(texts, index, exact=exact))), index)

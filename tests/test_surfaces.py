@@ -136,3 +136,40 @@ def test_queries_agree_with_sql_where_a_place_begins_within_a_folded_character(s
         df = registry.QUERIES[name](spark, str(tmp_path))
         want = duck.execute(f"SELECT {', '.join(f'{chr(34)}{c}{chr(34)}' for c in df.columns)} FROM ({registry.ORACLES[name]})").fetchall()
         assert want and sorted(map(tuple, df.collect())) == sorted(want), name
+
+
+def test_many_texts_are_walked_through_as_one(monkeypatch):
+    rng = random.Random(5)
+    names = sorted({n for n in (surfaces.normal_text("".join(rng.choice(ODD) for _ in range(rng.randrange(1, 4)))) for _ in range(60)) if n} | {"aa", "xx"})
+    texts = ["".join(rng.choice(ODD) for _ in range(rng.randrange(30))) for _ in range(400)] + ["aaaaa xxaaa", " \n "]
+    own, walks = surfaces.Automaton(names), []
+    spanned = surfaces.Spanned
+    monkeypatch.setattr(surfaces, "Spanned", lambda t: walks.append(len(t)) or spanned(t))
+    x = own.places(texts)
+    assert walks == [402]
+    got = [[] for _ in texts]
+    for k in range(len(x.text)):
+        got[x.text[k]].append((names[x.surface[k]], x.ordinal[k], x.normal_start[k], x.normal_end[k], x.bounded[k]))
+        if x.start[k] >= 0:
+            assert surfaces.normal_text(texts[x.text[k]][x.start[k] : x.end[k]]) == names[x.surface[k]]
+    assert [sorted(g) for g in got] == [by_hand(t, names) for t in texts] and (x.start >= 0).sum() > 1000
+    assert sorted(by_hand("aaaaa xxaaa", ["aa"]))[-1] == ("aa", 3, 8, 10, False)
+
+
+def test_places_agree_with_sql_in_texts_with_marks_and_folded_characters(spark, tmp_path):
+    import duckdb
+
+    from folioforge import registry
+
+    rng = random.Random(6)
+    parts = ["a", "é", "e", "ß", "SS", "s", " ", " ", "\n", "ש", "ׁ", ".", "-", "A", "x", "̣", "1", "se"]
+    texts = [t for t in ("".join(rng.choice(parts) for _ in range(rng.randrange(2, 40))) for _ in range(300)) if unicodedata.is_normalized("NFC", t)]
+    names = [" ".join("".join(rng.choice("aexs1é") for _ in range(rng.randrange(1, 3))) for _ in range(4)) for _ in range(30)]
+    for t, rows, columns in (("documents", texts, "doc_id long, text string"), ("benchmark", names, "item_id long, text string")):
+        spark.createDataFrame(list(enumerate(rows)), columns).write.parquet(f"{tmp_path}/{t}.parquet")
+    duck = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    df = registry.QUERIES["surface_occurrences"](spark, str(tmp_path))
+    want = duck.execute(f"SELECT {', '.join(f'{chr(34)}{c}{chr(34)}' for c in df.columns)} FROM ({registry.ORACLES['surface_occurrences']})").fetchall()
+    assert len(want) > 1000 and sorted(map(tuple, df.collect())) == sorted(want)
