@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from folioforge.operators.entities import BIDI, MAX_SURFACE
+from folioforge.operators.entities import BIDI, BROADCAST_SURFACES, MAX_SURFACE
 
 #: Characters of a block's surfaces, which bound the automaton of a task; a dictionary of more is dealt in several blocks.
 BLOCK_CHARS = 4_000_000
@@ -193,6 +193,23 @@ class Places:
     def __init__(self, **columns: np.ndarray):
         self.__dict__ |= columns
 
+    def take(self, which: np.ndarray) -> Places:
+        return Places(**{c: getattr(self, c)[which] for c in self.FIELDS})
+
+    def standing(self) -> Places:
+        """The places that `accepted` keeps and, among those of each text, `uncovered`."""
+        own = self.take(np.flatnonzero(self.bounded & (self.start >= 0)))
+        if not len(own.text):
+            return own
+        # texts one after the other, so that what is before a place's text never reaches into it
+        original, normal = (own.text * (int(x.max()) + 1) for x in (own.end, own.normal_end))
+        start, end, normal_start, normal_end = original + own.start, original + own.end, normal + own.normal_start, normal + own.normal_end
+        by_place, by_start = np.argsort(normal_start, kind="stable"), np.argsort(start, kind="stable")
+        beyond = np.maximum.accumulate(end[by_place])[np.searchsorted(normal_start[by_place], normal_start, "right") - 1]
+        before = np.searchsorted(start[by_start], start, "left") - 1
+        around = np.where(before < 0, -1, np.maximum.accumulate(normal_end[by_start])[before])
+        return own.take(np.flatnonzero((beyond <= end) & (around < normal_end)))
+
 
 class Automaton:
     """All surfaces of a block in one automaton, and their non-overlapping places in texts."""
@@ -298,7 +315,7 @@ def _shares(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             yield batch.slice(a, b - a)
 
 
-def _walk(surfaces: list[str], exact: bool):
+def _walk(surfaces: list[str], exact: bool, standing: bool):
     def run(batches):
         own = Automaton(surfaces)
         shown = pa.array(own.surfaces, pa.string())
@@ -306,6 +323,7 @@ def _walk(surfaces: list[str], exact: bool):
             for batch in _shares(whole):
                 texts = batch["text"].cast(pa.string())
                 x = own.places(texts.to_pylist(), exact)
+                x = x.standing() if standing else x
                 if not len(x.text):
                     continue
                 none = x.start < 0
@@ -335,9 +353,13 @@ def locate(texts: DataFrame, surfaces: DataFrame, block_chars: int = BLOCK_CHARS
     texts: item_id, text. surfaces: surface, in normal form; blank ones and those of more than MAX_SURFACE
     characters are left out. One pass over the texts for each block of surfaces; no text or empty text: no rows.
     """
+    return _located(texts, list(blocks_of(surfaces, block_chars)), exact, False)
+
+
+def _located(texts: DataFrame, blocks: list[list[str]], exact: bool, standing: bool) -> DataFrame:
     rows = texts.select("item_id", "text")
     schema = f"item_id {rows.schema['item_id'].dataType.simpleString()}, {FIELDS}"
-    made = [rows.mapInArrow(_walk(block, exact), schema) for block in blocks_of(surfaces, block_chars)]
+    made = [rows.mapInArrow(_walk(block, exact, standing), schema) for block in blocks]
     out = made[0] if made else texts.sparkSession.createDataFrame([], schema)
     for more in made[1:]:
         out = out.unionByName(more)
@@ -384,12 +406,24 @@ def surface_index(entities: DataFrame, aliases: DataFrame, retired: DataFrame) -
 
 
 def candidates(hits: DataFrame, index: DataFrame) -> DataFrame:
-    """Hits with every entity of their surface: entity_id, reasons and whether others share the surface."""
+    """Hits with every entity of their surface: entity_id, reasons and whether others share the surface.
+
+    An index of up to BROADCAST_SURFACES entities, counted first, is broadcast, so that no hit is shuffled and a frequent surface is no hot key.
+    """
+    n = index.agg(F.sum(F.size("entities"))).first()[0] or 0
     known = index.select(F.col("surface").alias("__surface"), F.explode("entities").alias("__x"), "ambiguous")
-    joined = hits.join(known, F.col("surface") == F.col("__surface"))
+    joined = hits.join(F.broadcast(known) if n <= BROADCAST_SURFACES else known, F.col("surface") == F.col("__surface"))
     return joined.select(*hits.columns, "ambiguous", F.col("__x.entity_id").alias("entity_id"), F.col("__x.reasons").alias("reasons"))
 
 
-def detected(texts: DataFrame, index: DataFrame, exact: bool = True) -> DataFrame:
-    """Candidates of the surviving hits of an index's surfaces in texts (item_id, text); for `exact` see `Automaton.places`."""
-    return candidates(uncovered(accepted(locate(texts, index, exact=exact))), index)
+def detected(texts: DataFrame, index: DataFrame, exact: bool = True, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """Candidates of the surviving hits of an index's surfaces in texts (item_id, text); for `exact` see `Automaton.places`.
+
+    Hits that a longer one of the same text and block covers go in the walk itself. What is left is
+    compared anew only where an item has several texts, or the index several blocks.
+    """
+    blocks = list(blocks_of(index, block_chars))
+    hits = accepted(_located(texts, blocks, exact, True))
+    if len(blocks) > 1 or not texts.groupBy("item_id").count().filter("count > 1").isEmpty():
+        hits = uncovered(hits)
+    return candidates(hits, index)

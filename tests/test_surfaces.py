@@ -173,3 +173,20 @@ def test_places_agree_with_sql_in_texts_with_marks_and_folded_characters(spark,
     df = registry.QUERIES["surface_occurrences"](spark, str(tmp_path))
     want = duck.execute(f"SELECT {', '.join(f'{chr(34)}{c}{chr(34)}' for c in df.columns)} FROM ({registry.ORACLES['surface_occurrences']})").fetchall()
     assert len(want) > 1000 and sorted(map(tuple, df.collect())) == sorted(want)
+
+
+def test_hits_are_not_shuffled_where_each_item_has_one_text(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(12)]
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    entities = spark.createDataFrame([(i, some(rng.randrange(1, 4)), some(1)) for i in range(60)], "entity_id long, canonical string, display string")
+    index = surfaces.surface_index(entities, spark.createDataFrame([], "alias_id long, entity_id long, alias string, kind string"), entities.select("entity_id").filter("false"))
+    rows = [(i, some(30)) for i in range(40)]
+    for texts, blocks, once in ((rows, {}, True), (rows + [(i % 7, some(30)) for i in range(20)], {}, False), (rows, {"block_chars": 60}, False)):
+        df = spark.createDataFrame(texts, "item_id long, text string").cache()
+        got = surfaces.detected(df, index, **blocks)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin [surface" in plan and ("Window" not in plan) is once
+        columns = ["item_id", "surface", "ordinal", "start", "end", "entity_id"]
+        want = surfaces.candidates(surfaces.uncovered(surfaces.accepted(surfaces.locate(df, index))), index).select(columns).collect()
+        assert len(want) > 300 and sorted(got.select(columns).collect()) == sorted(want)
